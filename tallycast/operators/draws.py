@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallycast.functions.distributions import nb_logpmf
 from tallycast.functions.numeric import hash_normal, hash_uniform
@@ -49,7 +50,7 @@ def _generator(key: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=int(key) & 0xFFFFFFFFFFFFFFFF))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _nb_array(key: pd.Series, mu: pd.Series, shape: pd.Series, n: pd.Series) -> pd.Series:
     out = []
     for k, m, r, size in zip(key, mu, shape, n):

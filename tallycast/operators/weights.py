@@ -116,5 +116,5 @@ def series_subset(cuts: DataFrame, codes: DataFrame, count: int, seed: str) -> D
         return F.array_append(chosen, F.when(F.array_contains(chosen, pick), j).otherwise(pick))
 
     chosen = F.aggregate(F.sequence(first, F.col("_d") - 1), F.array().cast("array<int>"), step)
-    picked = rows.select("cut", F.explode(chosen).cast("long").alias("code"))
+    picked = rows.select("cut", F.explode(chosen).alias("code")).withColumn("code", F.col("code").cast("long"))
     return picked.join(codes, "code").select("cut", "sid")

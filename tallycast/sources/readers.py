@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallycast.functions.timekeys import compose_timestamp
 from tallycast.operators.panel import to_long
@@ -17,20 +16,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def delimited(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str = ",", columns: Sequence[str] | None = None
+    spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Delimited text with a header; only ``columns`` are parsed when given."""
     df = spark.read.schema(schema).option("header", True).option("sep", sep).option("enforceSchema", True).csv(path)
     return df.select(*columns) if columns else df
 
 
-def weather(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def weather(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Hourly weather: month-first dates become ISO text keys."""
     df = delimited(spark, path, schema, columns=["date", "hrr", "temp", "precip"])
     return df.withColumn("date", F.date_format(F.to_date("date", "M/d/yyyy"), "yyyy-MM-dd"))
 
 
-def school_calendar(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def school_calendar(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Semicolon file; the first ten characters of a date count."""
     df = delimited(spark, path, schema, sep=";")
     return df.withColumn("date_from", F.to_date(F.substring("date_from", 1, 10))).withColumn(
@@ -39,7 +38,7 @@ def school_calendar(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def wide_counts(
-    spark: SparkSession, path: str, schema: T.StructType, series: Sequence[str], time_format: str | None = None
+    spark: SparkSession, path: str, schema: str, series: Sequence[str], time_format: str | None = None
 ) -> DataFrame:
     """Wide count file to ``(ts, sid, y)``, missing counts 0.
 

@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-PANEL = _schema("sid string, ts timestamp_ntz, y double")
-WEATHER_HOURLY = _schema("row int, date string, hrr int, temp double, precip double")
-WEATHER_HALF_HOURLY = _schema("date string, hr double, temperature double, precipitations3h double")
-SCHOOL_CALENDAR = _schema("zone string, population string, school_year string, date_from string, date_to string")
-PUBLIC_HOLIDAYS = _schema("date string, name string")
-ARENA = _schema("date string, hr double, con_before int, con_after int, event_before int, event_after int")
-WORKS = _schema("date string, hr double, zone string")
-SERVICE = _schema("date string, hr double, branch string, value double")
-WEIGHT = _schema("ts timestamp_ntz, weight double")
-METRICS = _schema("metrics string, values double")
-RUNS = _schema("model string, rep int, params string")
-
-
-def wide_counts(series: list[str], keyed_by_hour: bool = False) -> T.StructType:
+from collections.abc import Sequence
+
+PANEL = "sid string, ts timestamp_ntz, y double"
+WEATHER_HOURLY = "row int, date string, hrr int, temp double, precip double"
+WEATHER_HALF_HOURLY = "date string, hr double, temperature double, precipitations3h double"
+SCHOOL_CALENDAR = "zone string, population string, school_year string, date_from string, date_to string"
+PUBLIC_HOLIDAYS = "date string, name string"
+ARENA = "date string, hr double, con_before int, con_after int, event_before int, event_after int"
+WORKS = "date string, hr double, zone string"
+SERVICE = "date string, hr double, branch string, value double"
+WEIGHT = "ts timestamp_ntz, weight double"
+METRICS = "metrics string, values double"
+RUNS = "model string, rep int, params string"
+
+
+def wide_counts(series: Sequence[str], keyed_by_hour: bool = False) -> str:
     """Wide count file: an index (text time, or a row number with ``date`` and ``hr``) and a column per series."""
-    head = [T.StructField("row", T.StringType())] + (
-        [T.StructField("date", T.StringType()), T.StructField("hr", T.DoubleType())] if keyed_by_hour else []
-    )
-    return T.StructType(head + [T.StructField(s, T.DoubleType()) for s in series])
+    head = ["row string"] + (["date string", "hr double"] if keyed_by_hour else [])
+    return ", ".join(head + [f"`{s}` double" for s in series])
