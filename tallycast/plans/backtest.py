@@ -30,7 +30,7 @@ def assign_origins(
 ) -> DataFrame:
     """Attach to each row the origins whose rows origin+first .. origin+final contain it.
 
-    Adds ``window`` (0 = latest) and ``origin``; a row in several windows is repeated, one in none is dropped.
+    Adds ``roll`` (0 = latest) and ``origin``; a row in several windows is repeated, one in none is dropped.
     """
     end = last_index(df, idx) if last is None else (last if isinstance(last, Column) else F.lit(last))
     framed_rows = df.withColumn("_o", end - F.lit(spec.horizon - 1))
@@ -42,14 +42,14 @@ def assign_origins(
     )
     return (
         bounded.filter("_a <= _b")
-        .withColumn("window", F.explode(F.sequence("_a", "_b")))
-        .withColumn("origin", F.col("_o") - F.col("window") * spec.step)
+        .withColumn("roll", F.explode(F.sequence("_a", "_b")))
+        .withColumn("origin", F.col("_o") - F.col("roll") * spec.step)
         .drop("_o", "_a", "_b")
     )
 
 
 def forecast_rows(panel: DataFrame, spec: Rolling, last: Column | int | None = None) -> DataFrame:
-    """``(sid, window, origin, h, ts, idx, y, ...)``: one row per value to forecast, h = 1 .. horizon."""
+    """``(sid, roll, origin, h, ts, idx, y, ...)``: one row per value to forecast, h = 1 .. horizon."""
     rows = assign_origins(panel, spec, 0, spec.horizon - 1, last)
     return rows.withColumn("h", (F.col("idx") - F.col("origin") + 1).cast("int"))
 
@@ -71,14 +71,14 @@ def train_rows(panel: DataFrame, spec: Rolling, last: Column | int | None = None
 def window_sizes(panel: DataFrame, spec: Rolling, last: Column | int | None = None) -> DataFrame:
     """Per series and window: origin, first forecast time, rows to forecast, rows of history before it."""
     return (
-        forecast_rows(panel, spec, last).groupBy("sid", "window", "origin")
+        forecast_rows(panel, spec, last).groupBy("sid", "roll", "origin")
         .agg(F.min("ts").alias("forecast_start"), F.count("*").alias("n_forecast"))
         .withColumn("n_history", F.col("origin"))
     )
 
 
 def seasonal_error(panel: DataFrame, spec: Rolling, season: int, last: Column | int | None = None) -> DataFrame:
-    """Mean |y - y one season earlier| over the history of every origin: ``(sid, window, seasonal_error)``.
+    """Mean |y - y one season earlier| over the history of every origin: ``(sid, roll, seasonal_error)``.
 
     A row belongs to the history of all windows up to some number; sums are taken per that number and
     accumulated over the few windows, so history rows are never repeated per window.
@@ -91,12 +91,12 @@ def seasonal_error(panel: DataFrame, spec: Rolling, season: int, last: Column |
         F.ceil((newest - F.col("idx")) / F.lit(spec.step)) - 1, F.lit(spec.windows - 1).cast("long"), room
     )
     part = (
-        moved.filter(F.col("_prev").isNotNull()).withColumn("window", upto).filter("window >= 0")
-        .groupBy("sid", "window").agg(F.sum(F.abs(F.col("y") - F.col("_prev"))).alias("_s"), F.count("*").alias("_n"))
+        moved.filter(F.col("_prev").isNotNull()).withColumn("roll", upto).filter("roll >= 0")
+        .groupBy("sid", "roll").agg(F.sum(F.abs(F.col("y") - F.col("_prev"))).alias("_s"), F.count("*").alias("_n"))
     )
-    later = Window.partitionBy("sid").orderBy(F.col("window").desc())
+    later = Window.partitionBy("sid").orderBy(F.col("roll").desc())
     return part.select(
-        "sid", "window", (F.sum("_s").over(later) / F.sum("_n").over(later)).alias("seasonal_error")
+        "sid", "roll", (F.sum("_s").over(later) / F.sum("_n").over(later)).alias("seasonal_error")
     )
 
 

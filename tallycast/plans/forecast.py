@@ -128,14 +128,14 @@ def _parts(panel: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
 
 def _finish(forecast: DataFrame, s: Settings) -> DataFrame:
-    out = forecast.select("sid", "window", "origin", "h", "ts", "idx", "y", "samples")
+    out = forecast.select("sid", "roll", "origin", "h", "ts", "idx", "y", "samples")
     return s.hook(out) if s.hook else out
 
 
 def origin_scale(panel: DataFrame, s: Settings) -> DataFrame:
-    """Mean absolute value of the context before each origin: ``(sid, window, scale)``."""
+    """Mean absolute value of the context before each origin: ``(sid, roll, scale)``."""
     rows = context_rows(panel, s.rolling, s.context, s.last)
-    return rows.groupBy("sid", "window").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("scale"))
+    return rows.groupBy("sid", "roll").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("scale"))
 
 
 def nb_series(panel: DataFrame, s: Settings) -> DataFrame:
@@ -150,7 +150,7 @@ def nb_share(panel: DataFrame, s: Settings) -> DataFrame:
     train, rows = _parts(panel, s)
     total_train = with_slot(totals(train), s.slot_kind, s.minutes)
     params = nb_moments(total_train, ["slot"], "total").select("slot", "mu", "shape")
-    steps = rows.select("window", "origin", "h", "idx", "slot").distinct()
+    steps = rows.select("roll", "origin", "h", "idx", "slot").distinct()
     drawn = nb_samples(steps.join(params, "slot"), s.samples, s.seed, ["origin", "h"], at_least_one=True)
     draws = drawn.select("origin", "h", "slot", F.posexplode("samples").alias("sample_id", "total"))
     split = dm_split(draws, dirichlet_moments(train), ["origin", "h", "slot", "sample_id"], "slot", s.seed)
@@ -170,7 +170,7 @@ def gauss_independent(panel: DataFrame, s: Settings, scaled: bool = False) -> Da
     train, rows = _parts(panel, s)
     if scaled:
         level = train.groupBy("sid").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("_level"))
-        rows = rows.join(level, "sid").join(origin_scale(panel, s), ["sid", "window"])
+        rows = rows.join(level, "sid").join(origin_scale(panel, s), ["sid", "roll"])
         rows = rows.withColumn("_f", F.col("scale") / F.col("_level")).drop("scale", "_level")
     else:
         rows = rows.withColumn("_f", F.lit(1.0))
@@ -186,14 +186,14 @@ def gauss_factors(panel: DataFrame, s: Settings, full: bool = False, scaled: boo
     loadings, diag = factor_model(residual, 10**9 if full else s.rank, "e")
     if scaled:
         level = train.groupBy("sid").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("_level"))
-        rows = rows.join(level, "sid").join(origin_scale(panel, s), ["sid", "window"])
+        rows = rows.join(level, "sid").join(origin_scale(panel, s), ["sid", "roll"])
         rows = rows.withColumn("_f", F.col("scale") / F.col("_level"))
     else:
         rows = rows.withColumn("_f", F.lit(1.0))
     points = sample_paths(rows.join(means, ["sid", "slot"]), s.samples)
     drawn = factor_draw(points, loadings, diag, ["origin", "h", "sample_id"], s.seed)
     value = (F.col("mu") + F.col("e")) * F.col("_f")
-    arrays = drawn.groupBy("sid", "window", "origin", "h", "ts", "idx", "y").agg(
+    arrays = drawn.groupBy("sid", "roll", "origin", "h", "ts", "idx", "y").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("sample_id", value.alias("v")))), lambda z: z["v"]).alias("samples")
     )
     return _finish(arrays, s)
@@ -209,7 +209,7 @@ def copula(panel: DataFrame, s: Settings) -> DataFrame:
     points = sample_paths(rows.join(centre, ["sid", "slot"]), s.samples)
     drawn = factor_draw(points, loadings, diag, ["origin", "h", "sample_id"], s.seed).withColumn("z", F.col("mu") + F.col("e"))
     back = from_gaussian(drawn, recent, "z", "y_hat")
-    arrays = back.groupBy("sid", "window", "origin", "h", "ts", "idx", "y").agg(
+    arrays = back.groupBy("sid", "roll", "origin", "h", "ts", "idx", "y").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "y_hat"))), lambda z: z["y_hat"]).alias("samples")
     )
     return _finish(arrays, s)

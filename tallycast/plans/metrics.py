@@ -57,7 +57,7 @@ def scored_rows(forecast: DataFrame, levels: Sequence[float] = LEVELS, alpha: fl
 
 def item_metrics(
     scored: DataFrame, seasonal: DataFrame | None = None, levels: Sequence[float] = LEVELS, alpha: float = 0.05,
-    keys: Sequence[str] = ("sid", "window"),
+    keys: Sequence[str] = ("sid", "roll"),
 ) -> DataFrame:
     """One row per series and window."""
     y, med = F.col("y"), F.col("median")
@@ -124,13 +124,13 @@ def aggregate_metrics(items: DataFrame, levels: Sequence[float] = LEVELS, keys:
 def sum_over_series(forecast: DataFrame) -> DataFrame:
     """Forecast of the cross-series sum: samples added by sample position, targets added.
 
-    The additions are keyed by (window, h, sample), combined map-side; the arrays rebuilt afterwards are one
+    The additions are keyed by (roll, h, sample), combined map-side; the arrays rebuilt afterwards are one
     sample set long.
     """
     # positions count from the oldest drawn path, every series of a step has the same number of them
-    long = forecast.select("window", "origin", "h", "ts", "y", F.posexplode("samples").alias("p", "v"))
-    added = long.groupBy("window", "origin", "h", "ts", "p").agg(F.sum("v").alias("v"), F.sum("y").alias("y"))
-    return added.groupBy("window", "origin", "h", "ts").agg(
+    long = forecast.select("roll", "origin", "h", "ts", "y", F.posexplode("samples").alias("p", "v"))
+    added = long.groupBy("roll", "origin", "h", "ts", "p").agg(F.sum("v").alias("v"), F.sum("y").alias("y"))
+    return added.groupBy("roll", "origin", "h", "ts").agg(
         F.max("y").alias("y"),
         F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("samples"),
     )
@@ -151,7 +151,7 @@ def headline(per_series: DataFrame, summed: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def bands(forecast: DataFrame, levels: Sequence[float] = (0.05, 0.5, 0.95), keys=("sid", "window", "h", "ts")) -> DataFrame:
+def bands(forecast: DataFrame, levels: Sequence[float] = (0.05, 0.5, 0.95), keys=("sid", "roll", "h", "ts")) -> DataFrame:
     """Quantile columns per forecast value: the table behind an interval plot."""
     ordered = forecast.withColumn("_o", F.array_sort("samples"))
     return ordered.select(*keys, "y", *[quantile(F.col("_o"), q).alias(f"p{round(q * 100):02d}") for q in levels])
@@ -165,4 +165,4 @@ def interval_levels(intervals: Sequence[float]) -> list[float]:
 
 def mean_wide(forecast: DataFrame, levels: Sequence[str]) -> DataFrame:
     """Mean forecast, horizon rows x series columns, per window."""
-    return forecast.withColumn("mean", mean_of(F.col("samples"))).groupBy("window", "h").pivot("sid", list(levels)).agg(F.first("mean"))
+    return forecast.withColumn("mean", mean_of(F.col("samples"))).groupBy("roll", "h").pivot("sid", list(levels)).agg(F.first("mean"))

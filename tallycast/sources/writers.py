@@ -37,7 +37,7 @@ def write_metrics(metrics: DataFrame, path: str, model: str, run_id: str) -> Non
 
 def write_forecast(forecast: DataFrame, path: str) -> None:
     """Forecast rows with their targets and sample arrays."""
-    forecast.write.mode("overwrite").partitionBy("window").parquet(path)
+    forecast.write.mode("overwrite").partitionBy("roll").parquet(path)
 
 
 def write_mean_forecast(forecast: DataFrame, path: str, levels: Sequence[str]) -> None:
