@@ -182,9 +182,8 @@ def validation_split(spark, d):
 
 def _weight_table(spark, d):
     """One row of weights shared by two copies of the steps: the real weights and an all-zero set."""
-    w = rolling_weight(spark, d).select("idx", "weight")
-    return w.select(F.lit("rolling").alias("sid"), "idx", "weight").unionByName(
-        w.select(F.lit("zero").alias("sid"), "idx", F.lit(0).cast("long").alias("weight")))
+    both = F.array(F.struct(F.lit("rolling").alias("sid"), F.col("weight")), F.struct(F.lit("zero").alias("sid"), F.lit(0).cast("long").alias("weight")))
+    return rolling_weight(spark, d).select("idx", F.inline(both))
 
 
 SQL_CUTTABLE = f"""{P15}, {SQL_WEIGHTS}, wt AS (SELECT 'rolling' AS sid, idx, weight FROM rolled UNION ALL SELECT 'zero', idx, 0 FROM rolled),
@@ -195,7 +194,7 @@ SQL_CUTTABLE = f"""{P15}, {SQL_WEIGHTS}, wt AS (SELECT 'rolling' AS sid, idx, we
 
 
 def _cut_table(spark, d):
-    return W.cut_table(_weight_table(spark, d), min_past=48, min_future=96, block=512)
+    return W.cut_table(_weight_table(spark, d), min_past=48, min_future=96, length=last(spark, d) + 1, block=512)
 
 
 @query("weighted_cut_table", f"WITH {SQL_CUTTABLE} SELECT sid, idx, weight, {rd('p_lo', 9)} AS p_lo, {rd('p_hi', 9)} AS p_hi FROM cuttable")
@@ -207,7 +206,8 @@ def weighted_cut_table(spark, d):
   FROM (SELECT DISTINCT sid FROM wt) s, range(200) r(i))
 SELECT w.sid, w.draw, t.idx AS cut FROM w JOIN cuttable t ON t.sid = w.sid AND w.u >= t.p_lo AND w.u < t.p_hi""")
 def weighted_cut_draw(spark, d):
-    return W.draw_cuts(_cut_table(spark, d), draws=200, seed="cut")
+    series = spark.createDataFrame([("rolling",), ("zero",)], "sid string")
+    return W.draw_cuts(_cut_table(spark, d), draws=200, seed="cut", series=series)
 
 
 @query("uniform_cut_draw", f"""WITH {P15}, u AS (SELECT sid, idx, {sql_uniform('uni', 'sid', 'idx')} AS u FROM panel)

@@ -16,6 +16,7 @@ from tallycast.operators import panel as P
 from tallycast.plans import forecast as M
 from tallycast.plans.backtest import Rolling
 from tallycast.plans.metrics import bands
+from tallycast.session import materialise
 
 P15 = sql_panel()
 CELLS = "cells AS (SELECT *, CAST(hour(ts) AS INTEGER) AS slot FROM panel)"
@@ -177,22 +178,26 @@ SQL_COV = """cov AS (SELECT a.sid AS sid_a, b.sid AS sid_b, covar_samp(a.y, b.y)
 
 @query("series_covariance", f"WITH {P15}, {SQL_COV} SELECT sid_a, sid_b, {rd('cov')} AS cov FROM cov")
 def series_covariance(spark, d):
-    return rounded(K.covariance(panel(spark, d)).select("sid_a", "sid_b", "cov"), "cov")
+    codes = P.series_codes(P.event_series(events(spark, d), "event_type"))
+    return rounded(K.covariance(panel(spark, d), codes).select("sid_a", "sid_b", "cov"), "cov")
 
 
 @query("series_correlation", f"WITH {sql_panel(60, 'user_id')}, {SQL_COV} SELECT sid_a, sid_b, {rd('corr')} AS corr FROM cov")
 def series_correlation(spark, d):
-    """All pairs of users on hourly counts, over several blocks of series."""
-    p = P.event_panel(events(spark, d), "user_id", minutes=60)
-    return rounded(K.covariance(p, width=64).select("sid_a", "sid_b", "corr"), "corr")
+    """All pairs of users on hourly counts."""
+    e = events(spark, d)
+    codes = P.series_codes(P.event_series(e, "user_id"))
+    out = K.covariance(P.event_panel(e, "user_id", minutes=60), codes)
+    return rounded(out.select("sid_a", "sid_b", "corr"), "corr")
 
 
 @query("factor_covariance", f"WITH {P15}, {SQL_COV} SELECT sid_a, sid_b, {rd('cov')} AS cov FROM cov")
 def factor_covariance(spark, d):
     """Full-rank factors multiply back to the covariance."""
     loadings, _ = K.factor_model(panel(spark, d), 10**6)
-    a = loadings.select(F.col("sid").alias("sid_a"), "factor", F.col("loading").alias("la"))
-    b = loadings.select(F.col("sid").alias("sid_b"), "factor", F.col("loading").alias("lb"))
+    long = loadings.select("sid", F.posexplode("loadings").alias("factor", "v"))
+    a = long.select(F.col("sid").alias("sid_a"), "factor", F.col("v").alias("la"))
+    b = long.select(F.col("sid").alias("sid_b"), "factor", F.col("v").alias("lb"))
     pairs = a.join(b, "factor").filter("sid_a <= sid_b")
     return rounded(pairs.groupBy("sid_a", "sid_b").agg(F.sum(F.col("la") * F.col("lb")).alias("cov")), "cov")
 
@@ -216,13 +221,13 @@ def settings(spark, d, samples=20, **kw) -> M.Settings:
 SELECT sid, origin, h, ts, sample_id, {rd(f'mu + sd * {sql_ppf("u")}')} AS y_hat FROM f""")
 def gauss_paths(spark, d):
     """Independent normal sample paths; the noise is keyed, so SQL draws the same numbers."""
-    fc = M.MODELS["gauss"](panel(spark, d), settings(spark, d, samples=5))
+    fc = M.forecast("gauss", panel(spark, d), settings(spark, d, samples=5))
     return rounded(M.explode_samples(fc), "y_hat")
 
 
 def _paths(model):
     def run(spark, d):
-        return M.explode_samples(M.MODELS[model](panel(spark, d), settings(spark, d)))
+        return M.explode_samples(M.forecast(model, panel(spark, d), settings(spark, d)))
 
     return run
 
@@ -242,8 +247,9 @@ def nb_draw(spark, d):
 @query("dm_split", f"""WITH {P15}, {SQL_TOTAL_NB} SELECT idx, slot, total, total AS split_total FROM tot WHERE total > 0""")
 def dm_split(spark, d):
     """Every observed total split over the series; the parts must add up to it."""
-    cells = _cells(spark, d)
-    observed = M.with_slot(P.totals(panel(spark, d))).filter("total > 0").select("idx", "slot", "total")
+    p = materialise(panel(spark, d))
+    cells = M.with_slot(p)
+    observed = M.with_slot(P.totals(p)).filter("total > 0").select("idx", "slot", "total")
     parts = R.dm_split(observed, M.dirichlet_moments(cells), ["idx", "slot", "total"], "slot", "split", fan_out=2)
     return parts.groupBy("idx", "slot", "total").agg(F.sum("y_hat").alias("split_total"))
 
@@ -276,4 +282,4 @@ def poisson_regression(spark, d):
 @query("flagship_bands")
 def flagship_bands(spark, d):
     """Quantile bands of the total-and-shares forecaster over the rolling origins."""
-    return bands(M.MODELS["nb_share"](panel(spark, d), settings(spark, d, samples=50)))
+    return bands(M.forecast("nb_share", panel(spark, d), settings(spark, d, samples=50)))

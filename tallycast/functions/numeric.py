@@ -140,4 +140,5 @@ def hash_uniform(seed: str, *keys: Column) -> Column:
 
 def hash_normal(seed: str, *keys: Column) -> Column:
     """A standard normal keyed like :func:`hash_uniform` (inverse transform)."""
-    return norm_ppf(hash_uniform(seed, *keys))
+    # bound once: the formula mentions its argument many times, and lambdas do not share subexpressions
+    return F.transform(F.array(hash_uniform(seed, *keys)), norm_ppf)[0]

@@ -1,8 +1,7 @@
 """Ordered computation over long series without ever holding one series in one task.
 
 A regular grid gives every row an integer ``idx``.  Cutting the index into blocks bounds each window
-partition; a halo of neighbouring rows makes bounded frames exact at the block edges; running totals are
-a local running total plus the totals of earlier blocks.
+partition, and a halo of neighbouring rows makes bounded frames exact at the block edges.
 """
 
 from __future__ import annotations
@@ -50,28 +49,6 @@ def framed(
     return out.filter("_core").drop("_blk", "_core")
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], idx: str, value: str, out: str, block: int | None = None
-) -> DataFrame:
-    """Inclusive running total of ``value`` by ``idx`` within ``keys``, computed block by block."""
-    keys = list(keys)
-    width = _width(0, 0, block)
-    cut = df.withColumn("_blk", F.floor(F.col(idx) / width))
-    local = cut.withColumn(
-        "_local", F.sum(value).over(Window.partitionBy(*keys, "_blk").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        cut.groupBy(*keys, "_blk").agg(F.sum(value).alias("_total"))
-        .select(*keys, "_blk", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    return (
-        local.join(totals, [*keys, "_blk"])
-        .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_blk", "_local", "_offset")
-    )
-
-
 def sorted_codes(df: DataFrame, column: str, out: str = "code", splits: int = 256) -> DataFrame:
     """Distinct values of ``column`` with their 0-based rank in sorted order.
 

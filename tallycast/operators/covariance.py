@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.operators.panel import series_codes
+from tallycast.session import materialise
 
 if TYPE_CHECKING:
     from pyspark.ml.feature import PCAModel
@@ -18,17 +19,17 @@ if TYPE_CHECKING:
 DIM_BLOCK = 256
 
 
-def step_vectors(panel: DataFrame, codes: DataFrame, value: str = "y", width: int = DIM_BLOCK) -> DataFrame:
-    """``(ts, blk, vec)``: values of ``width`` neighbouring series codes at one step, 0 where absent.
+def step_vectors(coded: DataFrame, value: str, width: int) -> DataFrame:
+    """``(ts, blk, vec)``: values of ``width`` neighbouring codes at one step, in code order.
 
-    A vector is at most ``width`` long however many series there are.
+    A vector is at most ``width`` long however many series there are.  The panel has to be dense: vectors
+    of a block that differ in length fail when they are stacked.
     """
-    coded = panel.join(codes, "sid").select(
+    cells = coded.select(
         "ts", F.floor(F.col("code") / width).alias("blk"), F.pmod("code", F.lit(width)).cast("int").alias("pos"), F.col(value).alias("v")
     )
-    cells = coded.groupBy("ts", "blk").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
-    fill = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    return cells.select("ts", "blk", fill.alias("vec"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
+    return cells.groupBy("ts", "blk").agg(F.transform(ordered, lambda z: z["v"]).alias("vec"))
 
 
 def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,63 +40,68 @@ def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             product = np.stack(rows["va"].to_numpy()).T @ np.stack(rows["vb"].to_numpy())
             partial[a, b] = partial.get((a, b), 0.0) + product
     for (a, b), matrix in partial.items():
-        i, j = np.nonzero(matrix)
+        i, j = np.triu_indices(len(matrix)) if a == b else np.indices(matrix.shape).reshape(2, -1)
         yield pd.DataFrame({"a": a, "b": b, "i": i, "j": j, "s": matrix[i, j]})
 
 
-def covariance(panel: DataFrame, value: str = "y", width: int = DIM_BLOCK) -> DataFrame:
-    """Sample covariance and correlation of all pairs of series: ``(sid_a, sid_b, cov, corr)``, a <= b.
+def covariance(panel: DataFrame, codes: DataFrame | None = None, value: str = "y", width: int = DIM_BLOCK) -> DataFrame:
+    """Sample covariance and correlation of the pairs of series: ``(sid_a, sid_b, cov, corr)``, a <= b.
 
-    Values are centred first.  Each step becomes vectors of ``width`` series; tasks add up blocks of the
-    Gram matrix and only those partial matrices are shuffled.  The D x D result stays distributed.
+    Steps become vectors of ``width`` centred series.  A pair of vector blocks goes to the tasks of that
+    pair, salted by step so that few blocks still use many tasks; each task adds up one matrix, and only
+    matrices are shuffled to their sum.  The D x D result, D^2 rows by nature, stays distributed.
     """
-    codes = series_codes(panel)
-    centre = panel.groupBy("sid").agg(F.avg(value).alias("_mean"))
-    steps = panel.agg(F.count_distinct("ts").cast("double")).scalar()
-    centred = panel.join(centre, "sid").withColumn("_c", F.col(value) - F.col("_mean"))
-    vectors = step_vectors(centred, codes, "_c", width)
+    spark = panel.sparkSession
+    codes = series_codes(panel) if codes is None else codes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    moments = panel.groupBy("sid").agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.count("*").alias("_t"))
+    attrs = materialise(moments.join(codes, "sid"))
+    count, steps = attrs.agg(F.count("*"), F.max("_t")).first()
+    blocks = max(1, -(-count // width))
+    centred = panel.join(attrs, "sid").select("ts", "code", (F.col(value) - F.col("_mean")).alias("c"))
+    vectors = step_vectors(centred, "c", width)
     left = vectors.select("ts", F.col("blk").alias("a"), F.col("vec").alias("va"))
     right = vectors.select("ts", F.col("blk").alias("b"), F.col("vec").alias("vb"))
-    blocks = left.join(right, "ts").filter("a <= b").select("a", "b", "va", "vb")
-    partial = blocks.mapInPandas(_gram, "a long, b long, i int, j int, s double")
-    sums = partial.groupBy("a", "b", "i", "j").agg(F.sum("s").alias("s"))
+    pairs = left.join(right, "ts").filter("a <= b")
+    salts = max(1, tasks // (blocks * (blocks + 1) // 2))
+    spread = pairs.repartition(tasks, "a", "b", F.pmod(F.xxhash64("ts"), F.lit(salts))).select("a", "b", "va", "vb")
+    sums = spread.mapInPandas(_gram, "a long, b long, i int, j int, s double").groupBy("a", "b", "i", "j").agg(F.sum("s").alias("s"))
     pair = sums.select(
-        (F.col("a") * width + F.col("i")).alias("code_a"), (F.col("b") * width + F.col("j")).alias("code_b"), (F.col("s") / (steps - 1)).alias("cov")
-    ).filter("code_a <= code_b")
-    names_a = codes.select(F.col("sid").alias("sid_a"), F.col("code").alias("code_a"))
-    names_b = codes.select(F.col("sid").alias("sid_b"), F.col("code").alias("code_b"))
-    sd = pair.filter("code_a = code_b").select("code_a", F.sqrt("cov").alias("sd"))
-    sd_a = sd.select("code_a", F.col("sd").alias("sd_a"))
-    sd_b = sd.select(F.col("code_a").alias("code_b"), F.col("sd").alias("sd_b"))
-    return (
-        pair.join(names_a, "code_a").join(names_b, "code_b").join(sd_a, "code_a").join(sd_b, "code_b")
-        .select("sid_a", "sid_b", "cov", (F.col("cov") / F.nullif(F.col("sd_a") * F.col("sd_b"), F.lit(0.0))).alias("corr"))
+        (F.col("a") * width + F.col("i")).alias("code_a"), (F.col("b") * width + F.col("j")).alias("code_b"),
+        (F.col("s") / (steps - 1)).alias("cov"),
     )
+    a = attrs.select(F.col("sid").alias("sid_a"), F.col("code").alias("code_a"), F.col("_sd").alias("sd_a"))
+    b = attrs.select(F.col("sid").alias("sid_b"), F.col("code").alias("code_b"), F.col("_sd").alias("sd_b"))
+    corr = F.col("cov") / F.nullif(F.col("sd_a") * F.col("sd_b"), F.lit(0.0))
+    return pair.join(a, "code_a").join(b, "code_b").select("sid_a", "sid_b", "cov", corr.alias("corr"))
 
 
-def factor_model(panel: DataFrame, rank: int, value: str = "y", max_series: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Low-rank plus diagonal covariance: ``(sid, factor, loading)`` and ``(sid, diag)``.
+def factor_model(
+    panel: DataFrame, rank: int, value: str = "y", codes: DataFrame | None = None, max_series: int = 4096
+) -> tuple[DataFrame, DataFrame]:
+    """Low-rank plus diagonal covariance: ``(sid, loadings array)`` and ``(sid, diag)``.
 
     Principal components come from MLlib, which adds up the covariance of the step vectors on the
-    executors; ``max_series`` guards the dense matrix it forms.
+    executors; ``max_series`` guards the dense matrix it forms.  MLlib reads its input several times, so
+    the vectors are written once.
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     spark = panel.sparkSession
-    codes = series_codes(panel)
-    count = codes.agg(F.count("*")).first()[0]
+    codes = materialise(series_codes(panel) if codes is None else codes)
+    variance = materialise(panel.groupBy("sid").agg(F.var_samp(value).alias("var")))
+    count, total = codes.join(variance, "sid").agg(F.count("*"), F.sum("var")).first()
     if count > max_series:
         raise ValueError(f"{count} series: group them before fitting factors (limit {max_series})")
     rank = min(rank, count)
-    vectors = step_vectors(panel, codes, value, count).select(array_to_vector("vec").alias("features"))
+    coded = panel.join(codes, "sid").select("ts", "code", value)
+    vectors = materialise(step_vectors(coded, value, count).select(array_to_vector("vec").alias("features")))
     model: PCAModel = PCA(k=rank, inputCol="features", outputCol="pc").fit(vectors)
-    variance = panel.groupBy("sid").agg(F.var_samp(value).alias("var"))
-    total = variance.agg(F.sum("var")).first()[0]
     scale = np.sqrt(np.maximum(model.explainedVariance.toArray() * total, 0.0))
     loadings = model.pc.toArray() * scale  # D x rank, both bounded above
-    rows = [(int(d), int(k), float(loadings[d, k])) for d in range(count) for k in range(rank)]
-    table = spark.createDataFrame(rows, "code long, factor int, loading double").join(codes, "code")
-    explained = table.groupBy("sid").agg(F.sum(F.col("loading") * F.col("loading")).alias("_e"))
-    diag = variance.join(explained, "sid").select("sid", F.greatest(F.col("var") - F.col("_e"), F.lit(0.0)).alias("diag"))
-    return table.select("sid", "factor", "loading"), diag
+    rows = [(d, [float(v) for v in loadings[d]]) for d in range(count)]
+    table = spark.createDataFrame(rows, "code long, loadings array<double>").join(codes, "code").select("sid", "loadings")
+    explained = F.aggregate("loadings", F.lit(0.0), lambda acc, v: acc + v * v)
+    diag = variance.join(table, "sid").select("sid", F.greatest(F.col("var") - explained, F.lit(0.0)).alias("diag"))
+    return table, diag

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tallycast.functions.distributions import nb_logpmf
 from tallycast.functions.numeric import hash_normal, hash_uniform
 from tallycast.operators.panel import series_codes
+from tallycast.session import materialise
 
 FAN_OUT = 256
 
@@ -83,7 +84,9 @@ def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns=["key"]).assign(counts=counts)
 
 
-def dm_split(totals: DataFrame, alphas: DataFrame, draw_keys: list[str], slot: str, seed: str, fan_out: int = FAN_OUT) -> DataFrame:
+def dm_split(
+    totals: DataFrame, alphas: DataFrame, draw_keys: list[str], slot: str, seed: str, fan_out: int = FAN_OUT
+) -> DataFrame:
     """Split each drawn total over the series: probabilities ~ Dirichlet(alpha), counts ~ multinomial.
 
     ``totals``: draw_keys (which contain ``slot``) and ``total``; ``alphas``: ``(slot, sid, alpha)``.
@@ -93,10 +96,13 @@ def dm_split(totals: DataFrame, alphas: DataFrame, draw_keys: list[str], slot: s
     each node carries the sum of its children's alpha.  So series are grouped ``fan_out`` at a time, the
     total goes to the groups and each group splits its own count: no task holds more than ``fan_out``
     alphas of a draw, and draws of one total spread over tasks again at every level.
+
+    ``alphas`` is read once per level and to number the series, so it is written first.
     """
-    codes = series_codes(alphas)
+    alphas = materialise(alphas)
+    codes = materialise(series_codes(alphas))
     leaves = alphas.join(codes, "sid").select(slot, F.col("code").alias("node0"), "alpha")
-    size = codes.agg(F.count("*")).first()[0]
+    size = codes.count()
     levels = [leaves.withColumn("node1", F.floor(F.col("node0") / fan_out))]
     while size > fan_out:
         size = -(-size // fan_out)
@@ -127,22 +133,19 @@ def gaussian_draw(mean: Column, sd: Column, seed: str, *keys: Column) -> Column:
     return mean + sd * hash_normal(seed, *keys)
 
 
-def factor_draw(
-    points: DataFrame, loadings: DataFrame, diag: DataFrame, step_keys: list[str], seed: str, out: str = "e"
-) -> DataFrame:
-    """Correlated zero-mean draws: sum of loading x common normal per factor, plus own noise.
+def factor_noise(samples: int, seed: str, step_keys: Sequence[str]) -> Column:
+    """Array of correlated zero-mean draws of a row with ``sid``, ``loadings`` and ``diag``.
 
-    ``points``: step_keys and ``sid``, one row per value to draw.  The rank loadings of a series travel as
-    one short array, so the join is one row to one row and the sum over factors stays inside the row.
+    Sample i of a step shares its factor normals with all series of that step, because the noise is keyed by
+    (factor, step, i) only; nothing has to be joined or gathered to correlate the series.
     """
-    packed = loadings.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("factor", "loading"))).alias("_l"))
     step = [F.col(k) for k in step_keys]
-    joined = points.join(packed, "sid").join(diag, "sid")
-    common = F.aggregate(
-        F.col("_l"), F.lit(0.0),
-        lambda acc, l: acc + l["loading"] * hash_normal(seed, F.lit("factor"), l["factor"], *step),
-    )
-    own = F.sqrt("diag") * hash_normal(seed, F.lit("own"), F.col("sid"), *step)
-    return joined.withColumn(out, common + own).drop("_l", "diag")
+    weighted = F.transform("loadings", lambda v, k: F.struct(v.alias("v"), k.alias("k")))
 
+    def draw(i: Column) -> Column:
+        common = F.aggregate(
+            weighted, F.lit(0.0), lambda acc, z: acc + z["v"] * hash_normal(seed, F.lit("factor"), z["k"], *step, i)
+        )
+        return common + F.sqrt("diag") * hash_normal(seed, F.lit("own"), F.col("sid"), *step, i)
 
+    return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), draw)

@@ -43,9 +43,13 @@ def window_gaussian(panel: DataFrame, length: int, last: Column | int | None = N
     return tail(panel, length, last=last).withColumn("z", norm_ppf(clipped))
 
 
+def empirical_quantile(recent: Column, z: Column) -> Column:
+    """Quantile of Phi(z): the smallest recent value whose distribution function reaches it."""
+    n = F.size(recent)
+    rank = F.ceil(F.round(norm_cdf(z) * n, 9)).cast("int")
+    return F.element_at(recent, F.least(F.greatest(rank, F.lit(1)), n))
+
+
 def from_gaussian(df: DataFrame, recent: DataFrame, value: str = "z", out: str = "y") -> DataFrame:
-    """Empirical quantile of Phi(z): the smallest recent value whose distribution function reaches it."""
-    n = F.size("recent")
-    rank = F.ceil(F.round(norm_cdf(F.col(value)) * n, 9)).cast("int")
-    position = F.least(F.greatest(rank, F.lit(1)), n)
-    return df.join(recent, "sid").withColumn(out, F.element_at("recent", position)).drop("recent")
+    """:func:`empirical_quantile` of each row's value in its own series."""
+    return df.join(recent, "sid").withColumn(out, empirical_quantile(F.col("recent"), F.col(value))).drop("recent")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import hash_uniform
-from tallycast.operators.blocks import BLOCK, framed, running_sum
+from tallycast.operators.blocks import BLOCK, framed
 
 
 def rolling_past_weight(
@@ -34,39 +34,54 @@ def rolling_past_weight(
 
 
 def cut_table(
-    weights: DataFrame, min_past: int, min_future: int, keys: Sequence[str] = ("sid",), idx: str = "idx",
-    weight: str = "weight", block: int | None = None,
+    weights: DataFrame, min_past: int, min_future: int, length: Column | int | None = None, keys: Sequence[str] = ("sid",),
+    idx: str = "idx", weight: str = "weight", block: int = BLOCK,
 ) -> DataFrame:
     """Half-open probability interval ``[p_lo, p_hi)`` of every admissible cut point.
 
     Admissible are min_past <= idx < length - min_future; p is proportional to |weight|, uniform when all
-    weights of a series are 0.  Series lengths and weight sums join back on the key; the running total is
-    block-wise, so one long series is spread over tasks.
+    weights of a series are 0.  ``length`` is the common number of steps; when None each series has its own.
+    Running totals are local to index blocks plus the totals of earlier blocks, so one long series is
+    spread over tasks and only one row per block is ordered per series.
     """
     keys = list(keys)
-    length = weights.groupBy(*keys).agg((F.max(idx) + 1).alias("_len"))
-    inside = weights.join(length, keys).filter((F.col(idx) >= min_past) & (F.col(idx) < F.col("_len") - min_future))
-    mass = inside.withColumn("_w", F.abs(F.col(weight)).cast("double"))
-    sums = mass.groupBy(*keys).agg(F.sum("_w").alias("_sum"), F.count("*").alias("_n"))
-    unit = (
-        mass.join(sums, keys)
-        .withColumn("_w", F.when(F.col("_sum") > 0, F.col("_w")).otherwise(1.0))
-        .withColumn("_mass", F.when(F.col("_sum") > 0, F.col("_sum")).otherwise(F.col("_n").cast("double")))
+    if length is None:
+        own = weights.groupBy(*keys).agg((F.max(idx) + 1).alias("_len"))
+        rows = weights.join(own, keys)
+    else:
+        rows = weights.withColumn("_len", length if isinstance(length, Column) else F.lit(length))
+    inside = (
+        rows.filter((F.col(idx) >= min_past) & (F.col(idx) < F.col("_len") - min_future))
+        .select(*keys, idx, weight, F.abs(F.col(weight)).cast("double").alias("_w"), F.floor(F.col(idx) / block).alias("_blk"))
     )
-    cum = running_sum(unit, keys, idx, "_w", "_cum", block)
-    return cum.select(
-        *keys, idx, weight,
-        ((F.col("_cum") - F.col("_w")) / F.col("_mass")).alias("p_lo"),
-        (F.col("_cum") / F.col("_mass")).alias("p_hi"),
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    by_block = (
+        inside.groupBy(*keys, "_blk").agg(F.sum("_w").alias("_bw"), F.count("*").cast("double").alias("_bn"))
+        .select(
+            *keys, "_blk",
+            F.coalesce(F.sum("_bw").over(earlier), F.lit(0.0)).alias("_w0"), F.sum("_bw").over(whole).alias("_wt"),
+            F.coalesce(F.sum("_bn").over(earlier), F.lit(0.0)).alias("_n0"), F.sum("_bn").over(whole).alias("_nt"),
+        )
     )
+    local = Window.partitionBy(*keys, "_blk").orderBy(idx)
+    cum = inside.select("*", F.sum("_w").over(local.rowsBetween(Window.unboundedPreceding, 0)).alias("_c"), F.row_number().over(local).alias("_r"))
+    high = F.when(F.col("_wt") > 0, (F.col("_w0") + F.col("_c")) / F.nullif("_wt", F.lit(0.0))).otherwise((F.col("_n0") + F.col("_r")) / F.col("_nt"))
+    low = F.when(F.col("_wt") > 0, (F.col("_w0") + F.col("_c") - F.col("_w")) / F.nullif("_wt", F.lit(0.0))).otherwise(
+        (F.col("_n0") + F.col("_r") - 1) / F.col("_nt"))
+    return cum.join(by_block, [*keys, "_blk"]).select(*keys, idx, weight, low.alias("p_lo"), high.alias("p_hi"))
 
 
 CELLS = 4096
 
 
-def draw_cuts(table: DataFrame, draws: int, seed: str, keys: Sequence[str] = ("sid",), idx: str = "idx") -> DataFrame:
+def draw_cuts(
+    table: DataFrame, draws: int, seed: str, keys: Sequence[str] = ("sid",), idx: str = "idx", series: DataFrame | None = None
+) -> DataFrame:
     """``draws`` cut points per series, with replacement, from :func:`cut_table`.
 
+    ``series`` lists the keys to draw for, when that is cheaper to name than to read off the table.
+
     The unit interval is divided into cells so that "which interval holds u" is an equi-join on (series,
     cell) with a residual comparison: a wide interval is copied into the cells it spans, and each draw
     meets only the few intervals of its own cell.
@@ -79,7 +94,7 @@ def draw_cuts(table: DataFrame, draws: int, seed: str, keys: Sequence[str] = ("s
         )),
     )
     wanted = (
-        table.select(*keys).distinct()
+        (table if series is None else series).select(*keys).distinct()
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("u", hash_uniform(seed, *[F.col(k) for k in keys], F.col("draw")))
         .withColumn("_cell", F.floor(F.col("u") * CELLS))

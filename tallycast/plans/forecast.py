@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from tallycast.functions.distributions import SHAPE_CAP, nb_shape
 from tallycast.functions.numeric import hash_normal, safe_div
 from tallycast.operators.covariance import factor_model
-from tallycast.operators.draws import dm_split, factor_draw, nb_samples, sample_paths
+from tallycast.operators.draws import dm_split, factor_noise, nb_samples
 from tallycast.operators.instances import MINIMUM_SCALE
-from tallycast.operators.marginal import from_gaussian, sorted_recent, to_gaussian
+from tallycast.operators.marginal import empirical_quantile, sorted_recent, to_gaussian
 from tallycast.operators.panel import totals
 from tallycast.plans.backtest import Rolling, context_rows, forecast_rows, train_rows
+from tallycast.session import materialise
 
 ALPHA_FLOOR = 1e-3
 ALPHA_TOTAL_CAP = 1e6
@@ -138,6 +139,13 @@ def origin_scale(panel: DataFrame, s: Settings) -> DataFrame:
     return rows.groupBy("sid", "roll").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("scale"))
 
 
+def _level_factor(train: DataFrame, rows: DataFrame, panel: DataFrame, s: Settings) -> DataFrame:
+    """``_f``: how much higher the context before the origin lies than the training rows of the series."""
+    level = train.groupBy("sid").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("_level"))
+    scaled = rows.join(level, "sid").join(origin_scale(panel, s), ["sid", "roll"])
+    return scaled.withColumn("_f", F.col("scale") / F.col("_level")).drop("scale", "_level")
+
+
 def nb_series(panel: DataFrame, s: Settings) -> DataFrame:
     """Independent negative binomial per series and slot."""
     train, rows = _parts(panel, s)
@@ -168,35 +176,26 @@ def _normal_array(mean: Column, sd: Column, s: Settings) -> Column:
 def gauss_independent(panel: DataFrame, s: Settings, scaled: bool = False) -> DataFrame:
     """Independent normal per series and slot; ``scaled`` follows the level of the context before the origin."""
     train, rows = _parts(panel, s)
-    if scaled:
-        level = train.groupBy("sid").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("_level"))
-        rows = rows.join(level, "sid").join(origin_scale(panel, s), ["sid", "roll"])
-        rows = rows.withColumn("_f", F.col("scale") / F.col("_level")).drop("scale", "_level")
-    else:
-        rows = rows.withColumn("_f", F.lit(1.0))
+    rows = _level_factor(train, rows, panel, s) if scaled else rows.withColumn("_f", F.lit(1.0))
     joined = rows.join(gaussian_moments(train).drop("n"), ["sid", "slot"])
     return _finish(joined.withColumn("samples", _normal_array(F.col("mu") * F.col("_f"), F.col("sd") * F.col("_f"), s)), s)
 
 
+def _dependence(train: DataFrame, s: Settings, value: str, full: bool = False) -> DataFrame:
+    """``(sid, loadings, diag)`` of the residual dependence between series."""
+    loadings, diag = factor_model(train, 10**9 if full else s.rank, value)
+    return loadings.join(diag, "sid")
+
+
 def gauss_factors(panel: DataFrame, s: Settings, full: bool = False, scaled: bool = False) -> DataFrame:
     """Slot means plus jointly normal residuals, full rank or ``rank`` factors and a diagonal."""
     train, rows = _parts(panel, s)
     means = gaussian_moments(train).select("sid", "slot", "mu")
     residual = train.join(means, ["sid", "slot"]).withColumn("e", F.col("y") - F.col("mu"))
-    loadings, diag = factor_model(residual, 10**9 if full else s.rank, "e")
-    if scaled:
-        level = train.groupBy("sid").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("_level"))
-        rows = rows.join(level, "sid").join(origin_scale(panel, s), ["sid", "roll"])
-        rows = rows.withColumn("_f", F.col("scale") / F.col("_level"))
-    else:
-        rows = rows.withColumn("_f", F.lit(1.0))
-    points = sample_paths(rows.join(means, ["sid", "slot"]), s.samples)
-    drawn = factor_draw(points, loadings, diag, ["origin", "h", "sample_id"], s.seed)
-    value = (F.col("mu") + F.col("e")) * F.col("_f")
-    arrays = drawn.groupBy("sid", "roll", "origin", "h", "ts", "idx", "y").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sample_id", value.alias("v")))), lambda z: z["v"]).alias("samples")
-    )
-    return _finish(arrays, s)
+    rows = _level_factor(train, rows, panel, s) if scaled else rows.withColumn("_f", F.lit(1.0))
+    ready = rows.join(means, ["sid", "slot"]).join(_dependence(residual, s, "e", full), "sid")
+    noise = factor_noise(s.samples, s.seed, ["origin", "h"])
+    return _finish(ready.withColumn("samples", F.transform(noise, lambda e: (F.col("mu") + e) * F.col("_f"))), s)
 
 
 def copula(panel: DataFrame, s: Settings) -> DataFrame:
@@ -204,15 +203,21 @@ def copula(panel: DataFrame, s: Settings) -> DataFrame:
     train, rows = _parts(panel, s)
     recent = sorted_recent(train, s.conditioning)
     scores = to_gaussian(train, recent, s.conditioning)
-    loadings, diag = factor_model(scores, s.rank, "z")
     centre = scores.groupBy("sid", "slot").agg(F.avg("z").alias("mu"))
-    points = sample_paths(rows.join(centre, ["sid", "slot"]), s.samples)
-    drawn = factor_draw(points, loadings, diag, ["origin", "h", "sample_id"], s.seed).withColumn("z", F.col("mu") + F.col("e"))
-    back = from_gaussian(drawn, recent, "z", "y_hat")
-    arrays = back.groupBy("sid", "roll", "origin", "h", "ts", "idx", "y").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "y_hat"))), lambda z: z["y_hat"]).alias("samples")
-    )
-    return _finish(arrays, s)
+    residual = scores.join(centre, ["sid", "slot"]).withColumn("e", F.col("z") - F.col("mu"))
+    ready = rows.join(centre, ["sid", "slot"]).join(recent, "sid").join(_dependence(residual, s, "e"), "sid")
+    noise = factor_noise(s.samples, s.seed, ["origin", "h"])
+    values = F.transform(noise, lambda e: empirical_quantile(F.col("recent"), F.col("mu") + e))
+    return _finish(ready.withColumn("samples", values), s)
+
+
+def forecast(model: str, panel: DataFrame, s: Settings) -> DataFrame:
+    """Forecast with a registered model.
+
+    A forecaster reads the panel for its fit, its rows, its totals and its scales, so the panel is written
+    once instead of being rebuilt from raw events each time.
+    """
+    return MODELS[model](materialise(panel), s)
 
 
 MODELS: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What a session needs for the library's results to be reproducible.  Sizing (executor memory,
 # number of shuffle partitions) is left to the cluster; AQE coalesces what turns out small.
@@ -14,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites captured for every column expression double the time it takes to build a plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -26,6 +29,18 @@ def build_session(app: str = "tallycast", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once and cut its lineage, for tables that several branches of a plan read.
+
+    Uses the reliable checkpoint folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
+    loses nothing.  Only where none is set (tests, one machine) a temporary folder is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallycast-"))
+    return df.checkpoint()
+
+
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A session for tests and the benchmark: shuffle width matches the cores, no UI port."""
     base = {
