@@ -9,6 +9,7 @@ from tallycast.operators import covariates as V
 from tallycast.operators import panel as P
 from tallycast.operators.calendar import time_keys
 from tallycast.operators.weights import rolling_past_weight
+from tallycast.plans import features as T
 
 P15, P30 = sql_panel(), sql_panel(30)
 HALF_HOUR = 30
@@ -235,3 +236,82 @@ rolled AS (SELECT ts, idx, CAST(CASE WHEN idx >= {PER_DAY} AND idx < count(*) OV
 def rolling_weight(spark, d):
     """Past-window weight of every step, computed in blocks far shorter than the series."""
     return rolling_past_weight(weight_steps(spark, d), ["w1", "w2"], PER_DAY, block=1024).select("ts", "idx", "weight")
+
+
+# --- whole feature tables -----------------------------------------------------------------------
+
+
+def _sql_fourier(x: str, period: int, prefix: str) -> str:
+    return ", ".join(f"{rd(f'{fn}(2.0 * {k} * pi() * {x} / {period}.0)')} AS {prefix}_{fn}{k}" for fn in ("sin", "cos") for k in range(1, 5))
+
+
+def _sql_calendar(annual: int, day: int) -> str:
+    position = "((CASE WHEN hour(ts) = 0 THEN 24 ELSE hour(ts) END + minute(ts) / 60.0::DOUBLE) * 2.0 - 1.0)"
+    onehots = ", ".join(f"CAST(isodow(ts) = {k + 1} AS INTEGER) AS wd{k}" for k in range(7))
+    return f"{_sql_fourier('dayofyear(ts)', annual, 'year')}, {_sql_fourier(position, day, 'day')}, {onehots}"
+
+
+@query("city_features", f"""WITH {P15}, {SQL_WEATHER}, m AS (SELECT max(temp) AS m_t, max(precip) AS m_p FROM joined)
+SELECT ts, idx, {_sql_calendar(31, 96)}, {rd('temp / nullif(m_t, 0)')} AS temp, {rd('precip / nullif(m_p, 0)')} AS precip,
+{rd('abs(temp)')} AS w_temp, {rd('abs(precip)')} AS w_precip FROM joined, m""")
+def city_features(spark, d):
+    """The quarter-hourly covariate and weight table in one plan, with the short-span periods."""
+    out = T.city_features(grid(spark, d), _weather(spark, d), annual_period=31, day_period=96)
+    return rounded(out, *[c for c in out.columns if c not in ("ts", "idx") and not c.startswith("wd")])
+
+
+BREAK_DAYS = [("2024-01-01", "2024-01-07"), ("2024-01-05", "2024-01-09"), ("2024-01-27", "2024-01-28")]
+HOLY_DAYS = [("2024-01-01",), ("2024-01-18",)]
+
+
+def _station(spark, d) -> T.StationInputs:
+    arena = _arena(spark, d)
+    half_hourly = _keyed_events(spark, d).filter("event_type = 'error'").groupBy("date", "hr").agg(
+        (F.avg("value") - 50.0).alias("temperature"), F.max("value").alias("precipitations3h"))
+    return T.StationInputs(
+        breaks=spark.createDataFrame(BREAK_DAYS, "date_from string, date_to string").select(F.to_date("date_from").alias("date_from"), F.to_date("date_to").alias("date_to")),
+        public_days=spark.createDataFrame(HOLY_DAYS, "day string").select(F.to_date("day").alias("day")),
+        arena=arena.select("date", "hr", *[F.least(F.col(c), F.lit(3)).alias(c) for c in COUNTERS]),
+        works=_works(spark, d), zone_branch=spark.createDataFrame(ZONE_BRANCH, "zone string, branch string"), service=_service(spark, d),
+        weather=half_hourly, counters={c: [0, 1, 2, 3] for c in COUNTERS}, zones=ZONES, branches=BRANCHES, off_days=OFF_DAYS, off_ranges=OFF_RANGES,
+        concerts=COUNTERS[:2],
+    )
+
+
+def _sql_station() -> str:
+    zones = ", ".join(f"max(1) FILTER (zone = '{z}') AS {z}" for z in ZONES)
+    branches = ", ".join(f"avg(value) FILTER (branch = '{b}') AS {b}" for b in BRANCHES)
+    excluded = "date IN ('2024-01-03', '2024-01-11') OR date BETWEEN '2024-01-15' AND '2024-01-17' OR date BETWEEN '2024-01-25' AND '2024-01-26'"
+    service = SQL_SERVICE.replace("level AS (SELECT s.date", "level0 AS (SELECT s.date")
+    counters = ", ".join(f"coalesce(a.{c}, 0) AS {c}" for c in COUNTERS)
+    sources = f"""{P30}, {service}, {SQL_ARENA}, {SQL_TIMES},
+ served AS (SELECT date, hr, branch, CASE WHEN {excluded} THEN 1.0 ELSE value END AS value FROM service),
+ level AS (SELECT s.date, s.hr, s.branch, max(CASE WHEN m.branch IS NOT NULL THEN 1.0::DOUBLE ELSE s.value END) AS value
+  FROM served s LEFT JOIN mask m ON s.date = m.date AND s.hr = m.hr AND s.branch = m.branch GROUP BY 1, 2, 3),
+ zw AS (SELECT date, hr, {zones} FROM works GROUP BY 1, 2), bw AS (SELECT date, hr, {branches} FROM level GROUP BY 1, 2),
+ met AS (SELECT date, hr, avg(value) - 50.0 AS temperature, max(value) AS precipitations3h FROM keyed WHERE event_type = 'error' GROUP BY 1, 2),
+ j AS (SELECT t.ts, t.idx, {counters}, {", ".join(f"coalesce(z.{z}, 0) AS {z}" for z in ZONES)}, {", ".join(f"coalesce(b.{b}, 1.0) AS {b}" for b in BRANCHES)},
+   coalesce(w.temperature, 0.0) AS temperature, coalesce(w.precipitations3h, 0.0) AS precipitations3h,
+   CAST(CAST(t.ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-09' OR CAST(t.ts AS DATE) BETWEEN DATE '2024-01-27' AND DATE '2024-01-28' AS INTEGER) AS hol,
+   CAST(CAST(t.ts AS DATE) IN (DATE '2024-01-01', DATE '2024-01-18') AS INTEGER) AS fer
+  FROM times t LEFT JOIN arena a ON t.date = a.date AND t.hr = a.hr LEFT JOIN zw z ON t.date = z.date AND t.hr = z.hr
+  LEFT JOIN bw b ON t.date = b.date AND t.hr = b.hr LEFT JOIN met w ON t.date = w.date AND t.hr = w.hr),
+ m AS (SELECT max(temperature) AS m_t, max(precipitations3h) AS m_p, {", ".join(f"avg(CASE WHEN {z} <> 0 THEN 1.0 ELSE 0.0 END) AS m_{z}" for z in ZONES)} FROM j)"""
+    columns = [
+        f"ts, idx, {_sql_calendar(365, 48)}, hol, fer",
+        ", ".join(f"CASE WHEN {c} <> 0 THEN {w}::DOUBLE ELSE 0.0::DOUBLE END AS w_{c}" for c, w in zip(COUNTERS, (20000, 20000, 10000, 10000))),
+        ", ".join(f"CAST(least({c}, 3) = {v} AS INTEGER) AS {c}_{v}" for c in COUNTERS for v in (1, 2, 3)),
+        ", ".join(f"CAST({z} AS DOUBLE) AS {z}, {rd(f'CASE WHEN {z} <> 0 THEN 1.0 / nullif(m_{z}, 0) ELSE 0.0 END')} AS w_{z}" for z in ZONES),
+        f"{rd('temperature / nullif(m_t, 0)')} AS temperature, {rd('precipitations3h / nullif(m_p, 0)')} AS precipitations3h",
+        f"{rd('abs(temperature)')} AS w_temperature, {rd('abs(precipitations3h)')} AS w_precipitations3h",
+        ", ".join(f"{rd(b)} AS {b}, {rd(f'({b} - 1.0) * 100')} AS w_{b}" for b in BRANCHES),
+    ]
+    return f"WITH {sources} SELECT {', '.join(columns)} FROM j, m"
+
+
+@query("station_features", _sql_station())
+def station_features(spark, d):
+    """The half-hourly covariate and weight table: calendar, holidays, venue, works, weather, service."""
+    out = T.station_features(grid(spark, d, HALF_HOUR), _station(spark, d))
+    exact = ("ts", "idx", "hol", "fer")
+    return rounded(out, *[c for c in out.columns if c not in exact and not c.startswith("wd") and c[-2:] not in ("_1", "_2", "_3")])

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tallycast.catalog.covariates import SQL_WEIGHTS, rolling_weight
 from tallycast.catalog.registry import (
-    PER_DAY, STEP, events, last, panel, query, rd, rounded, sql_cdf, sql_panel, sql_ppf, sql_uniform,
+    PER_DAY, STEP, events, grid, last, panel, query, rd, rounded, sql_cdf, sql_panel, sql_ppf, sql_uniform,
 )
 from tallycast.functions.numeric import log_positive
 from tallycast.operators import instances as I
 from tallycast.operators import marginal as M
 from tallycast.operators import panel as P
 from tallycast.operators import weights as W
+from tallycast.operators.covariates import replicate_over_series
 from tallycast.operators.draws import dequantise, sample_paths
 
 P15 = sql_panel()
@@ -163,18 +164,16 @@ def pad_indicator(spark, d):
 
 @query("last_split", f"WITH {P15} SELECT sid, max(idx) + 1 - 96 AS cut FROM panel GROUP BY sid HAVING max(idx) + 1 - 96 >= 672")
 def last_split(spark, d):
-    return I.last_cut(panel(spark, d), min_past=672, min_future=PER_DAY, allow_empty=False)
+    return I.last_cut(I.series_lengths(panel(spark, d)), min_past=672, min_future=PER_DAY, allow_empty=False)
 
 
 @query("validation_split", """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS sid, count(DISTINCT time_bucket(INTERVAL '60 minutes', ts)) AS n FROM events GROUP BY 1)
 SELECT sid, n - 24 AS cut FROM r WHERE n - 24 >= 40""")
 def validation_split(spark, d):
     """Series of different lengths (active hours of a user); too short ones have no cut."""
-    from pyspark.sql import Window
-
     active = P.bucket_counts(events(spark, d), "user_id", minutes=60)
-    indexed = active.withColumn("idx", F.row_number().over(Window.partitionBy("sid").orderBy("ts")).cast("long") - 1)
-    return I.last_cut(indexed, min_past=40, min_future=24)
+    lengths = active.groupBy("sid").agg(F.count("*").alias("length"))
+    return I.last_cut(lengths, min_past=40, min_future=24)
 
 
 # --- cut points by weight -----------------------------------------------------------------------
@@ -213,7 +212,7 @@ def weighted_cut_draw(spark, d):
 @query("uniform_cut_draw", f"""WITH {P15}, u AS (SELECT sid, idx, {sql_uniform('uni', 'sid', 'idx')} AS u FROM panel)
 SELECT sid, idx AS cut FROM u, (SELECT max(idx) + 1 AS n FROM panel) WHERE idx >= 48 AND idx <= n - 96 AND u < 20.0::DOUBLE / (n - 96 - 48 + 1)""")
 def uniform_cut_draw(spark, d):
-    return W.uniform_cuts(panel(spark, d), expected=20, min_past=48, min_future=96, seed="uni")
+    return W.uniform_cuts(panel(spark, d), expected=20, min_past=48, min_future=96, seed="uni", length=last(spark, d) + 1)
 
 
 @query("series_subset", f"""WITH s AS (SELECT sid, row_number() OVER (ORDER BY sid) - 1 AS code FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS sid FROM events)),
@@ -246,6 +245,27 @@ def replicate_paths(spark, d):
     return sample_paths(panel(spark, d).filter("idx >= 2784"), 4).drop("idx")
 
 
+@query("training_instances", f"""WITH {SQL_CUTTABLE}, w AS (SELECT CAST(i AS INTEGER) AS draw, {sql_uniform('cut', "'rolling'", 'i')} AS u FROM range(8) r(i)),
+ cuts AS (SELECT DISTINCT t.idx AS cut FROM w JOIN cuttable t ON t.sid = 'rolling' AND w.u >= t.p_lo AND w.u < t.p_hi),
+ feat AS (SELECT idx, {rd('sin(2.0 * pi() * dayofyear(ts) / 365.0)')} AS year_sin1 FROM steps),
+ o AS (SELECT cut, 'past' AS part, CAST(i AS INTEGER) AS pos, cut - 144 + i AS idx FROM cuts, range(144) r(i) UNION ALL
+  SELECT cut, 'future', CAST(i AS INTEGER), cut + i FROM cuts, range(96) r(i))
+SELECT k.sid, o.cut, o.part, o.pos, CASE WHEN o.idx < 0 THEN 0.0 ELSE p.y END AS y, CASE WHEN o.idx < 0 THEN 0.0 ELSE f.year_sin1 END AS year_sin1,
+ CAST(o.idx < 0 AS INTEGER) AS is_pad FROM o CROSS JOIN (SELECT DISTINCT sid FROM panel) k LEFT JOIN panel p ON p.sid = k.sid AND p.idx = o.idx LEFT JOIN feat f ON f.idx = o.idx""")
+def training_instances(spark, d):
+    """Weighted cut points shared by all series, and the windows of counts and covariates around them."""
+    from tallycast.operators.calendar import annual_fourier
+
+    cov = rounded(grid(spark, d).select("ts", annual_fourier(F.col("ts"))[0]), "year_sin1")
+    table = _cut_table(spark, d).filter("sid = 'rolling'")
+    drawn = W.draw_cuts(table, 8, "cut", series=spark.createDataFrame([("rolling",)], "sid string")).select("cut").distinct()
+    series = P.event_series(events(spark, d), "event_type")
+    shared = drawn.agg(F.collect_list("cut")).scalar()  # as many cuts as were drawn
+    cuts = series.withColumn("_c", shared).select("sid", F.explode("_c").alias("cut"))
+    rows = replicate_over_series(panel(spark, d), cov, ["year_sin1"])
+    return I.windows_at(cuts, rows, past=144, future=96, values=("y", "year_sin1"))
+
+
 # --- marginal transform -------------------------------------------------------------------------
 
 CONDITIONING = 100

@@ -191,15 +191,12 @@ def series_correlation(spark, d):
     return rounded(out.select("sid_a", "sid_b", "corr"), "corr")
 
 
-@query("factor_covariance", f"WITH {P15}, {SQL_COV} SELECT sid_a, sid_b, {rd('cov')} AS cov FROM cov")
-def factor_covariance(spark, d):
-    """Full-rank factors multiply back to the covariance."""
-    loadings, _ = K.factor_model(panel(spark, d), 10**6)
-    long = loadings.select("sid", F.posexplode("loadings").alias("factor", "v"))
-    a = long.select(F.col("sid").alias("sid_a"), "factor", F.col("v").alias("la"))
-    b = long.select(F.col("sid").alias("sid_b"), "factor", F.col("v").alias("lb"))
-    pairs = a.join(b, "factor").filter("sid_a <= sid_b")
-    return rounded(pairs.groupBy("sid_a", "sid_b").agg(F.sum(F.col("la") * F.col("lb")).alias("cov")), "cov")
+@query("factor_variance", f"WITH {P15} SELECT sid, {rd('var_samp(y)')} AS explained, 0.0::DOUBLE AS diag FROM panel GROUP BY sid")
+def factor_variance(spark, d):
+    """Full-rank factors explain each series' whole variance and leave nothing on the diagonal."""
+    loadings, diag = K.factor_model(materialise(panel(spark, d)), 10**6)
+    explained = F.aggregate("loadings", F.lit(0.0), lambda acc, v: acc + v * v)
+    return rounded(loadings.join(diag, "sid").select("sid", explained.alias("explained"), "diag"), "explained", "diag")
 
 
 # --- draws and forecasters ----------------------------------------------------------------------

@@ -58,13 +58,13 @@ def unpivot_long(spark, d):
 SELECT k.sid, g.ts, CAST(date_diff('day', g.a, g.ts) AS BIGINT) AS idx, CAST(coalesce(c.n, 0) AS DOUBLE) AS y
 FROM (SELECT DISTINCT sid FROM r) k CROSS JOIN g LEFT JOIN c ON c.sid = k.sid AND c.ts = g.ts""")
 def orders_by_nation_daily(spark, d):
+    """Orders are counted per customer and day before they meet the customers, so a customer with a third
+    of all orders brings one row per day to the join; nations are added up after it."""
     orders, customer, nation = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    rows = (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(nation, customer.c_nationkey == nation.n_nationkey)
-        .select("n_name", "o_orderdate")
-    )
-    return P.daily_panel(rows, F.col("n_name"), "o_orderdate")
+    names = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
+        F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("sid"))
+    counts = P.daily_counts(orders, ["o_custkey"], "o_orderdate").join(names, "o_custkey").groupBy("sid", "ts").agg(F.sum("n").alias("n"))
+    return P.daily_panel(counts, counts.select("sid").distinct(), orders, "o_orderdate")
 
 
 @query("csv_roundtrip", f"""SELECT event_id, event_type, {rd('value', 4)} AS value, strftime(ts, '%Y-%m-%d %H:%M') AS time
@@ -217,7 +217,9 @@ f AS (SELECT CAST(day AS DATE) AS day FROM {sql_values(PUBLIC_DAYS, 'day, name')
 SELECT sid, ts, y, CAST(h.day IS NOT NULL AS INTEGER) AS hol, CAST(f.day IS NOT NULL AS INTEGER) AS fer
 FROM daily LEFT JOIN h ON CAST(ts AS DATE) = h.day LEFT JOIN f ON CAST(ts AS DATE) = f.day""")
 def holiday_flag_join(spark, d):
-    daily = P.daily_panel(table(spark, d, "orders"), F.col("o_orderpriority"), "o_orderdate")
+    orders = table(spark, d, "orders").withColumnRenamed("o_orderpriority", "sid")
+    counts = P.daily_counts(orders, ["sid"], "o_orderdate")
+    daily = P.daily_panel(counts, P.event_series(orders, "sid"), orders, "o_orderdate")
     calendar = spark.createDataFrame(BREAKS, "zone string, population string, school_year string, date_from string, date_to string")
     public = spark.createDataFrame(PUBLIC_DAYS, "date string, name string").select(F.to_date("date").alias("day"))
     breaks = C.school_breaks(calendar, "Paris", "Enseignants", 2018)

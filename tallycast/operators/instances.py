@@ -93,13 +93,14 @@ def impute(value: Column, is_observed: Column, is_pad: Column, substitute: Colum
 
 def windows_at(
     cuts: DataFrame, panel: DataFrame, past: int, future: int, lead: int = 0, dummy: float = 0.0,
-    value: str = "y", idx: str = "idx",
+    values: Sequence[str] = ("y",), idx: str = "idx",
 ) -> DataFrame:
     """Past and future rows of every cut, long form.
 
-    ``(sid, cut, part, pos, y, is_pad)`` with pos 0 .. length-1 in time order.  Each cut explodes the
-    offsets it needs and meets the panel in an equi-join on (sid, idx), so a cut costs past + future rows
-    whatever the length of its series.  Past rows before the series start are padding.
+    ``(sid, cut, part, pos, <values>, is_pad)`` with pos 0 .. length-1 in time order; ``values`` are the
+    target and any covariates cut alike.  Each cut explodes the offsets it needs and meets the panel in an
+    equi-join on (sid, idx), so a cut costs past + future rows whatever the length of its series.  Past rows
+    before the series start are padding; future rows after its end do not exist.
     """
     if future <= 0:
         raise ValueError("the future window must not be empty")
@@ -108,10 +109,11 @@ def windows_at(
     after = F.transform(F.sequence(F.lit(0), F.lit(future - 1)), lambda i: F.struct(
         F.lit("future").alias("part"), i.alias("pos"), (F.col("cut") + lead + i).cast("long").alias(idx)))
     offsets = cuts.select("sid", "cut", F.inline(F.concat(before, after)))
-    joined = offsets.join(panel.select("sid", idx, value), ["sid", idx], "left")
-    pad = (F.col(idx) < 0).cast("int")
-    return joined.filter((F.col("part") == "past") | F.col(value).isNotNull()).select(
-        "sid", "cut", "part", "pos", F.when(F.col(idx) < 0, F.lit(dummy)).otherwise(F.col(value)).alias("y"), pad.alias("is_pad")
+    present = panel.select("sid", idx, *values, F.lit(True).alias("_in"))
+    joined = offsets.join(present, ["sid", idx], "left")
+    pad = F.col(idx) < 0
+    return joined.filter((F.col("part") == "past") | F.col("_in")).select(
+        "sid", "cut", "part", "pos", *[F.when(pad, F.lit(dummy)).otherwise(F.col(v)).alias(v) for v in values], pad.cast("int").alias("is_pad")
     )
 
 
@@ -131,13 +133,17 @@ def forecast_start(start: Column, cut: Column, minutes: int, lead: int = 0) -> C
     return F.timestamp_add("MINUTE", ((cut + lead) * minutes).cast("int"), start)
 
 
-def last_cut(panel: DataFrame, min_past: int, min_future: int, idx: str = "idx", allow_empty: bool = True) -> DataFrame:
-    """The one cut of prediction mode: length - min_future, for series with enough past.
+def series_lengths(panel: DataFrame, idx: str = "idx") -> DataFrame:
+    return panel.groupBy("sid").agg((F.max(idx) + 1).alias("length"))
+
+
+def last_cut(lengths: DataFrame, min_past: int, min_future: int, allow_empty: bool = True) -> DataFrame:
+    """The one cut of prediction mode: length - min_future, for series ``(sid, length)`` with enough past.
 
     With ``allow_empty=False`` (prediction) a series that is too short fails the query, as it would be
     silently left out of the forecast otherwise; with True (validation) it is dropped.
     """
-    cut = panel.groupBy("sid").agg((F.max(idx) + 1 - min_future).alias("cut"))
+    cut = lengths.select("sid", (F.col("length") - min_future).alias("cut"))
     enough = F.col("cut") >= min_past
     if allow_empty:
         return cut.filter(enough)

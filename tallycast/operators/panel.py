@@ -105,12 +105,16 @@ def event_bounds(events: DataFrame, ts: str = "ts", minutes: int = 15) -> DataFr
     return first.select("a", bucket_start(F.col("hi"), minutes).alias("b"))
 
 
-def daily_panel(rows: DataFrame, sid: Column, ts: str) -> DataFrame:
-    """Dense daily counts of rows per series."""
-    day_rows = rows.select(sid.cast("string").alias("sid"), F.to_date(ts).cast("timestamp_ntz").alias("ts"))
-    counts = day_rows.groupBy("sid", "ts").agg(F.count("*").alias("n"))
-    bounds = day_rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    return densify(counts, day_rows.select("sid").distinct(), bounds, minutes=24 * 60)
+def daily_counts(rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Rows per key and day: ``(keys, ts, n)``."""
+    return rows.groupBy(*keys, F.to_date(ts).cast("timestamp_ntz").alias("ts")).agg(F.count("*").alias("n"))
+
+
+def daily_panel(counts: DataFrame, series: DataFrame, rows: DataFrame, ts: str) -> DataFrame:
+    """Dense daily panel from counts ``(sid, ts, n)``; the day range is that of ``rows``."""
+    day = F.col(ts).cast("date").cast("timestamp_ntz")
+    bounds = rows.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    return densify(counts, series, bounds, minutes=24 * 60)
 
 
 def totals(panel: DataFrame) -> DataFrame:

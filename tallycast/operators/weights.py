@@ -104,13 +104,22 @@ def draw_cuts(
 
 
 def uniform_cuts(
-    panel: DataFrame, expected: float, min_past: int, min_future: int, seed: str, idx: str = "idx"
+    panel: DataFrame, expected: float, min_past: int, min_future: int, seed: str, idx: str = "idx",
+    length: Column | int | None = None,
 ) -> DataFrame:
-    """Keep each admissible cut with the probability that gives ``expected`` cuts per series on average."""
-    window = F.col("_len") - min_future - min_past + 1
-    length = panel.groupBy("sid").agg((F.max(idx) + 1).alias("_len")).filter(window > 0)
-    average = length.agg(F.avg(window.cast("double"))).scalar()
-    candidate = panel.join(length, "sid").filter((F.col(idx) >= min_past) & (F.col(idx) <= F.col("_len") - min_future))
+    """Keep each admissible cut with the probability that gives ``expected`` cuts per series on average.
+
+    ``length`` is the common number of steps; when None each series has its own.
+    """
+    if length is None:
+        window = F.col("_len") - min_future - min_past + 1
+        own = panel.groupBy("sid").agg((F.max(idx) + 1).alias("_len")).filter(window > 0)
+        average = own.agg(F.avg(window.cast("double"))).scalar()
+        rows = panel.join(own, "sid")
+    else:
+        rows = panel.withColumn("_len", length if isinstance(length, Column) else F.lit(length))
+        average = (F.col("_len") - min_future - min_past + 1).cast("double")
+    candidate = rows.filter((F.col(idx) >= min_past) & (F.col(idx) <= F.col("_len") - min_future))
     # one position past the last row is admissible when no future is required; it has no row to keep
     u = hash_uniform(seed, F.col("sid"), F.col(idx))
     return candidate.filter(u < F.lit(float(expected)) / average).select("sid", F.col(idx).alias("cut"))
