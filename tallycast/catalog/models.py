@@ -43,6 +43,11 @@ def _cells(spark, d):
     return M.with_slot(panel(spark, d))
 
 
+def _moments(df):
+    """The shape is compared on the log scale, where its wide range has one precision."""
+    return rounded(df.withColumn("log_shape", F.log("shape")).drop("shape"), "mu", "var", "log_shape")
+
+
 @query("numeric_functions", f"""SELECT event_id, {rd('CASE WHEN x > 0 THEN x ELSE 0.0 END + ln(1.0 + exp(-abs(x)))')} AS softplus,
 {rd('CASE WHEN x >= 0 THEN x + 1.0 ELSE exp(x) END')} AS exp_linear, {rd('lgamma(value + 0.01)')} AS log_gamma,
 {rd('ln(value)')} AS log_value FROM (SELECT event_id, value, value / 50.0::DOUBLE - 1.0 AS x FROM events)""")
@@ -54,23 +59,23 @@ def numeric_functions(spark, d):
     return rounded(out, "softplus", "exp_linear", "log_gamma", "log_value")
 
 
-@query("nb_moments", f"WITH {P15}, {SQL_NB} SELECT sid, slot, {rd('mu')} AS mu, {rd('var')} AS var, n, {rd('shape', 4)} AS shape FROM nb")
+@query("nb_moments", f"WITH {P15}, {SQL_NB} SELECT sid, slot, {rd('mu')} AS mu, {rd('var')} AS var, n, {rd('ln(shape)')} AS log_shape FROM nb")
 def nb_moments(spark, d):
-    return rounded(rounded(M.nb_moments(_cells(spark, d)), "mu", "var"), "shape", digits=4)
+    return _moments(M.nb_moments(_cells(spark, d)))
 
 
 @query("nb_moments_week", f"""WITH {P15}, c AS (SELECT *, CAST((isodow(ts) - 1) * 96 + (hour(ts) * 60 + minute(ts)) // 15 AS INTEGER) AS slot FROM panel),
 nb0 AS (SELECT sid, slot, avg(y) AS mu, var_samp(y) AS var, count(*) AS n FROM c GROUP BY 1, 2)
-SELECT sid, slot, {rd('mu')} AS mu, {rd('var')} AS var, n, {rd(SHAPE, 4)} AS shape FROM nb0""")
+SELECT sid, slot, {rd('mu')} AS mu, {rd('var')} AS var, n, {rd(f'ln({SHAPE})')} AS log_shape FROM nb0""")
 def nb_moments_week(spark, d):
     """Cells of weekday and position in the day."""
-    return rounded(rounded(M.nb_moments(M.with_slot(panel(spark, d), "week", STEP)), "mu", "var"), "shape", digits=4)
+    return _moments(M.nb_moments(M.with_slot(panel(spark, d), "week", STEP)))
 
 
-@query("total_nb_moments", f"WITH {P15}, {SQL_TOTAL_NB} SELECT slot, {rd('mu')} AS mu, {rd('var')} AS var, n, {rd('shape', 4)} AS shape FROM tnb")
+@query("total_nb_moments", f"WITH {P15}, {SQL_TOTAL_NB} SELECT slot, {rd('mu')} AS mu, {rd('var')} AS var, n, {rd('ln(shape)')} AS log_shape FROM tnb")
 def total_nb_moments(spark, d):
     t = M.with_slot(P.totals(panel(spark, d)))
-    return rounded(rounded(M.nb_moments(t, ["slot"], "total"), "mu", "var"), "shape", digits=4)
+    return _moments(M.nb_moments(t, ["slot"], "total"))
 
 
 @query("gaussian_moments", f"""WITH {P15}, {CELLS} SELECT sid, slot, {rd('avg(y)')} AS mu, {rd('stddev_samp(y)')} AS sd, count(*) AS n FROM cells GROUP BY 1, 2""")

@@ -62,7 +62,8 @@ def sorted_codes(df: DataFrame, column: str, out: str = "code", splits: int = 25
     )
     ranged = (
         values.withColumn("_splits", picked.scalar())
-        .withColumn("_range", F.size(F.filter("_splits", lambda s: s <= F.col(column)))).drop("_splits")
+        # never NULL: a nullable join key would be null-checked below the distinct, once per input row
+        .withColumn("_range", F.coalesce(F.size(F.filter("_splits", lambda s: s <= F.col(column))), F.lit(0))).drop("_splits")
     )
     below = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = (  # at most splits + 1 rows

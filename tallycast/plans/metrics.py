@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.functions.numeric import safe_div
-
 # Evaluation levels 1/20 .. 19/20.
 LEVELS = tuple(k / 20 for k in range(1, 20))
 KEPT = ("CRPS", "MSE", "CRPS-Sum", "MSE-Sum")
@@ -35,24 +33,29 @@ def level_name(level: float) -> str:
     return f"{level:.2f}".replace("0.", "q")
 
 
+def _rank_sql(level: float) -> str:
+    """:func:`quantile` of the sorted array ``_o`` as SQL text.
+
+    The many per-level columns of this module are written as text: one parsed expression each instead of a
+    dozen column calls.
+    """
+    return f"element_at(_o, cast(rint((size(_o) - 1) * {level!r}D) AS int) + 1)"
+
+
 def scored_rows(forecast: DataFrame, levels: Sequence[float] = LEVELS, alpha: float = 0.05) -> DataFrame:
-    """Per forecast value: mean, median, interval ends and the quantile loss of every level."""
-    ordered = forecast.withColumn("_o", F.array_sort("samples"))
-    base = ordered.select(
+    """Per forecast value: mean, median, interval ends, and the quantile, loss and coverage of every level."""
+    base = forecast.withColumn("_o", F.array_sort("samples")).selectExpr(
         "*",
-        mean_of(F.col("samples")).alias("mean"),
-        quantile(F.col("_o"), 0.5).alias("median"),
-        quantile(F.col("_o"), alpha / 2).alias("lower"),
-        quantile(F.col("_o"), 1 - alpha / 2).alias("upper"),
-        *[quantile(F.col("_o"), q).alias(level_name(q)) for q in levels],
+        "aggregate(samples, 0D, (a, v) -> a + v) / size(samples) AS mean",
+        f"{_rank_sql(0.5)} AS median", f"{_rank_sql(alpha / 2)} AS lower", f"{_rank_sql(1 - alpha / 2)} AS upper",
+        *[f"{_rank_sql(q)} AS {level_name(q)}" for q in levels],
     )
-    y = F.col("y")
     losses = []
     for q in levels:
-        at = F.col(level_name(q))
-        losses.append((2.0 * F.abs((at - y) * ((y <= at).cast("double") - F.lit(q)))).alias(f"ql_{level_name(q)}"))
-        losses.append((y < at).cast("double").alias(f"cov_{level_name(q)}"))
-    return base.select("*", *losses).drop("_o", "samples")
+        n = level_name(q)
+        losses.append(f"2D * abs(({n} - y) * (CASE WHEN y <= {n} THEN 1D ELSE 0D END - {q!r}D)) AS ql_{n}")
+        losses.append(f"CASE WHEN y < {n} THEN 1D ELSE 0D END AS cov_{n}")
+    return base.selectExpr("*", *losses).drop("_o", "samples")
 
 
 def item_metrics(
@@ -60,34 +63,22 @@ def item_metrics(
     keys: Sequence[str] = ("sid", "roll"),
 ) -> DataFrame:
     """One row per series and window."""
-    y, med = F.col("y"), F.col("median")
-    miss = F.abs(y - med)
-    width = (
-        F.col("upper") - F.col("lower")
-        + F.when(y < F.col("lower"), 2.0 / alpha * (F.col("lower") - y)).otherwise(0.0)
-        + F.when(y > F.col("upper"), 2.0 / alpha * (y - F.col("upper"))).otherwise(0.0)
-    )
-    items = scored.groupBy(*keys).agg(
-        F.avg((y - F.col("mean")) * (y - F.col("mean"))).alias("MSE"),
-        F.sum(miss).alias("abs_error"),
-        F.sum(F.abs(y)).alias("abs_target_sum"),
-        F.avg(F.abs(y)).alias("abs_target_mean"),
-        F.avg(safe_div(miss, F.abs(y))).alias("MAPE"),
-        (2.0 * F.avg(safe_div(miss, F.abs(y) + F.abs(med)))).alias("sMAPE"),
-        F.avg(miss).alias("_mae"),
-        F.avg(width).alias("_width"),
-        *[F.sum(f"ql_{level_name(q)}").alias(f"ql_{level_name(q)}") for q in levels],
-        *[F.avg(f"cov_{level_name(q)}").alias(f"cov_{level_name(q)}") for q in levels],
-    )
-    items = items.withColumn("ND", safe_div(F.col("abs_error"), F.col("abs_target_sum")))
+    names = [level_name(q) for q in levels]
+    penalty = f"{2 / alpha!r}D"
+    width = f"upper - lower + {penalty} * greatest(lower - y, 0D) + {penalty} * greatest(y - upper, 0D)"
+    aggregates = [
+        "avg((y - mean) * (y - mean)) AS MSE", "sum(abs(y - median)) AS abs_error", "sum(abs(y)) AS abs_target_sum",
+        "avg(abs(y)) AS abs_target_mean", "avg(abs(y - median) / nullif(abs(y), 0D)) AS MAPE",
+        "2D * avg(abs(y - median) / nullif(abs(y) + abs(median), 0D)) AS sMAPE", "avg(abs(y - median)) AS _mae",
+        f"avg({width}) AS _width", "sum(abs(y - median)) / nullif(sum(abs(y)), 0D) AS ND",
+        *[f"sum(ql_{n}) AS ql_{n}" for n in names], *[f"avg(cov_{n}) AS cov_{n}" for n in names],
+    ]
+    items = scored.groupBy(*keys).agg(*map(F.expr, aggregates))
     if seasonal is None:
         return items.drop("_mae", "_width")
-    joined = items.join(seasonal, list(keys), "left")
-    return joined.select(
-        *[c for c in items.columns if c not in ("_mae", "_width")],
-        "seasonal_error",
-        safe_div(F.col("_mae"), F.col("seasonal_error")).alias("MASE"),
-        safe_div(F.col("_width"), F.col("seasonal_error")).alias("MSIS"),
+    return items.join(seasonal, list(keys), "left").selectExpr(
+        *[c for c in items.columns if c not in ("_mae", "_width")], "seasonal_error",
+        "_mae / nullif(seasonal_error, 0D) AS MASE", "_width / nullif(seasonal_error, 0D) AS MSIS",
     )
 
 
@@ -95,29 +86,19 @@ def aggregate_metrics(items: DataFrame, levels: Sequence[float] = LEVELS, keys:
     """Metrics over all items (or per ``keys``): losses pooled, errors averaged."""
     names = [level_name(q) for q in levels]
     extra = [c for c in ("seasonal_error", "MASE", "MSIS") if c in items.columns]
+    averaged = ["MSE", "abs_target_mean", "MAPE", "sMAPE", *extra, *[f"cov_{n}" for n in names]]
+    pooled = ["abs_error", "abs_target_sum", *[f"ql_{n}" for n in names]]
     sums = items.groupBy(*keys).agg(
-        F.avg("MSE").alias("MSE"),
-        F.sum("abs_error").alias("abs_error"),
-        F.sum("abs_target_sum").alias("abs_target_sum"),
-        F.avg("abs_target_mean").alias("abs_target_mean"),
-        F.avg("MAPE").alias("MAPE"),
-        F.avg("sMAPE").alias("sMAPE"),
-        *[F.avg(c).alias(c) for c in extra],
-        *[F.sum(f"ql_{n}").alias(f"ql_{n}") for n in names],
-        *[F.avg(f"cov_{n}").alias(f"cov_{n}") for n in names],
+        *[F.expr(f"avg({c}) AS {c}") for c in averaged], *[F.expr(f"sum({c}) AS {c}") for c in pooled]
     )
-    weighted = [safe_div(F.col(f"ql_{n}"), F.col("abs_target_sum")) for n in names]
-    mean = lambda cols: sum(cols[1:], cols[0]) / float(len(cols))
-    return sums.select(
+    loss = " + ".join(f"ql_{n}" for n in names)
+    spread = " + ".join(f"abs(cov_{n} - {q!r}D)" for n, q in zip(names, levels))
+    return sums.selectExpr(
         *keys, "MSE", "abs_error", "abs_target_sum", "abs_target_mean", "MAPE", "sMAPE", *extra,
-        F.sqrt("MSE").alias("RMSE"),
-        safe_div(F.sqrt("MSE"), F.col("abs_target_mean")).alias("NRMSE"),
-        safe_div(F.col("abs_error"), F.col("abs_target_sum")).alias("ND"),
-        mean(weighted).alias("CRPS"),
-        mean([F.col(f"ql_{n}") for n in names]).alias("mean_absolute_QuantileLoss"),
-        mean([F.abs(F.col(f"cov_{n}") - F.lit(q)) for n, q in zip(names, levels)]).alias("MAE_Coverage"),
-        *[w.alias(f"wql_{n}") for w, n in zip(weighted, names)],
-        *[f"cov_{n}" for n in names],
+        "sqrt(MSE) AS RMSE", "sqrt(MSE) / nullif(abs_target_mean, 0D) AS NRMSE", "abs_error / nullif(abs_target_sum, 0D) AS ND",
+        f"({loss}) / nullif(abs_target_sum, 0D) / {float(len(names))}D AS CRPS",
+        f"({loss}) / {float(len(names))}D AS mean_absolute_QuantileLoss", f"({spread}) / {float(len(names))}D AS MAE_Coverage",
+        *[f"ql_{n} / nullif(abs_target_sum, 0D) AS wql_{n}" for n in names], *[f"cov_{n}" for n in names],
     )
 
 

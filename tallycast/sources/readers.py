@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.timekeys import compose_timestamp
 from tallycast.operators.panel import to_long
+from tallycast.sources.schemas import TABLES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def delimited(

@@ -27,7 +27,10 @@ def test_query_matches_sql(spark, con, name):
     assert compare(spark, con, name, FOLDER, QUERIES[name], ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+RANDOM = ["nb_draw", "nb_share_paths", "gauss_lowrank_paths", "poisson_regression"]
+
+
+@pytest.mark.parametrize("name", RANDOM)
 def test_query_without_sql_repeats_itself(spark, name):
     first = QUERIES[name](spark, FOLDER).toPandas()
     again = QUERIES[name](spark, FOLDER).toPandas()
