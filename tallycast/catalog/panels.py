@@ -36,7 +36,8 @@ def value_panel(spark, d):
 @query("wide_pivot", f"""WITH {P15} SELECT ts, {", ".join(f"sum(y) FILTER (sid = '{s}') AS {s}" for s in ("click", "error", "purchase", "signup", "view"))}
 FROM panel GROUP BY ts""")
 def wide_pivot(spark, d):
-    return P.to_wide(panel(spark, d))
+    levels = P.level_list(P.event_series(events(spark, d), "event_type"), "sid")
+    return P.to_wide(panel(spark, d), levels)
 
 
 @query("unpivot_long", f"""WITH w AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS ts, sum(l_quantity) AS quantity,
@@ -157,10 +158,10 @@ def dataset_stats(spark, d):
 @query("dataset_cardinality", f"""WITH {P15} SELECT count(DISTINCT sid) AS series, count(DISTINCT idx) AS steps,
 CAST(5 AS BIGINT) AS default_lag_count FROM panel""")
 def dataset_cardinality(spark, d):
-    return panel(spark, d).agg(
-        F.count_distinct("sid").alias("series"), F.count_distinct("idx").alias("steps"),
-        F.lit(len(default_lags("min"))).cast("long").alias("default_lag_count"),
-    )
+    """Numbers of series and steps, from the series list and the grid's bounds instead of the grid."""
+    series = P.event_series(events(spark, d), "event_type")
+    return series.agg(F.count("*").alias("series")).select(
+        "series", (last(spark, d) + 1).alias("steps"), F.lit(len(default_lags("min"))).cast("long").alias("default_lag_count"))
 
 
 @query("field_select", f"""WITH {P15} SELECT sid AS item_id, ts AS start, y AS target, coalesce(v, 0.0) IS NOT NULL AS has_value,
