@@ -18,7 +18,7 @@ from tallycast.operators.covariance import factor_model
 from tallycast.operators.draws import dm_split, factor_noise, nb_samples
 from tallycast.operators.instances import MINIMUM_SCALE
 from tallycast.operators.marginal import empirical_quantile, sorted_recent, to_gaussian
-from tallycast.operators.panel import totals
+from tallycast.operators.panel import last_index, totals
 from tallycast.plans.backtest import Rolling, context_rows, forecast_rows, train_rows
 from tallycast.session import materialise
 
@@ -56,11 +56,17 @@ def seasonal_sampler(panel: DataFrame, rows: DataFrame, period: int, samples: in
 
 
 def seasonal_forecast(panel: DataFrame, spec: Rolling, period: int, samples: int, last: Column | int | None = None) -> DataFrame:
-    """:func:`seasonal_sampler` for all rows of a rolling backtest, in a single pass over the panel."""
+    """:func:`seasonal_sampler` for all rows of a rolling backtest, in a single pass over the panel.
+
+    History that no forecast row can reach is left out before anything is sorted.
+    """
     reach = -(-spec.horizon // period)
+    end = last_index(panel) if last is None else (last if isinstance(last, Column) else F.lit(last))
+    span = spec.horizon + (spec.windows - 1) * spec.step + (samples + reach) * period
+    panel = panel.filter(F.col("idx") > end - F.lit(span))
     phase = Window.partitionBy("sid", F.pmod("idx", F.lit(period))).orderBy("idx")
     recent = F.reverse(F.collect_list("y").over(phase.rowsBetween(-(samples + reach - 1), -1)))
-    rows = forecast_rows(panel.withColumn("_recent", recent), spec, last)
+    rows = forecast_rows(panel.withColumn("_recent", recent), spec, end)
     skip = F.floor((F.col("h") - 1) / period).cast("int") + 1
     return rows.withColumn("samples", F.slice("_recent", skip, samples)).drop("_recent").filter(F.size("samples") > 0)
 
