@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +30,41 @@ def build_session(app: str = "tallycast", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and cut its lineage, for tables that several branches of a plan read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``.
 
-    Uses the reliable checkpoint folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
-    loses nothing.  Only where none is set (tests, one machine) a temporary folder is made.
+    A folder set on the context counts as well.  Only a ``local`` master, where there is one machine, gets a
+    temporary folder when none is named; on a cluster that is an error, since executors would not see it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallycast-"))
-    return df.checkpoint()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tallycast-")
+        context.setCheckpointDir(named)
+    return named if "://" in named or named.startswith("file:") else f"file://{named}" if named.startswith("/") else named
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/tallycast/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, for tables that several branches of a plan read.
+
+    Lineage ends at the files, which any executor can read, so a lost executor loses nothing; later scans read
+    only the columns they need, and the optimizer knows the table's size.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
