@@ -157,16 +157,20 @@ def _fold(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % FOLD_COUNT
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows_at_most: int = FIT_ROWS) -> Model:
-    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0, at most ``fit_rows_at_most`` of them, chosen by hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_at_most: int) -> DataFrame:
+    """``(doc_id, label, text)`` of labelled rows whose crc32(doc_id) mod 5 is not 0, the ``rows_at_most`` least by hash.
 
-    Null labels do not count, repeated ones are averaged, and of repeated ids one text counts.  The sample's
-    n-gram indices (not texts) come to the driver: bounded by the parameter.
+    Null labels do not count, repeated ones are averaged, and of repeated ids one text counts.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (_fold(F.col("doc_id")) != 0))
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows_at_most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_at_most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows_at_most: int = FIT_ROWS) -> Model:
+    """Fit on :func:`labelled_sample`; its n-gram indices (not texts) come to the driver, bounded by the parameter."""
+    rows = labelled_sample(docs, labels, label, fit_rows_at_most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
