@@ -32,10 +32,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+def row_key() -> list[Column]:
+    """Columns (ka, kb): a 128-bit key of id and text, never null."""
+    return [F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64("text", "doc_id", F.lit(1)).alias("kb")]
+
+
 def token_table(docs: DataFrame) -> DataFrame:
-    """``(ka, kb, doc_id, n_words, words)``, written once; (ka, kb) is a 128-bit key of id and text, never null."""
-    key = ["doc_id", "text"]
-    tokens = docs.select("doc_id", F.xxhash64(*key).alias("ka"), F.xxhash64(*reversed(key), F.lit(1)).alias("kb"), words_of(F.col("text")).alias("words"))
+    """``(ka, kb, doc_id, n_words, words)``, written once."""
+    tokens = docs.select("doc_id", *row_key(), words_of(F.col("text")).alias("words"))
     return materialise(tokens.select("ka", "kb", "doc_id", F.size("words").cast("bigint").alias("n_words"), "words"), "tokens")
 
 
@@ -117,14 +121,8 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["sum"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, share: int = SHARE) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, one row per row of ``docs`` (doc_id, text).
-
-    A document word inside any occurrence of an item's window is hit; contaminated when hit words are more than 0
-    and ``share`` times them reach the document's words.  Null and empty texts have no words and no hits; items
-    with a null id or without words are ignored; repeated items and rows change nothing and rows stay repeated; an empty
-    ``items`` hits nothing; other columns are not read.
-    """
+def hit_counts(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, share: int = SHARE) -> DataFrame:
+    """The columns of :func:`decontaminate` with the row key (ka, kb) of :func:`row_key`."""
     tokens = token_table(docs)
     phrases, names = phrases_of(items, window)
     found = materialise(phrase_matches(tokens, phrases), "matches")
@@ -135,12 +133,30 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,
     rows = tokens.select("ka", "kb", "doc_id", "n_words").join(result, ["ka", "kb"], "left")
     n_hit, items_ = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"),
+        "ka", "kb", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items_, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, share: int = SHARE) -> DataFrame:
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, one row per row of ``docs`` (doc_id, text).
+
+    A document word inside any occurrence of an item's window is hit; contaminated when hit words are more than 0
+    and ``share`` times them reach the document's words.  Null and empty texts have no words and no hits; items
+    with a null id or without words are ignored; repeated items and rows change nothing and rows stay repeated; an empty
+    ``items`` hits nothing; other columns are not read.
+    """
+    return hit_counts(docs, items, window, share).drop("ka", "kb")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, share: int = SHARE) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, with all their columns."""
+    hit = materialise(hit_counts(docs, items, window, share).filter("contaminated").select("ka", "kb").distinct(), "contaminated")
+    whole = docs.select(F.struct("*").alias("_row"), *row_key())
+    return whole.join(small(hit), ["ka", "kb"], "left_anti").select("_row.*")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = RAREST, within: int = 20) -> DataFrame:
     """``(doc_id, item_id)`` where the item's ``terms`` rarest words stand within ``within`` words, in any order.
 

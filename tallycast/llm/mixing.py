@@ -131,6 +131,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
+    """Rows of ``docs`` with all their columns, each as often as the mix takes it."""
+    plan = mix_plan(materialise(sized(docs), "sizes"), weights, repeats)
+    rows = docs.select(F.struct("*").alias("_row"), "source", position_hash(F.col("doc_id")).alias("hash"))
+    taken = with_copies(rows, plan).filter("copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+
+
 OP4_SQL = rf"""
 WITH RECURSIVE rows_ AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

@@ -211,6 +211,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     return scored.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def accepted_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` with all their columns whose score reaches the threshold."""
+    name = "_quality_score"
+    return with_score(docs, fit(docs, labels, label), name).filter(F.col(name) >= threshold).drop(name)
+
+
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("simhash", "token_orc", "mixing", "decontaminate", "quality", "html_text", "line_crf")
+MODULES = ("simhash", "token_orc", "mixing", "decontaminate", "quality", "html_text", "line_crf", "warc")
 
 
 def query(name: str, sql: str | None = None):

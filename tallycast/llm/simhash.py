@@ -145,6 +145,19 @@ def simhash_groups(
     return printed.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """Rows of ``docs`` with all their columns, one of each near-duplicate group: that of the smallest id.
+
+    Groups are found on (id, hash of the text), so null and repeated ids lose no other text.
+    """
+    row = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"))
+    groups = simhash_groups(docs.select(row.alias("row"), "text"), "row", "text", shingle, radius)
+    firsts = materialise(groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct(), "firsts")
+    whole = docs.select(F.struct("*").alias("_row"), row.alias("_key"))
+    kept = whole.join(firsts, F.col("_key").eqNullSafe(F.col("_first"))).dropDuplicates(["_key"])
+    return kept.select("_row.*")
+
+
 @query("op1_simhash_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
