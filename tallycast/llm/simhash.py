@@ -146,7 +146,8 @@ def simhash_groups(
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """Rows of ``docs`` with all their columns, one of each near-duplicate group: that of the smallest id.
+    """Rows of ``docs`` with all their columns, one of each near-duplicate group: that of the smallest id
+    (null before all).
 
     Groups are found on (id, hash of the text), so null and repeated ids lose no other text.
     """
