@@ -209,12 +209,12 @@ def metrics_long(spark, d):
 
 
 @query("metrics_settings", f"""WITH {sql_forecast()}, {sql_items()}, {SQL_AGG}
-SELECT 'MSE' AS metrics, {rd('mse')} AS "values", '0_poids:forts_lr:0.001_n_layers:2_epochs:150_dropout:0.05_lr:0.001_nbcells:40' AS settings FROM am UNION ALL
-SELECT 'ND', {rd('abs_error / abs_target_sum')}, '0_poids:forts_lr:0.001_n_layers:2_epochs:150_dropout:0.05_lr:0.001_nbcells:40' FROM am UNION ALL
-SELECT 'CRPS', {rd('crps')}, '0_poids:forts_lr:0.001_n_layers:2_epochs:150_dropout:0.05_lr:0.001_nbcells:40' FROM aw""")
+SELECT 'MSE' AS metrics, {rd('mse')} AS "values", 'model=seasonal;rep=0;samples={SAMPLES};season={PER_DAY}' AS settings FROM am UNION ALL
+SELECT 'ND', {rd('abs_error / abs_target_sum')}, 'model=seasonal;rep=0;samples={SAMPLES};season={PER_DAY}' FROM am UNION ALL
+SELECT 'CRPS', {rd('crps')}, 'model=seasonal;rep=0;samples={SAMPLES};season={PER_DAY}' FROM aw""")
 def metrics_settings(spark, d):
     """Metrics with the label of the run's settings."""
-    label = S.run_label(F.lit("seasonal"), F.lit(0), F.lit("forts"), F.lit(0.001), F.lit(2), F.lit(150), F.lit(0.05), F.lit(40), F.lit(64), F.lit(64))
+    label = S.run_label(model=F.lit("seasonal"), rep=F.lit(0), samples=F.lit(SAMPLES), season=F.lit(PER_DAY))
     long = E.metrics_long(overall(spark, d), names=["MSE", "ND", "CRPS"])
     return rounded(long.withColumn("settings", label), "values")
 
@@ -286,12 +286,15 @@ def _runs(spark, d):
 
 SQL_RUNS = f"""runs AS (SELECT sid, CAST(c1 AS INTEGER) AS cells1, CAST(c2 AS INTEGER) AS cells2, dropout, model, CAST(rep AS INTEGER) AS rep FROM (SELECT DISTINCT event_type AS sid FROM events),
  (VALUES {", ".join(f"({a}, {b})" for a, b in S.CELL_PAIRS)}) p(c1, c2), (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE]) AS dropout), (SELECT unnest(['nb_share', 'gauss_scaled']) AS model), range(6) r(rep))"""
-SQL_LABEL = """CAST(rep AS VARCHAR) || '_poids:forts_lr:0.001_n_layers:2_epochs:130_dropout:' || CAST(dropout AS VARCHAR) || '_lr:0.001' ||
- CASE WHEN model = 'nb_share' THEN '_nbcells1:' || CAST(cells1 AS VARCHAR) || 'nbcells2:' || CAST(cells2 AS VARCHAR) ELSE '_nbcells:40' END"""
+SQL_LABEL = """CASE WHEN model = 'nb_share' THEN 'cells1=' || CAST(cells1 AS VARCHAR) || ';cells2=' || CAST(cells2 AS VARCHAR) || ';' ELSE '' END ||
+ 'dropout=' || CAST(dropout AS VARCHAR) || ';model=' || model || ';rep=' || CAST(rep AS VARCHAR)"""
 
 
 def _label():
-    return S.run_label(F.col("model"), F.col("rep"), F.lit("forts"), F.lit(0.001), F.lit(2), F.lit(130), F.col("dropout"), F.lit(40), F.col("cells1"), F.col("cells2"))
+    pair = F.col("model") == "nb_share"  # only this model has two cell counts
+    return S.run_label(
+        model=F.col("model"), rep=F.col("rep"), dropout=F.col("dropout"), cells1=F.when(pair, F.col("cells1")), cells2=F.when(pair, F.col("cells2"))
+    )
 
 
 @query("run_labels", f"WITH {SQL_RUNS} SELECT sid, model, rep, {SQL_LABEL} AS label, count(*) AS n FROM runs GROUP BY 1, 2, 3, 4")

@@ -240,9 +240,9 @@ def dequantise_counts(spark, d):
     return rounded(p.select("sid", "ts", dequantise(F.col("y"), "deq", F.col("sid"), F.col("idx")).alias("y")), "y")
 
 
-@query("replicate_paths", f"WITH {P15} SELECT sid, ts, y, CAST(i AS INTEGER) AS sample_id FROM panel, range(4) r(i) WHERE idx >= 2784")
+@query("replicate_paths", f"WITH {P15} SELECT sid, ts, y, CAST(i AS INTEGER) AS sample_id FROM panel, range(4) r(i)")
 def replicate_paths(spark, d):
-    return sample_paths(panel(spark, d).filter("idx >= 2784"), 4).drop("idx")
+    return sample_paths(panel(spark, d), 4).drop("idx")
 
 
 @query("training_instances", f"""WITH {SQL_CUTTABLE}, w AS (SELECT CAST(i AS INTEGER) AS draw, {sql_uniform('cut', "'rolling'", 'i')} AS u FROM range(8) r(i)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallycast.catalog.registry import (
-    PER_DAY, STEP, events, last, panel, query, rd, rounded, sql_cdf, sql_panel, sql_ppf, sql_uniform,
+    ORACLES, PER_DAY, STEP, events, last, panel, query, rd, rounded, sql_horner, sql_panel, sql_ppf, sql_uniform,
 )
 from tallycast.functions import distributions as D
 from tallycast.functions import numeric as N
@@ -15,12 +15,14 @@ from tallycast.operators import instances as I
 from tallycast.operators import panel as P
 from tallycast.plans import forecast as M
 from tallycast.plans.backtest import Rolling
+from tallycast.plans.experiment import forecast_scenarios
 from tallycast.plans.metrics import bands
-from tallycast.session import materialise
+from tallycast.session import materialise, scratch_path
+from tallycast.sources.writers import load_parameters, save_parameters
 
 P15 = sql_panel()
 CELLS = "cells AS (SELECT *, CAST(hour(ts) AS INTEGER) AS slot FROM panel)"
-SHAPE = "coalesce(least(1e4::DOUBLE, mu * mu / nullif(greatest(var - mu, 0.0), 0.0)), 1e4::DOUBLE)"
+SHAPE = f"CASE WHEN var - mu > mu * {D.LEAST_EXCESS!r}::DOUBLE THEN mu * mu / (var - mu) END"
 SQL_NB = f"""{CELLS}, nb0 AS (SELECT sid, slot, avg(y) AS mu, var_samp(y) AS var, count(*) AS n FROM cells GROUP BY 1, 2),
   nb AS (SELECT *, {SHAPE} AS shape FROM nb0)"""
 SQL_TOTAL_NB = f"""{CELLS}, tot AS (SELECT ts, idx, slot, sum(y) AS total FROM cells GROUP BY 1, 2, 3),
@@ -33,10 +35,33 @@ SQL_ALPHA = """sh AS (SELECT c.sid, c.slot, c.y / t.total AS p FROM cells c JOIN
 
 
 def sql_nb_logpmf(y: str, mu: str = "mu", r: str = "shape") -> str:
-    return (
-        f"(lgamma({y} + {r}) - lgamma({y} + 1.0::DOUBLE) - lgamma({r}) + {r} * ln({r} / ({r} + {mu})) "
-        f"+ CASE WHEN {y} > 0 THEN {y} * ln({mu} / ({r} + {mu})) ELSE 0.0 END)"
+    def log1p(x: str) -> str:
+        return f"(CASE WHEN 1.0::DOUBLE + {x} = 1.0 THEN {x} ELSE {x} * ln(1.0::DOUBLE + {x}) / ((1.0::DOUBLE + {x}) - 1.0) END)"
+
+    def rest(z: str) -> str:
+        return f"({sql_horner(N.STIRLING[::-1], f'(1.0::DOUBLE / ({z} * {z}))')} / {z})"
+
+    poisson = f"CASE WHEN {mu} > 0 THEN {y} * ln({mu}) - {mu} - lgamma({y} + 1.0::DOUBLE) WHEN {y} = 0 THEN 0.0::DOUBLE END"
+    wide = (
+        f"({r} - 0.5) * {log1p(f'({y} / {r})')} - {r} * {log1p(f'({mu} / {r})')} - {y} + {rest(f'({y} + {r})')} - {rest(r)} "
+        f"- lgamma({y} + 1.0::DOUBLE) + {y} * ln({mu} * (({r} + {y}) / ({r} + {mu})))"
+    )
+    near = (
+        f"lgamma({y} + {r}) - lgamma({y} + 1.0::DOUBLE) - lgamma({r}) + {r} * ln({r} / ({r} + {mu})) "
+        f"+ CASE WHEN {y} > 0 THEN {y} * ln({mu} / ({r} + {mu})) ELSE 0.0 END"
     )
+    return f"(CASE WHEN {r} IS NULL THEN ({poisson}) WHEN {r} >= {D.WIDE_SHAPE} THEN ({wide}) ELSE ({near}) END)"
+
+
+def sql_nb_table(source: str, keys: str) -> str:
+    """CTEs ``mass`` and ``table_`` (keys, k, pmf, cdf) over the support of every row of ``source`` with mu and shape."""
+    ratio = "coalesce(mu / shape, 0.0)"
+    sd = f"sqrt(mu * (1.0 + {ratio}))"
+    low = f"greatest(floor(mu - {D.SUPPORT_SD} * {sd} - {D.SUPPORT_EXTRA}), 0)"
+    top = f"ceil(mu + {D.SUPPORT_SD} * {sd} + {D.SUPPORT_DECAY} * (1.0 + {ratio}) + {D.SUPPORT_EXTRA})"
+    return f"""mass AS (SELECT {keys}, k, coalesce(exp({sql_nb_logpmf('CAST(k AS DOUBLE)')}), 0.0) AS pmf
+    FROM (SELECT *, unnest(generate_series(CAST({low} AS BIGINT), CAST({top} AS BIGINT))) AS k FROM {source})),
+  table_ AS (SELECT *, sum(pmf) OVER (PARTITION BY {keys} ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM mass)"""
 
 
 def _cells(spark, d):
@@ -142,37 +167,44 @@ def gaussian_loglik(spark, d):
     return rounded(out, "loglik")
 
 
-SQL_PMF = f"pmf AS (SELECT sid, slot, CAST(k AS INTEGER) AS k, exp({sql_nb_logpmf('k')}) AS pmf FROM nb, range(31) r(k))"
+SQL_CDF = sql_nb_table("nb", "sid, slot")
 
 
-@query("nb_pmf_table", f"""WITH {P15}, {SQL_NB}, {SQL_PMF} SELECT sid, slot, k, {rd('pmf')} AS pmf,
-{rd('sum(pmf) OVER (PARTITION BY sid, slot ORDER BY k)')} AS cdf FROM pmf""")
+@query("nb_pmf_table", f"WITH {P15}, {SQL_NB}, {SQL_CDF} SELECT sid, slot, k, {rd('pmf')} AS pmf, {rd('cdf')} AS cdf FROM table_")
 def nb_pmf_table(spark, d):
     params = M.nb_moments(_cells(spark, d))
-    return rounded(R.nb_table(params, F.lit(30), ["sid", "slot"]), "pmf", "cdf")
+    return rounded(R.nb_table(params, ["sid", "slot"]), "pmf", "cdf")
 
 
-@query("nb_total_quantiles", f"""WITH {P15}, {SQL_TOTAL_NB}, p AS (SELECT slot, k, exp({sql_nb_logpmf('k')}) AS pmf FROM tnb, range(201) r(k)),
- c AS (SELECT slot, k, sum(pmf) OVER (PARTITION BY slot ORDER BY k) AS cdf FROM p)
-SELECT slot, {", ".join(f"CAST(min(k) FILTER (cdf >= {q}::DOUBLE) AS INTEGER) AS p{round(q * 100):02d}" for q in (0.05, 0.5, 0.95))} FROM c GROUP BY slot""")
+@query("nb_total_quantiles", f"""WITH {P15}, {SQL_TOTAL_NB}, {sql_nb_table('tnb', 'slot')}
+SELECT slot, {", ".join(f"min(k) FILTER (cdf >= {q}::DOUBLE) AS p{round(q * 100):02d}" for q in (0.05, 0.5, 0.95))} FROM table_ GROUP BY slot""")
 def nb_total_quantiles(spark, d):
     """Quantiles of the cross-series total per slot from its distribution function."""
     params = M.nb_moments(M.with_slot(P.totals(panel(spark, d))), ["slot"], "total")
-    cdf = R.nb_table(params, F.lit(200), ["slot"])
+    cdf = R.nb_table(params, ["slot"])
     return cdf.groupBy("slot").agg(*[F.min(F.when(F.col("cdf") >= q, F.col("k"))).alias(f"p{round(q * 100):02d}") for q in (0.05, 0.5, 0.95)])
 
 
-@query("anomaly_scores", f"""WITH {P15}, {SQL_NB}, z AS (SELECT c.sid, c.ts, c.y, {sql_nb_logpmf('y')} AS ll, (y - mu) / sqrt(nullif(var, 0)) AS z
-  FROM cells c JOIN nb ON c.sid = nb.sid AND c.slot = nb.slot)
-SELECT sid, ts, y, {rd('ll')} AS loglik, {rd(sql_cdf('z'))} AS cdf, CAST(round({sql_cdf('z')}, 9) < 0.005 OR round({sql_cdf('z')}, 9) > 0.995 AS INTEGER) AS anomalous FROM z""")
+TAIL = 0.005
+
+
+@query("anomaly_scores", f"""WITH {P15}, {SQL_NB}, {SQL_CDF}, z AS (SELECT c.sid, c.ts, c.y, {sql_nb_logpmf('y')} AS ll,
+  coalesce(t.cdf, CASE WHEN c.y > mu THEN 1.0 ELSE 0.0 END) AS below, coalesce(1.0 - t.cdf + t.pmf, CASE WHEN c.y > mu THEN 0.0 ELSE 1.0 END) AS above
+  FROM cells c JOIN nb ON c.sid = nb.sid AND c.slot = nb.slot LEFT JOIN table_ t ON t.sid = c.sid AND t.slot = c.slot AND t.k = c.y)
+SELECT sid, ts, y, {rd('ll')} AS loglik, {rd('below')} AS cdf, CAST(least(round(below, 9), round(above, 9)) < {TAIL} AS INTEGER) AS anomalous FROM z""")
 def anomaly_scores(spark, d):
-    """In-sample density of every value; far tails of the fitted normal are flagged."""
+    """Density and distribution function of every value under its cell's negative binomial; values of which as low or
+    as high ones have a probability below 0.005 are flagged."""
     cells = _cells(spark, d)
-    scored = cells.join(M.nb_moments(cells), ["sid", "slot"])
-    cdf = D.gaussian_cdf(F.col("y"), F.col("mu"), F.sqrt(F.nullif("var", F.lit(0.0))))
-    out = scored.select("sid", "ts", "y", D.nb_logpmf(F.col("y"), F.col("mu"), F.col("shape")).alias("loglik"), cdf.alias("cdf"))
-    tail = F.round("cdf", 9)
-    return rounded(out.withColumn("anomalous", ((tail < 0.005) | (tail > 0.995)).cast("int")), "loglik", "cdf")
+    params = materialise(M.nb_moments(cells).select("sid", "slot", "mu", "shape"))
+    known = R.nb_table(params, ["sid", "slot"])
+    scored = cells.withColumn("k", F.col("y").cast("bigint")).join(params, ["sid", "slot"]).join(known, ["sid", "slot", "k"], "left")
+    beyond = F.col("y") > F.col("mu")
+    below = F.coalesce("cdf", F.when(beyond, 1.0).otherwise(0.0))
+    above = F.coalesce(1.0 - F.col("cdf") + F.col("pmf"), F.when(beyond, 0.0).otherwise(1.0))
+    rare = (F.least(F.round(below, 9), F.round(above, 9)) < TAIL).cast("int")
+    out = scored.select("sid", "ts", "y", D.nb_logpmf(F.col("y"), F.col("mu"), F.col("shape")).alias("loglik"), below.alias("cdf"), rare.alias("anomalous"))
+    return rounded(out, "loglik", "cdf")
 
 
 # --- dependence ---------------------------------------------------------------------------------
@@ -251,12 +283,67 @@ def _paths(model):
     return run
 
 
+SQL_TRAIN = f"""e AS (SELECT max(idx) AS b FROM panel), w AS (SELECT b - 95 - 96 * i AS origin FROM e, range(2) r(i)),
+ tr AS (SELECT * FROM cells WHERE idx < (SELECT min(origin) FROM w)),
+ p0 AS (SELECT sid, slot, avg(y) AS mu, var_samp(y) AS var FROM tr GROUP BY 1, 2), params AS (SELECT *, {SHAPE} AS shape FROM p0)"""
+
+
+@query("nb_series_paths", f"""WITH {P15}, {CELLS}, {SQL_TRAIN}, {sql_nb_table('params', 'sid, slot')},
+ f AS (SELECT c.sid, c.slot, w.origin, CAST(c.idx - w.origin + 1 AS INTEGER) AS h, c.ts, CAST(i AS INTEGER) AS sample_id,
+   {sql_uniform('s', 'c.sid', 'w.origin', '(c.idx - w.origin + 1)', 'i')} AS u
+   FROM cells c JOIN w ON c.idx BETWEEN w.origin AND w.origin + 95 CROSS JOIN range(20) r(i))
+SELECT f.sid, f.origin, f.h, f.ts, f.sample_id, CAST(coalesce(min(k) FILTER (cdf >= u), max(k)) AS DOUBLE) AS y_hat
+FROM f JOIN table_ t ON t.sid = f.sid AND t.slot = f.slot GROUP BY 1, 2, 3, 4, 5""")
+def nb_series_paths(spark, d):
+    """Negative-binomial sample paths by inversion of keyed uniforms, so SQL draws the same counts."""
+    return _paths("nb_series")(spark, d)
+
+
+@query("saved_model_paths", ORACLES["nb_series_paths"])
+def saved_model_paths(spark, d):
+    """The same forecast from parameters that were fitted, saved and loaded."""
+    p, s, path = materialise(panel(spark, d)), settings(spark, d), scratch_path(spark, "model")
+    fit, predict = M.FITTED["nb_series"]
+    save_parameters(fit(p, s), path)
+    return M.explode_samples(predict(p, load_parameters(spark, path, ["cells", "series"]), s))
+
+
+@query("lag_linear_paths", f"""WITH {P15}, {CELLS}, e AS (SELECT max(idx) AS b FROM panel), w AS (SELECT b - 95 - 96 * i AS origin FROM e, range(2) r(i)),
+ l AS (SELECT *, lag(y, 96) OVER (PARTITION BY sid ORDER BY idx) AS x FROM cells), tr AS (SELECT * FROM l WHERE idx < (SELECT min(origin) FROM w) AND x IS NOT NULL),
+ line AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM tr), sp AS (SELECT sid, stddev_samp(y - a - line.b * x) AS sd FROM tr, line GROUP BY 1),
+ f AS (SELECT l.sid, w.origin, CAST(l.idx - w.origin + 1 AS INTEGER) AS h, l.ts, CAST(i AS INTEGER) AS sample_id, a + line.b * x AS mu, sd,
+   {sql_uniform('s', 'l.sid', 'w.origin', '(l.idx - w.origin + 1)', 'i')} AS u
+   FROM l JOIN w ON l.idx BETWEEN w.origin AND w.origin + 95 JOIN sp ON sp.sid = l.sid CROSS JOIN line CROSS JOIN range(20) r(i))
+SELECT sid, origin, h, ts, sample_id, {rd(f'mu + sd * {sql_ppf("u")}')} AS y_hat FROM f""")
+def lag_linear_paths(spark, d):
+    """Direct forecasts of a whole horizon from the value one horizon earlier."""
+    return rounded(_paths("lag_linear")(spark, d), "y_hat")
+
+
+ENDS = [("normal", "2024-01-19 23:45:00"), ("event", "2024-01-24 06:00:00"), ("late", "2024-01-30 20:00:00")]
+
+
+@query("scenario_paths", f"""WITH {P15}, {CELLS}, s AS (SELECT * FROM (VALUES {", ".join(f"('{n}', TIMESTAMP '{t}')" for n, t in ENDS)}) v(scenario, test_end)),
+ w AS (SELECT scenario, max(idx) - 95 AS origin FROM s JOIN panel ON ts <= test_end GROUP BY 1),
+ g AS (SELECT scenario, sid, slot, avg(y) AS mu, stddev_samp(y) AS sd FROM cells JOIN w ON idx < origin GROUP BY 1, 2, 3),
+ f AS (SELECT w.scenario, c.sid, w.origin, CAST(c.idx - w.origin + 1 AS INTEGER) AS h, c.ts, CAST(i AS INTEGER) AS sample_id, mu, sd,
+   {sql_uniform('s', 'c.sid', 'w.origin', '(c.idx - w.origin + 1)', 'i')} AS u
+   FROM cells c JOIN w ON c.idx BETWEEN w.origin AND w.origin + 95 JOIN g ON g.sid = c.sid AND g.slot = c.slot AND g.scenario = w.scenario CROSS JOIN range(5) r(i))
+SELECT scenario, sid, origin, h, ts, sample_id, {rd(f'mu + sd * {sql_ppf("u")}')} AS y_hat FROM f""")
+def scenario_paths(spark, d):
+    """A registered model fitted before each named day and forecasting it."""
+    fc = forecast_scenarios(materialise(panel(spark, d)), "gauss", ENDS, settings(spark, d, samples=5))
+    long = fc.select("scenario", "sid", "origin", "h", "ts", F.posexplode("samples").alias("sample_id", "y_hat"))
+    return rounded(long, "y_hat")
+
+
 # random by numpy generators or by MLlib factors: row checks here, invariants in the tests
-for _name in ("nb_series", "nb_share", "gauss_full", "gauss_full_scaled", "gauss_lowrank", "gauss_lowrank_scaled", "copula"):
+for _name in ("nb_share", "gauss_full", "gauss_full_scaled", "gauss_lowrank", "gauss_lowrank_scaled", "copula"):
     query(f"{_name}_paths")(_paths(_name))
 
 
-@query("nb_draw")
+@query("nb_draw", f"""WITH {P15}, {SQL_NB}, {SQL_CDF}, u AS (SELECT sid, slot, CAST(i AS INTEGER) AS sample_id, {sql_uniform('draw', 'sid', 'slot', 'i')} AS u FROM nb, range(100) r(i))
+SELECT sid, slot, sample_id, CAST(coalesce(min(k) FILTER (cdf >= u), max(k)) AS DOUBLE) AS y_hat FROM u JOIN table_ USING (sid, slot) GROUP BY 1, 2, 3""")
 def nb_draw(spark, d):
     """Draws per series and slot."""
     params = M.nb_moments(_cells(spark, d)).select("sid", "slot", "mu", "shape")

@@ -12,7 +12,9 @@ from tallycast.operators import calendar as C
 from tallycast.operators import panel as P
 from tallycast.operators.covariates import replicate_over_series, stack
 from tallycast.operators.instances import mean_scale, violations
-from tallycast.sources.readers import table
+from tallycast.session import scratch_path
+from tallycast.sources.readers import delimited, table
+from tallycast.sources.writers import write_csv, write_panel
 
 P15 = sql_panel()
 
@@ -78,6 +80,24 @@ def csv_roundtrip(spark, d):
     return rounded(parsed.select("r.*"), "value", digits=4)
 
 
+@query("csv_file_scan", f"""SELECT event_id, event_type, {rd('value', 4)} AS value, strftime(ts, '%Y-%m-%d %H:%M') AS time FROM events""")
+def csv_file_scan(spark, d):
+    """Rows written as semicolon files with a header; four of five columns scanned back with a declared schema."""
+    path = scratch_path(spark, "csv")
+    rows = events(spark, d).select("event_id", "event_type", "value", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time"))
+    write_csv(rows, path, ";")
+    schema = "event_id bigint, event_type string, value double, user_id bigint, time string"
+    return rounded(delimited(spark, path, schema, ";", ["event_id", "event_type", "value", "time"]), "value", digits=4)
+
+
+@query("panel_file_scan", f"WITH {P15} SELECT sid, ts, idx, y FROM panel WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
+def panel_file_scan(spark, d):
+    """A panel written by day; the scan of two days reads their folders only."""
+    path = scratch_path(spark, "panel")
+    write_panel(panel(spark, d), path)
+    return spark.read.parquet(path).filter("day >= DATE'2024-01-10' AND day < DATE'2024-01-12'").select("sid", "ts", "idx", "y")
+
+
 @query("compose_ts", r"""WITH k AS (SELECT DISTINCT time_bucket(INTERVAL '30 minutes', ts) AS b FROM events)
 SELECT strftime(b, '%Y-%m-%d') AS date,
   CASE WHEN hour(b) = 0 THEN 24 ELSE hour(b) END + minute(b) / 60.0::DOUBLE AS hr,
@@ -292,10 +312,11 @@ def fourier_attrs_weekly(spark, d):
 
 
 @query("stack_features", f"""WITH {P15} SELECT sid, ts, y, CAST(4 AS INTEGER) AS width, {rd("sin(2.0 * pi() * dayofyear(ts) / 365.0) + hour(ts) / 24.0::DOUBLE + (isodow(ts) - 1) + idx / 1000.0::DOUBLE")} AS feature_sum
-FROM panel WHERE idx < 1440""")
+FROM panel""")
 def stack_features(spark, d):
-    """Covariates of the step stacked into a vector and met by every series; later covariates fall away."""
-    cov = grid(spark, d).filter("idx < 1440").select(
+    """Covariates of the step stacked into a vector and met by every series; those known a day beyond the target fall away."""
+    later = grid(spark, d).withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "idx": F.col("idx") + PER_DAY})
+    cov = grid(spark, d).unionByName(later.filter(F.col("idx") > last(spark, d))).select(
         "ts", C.annual_fourier(F.col("ts"))[0].alias("f1"), (F.hour("ts") / 24.0).alias("f2"), F.weekday("ts").alias("f3"),
         (F.col("idx") / 1000.0).alias("f4"),
     )

@@ -98,9 +98,12 @@ def lgamma(x: Column) -> Column:
     product = x
     for i in range(1, STIRLING_SHIFT):
         product = product * (x + float(i))
-    inverse, square = 1.0 / z, 1.0 / (z * z)
-    series = _poly(tuple(reversed(STIRLING)), square) * inverse
-    return (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(product)
+    return (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + stirling_rest(z) - F.log(product)
+
+
+def stirling_rest(z: Column) -> Column:
+    """ln Gamma(z) minus (z - 1/2) ln z - z + ln(2 pi) / 2, for z >= 7."""
+    return _poly(tuple(reversed(STIRLING)), 1.0 / (z * z)) * (1.0 / z)
 
 
 def norm_cdf(x: Column) -> Column:

@@ -53,7 +53,7 @@ def covariance(panel: DataFrame, codes: DataFrame | None = None, value: str = "y
     """
     spark = panel.sparkSession
     codes = series_codes(panel) if codes is None else codes
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(8, 2 * spark.sparkContext.defaultParallelism)
     moments = panel.groupBy("sid").agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.count("*").alias("_t"))
     attrs = materialise(moments.join(codes, "sid"))
     count, steps = attrs.agg(F.count("*"), F.max("_t")).first()

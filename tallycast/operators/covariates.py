@@ -101,7 +101,7 @@ def onehot(df: DataFrame, columns: Sequence[str], levels: dict[str, Sequence] |
     for c in missing:
         levels[c] = level_list(df, c)
     flags = [
-        F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
+        F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}".replace(".", "_"))
         for c in columns
         for v in sorted(levels[c])[1:]
     ]
@@ -137,5 +137,6 @@ def stack(columns: Sequence[str], out: str = "features") -> Column:
 
 
 def replicate_over_series(panel: DataFrame, covariates: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each series sees the covariates of its step; extra covariate steps fall away."""
-    return panel.join(covariates.select("ts", *columns), "ts")
+    """Each series sees the covariates of its step.  Covariates follow the target: their extra steps fall away, and a
+    step without covariates keeps its target, with NULLs."""
+    return panel.join(covariates.select("ts", *columns), "ts", "left")

@@ -6,11 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallycast.functions.distributions import nb_logpmf
+from tallycast.functions.distributions import nb_logpmf, nb_support
 from tallycast.functions.numeric import hash_normal, hash_uniform
 from tallycast.operators.panel import series_codes
 from tallycast.session import materialise
@@ -28,47 +28,54 @@ def dequantise(value: Column, seed: str, *keys: Column) -> Column:
     return value + hash_uniform(seed, *keys)
 
 
-def nb_table(params: DataFrame, top: Column, keys: list[str]) -> DataFrame:
-    """pmf and cdf of the negative binomial for k = 0 .. top of every parameter row.
+def nb_table(params: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, k, pmf, cdf)`` of the negative binomial (Poisson where ``shape`` is NULL) of every row with ``mu`` and ``shape``.
 
-    The running sum stays inside the row: the pmf array is folded in place instead of windowed.
+    k runs over the support that :func:`nb_support` takes from the row's own mean and spread; the running sum is a
+    window over one distribution's counts.
     """
-    ks = F.sequence(F.lit(0), top.cast("int"))
-    pmf = F.transform(ks, lambda k: F.exp(nb_logpmf(k.cast("double"), F.col("mu"), F.col("shape"))))
-    folded = F.aggregate(
-        F.col("_pmf"),
-        F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("a")),
-        lambda acc, p: F.struct((acc["c"] + p).alias("c"), F.array_append(acc["a"], acc["c"] + p).alias("a")),
-        lambda acc: acc["a"],
-    )
-    nested = params.withColumn("_pmf", pmf).withColumn("_cdf", folded)
-    return nested.select(*keys, F.posexplode(F.arrays_zip("_pmf", "_cdf")).alias("k", "_z")).select(
-        *keys, "k", F.col("_z._pmf").alias("pmf"), F.col("_z._cdf").alias("cdf")
-    )
+    low, top = nb_support(F.col("mu"), F.col("shape"))
+    wide = params.withColumn("k", F.explode(F.sequence(low, top)))
+    pmf = F.exp(nb_logpmf(F.col("k").cast("double"), F.col("mu"), F.col("shape")))
+    mass = wide.select(*keys, "k", F.coalesce(pmf, F.lit(0.0)).alias("pmf"))
+    running = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return mass.withColumn("cdf", F.sum("pmf").over(running))
 
 
-def _generator(key: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=int(key) & 0xFFFFFFFFFFFFFFFF))
+def with_masses(params: DataFrame) -> DataFrame:
+    """Parameter rows with ``_low`` and ``_pmf``, the masses from the count ``_low`` on; done once per cell, before
+    rows to draw for are joined."""
+    low, top = nb_support(F.col("mu"), F.col("shape"))
+    mass = F.transform(F.sequence(low, top), lambda k: F.coalesce(F.exp(nb_logpmf(k.cast("double"), F.col("mu"), F.col("shape"))), F.lit(0.0)))
+    return params.withColumn("_low", low).withColumn("_pmf", mass)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _nb_array(key: pd.Series, mu: pd.Series, shape: pd.Series, n: pd.Series) -> pd.Series:
+def _invert(uniform: pd.Series, low: pd.Series, pmf: pd.Series) -> pd.Series:
+    """Least counts whose distribution function reaches the uniforms, the table's last count beyond it."""
     out = []
-    for k, m, r, size in zip(key, mu, shape, n):
-        out.append(np.zeros(size) if m <= 0 else _generator(k).negative_binomial(r, r / (r + m), size).astype(float))
+    for u, k, p in zip(uniform, low, pmf):
+        cdf = np.cumsum(p)
+        out.append(k + np.minimum(np.searchsorted(cdf, u), len(cdf) - 1).astype(float))
     return pd.Series(out)
 
 
 def nb_samples(df: DataFrame, samples: int, seed: str, keys: list[str], at_least_one: bool = False) -> DataFrame:
-    """``samples`` array of negative-binomial draws per row with ``mu`` and ``shape``.
+    """``samples`` array of negative-binomial draws per row with ``mu`` and ``shape``, by inversion of keyed uniforms.
 
-    ``at_least_one`` replaces zeros by 1, the rule for totals that are to be split.
+    A row that comes from :func:`with_masses` is not tabulated again.  ``at_least_one`` replaces zeros by 1, the
+    rule for totals that are to be split.
     """
-    key = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    drawn = _nb_array(key, F.col("mu"), F.col("shape"), F.lit(samples))
+    ready = df if "_pmf" in df.columns else with_masses(df)
+    uniforms = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: hash_uniform(seed, *[F.col(k) for k in keys], i))
+    drawn = _invert(uniforms, F.col("_low"), F.col("_pmf"))
     if at_least_one:
         drawn = F.transform(drawn, lambda v: F.greatest(v, F.lit(1.0)))
-    return df.withColumn("samples", drawn)
+    return ready.withColumn("samples", drawn).drop("_low", "_pmf")
+
+
+def _generator(key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=int(key) & 0xFFFFFFFFFFFFFFFF))
 
 
 def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -61,7 +61,7 @@ def densify(
     in two steps: index blocks first, spread over a fixed number of partitions, then the steps of a block.
     """
     limits = bounds.select(F.struct(F.col("a"), step_index(F.col("a"), F.col("b"), minutes).alias("n"))).scalar()
-    width = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(8, 2 * series.sparkSession.sparkContext.defaultParallelism)
     blocks = (
         series.select("sid", limits.alias("_lim"))
         .select("sid", "_lim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lim.n"), F.lit(GRID_BLOCK).cast("long"))).alias("_from"))

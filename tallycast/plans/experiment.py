@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from dataclasses import fields, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.operators.panel import step_index
-from tallycast.plans.forecast import forecast
+from tallycast.plans.forecast import Settings, forecast
 from tallycast.plans.metrics import aggregate_metrics, headline, item_metrics, scored_rows, sum_over_series
 from tallycast.plans.params import Params
-from tallycast.plans.sweep import pending, run_label
+from tallycast.plans.sweep import pending, run_label, stacked
 from tallycast.session import materialise
 from tallycast.sources.writers import write_metrics
 
@@ -33,12 +34,28 @@ def run(panel: DataFrame, params: Params, rep: int = 0) -> DataFrame:
     return evaluate(materialise(forecasts))
 
 
+def forecast_scenarios(panel: DataFrame, model: str, scenarios: Sequence[tuple[str, str]], settings: Settings) -> DataFrame:
+    """Forecasts of a registered model for the last horizon up to each named end, with ``scenario``.
+
+    The fit of a scenario sees the rows before its horizon only.  The few names are a declared list; the forecasts are
+    one plan, and a panel is read once per scenario up to its end.
+    """
+    parts = []
+    for name, end in scenarios:
+        until = panel.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+        last = until.agg(F.max("idx")).first()[0]
+        if last is not None:
+            horizon = settings.rolling.horizon
+            rolling = replace(settings.rolling, windows=1, test_start=int(last) - horizon + 1)
+            parts.append(forecast(model, until, replace(settings, rolling=rolling, last=int(last))).withColumn("scenario", F.lit(name)))
+    return stacked(parts)
+
+
 def label_of(panel: DataFrame, params: Params, rep: int) -> str:
-    """The run's label as text."""
-    column = run_label(*[F.lit(v) for v in (
-        params.model, rep, params.profile, params.learning_rate, params.layers, params.epochs, params.dropout, params.cells,
-        params.cells1, params.cells2)])
-    return panel.sparkSession.range(1).select(column).first()[0]
+    """A run's id: the first 16 hexadecimal digits of the SHA-256 of all its settings, short enough for a folder name."""
+    values = {f.name: getattr(params, f.name) for f in fields(params)}
+    column = run_label(rep=F.lit(rep), **{k: F.lit(",".join(map(str, v)) if isinstance(v, tuple) else v) for k, v in values.items()})
+    return panel.sparkSession.range(1).select(F.substring(F.sha2(column, 256), 1, 16)).first()[0]
 
 
 def run_pending(panel: DataFrame, runs: Iterable[tuple[Params, int]], path: str) -> DataFrame:

@@ -56,6 +56,7 @@ class StationInputs:
     counters: dict[str, Sequence[int]]  # levels of each counter column
     zones: Sequence[str] = ()
     branches: Sequence[str] = ()
+    service_levels: Sequence[float] = ()
     off_days: Sequence[str] = ()
     off_ranges: Sequence[tuple[str, str]] = ()
     concerts: Sequence[str] = field(default_factory=tuple)  # the counters that weigh as concerts
@@ -64,8 +65,8 @@ class StationInputs:
 def station_features(times: DataFrame, inputs: StationInputs, profile: str = "forts") -> DataFrame:
     """All covariates of the station data with their weights ``w_*``.
 
-    Service levels stay numeric (a level per branch); :func:`onehot` turns them into indicator columns when
-    their few levels are declared.
+    Service levels become indicator columns per branch when their few levels are declared, and stay a number per
+    branch otherwise; their weights come from the numbers either way.
     """
     weights = WEIGHT_PROFILES[profile]
     i = inputs
@@ -89,6 +90,8 @@ def station_features(times: DataFrame, inputs: StationInputs, profile: str = "fo
     by_branch = pivot_mean(level, ["date", "hr"], "branch", "value", i.branches)
     out = attach(out, by_branch, ["date", "hr"], list(i.branches), fill=1.0)
     out = out.withColumns({f"w_{b}": excess_weight(F.col(b), weights.service) for b in i.branches})
+    if i.service_levels:
+        out = onehot(out, list(i.branches), {b: i.service_levels for b in i.branches})
     return out.drop("date", "hr", "hrr", "day")
 
 

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallycast.functions.distributions import SHAPE_CAP, nb_shape
+from tallycast.functions.distributions import nb_shape
 from tallycast.functions.numeric import hash_normal, safe_div
 from tallycast.operators.covariance import factor_model
-from tallycast.operators.draws import dm_split, factor_noise, nb_samples
-from tallycast.operators.instances import MINIMUM_SCALE
+from tallycast.operators.draws import dm_split, factor_noise, nb_samples, with_masses
+from tallycast.operators.instances import MINIMUM_SCALE, lag_features
 from tallycast.operators.marginal import empirical_quantile, sorted_recent, to_gaussian
 from tallycast.operators.panel import last_index, totals
 from tallycast.plans.backtest import Rolling, context_rows, forecast_rows, train_rows
@@ -85,6 +85,24 @@ def nb_moments(panel: DataFrame, keys=("sid", "slot"), value: str = "y") -> Data
     return cell.withColumn("shape", nb_shape(F.col("mu"), F.col("var")))
 
 
+def with_cells(rows: DataFrame, cells: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the masses of their (keys, slot) cell's negative binomial, for :func:`nb_samples`.
+
+    ``cells`` and ``whole`` are the moments per (keys, slot) and per keys.  A cell without training rows takes the
+    moments of all slots together, and mean 0 where there are none at all, so no row to forecast is lost.
+    """
+    names = ["_low", "_pmf"]
+    cell = with_masses(cells.select(*keys, "slot", "mu", "shape")).select(*keys, "slot", *names)
+    pooled = with_masses(whole.select(*keys, "mu", "shape")).select(*keys, *[F.col(c).alias(f"_whole{c}") for c in names])
+    joined = rows.join(cell, [*keys, "slot"], "left")
+    if keys:
+        joined = joined.join(pooled, keys, "left")
+    else:  # one row
+        joined = joined.withColumn("_one", pooled.select(F.struct("*")).scalar()).select("*", "_one.*").drop("_one")
+    zero = {"_low": F.lit(0).cast("bigint"), "_pmf": F.array(F.lit(1.0))}
+    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_whole{c}"), zero[c]) for c in names}).drop(*[f"_whole{c}" for c in names])
+
+
 def gaussian_moments(panel: DataFrame, keys=("sid", "slot"), value: str = "y") -> DataFrame:
     return panel.groupBy(*keys).agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sd"), F.count("*").alias("n"))
 
@@ -99,15 +117,24 @@ def dirichlet_moments(panel: DataFrame) -> DataFrame:
     """Concentrations ``(slot, sid, alpha)`` from mean and variance of the series' shares of the total.
 
     alpha0 = sum m(1-m) / sum v - 1 over the series of a slot, alpha = alpha0 * m, floored so that a series
-    unseen in a slot keeps a positive weight.  Steps with total 0 have no shares and are left out.
+    unseen in a slot keeps a positive weight.  Steps with total 0 have no shares and are left out; a cell of a slot
+    with such steps only takes the concentration of all slots together, and 1 where no step has a total.
     """
     share = with_total(panel).filter("total != 0").withColumn("share", F.col("y") / F.col("total"))
-    cell = share.groupBy("slot", "sid").agg(F.avg("share").alias("m"), F.var_samp("share").alias("v"))
-    pooled = cell.groupBy("slot").agg(
-        (safe_div(F.sum(F.col("m") * (1.0 - F.col("m"))), F.sum("v")) - 1.0).alias("_a")
-    )
-    alpha0 = F.least(F.greatest(F.coalesce(F.col("_a"), F.lit(ALPHA_TOTAL_CAP)), F.lit(ALPHA_FLOOR)), F.lit(ALPHA_TOTAL_CAP))
-    return cell.join(pooled, "slot").select("slot", "sid", F.greatest(alpha0 * F.col("m"), F.lit(ALPHA_FLOOR)).alias("alpha"))
+
+    def alphas(*by: str) -> DataFrame:
+        cell = share.groupBy(*by, "sid").agg(F.avg("share").alias("m"), F.var_samp("share").alias("v"))
+        pooled = cell.groupBy(*by).agg(
+            (safe_div(F.sum(F.col("m") * (1.0 - F.col("m"))), F.sum("v")) - 1.0).alias("_a")
+        )
+        alpha0 = F.least(F.greatest(F.coalesce(F.col("_a"), F.lit(ALPHA_TOTAL_CAP)), F.lit(ALPHA_FLOOR)), F.lit(ALPHA_TOTAL_CAP))
+        both = cell.join(pooled, list(by)) if by else cell.withColumn("_a", pooled.scalar())
+        return both.select(*by, "sid", F.greatest(alpha0 * F.col("m"), F.lit(ALPHA_FLOOR)).alias("alpha"))
+
+    cells = panel.select("slot", "sid").distinct()
+    whole = alphas().withColumnRenamed("alpha", "_whole")
+    filled = cells.join(alphas("slot"), ["slot", "sid"], "left").join(whole, "sid", "left")
+    return filled.select("slot", "sid", F.coalesce("alpha", "_whole", F.lit(1.0)).alias("alpha"))
 
 
 # --- forecasters --------------------------------------------------------------------------------
@@ -152,20 +179,59 @@ def _level_factor(train: DataFrame, rows: DataFrame, panel: DataFrame, s: Settin
     return scaled.withColumn("_f", F.col("scale") / F.col("_level")).drop("scale", "_level")
 
 
+def nb_series_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Moments of every series and slot, and of every series."""
+    train, _ = _parts(panel, s)
+    names = ["mu", "shape"]
+    return {"cells": nb_moments(train).select("sid", "slot", *names), "series": nb_moments(train, ["sid"]).select("sid", *names)}
+
+
+def nb_series_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings) -> DataFrame:
+    _, rows = _parts(panel, s)
+    drawn = nb_samples(with_cells(rows, tables["cells"], tables["series"], ["sid"]), s.samples, s.seed, ["sid", "origin", "h"])
+    return _finish(drawn, s)
+
+
 def nb_series(panel: DataFrame, s: Settings) -> DataFrame:
     """Independent negative binomial per series and slot."""
-    train, rows = _parts(panel, s)
-    params = nb_moments(train).select("sid", "slot", "mu", "shape")
-    return _finish(nb_samples(rows.join(params, ["sid", "slot"]), s.samples, s.seed, ["sid", "origin", "h"]), s)
+    return nb_series_predict(panel, nb_series_fit(panel, s), s)
+
+
+def _lagged(panel: DataFrame, s: Settings) -> DataFrame:
+    return lag_features(panel, [s.rolling.horizon]).withColumnRenamed(f"lag_{s.rolling.horizon}", "_x")
+
+
+def lag_linear_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Least squares of a value on the one a horizon earlier over all series, and each series' spread around the line."""
+    train = train_rows(_lagged(panel, s), s.rolling, s.last).filter("_x IS NOT NULL")
+    line = materialise(train.agg(F.regr_intercept("y", "_x").alias("intercept"), F.regr_slope("y", "_x").alias("slope")), "line")
+    one = line.select(F.struct("*")).scalar()
+    left = train.withColumn("_l", one).withColumn("_e", F.col("y") - F.col("_l.intercept") - F.col("_l.slope") * F.col("_x"))
+    return {"line": line, "spread": left.groupBy("sid").agg(F.stddev_samp("_e").alias("sd"))}
+
+
+def lag_linear_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings) -> DataFrame:
+    """All steps of a horizon at once: the value a horizon earlier is known at the origin for each of them.
+
+    A series the fit has not seen has spread 0; a row without that earlier value takes the intercept alone.
+    """
+    rows = forecast_rows(_lagged(panel, s), s.rolling, s.last).withColumn("_l", tables["line"].select(F.struct("*")).scalar())
+    ready = rows.join(tables["spread"], "sid", "left")
+    mean = F.col("_l.intercept") + F.coalesce(F.col("_l.slope") * F.col("_x"), F.lit(0.0))
+    return _finish(ready.withColumn("samples", _normal_array(mean, F.coalesce("sd", F.lit(0.0)), s)), s)
+
+
+def lag_linear(panel: DataFrame, s: Settings) -> DataFrame:
+    """Direct multi-step forecast from the lag of one horizon."""
+    return lag_linear_predict(panel, lag_linear_fit(panel, s), s)
 
 
 def nb_share(panel: DataFrame, s: Settings) -> DataFrame:
     """Negative binomial for the total, Dirichlet-multinomial split over the series (the headline model)."""
     train, rows = _parts(panel, s)
     total_train = with_slot(totals(train), s.slot_kind, s.minutes)
-    params = nb_moments(total_train, ["slot"], "total").select("slot", "mu", "shape")
     steps = rows.select("roll", "origin", "h", "idx", "slot").distinct()
-    drawn = nb_samples(steps.join(params, "slot"), s.samples, s.seed, ["origin", "h"], at_least_one=True)
+    drawn = nb_samples(with_cells(steps, nb_moments(total_train, ["slot"], "total"), nb_moments(total_train, [], "total"), []), s.samples, s.seed, ["origin", "h"], at_least_one=True)
     draws = drawn.select("origin", "h", "slot", F.posexplode("samples").alias("sample_id", "total"))
     split = dm_split(draws, dirichlet_moments(train), ["origin", "h", "slot", "sample_id"], "slot", s.seed)
     arrays = split.groupBy("sid", "origin", "h").agg(
@@ -229,6 +295,7 @@ def forecast(model: str, panel: DataFrame, s: Settings) -> DataFrame:
 MODELS: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {
     "nb_share": nb_share,
     "nb_series": nb_series,
+    "lag_linear": lag_linear,
     "gauss": gauss_independent,
     "gauss_scaled": lambda p, s: gauss_independent(p, s, scaled=True),
     "gauss_full": lambda p, s: gauss_factors(p, s, full=True),
@@ -239,6 +306,13 @@ MODELS: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {
 }
 
 
+# forecasters whose fit is a set of tables that can be saved (:func:`tallycast.sources.writers.save_parameters`), loaded and used later
+FITTED: dict[str, tuple[Callable[[DataFrame, Settings], dict[str, DataFrame]], Callable[..., DataFrame]]] = {
+    "nb_series": (nb_series_fit, nb_series_predict),
+    "lag_linear": (lag_linear_fit, lag_linear_predict),
+}
+
+
 def lag_regression(train: DataFrame, inputs: list[str], label: str = "y", family: str = "gaussian"):
     """Linear or Poisson regression of a value on scaled lags, covariates and static features (MLlib)."""
     from pyspark.ml.feature import VectorAssembler

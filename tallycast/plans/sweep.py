@@ -29,16 +29,10 @@ def repeated(df: DataFrame, times: int = REPETITIONS) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
-def run_label(model: Column, rep: Column, profile: Column, lr: Column, layers: Column, epochs: Column, dropout: Column,
-              cells: Column, cells1: Column, cells2: Column, split_model: str = "nb_share") -> Column:
-    """Settings as text; the split model names its two cell counts, the others their single one."""
-    head = F.concat(
-        rep.cast("string"), F.lit("_poids:"), profile, F.lit("_lr:"), lr.cast("string"), F.lit("_n_layers:"), layers.cast("string"),
-        F.lit("_epochs:"), epochs.cast("string"), F.lit("_dropout:"), dropout.cast("string"), F.lit("_lr:"), lr.cast("string"),
-    )
-    pair = F.concat(F.lit("_nbcells1:"), cells1.cast("string"), F.lit("nbcells2:"), cells2.cast("string"))
-    single = F.concat(F.lit("_nbcells:"), cells.cast("string"))
-    return F.concat(head, F.when(model == split_model, pair).otherwise(single))
+def run_label(**settings: Column) -> Column:
+    """The settings that distinguish a run as sorted ``name=value`` pairs; a NULL one does not apply and is left out."""
+    parts = [F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in sorted(settings.items())]
+    return F.concat_ws(";", *parts)
 
 
 def pending(runs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -74,7 +74,7 @@ def test_forecast_and_parameters_survive_a_round_trip(spark, tmp_path):
 
 def test_materialise_cuts_lineage(spark):
     df = materialise(spark.range(10).withColumn("x", F.col("id") * 2))
-    assert df.count() == 10 and "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 10 and "Scan parquet" in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stream_buckets_equal_batch_buckets(spark, tmp_path):

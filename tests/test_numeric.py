@@ -52,7 +52,19 @@ def test_nb_pmf_sums_to_one_and_matches_moments(spark):
 def test_nb_shape_rules(spark):
     rows = spark.createDataFrame([(4.0, 8.0), (4.0, 4.0), (4.0, 2.0), (4.0, 4.0000001), (0.0, 0.0)], "m double, v double")
     got = [r[0] for r in rows.select(D.nb_shape(F.col("m"), F.col("v"))).collect()]
-    assert got == [4.0, 1e4, 1e4, 1e4, 1e4]
+    assert got[0] == 4.0 and got[1:3] == [None, None] and got[3] == pytest.approx(1.6e8, rel=1e-6) and got[4] is None
+
+
+def test_large_shapes_are_not_capped(spark):
+    """Mean 1e6 and variance 2e6 give r = 1e6; the density then has that variance."""
+    k = np.arange(990_000, 1_010_001, dtype=float)
+    p = np.exp(column(spark, k, lambda y: D.nb_logpmf(y, F.lit(1e6), D.nb_shape(F.lit(1e6), F.lit(2e6)))))
+    assert p.sum() == pytest.approx(1.0, abs=1e-7)
+    assert ((k - 1e6) ** 2 * p).sum() == pytest.approx(2e6, rel=1e-5)
+    near = column(spark, [0.0, 3.0, 40.0], lambda y: D.nb_logpmf(y, F.lit(7.0), F.lit(1e13)))
+    assert near == pytest.approx(column(spark, [0.0, 3.0, 40.0], lambda y: D.poisson_logpmf(y, F.lit(7.0))), abs=1e-9)
+    both = [column(spark, [0.0, 5.0], lambda y, r=r: D.nb_logpmf(y, F.lit(3.0), F.lit(r))) for r in (9.999999999, 10.0)]
+    assert both[0] == pytest.approx(both[1], abs=1e-8)
 
 
 def test_hash_noise_is_uniform_and_normal(spark):

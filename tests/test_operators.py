@@ -353,6 +353,19 @@ def test_split_adds_up_and_has_dirichlet_multinomial_moments(spark, fan_out):
 
 def test_pmf_table_matches_closed_form(spark):
     df = spark.createDataFrame([("a", 2.0, 1.0)], "sid string, mu double, shape double")
-    t = R.nb_table(df, F.lit(60), ["sid"]).orderBy("k").toPandas()
-    want = (1 / 3) * (2 / 3) ** np.arange(61)  # shape 1 is geometric
+    t = R.nb_table(df, ["sid"]).orderBy("k").toPandas()
+    want = (1 / 3) * (2 / 3) ** np.arange(len(t))  # shape 1 is geometric
     assert t.pmf.to_numpy() == pytest.approx(want) and t.cdf.to_numpy() == pytest.approx(np.cumsum(want))
+    assert t.cdf.max() == pytest.approx(1.0, abs=1e-10)
+
+
+@pytest.mark.parametrize("mean, shape", [(1e6, 1e6), (1e6, 50.0), (1e6, None), (0.01, 0.001), (3e4, 1e12)])
+def test_support_holds_the_mass_at_any_size(spark, mean, shape):
+    df = spark.createDataFrame([("a", mean, shape)], "sid string, mu double, shape double")
+    t = R.nb_table(df, ["sid"]).toPandas()
+    variance = mean + (mean * mean / shape if shape else 0.0)
+    assert t.pmf.sum() == pytest.approx(1.0, abs=1e-7)
+    assert (t.k * t.pmf).sum() == pytest.approx(mean, rel=1e-6)
+    assert ((t.k - mean) ** 2 * t.pmf).sum() == pytest.approx(variance, rel=1e-5)
+    drawn = np.array(R.nb_samples(df, 2000, "n", ["sid"]).first().samples)
+    assert abs(drawn.mean() - mean) < 5 * math.sqrt(variance / 2000)

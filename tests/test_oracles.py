@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, con, name):
     assert compare(spark, con, name, FOLDER, QUERIES[name], ORACLES[name]) is None
 
 
-RANDOM = ["nb_draw", "nb_share_paths", "gauss_lowrank_paths", "poisson_regression"]
+RANDOM = ["nb_share_paths", "gauss_lowrank_paths", "poisson_regression"]
 
 
 @pytest.mark.parametrize("name", RANDOM)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import T0, make_panel
 
+from tallycast.operators.covariates import replicate_over_series
 from tallycast.plans import backtest as B
 from tallycast.plans import features as T
 from tallycast.plans import forecast as M
@@ -214,10 +215,28 @@ def test_grid_labels_and_resume(spark):
     base = spark.createDataFrame([("nb_share",), ("gauss",)], "model string")
     grid = S.repeated(S.with_grid(S.with_cell_pairs(base), dropout=list(S.DROPOUTS)))
     assert grid.count() == 2 * 6 * 2 * 6
-    label = S.run_label(F.col("model"), F.col("rep"), F.lit("forts"), F.lit(0.001), F.lit(2), F.lit(150), F.col("dropout"), F.lit(40), F.col("cells1"), F.col("cells2"))
+    pair = F.col("model") == "nb_share"
+    label = S.run_label(model=F.col("model"), rep=F.col("rep"), dropout=F.col("dropout"), cells2=F.when(pair, F.col("cells2")), cells1=F.when(pair, F.col("cells1")))
     labels = {r[0] for r in grid.select(label).collect()}
-    assert "3_poids:forts_lr:0.001_n_layers:2_epochs:150_dropout:0.05_lr:0.001_nbcells1:64nbcells2:16" in labels
-    assert "0_poids:forts_lr:0.001_n_layers:2_epochs:150_dropout:0.1_lr:0.001_nbcells:40" in labels
+    assert "cells1=64;cells2=16;dropout=0.05;model=nb_share;rep=3" in labels
+    assert "dropout=0.1;model=gauss;rep=0" in labels
     done = grid.filter("rep < 2")
     assert S.pending(grid, done, ["model", "cells1", "cells2", "dropout", "rep"]).count() == 2 * 6 * 2 * 4
     assert S.stacked([base, base.withColumn("x", F.lit(1))]).count() == 4
+
+
+def test_a_silent_slot_keeps_its_forecast_rows(spark):
+    """Two series that are 0 in half of every day: every row to forecast gets samples from either count model."""
+    hours = [10.0 if (i // 48) % 2 else 0.0 for i in range(96 * 6)]
+    p = make_panel(spark, {"a": hours, "b": hours})
+    spec = B.Rolling(horizon=96, step=96, windows=1, test_start=96)
+    for model in ("nb_share", "nb_series"):
+        got = M.forecast(model, p, M.Settings(rolling=spec, samples=5, last=96 * 6 - 1)).collect()
+        assert len(got) == 2 * 96 and all(len(r.samples) == 5 for r in got)
+
+
+def test_covariates_follow_the_target(spark):
+    p = make_panel(spark, {"a": range(4)})
+    cov = spark.range(1, 9).selectExpr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 15 * CAST(id AS INT)) AS ts", "id AS x")
+    got = replicate_over_series(p, cov, ["x"]).orderBy("ts").collect()
+    assert [r.x for r in got] == [None, 1, 2, 3]
