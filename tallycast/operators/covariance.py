@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallycast.functions.numeric import hash_normal
 from tallycast.operators.panel import series_codes
 from tallycast.session import materialise
 
-if TYPE_CHECKING:
-    from pyspark.ml.feature import PCAModel
-
 DIM_BLOCK = 256
+ITERATIONS = 6
 
 
 def step_vectors(coded: DataFrame, value: str, width: int) -> DataFrame:
@@ -76,32 +74,57 @@ def covariance(panel: DataFrame, codes: DataFrame | None = None, value: str = "y
     return pair.join(a, "code_a").join(b, "code_b").select("sid_a", "sid_b", "cov", corr.alias("corr"))
 
 
+def _combined(column: str, matrix: np.ndarray) -> Column:
+    """The array column times a small matrix, as an array of sums of products."""
+    return F.array(*[
+        sum((F.col(column)[i] * float(matrix[i, j]) for i in range(matrix.shape[0])), F.lit(0.0)) for j in range(matrix.shape[1])
+    ])
+
+
+def _products(table: DataFrame, column: str, rank: int) -> np.ndarray:
+    """Sum of the outer products of an array column: ``rank`` squared numbers, whatever the number of rows."""
+    pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
+    row = table.agg(*[F.sum(F.col(column)[i] * F.col(column)[j]) for i, j in pairs]).first()
+    out = np.zeros((rank, rank))
+    for (i, j), value in zip(pairs, row):
+        out[i, j] = out[j, i] = value or 0.0
+    return out
+
+
 def factor_model(
-    panel: DataFrame, rank: int, value: str = "y", codes: DataFrame | None = None, max_series: int = 4096
+    panel: DataFrame, rank: int, value: str = "y", iterations: int = ITERATIONS, seed: str = "factors"
 ) -> tuple[DataFrame, DataFrame]:
     """Low-rank plus diagonal covariance: ``(sid, loadings array)`` and ``(sid, diag)``.
 
-    Principal components come from MLlib, which adds up the covariance of the step vectors on the
-    executors; ``max_series`` guards the dense matrix it forms.  MLlib reads its input several times, so
-    the vectors are written once.
+    Leading eigenvectors of the sample covariance by subspace iteration: a keyed random start, ``iterations`` rounds of
+    series to steps (sums over the series of a step) and back, an orthonormal basis in between, and a last rotation.
+    Both directions are equi-joins and grouped sums of short arrays with map-side combine; only rank x rank products
+    come to the driver, so neither series nor steps are bounded.  A rank of at least the number of series gives
+    the whole covariance, of which the size is D x D by nature.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    spark = panel.sparkSession
-    codes = materialise(series_codes(panel) if codes is None else codes)
-    variance = materialise(panel.groupBy("sid").agg(F.var_samp(value).alias("var")))
-    count, total = codes.join(variance, "sid").agg(F.count("*"), F.sum("var")).first()
-    if count > max_series:
-        raise ValueError(f"{count} series: group them before fitting factors (limit {max_series})")
-    rank = min(rank, count)
-    coded = panel.join(codes, "sid").select("ts", "code", value)
-    vectors = materialise(step_vectors(coded, value, count).select(array_to_vector("vec").alias("features")))
-    model: PCAModel = PCA(k=rank, inputCol="features", outputCol="pc").fit(vectors)
-    scale = np.sqrt(np.maximum(model.explainedVariance.toArray() * total, 0.0))
-    loadings = model.pc.toArray() * scale  # D x rank, both bounded above
-    rows = [(d, [float(v) for v in loadings[d]]) for d in range(count)]
-    table = spark.createDataFrame(rows, "code long, loadings array<double>").join(codes, "code").select("sid", "loadings")
+    moments = materialise(panel.groupBy("sid").agg(F.avg(value).alias("_mean"), F.var_samp(value).alias("var"), F.count("*").alias("_t")), "moments")
+    count, steps = moments.agg(F.count("*"), F.max("_t")).first()
+    rank = min(rank, count, max(1, (steps or 2) - 1)) if count else 0
+    if not rank:
+        none = moments.select("sid", F.array().cast("array<double>").alias("loadings"))
+        return none, moments.select("sid", F.coalesce("var", F.lit(0.0)).alias("diag"))
+    centred = materialise(panel.join(moments, "sid").select("ts", "sid", (F.col(value) - F.col("_mean")).alias("c")), "centred")
+
+    def summed(table: DataFrame, on: str, by: str, column: str, out: str) -> DataFrame:
+        parts = [F.sum(F.col("c") * F.col(column)[j]) for j in range(rank)]
+        return centred.join(table, on).groupBy(by).agg(F.array(*parts).alias(out))
+
+    basis = moments.select("sid", F.array(*[hash_normal(seed, F.col("sid"), F.lit(j)) for j in range(rank)]).alias("q"))
+    for _ in range(iterations if rank < count else 1):
+        wide = materialise(summed(summed(basis, "sid", "ts", "q", "z"), "ts", "sid", "z", "w"), "factors")
+        values, vectors = np.linalg.eigh(_products(wide, "w", rank))
+        kept = values > max(values.max(), 0.0) * 1e-12
+        root = np.where(kept, 1.0 / np.sqrt(np.where(kept, values, 1.0)), 0.0)
+        basis = wide.select("sid", _combined("w", vectors * root).alias("q"))
+    basis = materialise(basis, "basis")
+    values, vectors = np.linalg.eigh(_products(summed(basis, "sid", "ts", "q", "z"), "z", rank) / max(1, steps - 1))
+    turned = vectors[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0))
+    table = materialise(basis.select("sid", _combined("q", turned).alias("loadings")), "loadings")
     explained = F.aggregate("loadings", F.lit(0.0), lambda acc, v: acc + v * v)
-    diag = variance.join(table, "sid").select("sid", F.greatest(F.col("var") - explained, F.lit(0.0)).alias("diag"))
+    diag = moments.join(table, "sid").select("sid", F.greatest(F.coalesce("var", F.lit(0.0)) - explained, F.lit(0.0)).alias("diag"))
     return table, diag

@@ -140,19 +140,33 @@ def gaussian_draw(mean: Column, sd: Column, seed: str, *keys: Column) -> Column:
     return mean + sd * hash_normal(seed, *keys)
 
 
+def with_step_normals(rows: DataFrame, samples: int, seed: str, step_keys: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_normals``, the factor normals of their step: one array per sample, one number per factor.
+
+    They depend on (factor, step, sample) only and are drawn once per step, then met by an equi-join.
+    """
+    width = rows.agg(F.max(F.size("loadings"))).scalar()
+    width = F.coalesce(width, F.lit(0))
+    factors = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
+    step = [F.col(k) for k in step_keys]
+    drawn = F.transform(
+        F.sequence(F.lit(0), F.lit(samples - 1)),
+        lambda i: F.transform("_k", lambda k: hash_normal(seed, F.lit("factor"), k, *step, i)),
+    )
+    steps = rows.select(*step_keys).distinct().withColumn("_k", factors).withColumn("_normals", drawn).drop("_k")
+    return rows.join(steps, list(step_keys))
+
+
 def factor_noise(samples: int, seed: str, step_keys: Sequence[str]) -> Column:
-    """Array of correlated zero-mean draws of a row with ``sid``, ``loadings`` and ``diag``.
+    """Array of correlated zero-mean draws of a row with ``sid``, ``loadings``, ``diag`` and ``_normals``.
 
-    Sample i of a step shares its factor normals with all series of that step, because the noise is keyed by
-    (factor, step, i) only; nothing has to be joined or gathered to correlate the series.
+    Sample i of a step shares its factor normals with all series of that step; nothing is gathered per step.
     """
     step = [F.col(k) for k in step_keys]
-    weighted = F.transform("loadings", lambda v, k: F.struct(v.alias("v"), k.alias("k")))
 
     def draw(i: Column) -> Column:
-        common = F.aggregate(
-            weighted, F.lit(0.0), lambda acc, z: acc + z["v"] * hash_normal(seed, F.lit("factor"), z["k"], *step, i)
-        )
+        shared = F.zip_with("loadings", F.slice(F.col("_normals")[i], 1, F.size("loadings")), lambda v, z: v * z)
+        common = F.aggregate(shared, F.lit(0.0), lambda acc, v: acc + v)
         return common + F.sqrt("diag") * hash_normal(seed, F.lit("own"), F.col("sid"), *step, i)
 
     return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), draw)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallycast.functions.distributions import nb_shape
 from tallycast.functions.numeric import hash_normal, safe_div
 from tallycast.operators.covariance import factor_model
-from tallycast.operators.draws import dm_split, factor_noise, nb_samples, with_masses
+from tallycast.operators.draws import dm_split, factor_noise, nb_samples, with_masses, with_step_normals
 from tallycast.operators.instances import MINIMUM_SCALE, lag_features
 from tallycast.operators.marginal import empirical_quantile, sorted_recent, to_gaussian
 from tallycast.operators.panel import last_index, totals
@@ -113,8 +113,8 @@ def with_total(panel: DataFrame) -> DataFrame:
     return panel.join(totals(panel).select("idx", "total"), "idx")
 
 
-def dirichlet_moments(panel: DataFrame) -> DataFrame:
-    """Concentrations ``(slot, sid, alpha)`` from mean and variance of the series' shares of the total.
+def dirichlet_moments(panel: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Concentrations ``(slot, sid, alpha)`` of the panel's cells, or of the distinct ``cells`` (slot, sid), from mean and variance of the series' shares of the total.
 
     alpha0 = sum m(1-m) / sum v - 1 over the series of a slot, alpha = alpha0 * m, floored so that a series
     unseen in a slot keeps a positive weight.  Steps with total 0 have no shares and are left out; a cell of a slot
@@ -131,7 +131,7 @@ def dirichlet_moments(panel: DataFrame) -> DataFrame:
         both = cell.join(pooled, list(by)) if by else cell.withColumn("_a", pooled.scalar())
         return both.select(*by, "sid", F.greatest(alpha0 * F.col("m"), F.lit(ALPHA_FLOOR)).alias("alpha"))
 
-    cells = panel.select("slot", "sid").distinct()
+    cells = panel.select("slot", "sid").distinct() if cells is None else cells
     whole = alphas().withColumnRenamed("alpha", "_whole")
     filled = cells.join(alphas("slot"), ["slot", "sid"], "left").join(whole, "sid", "left")
     return filled.select("slot", "sid", F.coalesce("alpha", "_whole", F.lit(1.0)).alias("alpha"))
@@ -173,10 +173,19 @@ def origin_scale(panel: DataFrame, s: Settings) -> DataFrame:
 
 
 def _level_factor(train: DataFrame, rows: DataFrame, panel: DataFrame, s: Settings) -> DataFrame:
-    """``_f``: how much higher the context before the origin lies than the training rows of the series."""
+    """``_f``: how much higher the context before the origin lies than the training rows of the series; 1 without either."""
     level = train.groupBy("sid").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("_level"))
-    scaled = rows.join(level, "sid").join(origin_scale(panel, s), ["sid", "roll"])
-    return scaled.withColumn("_f", F.col("scale") / F.col("_level")).drop("scale", "_level")
+    scaled = rows.join(level, "sid", "left").join(origin_scale(panel, s), ["sid", "roll"], "left")
+    return scaled.withColumn("_f", F.coalesce(F.col("scale") / F.col("_level"), F.lit(1.0))).drop("scale", "_level")
+
+
+def _with_moments(rows: DataFrame, train: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with aggregates of their (sid, slot) cell; a missing one is taken over the series, then 0."""
+    cell = train.groupBy("sid", "slot").agg(*[c.alias(k) for k, c in columns.items()])
+    whole = train.groupBy("sid").agg(*[c.alias(f"_whole_{k}") for k, c in columns.items()])
+    joined = rows.join(cell, ["sid", "slot"], "left").join(whole, "sid", "left")
+    filled = joined.withColumns({k: F.coalesce(k, f"_whole_{k}", F.lit(0.0)) for k in columns})
+    return filled.drop(*[f"_whole_{k}" for k in columns])
 
 
 def nb_series_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
@@ -233,7 +242,7 @@ def nb_share(panel: DataFrame, s: Settings) -> DataFrame:
     steps = rows.select("roll", "origin", "h", "idx", "slot").distinct()
     drawn = nb_samples(with_cells(steps, nb_moments(total_train, ["slot"], "total"), nb_moments(total_train, [], "total"), []), s.samples, s.seed, ["origin", "h"], at_least_one=True)
     draws = drawn.select("origin", "h", "slot", F.posexplode("samples").alias("sample_id", "total"))
-    split = dm_split(draws, dirichlet_moments(train), ["origin", "h", "slot", "sample_id"], "slot", s.seed)
+    split = dm_split(draws, dirichlet_moments(train, rows.select("slot", "sid").distinct()), ["origin", "h", "slot", "sample_id"], "slot", s.seed)
     arrays = split.groupBy("sid", "origin", "h").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "y_hat"))), lambda z: z["y_hat"]).alias("samples")
     )
@@ -249,7 +258,7 @@ def gauss_independent(panel: DataFrame, s: Settings, scaled: bool = False) -> Da
     """Independent normal per series and slot; ``scaled`` follows the level of the context before the origin."""
     train, rows = _parts(panel, s)
     rows = _level_factor(train, rows, panel, s) if scaled else rows.withColumn("_f", F.lit(1.0))
-    joined = rows.join(gaussian_moments(train).drop("n"), ["sid", "slot"])
+    joined = _with_moments(rows, train, {"mu": F.avg("y"), "sd": F.stddev_samp("y")})
     return _finish(joined.withColumn("samples", _normal_array(F.col("mu") * F.col("_f"), F.col("sd") * F.col("_f"), s)), s)
 
 
@@ -259,13 +268,20 @@ def _dependence(train: DataFrame, s: Settings, value: str, full: bool = False) -
     return loadings.join(diag, "sid")
 
 
+def _with_dependence(rows: DataFrame, dependence: DataFrame, s: Settings) -> DataFrame:
+    """Rows with loadings, diagonal and their step's normals; a series the dependence was not fitted on varies by nothing."""
+    none = {"loadings": F.array().cast("array<double>"), "diag": F.lit(0.0)}
+    known = rows.join(dependence, "sid", "left").withColumns({k: F.coalesce(F.col(k), v) for k, v in none.items()})
+    return with_step_normals(known, s.samples, s.seed, ["origin", "h"])
+
+
 def gauss_factors(panel: DataFrame, s: Settings, full: bool = False, scaled: bool = False) -> DataFrame:
     """Slot means plus jointly normal residuals, full rank or ``rank`` factors and a diagonal."""
     train, rows = _parts(panel, s)
     means = gaussian_moments(train).select("sid", "slot", "mu")
     residual = train.join(means, ["sid", "slot"]).withColumn("e", F.col("y") - F.col("mu"))
     rows = _level_factor(train, rows, panel, s) if scaled else rows.withColumn("_f", F.lit(1.0))
-    ready = rows.join(means, ["sid", "slot"]).join(_dependence(residual, s, "e", full), "sid")
+    ready = _with_dependence(_with_moments(rows, train, {"mu": F.avg("y")}), _dependence(residual, s, "e", full), s)
     noise = factor_noise(s.samples, s.seed, ["origin", "h"])
     return _finish(ready.withColumn("samples", F.transform(noise, lambda e: (F.col("mu") + e) * F.col("_f"))), s)
 
@@ -277,7 +293,7 @@ def copula(panel: DataFrame, s: Settings) -> DataFrame:
     scores = to_gaussian(train, recent, s.conditioning)
     centre = scores.groupBy("sid", "slot").agg(F.avg("z").alias("mu"))
     residual = scores.join(centre, ["sid", "slot"]).withColumn("e", F.col("z") - F.col("mu"))
-    ready = rows.join(centre, ["sid", "slot"]).join(recent, "sid").join(_dependence(residual, s, "e"), "sid")
+    ready = _with_dependence(_with_moments(rows, scores, {"mu": F.avg("z")}).join(recent, "sid", "left"), _dependence(residual, s, "e"), s)
     noise = factor_noise(s.samples, s.seed, ["origin", "h"])
     values = F.transform(noise, lambda e: empirical_quantile(F.col("recent"), F.col("mu") + e))
     return _finish(ready.withColumn("samples", values), s)

@@ -310,14 +310,17 @@ def test_factors_reproduce_the_covariance(spark):
     d = np.array([r.diag for r in diag.orderBy("sid").collect()])
     assert np.diag(L2 @ L2.T) + d == pytest.approx(np.var(data, axis=0, ddof=1))
     assert np.abs(L2 @ L2.T - np.cov(data.T)).max() < 0.05
-    with pytest.raises(ValueError):
-        K.factor_model(p, 2, max_series=4)
+    values = np.sort(np.linalg.eigvalsh(np.cov(data.T)))[::-1]
+    assert (L2**2).sum(axis=0) == pytest.approx(values[:2], rel=1e-6)
+    flat = K.factor_model(p.withColumn("y", F.lit(3.0)), 2)
+    assert all(r.diag == 0 for r in flat[1].collect())
+    assert K.factor_model(p.filter("false"), 2)[0].count() == 0
 
 
 def test_factor_noise_has_the_wanted_covariance(spark):
     rows = [("a", [1.0, 0.5], 0.25), ("b", [2.0, -1.0], 1.0)]
     df = spark.createDataFrame(rows, "sid string, loadings array<double>, diag double").withColumn("origin", F.lit(1))
-    draws = {r.sid: np.array(r.e) for r in df.withColumn("e", R.factor_noise(4000, "q", ["origin"])).collect()}
+    draws = {r.sid: np.array(r.e) for r in R.with_step_normals(df, 4000, "q", ["origin"]).withColumn("e", R.factor_noise(4000, "q", ["origin"])).collect()}
     got = np.cov(draws["a"], draws["b"])
     assert got == pytest.approx(np.array([[1.5, 1.5], [1.5, 6.0]]), abs=0.45)
 

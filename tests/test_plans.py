@@ -235,6 +235,15 @@ def test_a_silent_slot_keeps_its_forecast_rows(spark):
         assert len(got) == 2 * 96 and all(len(r.samples) == 5 for r in got)
 
 
+@pytest.mark.parametrize("model", sorted(M.MODELS))
+def test_a_short_history_loses_no_forecast_row(spark, model):
+    """Half a day of training rows: most slots of the forecast day have none."""
+    p = make_panel(spark, {"a": [float(i % 5) for i in range(48 + 96)], "b": [float(i % 3) for i in range(48 + 96)]})
+    spec = B.Rolling(horizon=96, step=96, windows=1, test_start=48)
+    got = M.forecast(model, p, M.Settings(rolling=spec, samples=4, last=143, rank=1, context=48, conditioning=40)).collect()
+    assert len(got) == 2 * 96 and all(len(r.samples) == 4 for r in got)
+
+
 def test_covariates_follow_the_target(spark):
     p = make_panel(spark, {"a": range(4)})
     cov = spark.range(1, 9).selectExpr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 15 * CAST(id AS INT)) AS ts", "id AS x")
