@@ -11,6 +11,7 @@ from tallycast.plans import backtest as B
 from tallycast.plans import forecast as M
 from tallycast.plans import metrics as E
 from tallycast.plans import sweep as S
+from tallycast.session import materialise
 
 P15 = sql_panel()
 START = 24 * PER_DAY
@@ -205,7 +206,10 @@ UNION ALL SELECT 'CRPS-Sum', {rd('crps')} FROM x2 UNION ALL SELECT 'MSE-Sum', {r
 @query("metrics_long", _sql_headline())
 def metrics_long(spark, d):
     """The four reported numbers as a two-column table."""
-    return rounded(E.headline(overall(spark, d), summed(spark, d)), "values")
+    fc = materialise(forecast(spark, d), "forecast")  # scored twice
+    per_series = E.aggregate_metrics(E.item_metrics(E.scored_rows(fc)))
+    sums = E.aggregate_metrics(E.item_metrics(E.scored_rows(E.sum_over_series(fc)), keys=["roll"]))
+    return rounded(E.headline(per_series, sums), "values")
 
 
 @query("metrics_settings", f"""WITH {sql_forecast()}, {sql_items()}, {SQL_AGG}
@@ -229,7 +233,8 @@ def _sql_bands(levels, source="fc") -> str:
 def forecast_bands(spark, d):
     """Bands of the first three series by code, as a plot grid would pick them."""
     codes = series_codes(events(spark, d).select(F.col("event_type").alias("sid"))).filter("code < 3")
-    return E.bands(forecast(spark, d).join(codes, "sid"))
+    some = panel(spark, d).join(codes, "sid", "left_semi")  # before anything is forecast
+    return E.bands(M.seasonal_forecast(some, SPEC, PER_DAY, SAMPLES, last(spark, d)))
 
 
 @query("interval_percentiles", f"WITH {sql_forecast()}, {_sql_bands((0.05, 0.25, 0.5, 0.75, 0.95))}")

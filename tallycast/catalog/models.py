@@ -228,6 +228,19 @@ def series_correlation(spark, d):
     return rounded(out.select("sid_a", "sid_b", "corr"), "corr")
 
 
+@query("pair_correlation", f"""WITH {sql_panel(60, 'user_id')}, k AS (SELECT sid, row_number() OVER (ORDER BY sid) AS code FROM (SELECT DISTINCT sid FROM panel)),
+ pr AS (SELECT a.sid AS sid_a, b.sid AS sid_b FROM k a JOIN k b ON b.code = a.code + 1)
+SELECT sid_a, sid_b, {rd('covar_samp(a.y, b.y)')} AS cov, {rd('corr(a.y, b.y)')} AS corr, count(*) AS n
+FROM pr JOIN panel a ON a.sid = sid_a JOIN panel b ON b.sid = sid_b AND b.ts = a.ts GROUP BY 1, 2""")
+def pair_correlation(spark, d):
+    """Every user with the next one, on hourly counts: the pairs are declared, so nothing is squared."""
+    e = events(spark, d)
+    codes = materialise(P.series_codes(P.event_series(e, "user_id")), "codes")
+    following = codes.select(F.col("sid").alias("sid_b"), (F.col("code") - 1).alias("code"))
+    pairs = codes.withColumnRenamed("sid", "sid_a").join(following, "code")
+    return rounded(K.pair_covariance(P.event_panel(e, "user_id", minutes=60), pairs), "cov", "corr")
+
+
 @query("factor_variance", f"WITH {P15} SELECT sid, {rd('var_samp(y)')} AS explained, 0.0::DOUBLE AS diag FROM panel GROUP BY sid")
 def factor_variance(spark, d):
     """Full-rank factors explain each series' whole variance and leave nothing on the diagonal."""

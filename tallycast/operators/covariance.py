@@ -74,6 +74,18 @@ def covariance(panel: DataFrame, codes: DataFrame | None = None, value: str = "y
     return pair.join(a, "code_a").join(b, "code_b").select("sid_a", "sid_b", "cov", corr.alias("corr"))
 
 
+def pair_covariance(panel: DataFrame, pairs: DataFrame, value: str = "y") -> DataFrame:
+    """``(sid_a, sid_b, cov, corr, n)`` of declared pairs (sid_a, sid_b) only, over the steps at which both have a value.
+
+    Two equi-joins and one grouped sum: the work grows with pairs times steps, not with the square of the series.
+    """
+    values = panel.filter(F.col(value).isNotNull())
+    a = values.select(F.col("sid").alias("sid_a"), "ts", F.col(value).alias("a"))
+    b = values.select(F.col("sid").alias("sid_b"), "ts", F.col(value).alias("b"))
+    both = a.join(pairs.select("sid_a", "sid_b").distinct(), "sid_a").join(b, ["sid_b", "ts"])
+    return both.groupBy("sid_a", "sid_b").agg(F.covar_samp("a", "b").alias("cov"), F.corr("a", "b").alias("corr"), F.count("*").alias("n"))
+
+
 def _combined(column: str, matrix: np.ndarray) -> Column:
     """The array column times a small matrix, as an array of sums of products."""
     return F.array(*[

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import safe_div
-from tallycast.operators.panel import level_list
+from tallycast.operators.panel import MAX_PIVOT_COLUMNS, level_list
 
 
 class WeightProfile(NamedTuple):
@@ -94,12 +94,20 @@ def pivot_mean(df: DataFrame, keys: Sequence[str], column: str, value: str, leve
 def onehot(df: DataFrame, columns: Sequence[str], levels: dict[str, Sequence] | None = None) -> DataFrame:
     """0/1 columns ``<column>_<level>`` for all levels but the smallest; the source columns go.
 
-    Undeclared levels of all columns are found in one pass and bounded by :func:`level_list`'s limit.
+    Undeclared levels of all columns are found in one pass: distinct values combine map-side, as (column, value)
+    pairs, and are bounded like those of a pivot.
     """
     levels = dict(levels or {})
     missing = [c for c in columns if c not in levels]
-    for c in missing:
-        levels[c] = level_list(df, c)
+    if missing:
+        one = F.array(*[
+            F.struct(F.lit(c).alias("c"), F.struct(*[(F.col(x) if x == c else F.lit(None).cast(df.schema[x].dataType)).alias(x) for x in missing]).alias("v"))
+            for c in missing
+        ])
+        found = df.select(F.inline(one)).distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()
+        if len(found) > MAX_PIVOT_COLUMNS:
+            raise ValueError(f"{', '.join(missing)} have more than {MAX_PIVOT_COLUMNS} levels; declare them or keep the frame long")
+        levels |= {c: [r["v"][c] for r in found if r["c"] == c and r["v"][c] is not None] for c in missing}
     flags = [
         F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}".replace(".", "_"))
         for c in columns
