@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -20,7 +21,8 @@ from tallycast.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-CACHED_PIECES = 400_000  # of one Python worker; the cache starts anew beyond
+CACHED_PIECES = 500_000  # of one Python worker, some 120 MB; see PieceEncoder._keep
+STALE_AFTER = 8  # times as many new pieces as it holds, after which a full cache starts anew
 BATCH_IDS = 4_000_000  # token ids in one output batch, except where one document has more
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -31,66 +33,104 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 COLUMNS = "part int, doc_id {kind}, part_start bigint, n_tokens bigint, tokens array<int>"
+PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+LETTERS_BELOW = "\u0250"  # Latin: letters in every version of Unicode
 BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+# byte-level vocabularies spell a byte without a visible Latin-1 character as one of the characters from 256 on
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+SPELLING = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+SPELT_LEAD = {"": "", " ": chr(SPELLING[32])}
+
+
+class _OddSpace(Exception):
+    """White space other than a single newline between two words of a piece."""
 
 
 class PieceEncoder:
     """Ids of a text as little-endian 32-bit integers, equal to the tokenizer's on the whole text.
 
-    A byte-level tokenizer starts a new pre-token wherever a single space stands between two characters that
-    are not white space, and merges never cross pre-tokens.  So a text is cut there, each distinct piece is
-    encoded by the tokenizer once, and repeats come from a bounded cache.  Texts with a string of an added token,
-    and tokenizers of any other kind, are encoded whole.
+    A byte-level tokenizer starts a new pre-token wherever a single space stands between two characters that are
+    not white space, at a single newline so placed, after it, and where punctuation follows a letter; merges
+    never cross pre-tokens.  So a text is cut there, a word is given to the tokenizer's model once, and repeats come
+    from a bounded cache; anything but Latin letters and punctuation goes through the whole tokenizer.  Texts with a
+    string of an added token, and tokenizers of any other kind, are encoded whole.
     """
 
     def __init__(self, path: str):
         import json
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         kind = config["pre_tokenizer"] or {}
-        self.piecewise = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and config["normalizer"] is None
+        plain = config["normalizer"] is None and not kind.get("add_prefix_space") and kind.get("use_regex", True)
+        self.piecewise = plain and kind.get("type") == "ByteLevel" and config["model"]["type"] == "BPE" and not config["model"].get("dropout")
         self.added = [t["content"] for t in config["added_tokens"]]
-        self.heads: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, cache: dict[str, bytes], pieces: list[str], lead: str) -> None:
-        if len(cache) + len(pieces) > CACHED_PIECES:
-            cache.clear()
-        cache.update(zip(pieces, self.encode([lead + p for p in pieces])))
+        self.caches: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before the piece
+        self.beyond = 0
+        self.newline = self.encode("\n")
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def _keep(self, cache: dict[str, bytes], piece: str, ids: bytes) -> None:
+        """Frequent pieces come early and stay; a full cache starts anew once it has missed many times its size."""
+        if len(cache) < CACHED_PIECES:
+            cache[piece] = ids
+        else:
+            self.beyond += 1
+            if self.beyond > STALE_AFTER * CACHED_PIECES:
+                cache.clear()
+                self.beyond = 0
+
+    def _piece(self, piece: str, lead: str) -> bytes:
+        """Ids of ``lead + piece``, where the piece neither begins nor ends with white space."""
+        cache = self.caches[lead]
+        ids = cache.get(piece)
+        if ids is not None:
+            return ids
+        stem = piece.rstrip(PUNCTUATION)
+        if stem.isalpha() and (stem.isascii() or max(stem) < LETTERS_BELOW):
+            ids = cache.get(stem) if len(stem) < len(piece) else None
+            if ids is None:
+                spelt = stem if stem.isascii() else stem.encode().decode("latin-1").translate(SPELLING)
+                found = [t.id for t in self.model.tokenize(SPELT_LEAD[lead] + spelt)]
+                ids = struct.pack(f"<{len(found)}i", *found)
+                self._keep(cache, stem, ids)
+            if len(stem) == len(piece):
+                return ids
+            ids += self._piece(piece[len(stem) :], "")
+        elif piece.split() == [piece]:
+            ids = self.encode(lead + piece)
+        else:
+            parts = piece.split("\n")
+            if any(p.split() != [p] for p in parts):
+                raise _OddSpace
+            return self._piece(parts[0], lead) + b"".join([self.newline + self._piece(p, "") for p in parts[1:]])
+        self._keep(cache, piece, ids)
+        return ids
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.piecewise or any(a in text for a in self.added):
-            return self.encode([text])[0]
-        pieces = text.split(" ")
+            return self.encode(text)
+        first, *pieces = text.split(" ")
+        ids = list(map(self.caches[" "].get, pieces))
+        try:
+            if None in ids:
+                ids = [self._piece(p, " ") if i is None else i for p, i in zip(pieces, ids)]
+            return self._piece(first, "") + b"".join(ids)
+        except _OddSpace:  # cut only where both neighbours of a space are not white space
+            first, *pieces = BOUNDARY.split(text)
+            return self._whole(first, "") + b"".join([self._whole(p[1:], " ") for p in pieces])
+
+    def _whole(self, piece: str, lead: str) -> bytes:
         try:
-            return self.heads[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:]))
-        except KeyError:
-            pass
-        known, first = self.rest, pieces[0]
-        unknown = [p for p in set(pieces[1:]) if p not in known]
-        tail = b""
-        if not all(p and not p[0].isspace() and not p[-1].isspace() for p in (*unknown, first)):
-            pieces = BOUNDARY.split(text)  # odd white space: cut only where both neighbours of a space are not
-            first, pieces = pieces[0], ["", *(p[1:] for p in pieces[1:])]
-            if len(pieces) == 1:
-                return self.encode([text])[0]
-            if pieces[-1][-1].isspace():  # only the end of a text may end a piece so
-                tail = self.encode([" " + pieces.pop()])[0]
-            unknown = [p for p in set(pieces[1:]) if p not in known]
-        if unknown:
-            self._learn(known, unknown, " ")
-        if first not in self.heads:
-            self._learn(self.heads, [first], "")
-        if any(p not in known for p in pieces[1:]):  # the cache was cleared
-            return self.encode([text])[0]
-        return self.heads[first] + b"".join(map(known.__getitem__, pieces[1:])) + tail
+            return self._piece(piece, lead)
+        except _OddSpace:
+            return self.encode(lead + piece)
 
 
 @lru_cache(maxsize=2)

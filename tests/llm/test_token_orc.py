@@ -10,7 +10,7 @@ from tallycast.llm import token_orc as T
 
 PATH = public_tokenizers.path(T.TOKENIZER)
 TEXTS = [None, "", " ", "\n", "a", " lead", "trail ", "two  spaces", "tab\tand\nnew \n line", "x y z", "it's we'll 123 45a", "é ñ 中文 😀 ok",
-         "a <|endoftext|> b", "end\n", "a b \n", "foo\n bar", "foo bar\n", " a  b", "\x1c a", "a \x1cb c", "word " * 4000]
+         "a <|endoftext|> b", "one\ntwo, three.\n\nfour", "\nx", "it's.\n's 'll", "naïve Éa*** of%%% ß ŋƀ ɐb x_y", "a'b' 'c", "ªº µ aªb", "end\n", "a b \n", "foo\n bar", "foo bar\n", " a  b", "\x1c a", "a \x1cb c", "word " * 4000]
 
 
 def expected(texts):
@@ -20,7 +20,7 @@ def expected(texts):
 
 def test_pieces_equal_whole_encoding():
     rng = random.Random(4)
-    alphabet = ["a", "Be", "'s", " ", " ", "  ", "\n", "\t", "12", ".", "é", " ", "中", "!!"]
+    alphabet = ["a", "Be", "'s", "é", "ß", ",", "\n", "_", "ɐ", "²", "ª", " ", " ", "  ", "\n", "\t", "12", ".", "é", " ", "中", "!!"]
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(1500)]
     encode = T.PieceEncoder(PATH)
     for t, want in zip(texts, expected(texts)):
