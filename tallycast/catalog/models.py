@@ -363,14 +363,16 @@ def nb_draw(spark, d):
     return R.nb_samples(params, 100, "draw", ["sid", "slot"]).select("sid", "slot", F.posexplode("samples").alias("sample_id", "y_hat"))
 
 
-@query("dm_split", f"""WITH {P15}, {SQL_TOTAL_NB} SELECT idx, slot, total, total AS split_total FROM tot WHERE total > 0""")
+@query("dm_split", f"""WITH {P15}, {SQL_TOTAL_NB} SELECT idx, slot, total, total AS split_total, (SELECT count(DISTINCT sid) FROM panel) AS parts, TRUE AS whole FROM tot WHERE total > 0""")
 def dm_split(spark, d):
-    """Every observed total split over the series; the parts must add up to it."""
+    """Every observed total split over the series: one part for each, whole numbers not below 0, which add up to it."""
     p = materialise(panel(spark, d))
     cells = M.with_slot(p)
     observed = M.with_slot(P.totals(p)).filter("total > 0").select("idx", "slot", "total")
     parts = R.dm_split(observed, M.dirichlet_moments(cells), ["idx", "slot", "total"], "slot", "split", fan_out=2)
-    return parts.groupBy("idx", "slot", "total").agg(F.sum("y_hat").alias("split_total"))
+    return parts.groupBy("idx", "slot", "total").agg(
+        F.sum("y_hat").alias("split_total"), F.count_distinct("sid").alias("parts"),
+        F.bool_and((F.col("y_hat") >= 0) & (F.col("y_hat") == F.rint("y_hat"))).alias("whole"))
 
 
 @query("lag_regression", f"""WITH {P15}, l AS (SELECT y, lag(y, 96) OVER (PARTITION BY sid ORDER BY idx) AS x FROM panel)

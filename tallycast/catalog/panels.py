@@ -184,25 +184,30 @@ def dataset_cardinality(spark, d):
         "series", (last(spark, d) + 1).alias("steps"), F.lit(len(default_lags("min"))).cast("long").alias("default_lag_count"))
 
 
-@query("field_select", f"""WITH {P15} SELECT sid AS item_id, ts AS start, y AS target, coalesce(v, 0.0) IS NOT NULL AS has_value,
-CAST(0.0 AS DOUBLE) AS feat_static_real FROM panel""")
+@query("field_select", f"""WITH {P15} SELECT sid AS item_id, ts AS start, {rd('v')} AS target, v IS NOT NULL AS has_value,
+{rd('coalesce(v, 0.0)')} AS feat_static_real FROM panel""")
 def field_select(spark, d):
-    """Select, rename, drop, set and set-if-missing fields."""
-    p = panel(spark, d).withColumn("feat_static_real", F.lit(None).cast("double"))
-    return (
+    """Select, rename, drop, set and set-if-missing fields, on values that are missing at some steps."""
+    p = P.value_panel(events(spark, d), "event_type", "value", minutes=STEP).withColumn("feat_static_real", F.col("y"))
+    out = (
         p.drop("idx").withColumnsRenamed({"sid": "item_id", "ts": "start", "y": "target"})
-        .withColumn("feat_static_real", F.coalesce("feat_static_real", F.lit(0.0))).withColumn("has_value", F.lit(True))
+        .withColumn("feat_static_real", F.coalesce("feat_static_real", F.lit(0.0))).withColumn("has_value", F.col("target").isNotNull())
     )
+    return rounded(out, "target", "feat_static_real")
 
 
-@query("check_violations", f"""WITH {sql_panel(60, 'user_id')}, s AS (SELECT sid, count(*) AS length, count(v) AS seen, min(v) AS low,
-  greatest(coalesce(sum(abs(v)) / nullif(count(v), 0), 0.0), 1e-10) AS scale FROM panel GROUP BY sid)
-SELECT sid, 'history' AS rule FROM s WHERE length < 720 + 24 UNION ALL
+@query("check_violations", f"""WITH {sql_panel(60, 'user_id')}, f AS (SELECT sid, min(idx) FILTER (v IS NOT NULL) AS a FROM panel GROUP BY 1),
+ s AS (SELECT p.sid, count(*) AS length, count(v) AS seen, min(v - 1.0) AS low, greatest(coalesce(avg(abs(v - 1.0)), 0.0), 1e-10) AS scale
+  FROM panel p JOIN f ON f.sid = p.sid AND p.idx >= f.a GROUP BY 1)
+SELECT sid, 'history' AS rule FROM s WHERE length < 690 + 24 UNION ALL
 SELECT sid, 'scale' FROM s WHERE NOT scale > 0 UNION ALL SELECT sid, 'observed' FROM s WHERE seen = 0 UNION ALL
 SELECT sid, 'support' FROM s WHERE low < 0""")
 def check_violations(spark, d):
+    """Checks of users from their first event on, on values less 1: some have a short history, some a negative value."""
     p = P.value_panel(events(spark, d), "user_id", "value", minutes=60)
-    return violations(p, mean_scale(p, ["sid"]), max_lag=720, horizon=24)
+    first = p.filter("y IS NOT NULL").groupBy("sid").agg(F.min("idx").alias("_a"))
+    since = p.join(first, "sid").filter("idx >= _a").withColumn("y", F.col("y") - 1.0).drop("_a")
+    return violations(since, mean_scale(since, ["sid"]), max_lag=690, horizon=24)
 
 
 # --- calendar -----------------------------------------------------------------------------------
