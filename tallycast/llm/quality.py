@@ -23,7 +23,7 @@ EPOCHS = 25
 FOLDS = 3  # for the margins that the score's scale is fitted on
 THRESHOLD = 0.3
 FOLD_COUNT = 5
-CACHED_WORDS = 400_000  # of one Python worker; the cache starts anew beyond
+CACHED_WORDS = 200_000  # of one Python worker; a full cache takes no more words
 REPEAT = zlib.crc32(b"=")
 FORM = [(re.compile("[^\\W\\d_a-z]*[A-ZÀ-ÖØ-Þ][^\\W\\d_a-z]+"), "A"), (re.compile("[^\\W\\d_]+"), "a"), (re.compile(r"\d+"), "0")]
 
@@ -35,10 +35,9 @@ class _Words(dict):
         form = word
         for pattern, sign in FORM:
             form = pattern.sub(sign, form)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
         code = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) | (zlib.crc32(form.encode("utf-8", "surrogatepass")) >> 1) << 32
-        self[word] = code
+        if len(self) < CACHED_WORDS:
+            self[word] = code
         return code
 
 
