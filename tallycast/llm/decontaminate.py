@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallycast.llm.queries import query, table
+from tallycast.llm.rows import row_key, small
 from tallycast.session import materialise
 
 WINDOW_WORDS = 13
 RAREST = 3  # terms of a phrase whose postings are intersected before the words are compared
 SHARE = 20  # contaminated: hit words times this reach the document's words
-SMALL_ROWS = 1_000_000  # rows of a narrow side (under 100 bytes each) up to which it is broadcast
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -27,16 +27,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, GAPS), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast a narrow table if it is counted to be small; else the join decides."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
-def row_key() -> list[Column]:
-    """Columns (ka, kb): a 128-bit key of id and text, never null."""
-    return [F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64("text", "doc_id", F.lit(1)).alias("kb")]
-
-
 def token_table(docs: DataFrame) -> DataFrame:
     """``(ka, kb, doc_id, n_words, words)``, written once."""
     tokens = docs.select("doc_id", *row_key(), words_of(F.col("text")).alias("words"))

@@ -9,8 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallycast.llm.decontaminate import row_key, small
 from tallycast.llm.queries import query, table
+from tallycast.llm.rows import row_key, small
 from tallycast.session import materialise
 
 WINDOW = 2  # lines whose hashes the rolling hash covers

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallycast.llm.components import components, join_local_links
 from tallycast.llm.queries import query, table
+from tallycast.llm.rows import row_key
 from tallycast.session import materialise
 
 SHINGLE_WORDS = 4
@@ -149,14 +150,14 @@ def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int
     """Rows of ``docs`` with all their columns, one of each near-duplicate group: that of the smallest id
     (null before all).
 
-    Groups are found on (id, hash of the text), so null and repeated ids lose no other text.
+    Groups are found on (id, hash of id and text), so null and repeated ids lose no other text.  Texts are shuffled
+    once, by that hash, for the join and for repeated rows.
     """
-    row = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h"))
-    groups = simhash_groups(docs.select(row.alias("row"), "text"), "row", "text", shingle, radius)
-    firsts = materialise(groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct(), "firsts")
-    whole = docs.select(F.struct("*").alias("_row"), row.alias("_key"))
-    kept = whole.join(firsts, F.col("_key").eqNullSafe(F.col("_first"))).dropDuplicates(["_key"])
-    return kept.select("_row.*")
+    keyed = docs.select("doc_id", "text", *row_key())
+    groups = simhash_groups(keyed.select(F.struct("doc_id", "ka", "kb").alias("row"), "text"), "row", "text", shingle, radius)
+    firsts = materialise(groups.filter("doc_id = component_id").select("doc_id.ka", "doc_id.kb").distinct(), "firsts")
+    whole = docs.select(F.struct("*").alias("_row"), *row_key())
+    return whole.join(firsts, ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("_row.*")
 
 
 @query("op1_simhash_near_dedup")
