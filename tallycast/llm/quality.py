@@ -25,7 +25,7 @@ THRESHOLD = 0.3
 FOLD_COUNT = 5
 CACHED_WORDS = 200_000  # of one Python worker; a full cache takes no more words
 REPEAT = zlib.crc32(b"=")
-FORM = [(re.compile("[^\\W\\d_a-z]*[A-ZÀ-ÖØ-Þ][^\\W\\d_a-z]+"), "A"), (re.compile("[^\\W\\d_]+"), "a"), (re.compile(r"\d+"), "0")]
+FORM = [(re.compile("[^\\W\\d_a-z]*[A-ZÀ-ÖØ-Þ][^\\W\\d_a-z]+"), "\x01"), (re.compile("[^\\W\\d_]+"), "a"), (re.compile(r"\d+"), "0")]
 
 
 class _Words(dict):
