@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 1_000_000  # rows of a narrow side (under 100 bytes each) up to which it is broadcast
+SMALL_ROWS = 250_000  # rows of a narrow side (some 100 bytes each in memory) up to which it is broadcast
 
 
 def row_key() -> list[Column]:
