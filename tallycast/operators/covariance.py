@@ -14,7 +14,7 @@ from tallycast.operators.panel import series_codes
 from tallycast.session import materialise
 
 DIM_BLOCK = 256
-ITERATIONS = 6
+ITERATIONS = 4
 
 
 def step_vectors(coded: DataFrame, value: str, width: int) -> DataFrame:

@@ -122,18 +122,26 @@ def dirichlet_moments(panel: DataFrame, cells: DataFrame | None = None) -> DataF
     """
     share = with_total(panel).filter("total != 0").withColumn("share", F.col("y") / F.col("total"))
 
-    def alphas(*by: str) -> DataFrame:
-        cell = share.groupBy(*by, "sid").agg(F.avg("share").alias("m"), F.var_samp("share").alias("v"))
-        pooled = cell.groupBy(*by).agg(
+    cell = materialise(share.groupBy("slot", "sid").agg(F.avg("share").alias("m"), F.var_samp("share").alias("v"), F.count("*").alias("n")), "shares")
+    # moments over all slots from those of the cells: squares within plus squares between
+    sums = cell.groupBy("sid").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m"),
+        F.sum(F.col("n") * F.col("m") * F.col("m") + (F.col("n") - 1) * F.coalesce("v", F.lit(0.0))).alias("_q"),
+    )
+    spread = safe_div(F.col("_q") - F.col("n") * F.col("m") * F.col("m"), (F.col("n") - 1).cast("double"))
+    over_slots = sums.withColumn("v", F.greatest(spread, F.lit(0.0)))
+
+    def alphas(moments: DataFrame, *by: str) -> DataFrame:
+        pooled = moments.groupBy(*by).agg(
             (safe_div(F.sum(F.col("m") * (1.0 - F.col("m"))), F.sum("v")) - 1.0).alias("_a")
         )
         alpha0 = F.least(F.greatest(F.coalesce(F.col("_a"), F.lit(ALPHA_TOTAL_CAP)), F.lit(ALPHA_FLOOR)), F.lit(ALPHA_TOTAL_CAP))
-        both = cell.join(pooled, list(by)) if by else cell.withColumn("_a", pooled.scalar())
+        both = moments.join(pooled, list(by)) if by else moments.withColumn("_a", pooled.scalar())
         return both.select(*by, "sid", F.greatest(alpha0 * F.col("m"), F.lit(ALPHA_FLOOR)).alias("alpha"))
 
     cells = panel.select("slot", "sid").distinct() if cells is None else cells
-    whole = alphas().withColumnRenamed("alpha", "_whole")
-    filled = cells.join(alphas("slot"), ["slot", "sid"], "left").join(whole, "sid", "left")
+    whole = alphas(over_slots).withColumnRenamed("alpha", "_whole")
+    filled = cells.join(alphas(cell, "slot"), ["slot", "sid"], "left").join(whole, "sid", "left")
     return filled.select("slot", "sid", F.coalesce("alpha", "_whole", F.lit(1.0)).alias("alpha"))
 
 
