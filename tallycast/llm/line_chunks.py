@@ -1,8 +1,8 @@
-"""Line deduplication by content-defined chunks: repeated multi-line chunks are removed after byte comparison."""
+"""Line deduplication by content-defined chunks and line pairs: repeated passages are removed after byte comparison."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -56,55 +56,108 @@ def _digest(chunk: str) -> tuple[int, int]:
     return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
 
 
-def chunk_table(docs: DataFrame, with_text: bool) -> DataFrame:
-    """``(ka, kb, doc_id, at, h1, h2[, chunk])``, a row per multi-line chunk; ``at`` is its place in the document."""
+def chunk_spans(text: str | None) -> list[tuple[int, int]]:
+    """First line and line after the last of each multi-line chunk."""
+    spans, at = [], 0
+    for chunk in chunks(text):
+        end = at + chunk.count("\n") + 1
+        if is_multi_line(chunk):
+            spans.append((at, end))
+        at = end
+    return spans
+
+
+def passage_spans(text: str | None) -> list[tuple[int, int]]:
+    """The multi-line chunks, and every line with a word up to the next one.
+
+    A chunk is found elsewhere only if both of its ends lie inside the passage; the pairs of neighbouring lines cover
+    every passage of two lines and more whole, wherever its chunks end.
+    """
+    lines = [] if text is None else text.split("\n")
+    words = [at for at, line in enumerate(lines) if line != "" and not line.isspace()]
+    return sorted({*chunk_spans(text), *((a, b + 1) for a, b in zip(words, words[1:]))})
+
+
+Spans = Callable[[str | None], list[tuple[int, int]]]
+
+
+def span_table(docs: DataFrame, spans: Spans) -> DataFrame:
+    """``(ka, kb, doc_id, a, b, h1, h2)``, a row per span of lines; ``a`` and ``b`` are its place in the document."""
     rows = docs.select(*row_key(), "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["ka", "kb", "doc_id", "at", "h1", "h2"] + (["chunk"] if with_text else [])
+    names = ["ka", "kb", "doc_id", "a", "b", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
             for row, one in enumerate(batch.column(3)):
-                found += [(row, at, *_digest(c), c) for at, c in enumerate(chunks(one.as_py())) if is_multi_line(c)]
+                text = one.as_py()
+                lines = [] if text is None else text.split("\n")
+                found += [(row, a, b, *_digest("\n".join(lines[a:b]))) for a, b in spans(text)]
+            if found:
+                row, a, b, h1, h2 = zip(*found)
+                picked = pa.array(row, pa.int64())
+                columns = [c.take(picked) for c in batch.columns[:3]]
+                columns += [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, f"ka bigint, kb bigint, doc_id {kind}, a int, b int, h1 bigint, h2 bigint")
+
+
+def span_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(ka, kb, doc_id, a, b, h1, h2, lines)``: the bytes of the spans ``hits`` (ka, kb, a, b) only."""
+    wanted = hits.groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    rows = docs.select(*row_key(), "doc_id", "text").join(small(materialise(wanted, "wanted")), ["ka", "kb"])
+    rows = rows.select("ka", "kb", "doc_id", "text", "spans")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for row, (one, spans) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                lines = one.split("\n")
+                for s in spans:
+                    text = "\n".join(lines[s["a"] : s["b"]])
+                    found.append((row, s["a"], s["b"], *_digest(text), text))
             if found:
-                row, at, h1, h2, texts = zip(*found)
+                row, a, b, h1, h2, texts = zip(*found)
                 picked = pa.array(row, pa.int64())
-                columns = [c.take(picked) for c in batch.columns[:3]] + [pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.string())] if with_text else []), names)
+                columns = [c.take(picked) for c in batch.columns[:3]] + [pa.array(a, pa.int32()), pa.array(b, pa.int32())]
+                columns += [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["ka", "kb", "doc_id", "a", "b", "h1", "h2", "lines"])
 
-    schema = f"ka bigint, kb bigint, doc_id {kind}, at int, h1 bigint, h2 bigint" + (", chunk string" if with_text else "")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"ka bigint, kb bigint, doc_id {kind}, a int, b int, h1 bigint, h2 bigint, lines string")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``(ka, kb, at)`` of the chunk occurrences to remove: all but the first, by id and place, of each repeated chunk.
+def repeated_spans(docs: DataFrame, spans: Spans) -> DataFrame:
+    """``(ka, kb, a, b)`` of the occurrences to remove: all but the first, by id and place, of each repeated span.
 
     Digests are counted first (map-side combine, so a passage in a third of all documents is one row per task), then
     the texts of repeated digests only are read again and grouped by their bytes.  A digest that different texts
-    share is left alone.
+    share is left alone, and so is an occurrence that overlaps the first one.
     """
-    narrow = materialise(chunk_table(docs, with_text=False), "chunks")
+    narrow = materialise(span_table(docs, spans), "spans")
     counted = narrow.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     again = small(materialise(counted, "repeated"))
-    place = F.struct("doc_id", "ka", "kb", "at")
-    texts = chunk_table(docs, with_text=True).join(again, ["h1", "h2"], "left_semi")
-    versions = texts.groupBy("h1", "h2", "chunk").agg(F.min(place).alias("first"))
+    hits = materialise(narrow.join(again, ["h1", "h2"], "left_semi"), "hits")
+    place = F.struct("doc_id", "ka", "kb", "a", "b")
+    versions = span_texts(docs, hits).groupBy("h1", "h2", "lines").agg(F.min(place).alias("first"))
     checked = versions.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.min("first").alias("first")).filter("texts = 1")
     checked = small(materialise(checked.select("h1", "h2", "first"), "checked"))
-    found = narrow.join(checked, ["h1", "h2"]).filter(~F.col("first").eqNullSafe(place))
-    return found.select("ka", "kb", "at").distinct()
+    apart = (F.col("first.ka") != F.col("ka")) | (F.col("first.kb") != F.col("kb")) | (F.col("a") >= F.col("first.b"))
+    return hits.join(checked, ["h1", "h2"]).filter(apart).select("ka", "kb", "a", "b").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed_lines, n_removed_chunks)``, one row per row of ``docs`` (doc_id, text).
 
     Multi-line chunks that occur before (in a document of smaller id, or earlier in the same one) are removed; the
-    first occurrence stays, and so does everything between.  A null text stays null with no lines; null ids come
-    first in the order; rows of equal id and text are one document and lose the same chunks; other columns are
-    not read; no rows give no rows.
+    first occurrence stays, and so does everything between.  With :func:`passage_spans` every run of at least two
+    lines with a word that occurs before goes, not only its whole chunks; a chunk counts as removed if no line of it is
+    left.  A null text stays null with no lines; null ids come first in the order; rows of equal id and text are one
+    document and lose the same lines; other columns are not read; no rows give no rows.
     """
-    removed = repeated_chunks(docs).groupBy("ka", "kb").agg(F.collect_list("at").alias("gone"))
+    removed = repeated_spans(docs, spans).groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     removed = small(materialise(removed, "removed"))
     rows = docs.select("doc_id", "text", *row_key()).join(removed, ["ka", "kb"], "left").select("doc_id", "text", "gone")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -113,16 +166,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, lines, lost, pieces = [], [], [], []
             for one, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                gone = set(gone or ())
+                out, whole = set(), 0
                 if gone:
-                    parts = chunks(one)
-                    texts.append("\n".join(c for at, c in enumerate(parts) if at not in gone))
-                    lost.append(sum(parts[at].count("\n") + 1 for at in gone))
-                else:
-                    texts.append(one)
-                    lost.append(0)
+                    for s in gone:
+                        out.update(range(s["a"], s["b"]))
+                    at = 0
+                    for chunk in chunks(one):
+                        end = at + chunk.count("\n") + 1
+                        whole += all(n in out for n in range(at, end))
+                        at = end
+                    one_less = "\n".join(line for n, line in enumerate(one.split("\n")) if n not in out)
+                texts.append(one_less if gone else one)
+                lost.append(len(out))
                 lines.append(0 if one is None else one.count("\n") + 1)
-                pieces.append(len(gone))
+                pieces.append(whole)
             columns = [batch.column(0), pa.array(texts, pa.string()), *(pa.array(v, pa.int64()) for v in (lines, lost, pieces))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
@@ -131,4 +188,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 @query("op9_line_chunks")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), passage_spans)

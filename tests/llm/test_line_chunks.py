@@ -60,3 +60,22 @@ def test_repeated_rows_are_one_document(spark):
     got = L.dedup_lines(spark.createDataFrame([row, row, (6, row[1])], "doc_id long, text string")).collect()
     assert [r.text for r in got if r.doc_id == 5] == [row[1]] * 2
     assert all(r.n_removed_lines == 4 and r.text == "" for r in got if r.doc_id == 6) or L.chunks(row[1])[-1].count("\n") == 0
+
+
+def test_every_repeated_run_of_lines_goes_and_other_lines_stay(spark):
+    rng = random.Random(3)
+    docs, alone, lone, at = [], [], passage(rng, 1), 0
+    for n in (2, 3, 4, 7):
+        for _ in range(12):
+            run = passage(rng, n).replace("\n", "\n\n", 1)
+            for _ in range(2):
+                before, after = passage(rng, rng.randrange(1, 4)), passage(rng, rng.randrange(1, 4))
+                docs.append((at, "\n".join((before, run, after, lone))))
+                alone.append("\n".join((before, run, after, lone) if at % 2 == 0 else (before, after, lone)))
+                at += 1
+    docs += [(at, "x y\nx y\nx y"), (at + 1, "p q\nr s\np q\nr s")]
+    alone += ["x y\nx y\nx y", "p q\nr s"]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in L.dedup_lines(df, L.passage_spans).collect()}
+    assert [got[i].text for i in range(len(docs))] == alone
+    assert all(got[i].n_lines - got[i].n_removed_lines == alone[i].count("\n") + 1 for i in got)
