@@ -21,11 +21,11 @@ SIZE = PAD + 1
 SIDE = 3  # tokens of context on each side
 WIDTH, HIDDEN = 12, 32
 ROUNDS = 3
-STRIDE = 12  # a round trains on every twelfth token of every document, each round on others
+STRIDE = ROUNDS  # a round trains on every such token of every document, each round on others, so all rounds on each token once
 BATCH = 512
 RATE = 0.01
 FIXED = 1 << 24  # weights are averaged as whole numbers, so that their sum does not depend on its order
-SLICE = 8192  # tokens of one numpy call
+SLICE = 512  # tokens of one numpy call, so that its arrays stay in the cache
 SHAPES = {"embed": (SIZE, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "outer": (HIDDEN, SIZE), "outer_bias": (SIZE,)}
 
 
@@ -71,7 +71,8 @@ def log_probabilities(weights: dict[str, np.ndarray], tokens: np.ndarray, around
         hidden = np.tanh(weights["embed"][c].reshape(len(c), -1) @ weights["inner"] + weights["inner_bias"])
         logits = hidden @ weights["outer"] + weights["outer_bias"]
         logits -= logits.max(axis=1, keepdims=True)
-        out[a : a + SLICE] = logits[np.arange(len(t)), t] - np.log(np.exp(logits).sum(axis=1))
+        picked = logits[np.arange(len(t)), t]
+        out[a : a + SLICE] = picked - np.log(np.exp(logits, out=logits).sum(axis=1))
     return out
 
 
@@ -90,13 +91,13 @@ class Trainer:
         hidden = np.tanh(inputs @ w["inner"] + w["inner_bias"])
         logits = hidden @ w["outer"] + w["outer_bias"]
         logits -= logits.max(axis=1, keepdims=True)
-        slope = np.exp(logits)
+        slope = np.exp(logits, out=logits)
         slope /= slope.sum(axis=1, keepdims=True)
         slope[np.arange(n), tokens] -= 1.0
         slope /= n
         back = (slope @ w["outer"].T) * (1.0 - hidden * hidden)
-        embed = np.zeros_like(w["embed"])
-        np.add.at(embed, around.ravel(), (back @ w["inner"].T).reshape(-1, WIDTH))
+        cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        embed = np.bincount(cells, weights=(back @ w["inner"].T).ravel(), minlength=SIZE * WIDTH).reshape(SIZE, WIDTH).astype(w["embed"].dtype)
         slopes = {"embed": embed, "inner": inputs.T @ back, "inner_bias": back.sum(0), "outer": hidden.T @ slope, "outer_bias": slope.sum(0)}
         self.steps += 1
         for k, g in slopes.items():
@@ -154,8 +155,8 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> dict
     """Weights from rounds of local training and averaging.
 
     In a round every task trains on its own documents, on every ``stride``-th token of each, from the common weights;
-    the results are averaged by the number of tokens as a grouped sum.  So what is learnt covers the whole corpus
-    and grows with it, while the driver holds one set of weights.
+    the results are averaged by the number of tokens as a grouped sum.  With a stride of the number of rounds each token
+    of the corpus is a target once (a longer one leaves tokens out), while the driver holds one set of weights.
     """
     weights = start_weights(token_counts(tokens))
     width = len(flat(weights))

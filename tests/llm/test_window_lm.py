@@ -54,3 +54,25 @@ def test_odd_rows(spark):
     assert sorted(got.n_tokens) == [0, 0, 2, 2, 300_000] and got[got.n_tokens == 2].log_prob.nunique() == 1
     assert (got[got.n_tokens == 0].log_prob == 0).all() and got.log_prob.notna().all()
     assert L.score_documents(docs.filter("false")).count() == 0
+
+
+def test_training_as_it_is_run_takes_every_token_once(spark, tmp_path, monkeypatch):
+    sizes = (1, 2, 3, 50, 1201)
+    rows = [(i, bytes(j % 200 for j in range(n))) for i, n in enumerate(sizes)]
+    tokens = spark.createDataFrame(rows, "doc_id long, ids binary").coalesce(1)
+
+    class Counted(L.Trainer):
+        def step(self, token, around):
+            with open(f"{tmp_path}/{len(token)}-{id(self)}-{np.random.default_rng().integers(1 << 60)}", "w"):
+                pass
+
+    monkeypatch.setattr(L, "Trainer", Counted)
+    L.train(tokens)
+    assert sum(int(f.name.split("-")[0]) for f in tmp_path.iterdir()) == sum(sizes)
+
+
+def test_training_as_it_is_run_beats_frequencies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tokens = L.token_table(docs, L.vocabulary(docs))
+    mean = lambda w: (lambda f: f.log_prob.sum() / f.n_tokens.sum())(L.score(tokens, w).toPandas())
+    assert mean(L.train(tokens)) > mean(L.start_weights(L.token_counts(tokens))) + 0.05
