@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tallycast.llm.queries import query, table
 from tallycast.session import materialise
 
 FREQUENT = 200  # words with an id of their own, by their count in the whole corpus
-HASHED = 55  # ids that the other words share by hash
+HASHED = 55  # classes of the other words by hash; a word has a share of its class
 PAD = FREQUENT + HASHED  # stands beyond either end of a document
 SIZE = PAD + 1
 SIDE = 3  # tokens of context on each side
@@ -115,21 +116,56 @@ def vocabulary(docs: DataFrame, frequent: int = FREQUENT) -> list[str]:
 
 
 def token_table(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``(doc_id, ids)``: a byte per token, written once."""
+    """``(doc_id, ids, words)``: a byte per token, and 64 bits of the word per token that shares its id; written once."""
     places = {w: i for i, w in enumerate(words)}
     rows = docs.select("doc_id", F.lower("text").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, crc = places.get, zlib.crc32
+        get, crc, digest = places.get, zlib.crc32, xxhash.xxh3_64_intdigest
         for batch in batches:
-            ids = []
+            ids, rest = [], []
             for one in batch.column(1):
                 found = (one.as_py() or "").split()
-                ids.append(bytes([i if (i := get(w)) is not None else FREQUENT + crc(w.encode("utf-8", "surrogatepass")) % HASHED for w in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                known = [get(w) for w in found]
+                others = [w.encode("utf-8", "surrogatepass") for w, i in zip(found, known) if i is None]
+                classes = iter([FREQUENT + crc(w) % HASHED for w in others])
+                ids.append(bytes([next(classes) if i is None else i for i in known]))
+                rest.append(np.array([digest(w) for w in others], np.uint64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(rest, pa.binary())], ["doc_id", "ids", "words"])
 
-    return materialise(rows.mapInArrow(run, f"doc_id {kind}, ids binary"), "ids")
+    return materialise(rows.mapInArrow(run, f"doc_id {kind}, ids binary, words binary"), "ids")
+
+
+def word_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64 bits and counts of the words of the whole corpus that share an id and occur at least twice.
+
+    Every other word that shares an id occurs once, so the counts are whole; 16 bytes a word, growing with the corpus.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, counts = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], ["word", "n"])
+
+    rows = tokens.select("words").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    table = rows.filter("n > 1").toArrow()
+    found, counts = (table[name].to_numpy() for name in ("word", "n"))
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
+def log_shares(ids: np.ndarray, words: np.ndarray, counts: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each token the log of its word's share of its id: 0 for a word with an id of its own."""
+    out, shared = np.zeros(len(ids)), np.flatnonzero((ids >= FREQUENT) & (ids < PAD))
+    if not len(shared):
+        return out
+    times, (found, often) = np.ones(len(words)), known
+    if len(found):
+        at = np.minimum(np.searchsorted(found, words), len(found) - 1)
+        times = np.where(found[at] == words, often[at], 1.0)
+    out[shared] = np.log(times / counts[ids[shared]])
+    return out
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
@@ -203,14 +239,21 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> dict
     return weights
 
 
-def score(tokens: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of each row of a token table, in one pass."""
+def score(tokens: DataFrame, weights: dict[str, np.ndarray], words: tuple[np.ndarray, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of each row of a token table, in one pass.
+
+    With ``words``, the counts of ids and of words, a token's probability is that of its id in its context times the
+    word's share of the id; else ids alone are scored.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(weights)
+    levels = None if words is None else tokens.sparkSession.sparkContext.broadcast(words)
+    tokens = tokens.select("doc_id", "ids", *([] if words is None else ["words"]))
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = _arrays(batch.column(1))
+            rest = None if levels is None else batch.column(2).to_pylist()
             sums, a = np.zeros(len(every)), 0
             while a < len(every):  # whole documents, some 100,000 tokens at a time
                 b, size = a, 0
@@ -218,7 +261,10 @@ def score(tokens: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
                     size += len(every[b])
                     b += 1
                 token, around, owner = contexts(every[a:b])
-                sums[a:b] = np.bincount(owner, weights=log_probabilities(shared.value, token, around), minlength=b - a)
+                each = log_probabilities(shared.value, token, around)
+                if rest is not None:
+                    each += log_shares(token, np.frombuffer(b"".join(rest[a:b]), np.int64), *levels.value)
+                sums[a:b] = np.bincount(owner, weights=each, minlength=b - a)
                 a = b
             sizes = np.array([len(e) for e in every], np.int64)
             means = np.divide(sums, sizes, out=np.zeros(len(sums)), where=sizes > 0)
@@ -230,12 +276,13 @@ def score(tokens: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
 def score_documents(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, log_prob, mean_log_prob)``, one row per row of ``docs`` (doc_id, text).
 
-    The network is trained on ``docs`` itself; ``log_prob`` sums every token's log-probability given both sides.  Null and
+    The network is trained on ``docs`` itself; ``log_prob`` sums every token's log-probability given both sides, on two
+    levels: the network's for the id, and the word's share of the id by counts of all words of ``docs``.  Null and
     empty texts have no tokens, sum 0 and mean 0; null ids are passed on; equal texts score equally; repeated rows
     stay repeated; other columns are not read; no rows give no rows.
     """
     tokens = token_table(docs, vocabulary(docs))
-    return score(tokens, train(tokens))
+    return score(tokens, train(tokens), (token_counts(tokens), word_counts(tokens)))
 
 
 @query("op7_masked_pseudo_likelihood")

@@ -76,3 +76,21 @@ def test_training_as_it_is_run_beats_frequencies(spark):
     tokens = L.token_table(docs, L.vocabulary(docs))
     mean = lambda w: (lambda f: f.log_prob.sum() / f.n_tokens.sum())(L.score(tokens, w).toPandas())
     assert mean(L.train(tokens)) > mean(L.start_weights(L.token_counts(tokens))) + 0.05
+
+
+def test_words_that_share_an_id_score_by_their_counts(spark):
+    common = [f"w{i}" for i in range(L.FREQUENT)]
+    rows = [(i, " ".join(common * 9)) for i in range(2)] + [(2, "house " * 9 + "qzxqz")]
+    nonsense = next(w for w in (f"x{i}" for i in range(10**4)) if L.zlib.crc32(w.encode()) % L.HASHED == L.zlib.crc32(b"house") % L.HASHED)
+    rows += [(3, "w1 w2 w3 house w4 w5 w6"), (4, f"w1 w2 w3 {nonsense} w4 w5 w6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.log_prob for r in L.score_documents(docs).collect()}
+    assert np.isclose(got[3] - got[4], np.log(10))
+    tokens = L.token_table(docs, L.vocabulary(docs))
+    found, often = L.word_counts(tokens)
+    assert often.tolist() == [10]
+    counts = L.token_counts(tokens)
+    every = np.array([L.xxhash.xxh3_64_intdigest(w) for w in (b"house", b"qzxqz", nonsense.encode())], np.uint64).view(np.int64)
+    ids = np.array([L.FREQUENT + L.zlib.crc32(w) % L.HASHED for w in (b"house", b"qzxqz", nonsense.encode())])
+    shares = np.exp(L.log_shares(ids, every, counts, (found, often)))
+    assert np.allclose(np.bincount(ids, shares)[np.unique(ids)], 1.0)
