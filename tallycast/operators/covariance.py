@@ -14,7 +14,9 @@ from tallycast.operators.panel import series_codes
 from tallycast.session import materialise
 
 DIM_BLOCK = 256
-ITERATIONS = 4
+EXTRA = 10  # start vectors beyond the rank
+TOLERANCE = 1e-3  # relative change of the leading values in a round, below which iteration ends
+MOST_ROUNDS = 200
 
 
 def step_vectors(coded: DataFrame, value: str, width: int) -> DataFrame:
@@ -104,12 +106,14 @@ def _products(table: DataFrame, column: str, rank: int) -> np.ndarray:
 
 
 def factor_model(
-    panel: DataFrame, rank: int, value: str = "y", iterations: int = ITERATIONS, seed: str = "factors"
+    panel: DataFrame, rank: int, value: str = "y", iterations: int = MOST_ROUNDS, seed: str = "factors", tolerance: float = TOLERANCE
 ) -> tuple[DataFrame, DataFrame]:
     """Low-rank plus diagonal covariance: ``(sid, loadings array)`` and ``(sid, diag)``.
 
-    Leading eigenvectors of the sample covariance by subspace iteration: a keyed random start, ``iterations`` rounds of
-    series to steps (sums over the series of a step) and back, an orthonormal basis in between, and a last rotation.
+    Leading eigenvectors of the sample covariance by subspace iteration: a keyed random start with some vectors more than
+    the rank, rounds of series to steps (sums over the series of a step) and back, an orthonormal basis in between, and
+    a last rotation.  It ends when no leading value changes by more than ``tolerance`` of itself in a round, or after
+    ``iterations`` rounds; a start as wide as the series or steps allow needs one round only.
     Both directions are equi-joins and grouped sums of short arrays with map-side combine; only rank x rank products
     come to the driver, so neither series nor steps are bounded.  A rank of at least the number of series gives
     the whole covariance, of which the size is D x D by nature.
@@ -120,22 +124,29 @@ def factor_model(
     if not rank:
         none = moments.select("sid", F.array().cast("array<double>").alias("loadings"))
         return none, moments.select("sid", F.coalesce("var", F.lit(0.0)).alias("diag"))
+    most = min(count, max(1, (steps or 2) - 1))
+    width = min(rank + EXTRA, most)
     centred = materialise(panel.join(moments, "sid").select("ts", "sid", (F.col(value) - F.col("_mean")).alias("c")), "centred")
 
     def summed(table: DataFrame, on: str, by: str, column: str, out: str) -> DataFrame:
-        parts = [F.sum(F.col("c") * F.col(column)[j]) for j in range(rank)]
+        parts = [F.sum(F.col("c") * F.col(column)[j]) for j in range(width)]
         return centred.join(table, on).groupBy(by).agg(F.array(*parts).alias(out))
 
-    basis = moments.select("sid", F.array(*[hash_normal(seed, F.col("sid"), F.lit(j)) for j in range(rank)]).alias("q"))
-    for _ in range(iterations if rank < count else 1):
+    basis = moments.select("sid", F.array(*[hash_normal(seed, F.col("sid"), F.lit(j)) for j in range(width)]).alias("q"))
+    before = None
+    for number in range(iterations if width < most else 1):
         wide = materialise(summed(summed(basis, "sid", "ts", "q", "z"), "ts", "sid", "z", "w"), "factors")
-        values, vectors = np.linalg.eigh(_products(wide, "w", rank))
+        values, vectors = np.linalg.eigh(_products(wide, "w", width))
         kept = values > max(values.max(), 0.0) * 1e-12
         root = np.where(kept, 1.0 / np.sqrt(np.where(kept, values, 1.0)), 0.0)
         basis = wide.select("sid", _combined("w", vectors * root).alias("q"))
+        leading = np.sqrt(np.maximum(values[::-1][:rank], 0.0))
+        if number > 1 and (np.abs(leading - before) <= tolerance * leading).all():  # the first round's start is not orthonormal
+            break
+        before = leading
     basis = materialise(basis, "basis")
-    values, vectors = np.linalg.eigh(_products(summed(basis, "sid", "ts", "q", "z"), "z", rank) / max(1, steps - 1))
-    turned = vectors[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0))
+    values, vectors = np.linalg.eigh(_products(summed(basis, "sid", "ts", "q", "z"), "z", width) / max(1, steps - 1))
+    turned = (vectors[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0)))[:, :rank]
     table = materialise(basis.select("sid", _combined("q", turned).alias("loadings")), "loadings")
     explained = F.aggregate("loadings", F.lit(0.0), lambda acc, v: acc + v * v)
     diag = moments.join(table, "sid").select("sid", F.greatest(F.coalesce("var", F.lit(0.0)) - explained, F.lit(0.0)).alias("diag"))

@@ -317,6 +317,17 @@ def test_factors_reproduce_the_covariance(spark):
     assert K.factor_model(p.filter("false"), 2)[0].count() == 0
 
 
+def test_factors_of_a_flat_spectrum(spark):
+    data = np.random.default_rng(5).poisson(3, (100, 150)).astype(float)
+    rows = [(f"s{k:03}", i, float(data[i, k])) for k in range(150) for i in range(100)]
+    p = spark.createDataFrame(rows, "sid string, ts int, y double")
+    loadings, _ = K.factor_model(p, 3)
+    got = np.array([r.loadings for r in loadings.orderBy("sid").collect()])
+    values, vectors = np.linalg.eigh(np.cov(data.T))
+    assert (got**2).sum(axis=0) == pytest.approx(values[::-1][:3], rel=0.005)
+    assert np.trace(got @ got.T @ vectors[:, -3:] @ vectors[:, -3:].T) > 0.99 * values[-3:].sum()
+
+
 def test_factor_noise_has_the_wanted_covariance(spark):
     rows = [("a", [1.0, 0.5], 0.25), ("b", [2.0, -1.0], 1.0)]
     df = spark.createDataFrame(rows, "sid string, loadings array<double>, diag double").withColumn("origin", F.lit(1))
