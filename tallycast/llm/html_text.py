@@ -24,9 +24,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr".split()
 )
-DROPPED = frozenset("nav header footer aside form button select option dialog menu head object embed canvas audio video input datalist".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-DROPPED_HINTS = frozenset(
+DROPPED = frozenset("nav header footer aside button select option dialog menu head object embed canvas audio video input datalist".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+HINTS = frozenset(  # words of a class or id that speak against an element
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead "
     "footer sidebar aside comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr popup modal overlay "
     "newsletter subscribe signup login share sharing social related recommended pagination pager toolbar widget form".split()
@@ -46,14 +46,16 @@ LEAST_LENGTH = 25  # of a paragraph that earns points
 LEVELS = (1.0, 2.0, 6.0, 9.0, 12.0)  # divisors of the points for the parent, the grandparent and so on
 MAIN_POINTS = 25.0
 SIBLING_SHARE = 0.2
+WRAPPER_SHARE = 0.5  # of a page's text outside links: a hinted element or form that holds so much is not dropped
+HINTED = 0.75  # of its points that such an element keeps
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "main", "block", "link", "length", "linked", "own", "commas", "points")
+    __slots__ = ("tag", "parent", "items", "drop", "hint", "main", "block", "link", "length", "linked", "own", "commas", "points")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
-        self.drop = self.main = False
+        self.drop = self.hint = self.main = False
         self.block = self if parent is None or tag not in INLINE else parent.block
         self.link = tag == "a" or (parent is not None and parent.link and tag in INLINE)
         self.length = self.linked = self.own = self.commas = 0
@@ -66,9 +68,10 @@ def _hints(node: Node, attributes: str) -> None:
         if name in ("class", "id"):
             if node.tag not in ("html", "body", "article", "main") or name == "class" and node.tag == "article":
                 words = {w.lower() for w in HINT.findall(value)}
-                node.drop |= not words.isdisjoint(DROPPED_HINTS if node.tag != "article" else ("comment", "comments", "reply"))
+                node.hint |= not words.isdisjoint(HINTS if node.tag != "article" else ("comment", "comments", "reply"))
         elif name == "role":
             node.drop |= value.lower() in DROPPED_ROLES
+            node.hint |= value.lower() == "form"
             node.main |= value.lower() in ("main", "article")
         elif name == "itemprop":
             node.main |= value.lower() == "articlebody"
@@ -130,7 +133,7 @@ def parse(html: str) -> list[Node]:
             if up is not None and up.tag == "p":
                 here = up.parent
         node = Node(tag, here)
-        node.drop, node.main = tag in DROPPED, tag in MAIN
+        node.drop, node.hint, node.main = tag in DROPPED, tag == "form", tag in MAIN
         attributes = match[3] or match[6]
         if attributes and not attributes.isspace():
             _hints(node, attributes)
@@ -140,14 +143,33 @@ def parse(html: str) -> list[Node]:
             here = node
 
 
+def _wrappers(nodes: list[Node], holds: set[Node]) -> set[Node]:
+    """Hinted elements that hold at least ``WRAPPER_SHARE`` of the text outside links and dropped parts."""
+    if not any(node.hint for node in nodes):
+        return set()
+    gone, sizes = set(), {}
+    for node in nodes:
+        if node.parent in gone or node.drop and node not in holds:
+            gone.add(node)
+        elif not node.link:
+            sizes[node] = sum(len(item.strip()) for item in node.items if isinstance(item, str))
+    for node in reversed(nodes):
+        if node.parent is not None and node in sizes:
+            sizes[node.parent] = sizes.get(node.parent, 0) + sizes[node]
+    least = max(1, WRAPPER_SHARE * sizes.get(nodes[0], 0))
+    return {node for node in nodes if node.hint and sizes.get(node, 0) >= least}
+
+
 def _measure(nodes: list[Node]) -> None:
     """Settle what is dropped and add up lengths: of all text, of link text, and of each block's own text."""
     holds = set()
     for node in reversed(nodes):  # children before parents
-        if node.parent is not None and (node in holds or node.main and not node.drop):
+        if node.parent is not None and (node in holds or node.main and not node.drop and not node.hint):
             holds.add(node.parent)
+    wrappers = _wrappers(nodes, holds)
     for node in nodes:
-        node.drop = node.parent is not None and (node.parent.drop or node.drop and node not in holds)
+        against = node.drop or node.hint and node not in wrappers
+        node.drop = node.parent is not None and (node.parent.drop or against and node not in holds)
         if node.drop:
             continue
         for item in node.items:
@@ -182,6 +204,8 @@ def _kept(nodes: list[Node]) -> list[Node]:
     for node in alive:
         if node.main:
             node.points += MAIN_POINTS
+        if node.hint:
+            node.points *= HINTED
     if not alive:
         return []
     best = max(alive, key=_worth)  # of equals the first in the page
@@ -237,13 +261,23 @@ def _text(kept: list[Node]) -> str:
 def main_text(html: str | None) -> str:
     """Blocks of the main text in page order, joined by a newline; white space inside a block is one space.
 
-    Null and empty pages, and pages without text outside dropped parts, give the empty string.
+    A class, an id or a form speaks against an element, which is dropped unless it holds half of the page's text; if
+    nothing is left, the page is scored without these hints.  Null and empty pages, and pages without text outside
+    dropped parts (menus, footers, hidden elements and the like), give the empty string.
     """
     if not html or html.isspace():
         return ""
     nodes = parse(html)
+    hinted = any(node.hint for node in nodes)
     _measure(nodes)
-    return _text(_kept(nodes))
+    text = _text(_kept(nodes))
+    if not text and hinted:
+        nodes = parse(html)
+        for node in nodes:
+            node.hint = False
+        _measure(nodes)
+        text = _text(_kept(nodes))
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

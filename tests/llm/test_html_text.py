@@ -55,3 +55,15 @@ def test_table_with_nulls_and_clashing_columns(spark):
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in got) == [("1", "u", "a", 1), ("1", "u", "a", 1), ("None", "None", "", 0)]
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers_with_hints_keep_the_text_they_hold():
+    body = "<p>First paragraph, with commas, and enough words, to earn points.</p><p>Second paragraph, with commas, and more words, to earn points too.</p>"
+    text = "First paragraph, with commas, and enough words, to earn points.\nSecond paragraph, with commas, and more words, to earn points too."
+    side = '<div class="sidebar"><p>Side text, with commas, and so on, of some length.</p></div>'
+    for start, end in (('<div class="content has-sidebar">', "</div>"), ("<form>", "</form>"), ('<div id="page-header-related">', "</div>"), ('<form><div class="widget">', "</div></form>")):
+        assert H.main_text(f"<body><nav>menu</nav>{start}{body}{side}{end}<footer>foot</footer></body>") == text
+    three = [f'<div class="widget"><p>Part {k}, of a page, all of which stands in parts like this.</p></div>' for k in range(3)]
+    assert "Part 1, of a page" in H.main_text("<body>" + "".join(three) + "</body>")
+    many = "".join(f'<div class="comment"><p>Comment {k}, with commas, and enough words, to earn points.</p></div>' for k in range(20))
+    assert H.main_text(f'<body><div class="post">{body}</div><div id="comments">{many}</div></body>') == text
