@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("simhash", "token_orc", "mixing", "decontaminate", "quality", "window_lm", "html_text", "line_chunks", "line_crf", "warc")
+MODULES = ("simhash", "token_orc", "mixing", "decontaminate", "quality", "window_lm", "html_text", "line_chunks", "line_crf", "warc",
+           "url_cascade")
 
 
 def query(name: str, sql: str | None = None):
