@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("simhash", "token_orc", "mixing", "decontaminate", "quality", "window_lm", "html_text", "line_chunks", "line_crf", "warc",
-           "url_cascade", "turn_repair")
+           "url_cascade", "turn_repair", "token_alignment")
 
 
 def query(name: str, sql: str | None = None):
