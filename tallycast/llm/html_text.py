@@ -15,8 +15,8 @@ TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")  # a name, and its value with it
+HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes svg math title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,10 +26,23 @@ INLINE = frozenset(
 )
 DROPPED = frozenset("nav header footer aside button select option dialog menu head object embed canvas audio video input datalist".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-HINTS = frozenset(  # words of a class or id that speak against an element
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead "
-    "footer sidebar aside comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr popup modal overlay "
-    "newsletter subscribe signup login share sharing social related recommended pagination pager toolbar widget form".split()
+HINTS = {  # words of a class or id that speak against an element, by what it then is
+    word: kind
+    for kind, words in {
+        "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion sidebar aside widget",
+        "notice": "notice notices cookie cookies consent gdpr popup modal overlay",
+        "comment": "comment comments commentlist disqus respond reply replies",
+        "form": "newsletter subscribe signup login form",
+        "menu": "nav navbar navigation menu breadcrumb breadcrumbs share sharing social related recommended pagination pager toolbar",
+        "frame": "header masthead footer banner",
+    }.items()
+    for word in words.split()
+}
+STRENGTH = ("advert", "notice", "comment", "form", "menu", "frame")
+# words that may stand beside those in one class without changing what the element is
+NEUTRAL = frozenset(
+    "container wrapper wrap box block list area section inner outer item items bar button buttons links link panel top bottom left right main site page "
+    "global primary secondary slot unit module group row col column".split()
 )
 MAIN = frozenset(("article", "main"))
 CLOSES_P = frozenset(
@@ -48,30 +61,54 @@ MAIN_POINTS = 25.0
 SIBLING_SHARE = 0.2
 WRAPPER_SHARE = 0.5  # of a page's text outside links: a hinted element or form that holds so much is not dropped
 HINTED = 0.75  # of its points that such an element keeps
+PASSED = {"menu": 0.25, "frame": 0.25}  # of points that leave any other hinted element for those around it; else none
+LINKED = 1 / 3  # link density from which an element hinted as a menu is one
+PASSAGE = 80  # characters outside links of a block that makes a hinted menu or frame part of the text
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "hint", "main", "block", "link", "length", "linked", "own", "commas", "points")
+    __slots__ = ("tag", "parent", "items", "drop", "hint", "main", "block", "link", "length", "linked", "own", "longest", "commas", "points")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.items = tag, parent, []
-        self.drop = self.hint = self.main = False
+        self.drop = self.main = False
+        self.hint = ""
         self.block = self if parent is None or tag not in INLINE else parent.block
         self.link = tag == "a" or (parent is not None and parent.link and tag in INLINE)
-        self.length = self.linked = self.own = self.commas = 0
+        self.length = self.linked = self.own = self.longest = self.commas = 0
         self.points = 0.0
 
 
+def kind_of(names: str) -> str:
+    """What the classes or the id of an element make it: a menu, an advert and so on, or nothing.
+
+    A name counts only as a whole: each of its words has to be a hint or neutral, so ``ad``, ``cookie-banner`` and
+    ``siteFooter`` count, ``has-sidebar``, ``market-share`` and ``header2text`` do not.
+    """
+    found = set()
+    for name in names.split():
+        words = [w.lower() for w in HINT.findall(name)]
+        if all(w in HINTS or w in NEUTRAL or w.isdigit() for w in words):
+            found.update(HINTS[w] for w in words if w in HINTS)
+    return next((kind for kind in STRENGTH if kind in found), "")
+
+
 def _hints(node: Node, attributes: str) -> None:
+    seen = set()
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        name, value = name.lower(), unescape(value.strip("\"'") if value[:1] in "\"'" else value).strip()
+        if name in seen:  # the first of equal names counts
+            continue
+        seen.add(name)
         if name in ("class", "id"):
             if node.tag not in ("html", "body", "article", "main") or name == "class" and node.tag == "article":
-                words = {w.lower() for w in HINT.findall(value)}
-                node.hint |= not words.isdisjoint(HINTS if node.tag != "article" else ("comment", "comments", "reply"))
+                kind = kind_of(value)
+                if node.tag != "article" or kind == "comment":
+                    node.hint = min((k for k in (node.hint, kind) if k), key=STRENGTH.index, default="")
         elif name == "role":
             node.drop |= value.lower() in DROPPED_ROLES
-            node.hint |= value.lower() == "form"
+            node.hint = node.hint or ("form" if value.lower() == "form" else "")
             node.main |= value.lower() in ("main", "article")
         elif name == "itemprop":
             node.main |= value.lower() == "articlebody"
@@ -79,8 +116,8 @@ def _hints(node: Node, attributes: str) -> None:
             node.drop = True
         elif name == "aria-hidden":
             node.drop |= value.lower() == "true"
-        else:
-            node.drop |= "display:none" in value.replace(" ", "").lower()
+        elif name == "style":
+            node.drop |= "display:none" in "".join(value.split()).lower()
 
 
 def parse(html: str) -> list[Node]:
@@ -133,7 +170,7 @@ def parse(html: str) -> list[Node]:
             if up is not None and up.tag == "p":
                 here = up.parent
         node = Node(tag, here)
-        node.drop, node.hint, node.main = tag in DROPPED, tag == "form", tag in MAIN
+        node.drop, node.hint, node.main = tag in DROPPED, "form" if tag == "form" else "", tag in MAIN
         attributes = match[3] or match[6]
         if attributes and not attributes.isspace():
             _hints(node, attributes)
@@ -161,15 +198,21 @@ def _wrappers(nodes: list[Node], holds: set[Node]) -> set[Node]:
 
 
 def _measure(nodes: list[Node]) -> None:
-    """Settle what is dropped and add up lengths: of all text, of link text, and of each block's own text."""
+    """Settle which parts cannot be text and add up lengths: of all text, of link text, and of each block's own text.
+
+    Hints of wrappers and of elements that hold an article are cleared to a lesser weight (``"wrapper"``) or to none.
+    """
     holds = set()
     for node in reversed(nodes):  # children before parents
         if node.parent is not None and (node in holds or node.main and not node.drop and not node.hint):
             holds.add(node.parent)
     wrappers = _wrappers(nodes, holds)
     for node in nodes:
-        against = node.drop or node.hint and node not in wrappers
-        node.drop = node.parent is not None and (node.parent.drop or against and node not in holds)
+        node.drop = node.parent is not None and (node.parent.drop or node.drop and node not in holds)
+        if node in holds or node in wrappers:
+            node.hint = "wrapper" if node.hint else ""
+        elif node.tag in HEADINGS and node.hint == "frame" or node.hint in ("frame", "menu") and node.tag in ("p", "li", "blockquote", "pre"):
+            node.hint = ""
         if node.drop:
             continue
         for item in node.items:
@@ -180,9 +223,20 @@ def _measure(nodes: list[Node]) -> None:
                 node.block.own += 0 if node.link else size
                 node.block.commas += item.count(",") + item.count("、") + item.count("，") + item.count("،")
     for node in reversed(nodes):
+        node.longest = max(node.longest, node.own)
         if node.parent is not None and not node.drop:
             node.parent.length += node.length
             node.parent.linked += node.linked
+            node.parent.longest = max(node.parent.longest, node.longest)
+
+
+def _is_apart(node: Node) -> bool:
+    """Whether a hinted element, once the text is found, turns out to be a menu, advert, form, notice, frame or comment."""
+    if node.hint in ("", "wrapper"):
+        return False
+    if node.hint in PASSED and node.longest >= PASSAGE:
+        return node.hint == "menu" and node.linked >= LINKED * node.length
+    return True
 
 
 def _worth(node: Node) -> float:
@@ -195,8 +249,12 @@ def _kept(nodes: list[Node]) -> list[Node]:
             continue
         points = 1.0 + node.commas + min(node.own // 100, 3)
         up = node.parent if node.tag in PARAGRAPHS and node.parent is not None else node
+        inside, weight = node, 1.0
         for divisor in LEVELS:
-            up.points += points / divisor
+            while inside is not up:
+                weight *= PASSED.get(inside.hint, 0.0) if inside.hint not in ("", "wrapper") else 1.0
+                inside = inside.parent
+            up.points += weight * points / divisor
             up = up.parent
             if up is None:
                 break
@@ -205,7 +263,7 @@ def _kept(nodes: list[Node]) -> list[Node]:
         if node.main:
             node.points += MAIN_POINTS
         if node.hint:
-            node.points *= HINTED
+            node.points *= HINTED if node.hint == "wrapper" else PASSED.get(node.hint, 0.0)
     if not alive:
         return []
     best = max(alive, key=_worth)  # of equals the first in the page
@@ -222,7 +280,7 @@ def _kept(nodes: list[Node]) -> list[Node]:
     def joins(node: Node) -> bool:
         if node is best:
             return True
-        if node.drop or node.tag in INLINE or not node.length:
+        if node.drop or node.tag in INLINE or not node.length or _is_apart(node):
             return False
         if node.tag == "p":
             density = node.linked / node.length
@@ -233,7 +291,7 @@ def _kept(nodes: list[Node]) -> list[Node]:
 
 
 def _text(kept: list[Node]) -> str:
-    blocks, line, stack = [], [], list(reversed(kept))
+    blocks, line, stack, best = [], [], list(reversed(kept)), set(kept)
 
     def flush() -> None:
         words = "".join(line).split()
@@ -249,7 +307,7 @@ def _text(kept: list[Node]) -> str:
             line.append(item)
         elif item.tag == "br":
             line.append(" ")
-        elif not item.drop:
+        elif not item.drop and (item in best or not _is_apart(item)):
             if item.block is item:
                 flush()
                 stack.append(None)
@@ -261,9 +319,11 @@ def _text(kept: list[Node]) -> str:
 def main_text(html: str | None) -> str:
     """Blocks of the main text in page order, joined by a newline; white space inside a block is one space.
 
-    A class, an id or a form speaks against an element, which is dropped unless it holds half of the page's text; if
-    nothing is left, the page is scored without these hints.  Null and empty pages, and pages without text outside
-    dropped parts (menus, footers, hidden elements and the like), give the empty string.
+    A class, an id or a form speaks against an element (:func:`kind_of`): fewer of its points, or none, reach the elements
+    around it, and it is left out of the text that is found, unless it holds half of the page's text or, where it is
+    said to be a menu or a header, a passage outside links.  If nothing is left, the page is scored without these
+    hints.  Null and empty pages, and pages without text outside dropped parts (menus, footers, hidden elements and the
+    like, by tag, role or attribute), give the empty string.
     """
     if not html or html.isspace():
         return ""
@@ -274,7 +334,7 @@ def main_text(html: str | None) -> str:
     if not text and hinted:
         nodes = parse(html)
         for node in nodes:
-            node.hint = False
+            node.hint = ""
         _measure(nodes)
         text = _text(_kept(nodes))
     return text

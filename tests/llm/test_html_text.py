@@ -67,3 +67,36 @@ def test_wrappers_with_hints_keep_the_text_they_hold():
     assert "Part 1, of a page" in H.main_text("<body>" + "".join(three) + "</body>")
     many = "".join(f'<div class="comment"><p>Comment {k}, with commas, and enough words, to earn points.</p></div>' for k in range(20))
     assert H.main_text(f'<body><div class="post">{body}</div><div id="comments">{many}</div></body>') == text
+
+
+BODY = "<p>First paragraph, with commas, and enough words, to earn points.</p><p>Second paragraph, with commas, and more words, to earn points too.</p>"
+TEXT = "First paragraph, with commas, and enough words, to earn points.\nSecond paragraph, with commas, and more words, to earn points too."
+
+
+def test_words_inside_other_attributes_say_nothing():
+    for start in ('<article title="The hidden valley">', '<article onclick="show(hidden)" data-id=related>', "<article data-x='class=ad' alt=\"id='menu'\">"):
+        assert H.main_text(f"<body>{start}{BODY}</article></body>") == TEXT
+    for start in ('<div title="Hidden treasures of Rome">', '<div data-hidden="false" data-id="related">', "<div data-class=ad aria-label='comments'>", "<div hiddenness=1 xclass='nav'>"):
+        assert H.main_text(f"<body><div>{start}{BODY}</div></div></body>") == TEXT
+    page = f'<body><div>{BODY}<p>See <a href="/blog/hidden-gems">our guide</a> <a href="?id=ad&class=menu">now</a>.</p></div></body>'
+    assert H.main_text(page) == TEXT + "\nSee our guide now."
+    assert H.main_text(f'<body><div>{BODY}<p data-hidden="false">Kept.</p><p data-role="navigation" style="color:red">Kept too.</p></div></body>') == TEXT + "\nKept.\nKept too."
+    assert H.main_text(f'<body><div>{BODY}<p hidden>No.</p><p class=x HIDDEN="">No.</p><p style="display : none">No.</p></div></body>') == TEXT
+
+
+def test_compound_classes_inside_the_text_stay():
+    inside = '<h2 class="section-header">Part two</h2><p class="market-share">Share of 5 %.</p><div class="related-work"><p>Work.</p></div><div class="replying formation">Also.</div>'
+    want = TEXT + "\nPart two\nShare of 5 %.\nWork.\nAlso."
+    for start, end in (("<article>", "</article>"), ('<div class="post">', "</div>"), ('<main class="has-sidebar">', "</main>")):
+        assert H.main_text(f"<body>{start}{BODY}{inside}{end}</body>") == want
+    passage = "<div class=\"header\"><p>A standfirst that tells at some length, in more than eighty characters, what the article is about.</p></div>"
+    assert H.main_text(f"<body><article>{passage}{BODY}</article></body>").startswith("A standfirst")
+
+
+def test_parts_that_are_no_text_go_by_whole_names():
+    for name in ("ad", "ad-container", "cookie-banner", "siteFooter", "comment_list", "sidebar-left", "newsletter-box", "main-nav", "share-buttons", "related"):
+        apart = f'<div class="{name}"><a href=a>Some words</a>, and others, that are no text.</div>'
+        for side in (f"<div class=post>{BODY}</div>{apart}", f"{apart}<article>{BODY}{apart}</article>", f"<div id=x>{BODY}{apart}</div>"):
+            assert H.main_text(f"<body>{side}</body>") == TEXT, name
+    many = "".join(f"<li><a href={k}>A linked title of some length, number {k}, which goes on and on and on and on and on</a></li>" for k in range(3))
+    assert H.main_text(f"<body><article>{BODY}<ul class='related links'>{many}</ul></article></body>") == TEXT
