@@ -1,8 +1,8 @@
-"""Line deduplication by content-defined chunks and line pairs: repeated passages are removed after byte comparison."""
+"""Line deduplication by content-defined chunks: globally repeated chunks of lines are removed after byte comparison."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -10,79 +10,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycast.llm.queries import query, table
-from tallycast.llm.rows import row_key, small
+from tallycast.llm.rows import light, row_key
 from tallycast.session import materialise
 
 WINDOW = 2  # lines whose hashes the rolling hash covers
-DIVISOR = 2  # a boundary where the rolling hash is divisible by it
-LEAST_LINES = 2  # lines of a chunk, except a document's last
-MOST_LINES = 256  # a boundary at the latest
+CHUNKINGS = 32  # of every text, each by its own bit of the rolling hash
 MASK = (1 << 64) - 1
 FACTOR = 0x9E3779B97F4A7C15
 
 
-def chunks(text: str | None) -> list[str]:
-    """Chunks of whole lines, which joined by a newline give the text again; null has none.
-
-    A polynomial rolling hash over the hashes of the last lines decides the boundaries, so chunks inside a passage
-    are the same wherever it stands, after a few lines at most.
-    """
-    if text is None:
-        return []
-    out, held, hashes, rolling = [], [], [], 0
-    drop = pow(FACTOR, WINDOW, 1 << 64)
-    for line in text.split("\n"):
-        hashes.append(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")))
-        rolling = (rolling * FACTOR + hashes[-1]) & MASK
-        if len(hashes) > WINDOW:
-            rolling = (rolling - hashes.pop(0) * drop) & MASK
-        held.append(line)
-        if len(held) >= MOST_LINES or len(held) >= LEAST_LINES and (rolling >> 32) % DIVISOR == 0:
-            out.append("\n".join(held))
-            held = []
-    if held:
-        out.append("\n".join(held))
+def rolling_hashes(lines: list[bytes]) -> list[int]:
+    """After each line the polynomial rolling hash of the last ``WINDOW`` lines' hashes."""
+    out, rolling, drop = [], 0, pow(FACTOR, WINDOW, 1 << 64)
+    hashes = [xxhash.xxh64_intdigest(line) for line in lines]
+    for at, h in enumerate(hashes):
+        rolling = (rolling * FACTOR + h) & MASK
+        if at >= WINDOW:
+            rolling = (rolling - hashes[at - WINDOW] * drop) & MASK
+        out.append(rolling)
     return out
 
 
-def is_multi_line(chunk: str) -> bool:
-    """At least two lines with a word: only such chunks are ever removed."""
-    return "\n" in chunk and sum(not line.isspace() and line != "" for line in chunk.split("\n")) >= 2
-
-
-def _digest(chunk: str) -> tuple[int, int]:
-    """128 bits as two signed longs."""
-    whole = xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
-    return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
-
-
-def chunk_spans(text: str | None) -> list[tuple[int, int]]:
-    """First line and line after the last of each multi-line chunk."""
-    spans, at = [], 0
-    for chunk in chunks(text):
-        end = at + chunk.count("\n") + 1
-        if is_multi_line(chunk):
-            spans.append((at, end))
-        at = end
-    return spans
+def boundary_bits(lines: list[bytes]) -> list[int]:
+    """After each line a bit per chunking: set where that chunking ends a chunk, after every other line on average."""
+    return [value >> (64 - CHUNKINGS) for value in rolling_hashes(lines)]
 
 
-def passage_spans(text: str | None) -> list[tuple[int, int]]:
-    """The multi-line chunks, and every line with a word up to the next one.
+def chunk_spans(lines: list[bytes]) -> list[tuple[int, int]]:
+    """First line and line after the last of the chunks of all chunkings with at least two lines with a word.
 
-    A chunk is found elsewhere only if both of its ends lie inside the passage; the pairs of neighbouring lines cover
-    every passage of two lines and more whole, wherever its chunks end.
+    A chunk reaches from one boundary of its chunking to the next; the ends of the text are boundaries of all.  Bits
+    depend on the last lines only, so chunks inside a passage are the same wherever it stands, and at which of its
+    lines they end differs between the chunkings.
     """
-    lines = [] if text is None else text.split("\n")
-    words = [at for at, line in enumerate(lines) if line != "" and not line.isspace()]
-    return sorted({*chunk_spans(text), *((a, b + 1) for a, b in zip(words, words[1:]))})
-
-
-Spans = Callable[[str | None], list[tuple[int, int]]]
+    bits, every = boundary_bits(lines), (1 << CHUNKINGS) - 1
+    worded = [0]
+    for line in lines:
+        worded.append(worded[-1] + (not line.isspace() and line != b""))
+    found = []
+    for start in range(len(lines)):
+        open_ones, end = bits[start - 1] if start else every, start
+        while open_ones:  # chunkings with a boundary here and none since
+            closed = bits[end] if end + 1 < len(lines) else every
+            end += 1
+            if open_ones & closed and worded[end] - worded[start] >= 2:
+                found.append((start, end))
+            open_ones &= ~closed
+    return found
+
+
+def split_lines(text: str | None) -> list[bytes]:
+    return [] if text is None else text.encode("utf-8", "surrogatepass").split(b"\n")
+
+
+def _digest(chunk: bytes) -> tuple[int, int]:
+    """128 bits as two signed longs."""
+    whole = xxhash.xxh3_128_digest(chunk)
+    return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
 
 
-def span_table(docs: DataFrame, spans: Spans) -> DataFrame:
-    """``(ka, kb, doc_id, a, b, h1, h2)``, a row per span of lines; ``a`` and ``b`` are its place in the document."""
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """``(ka, kb, doc_id, a, b, h1, h2)``, a row per chunk; ``a`` and ``b`` are its lines in the document."""
     rows = docs.select(*row_key(), "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["ka", "kb", "doc_id", "a", "b", "h1", "h2"]
@@ -91,9 +79,8 @@ def span_table(docs: DataFrame, spans: Spans) -> DataFrame:
         for batch in batches:
             found: list[tuple] = []
             for row, one in enumerate(batch.column(3)):
-                text = one.as_py()
-                lines = [] if text is None else text.split("\n")
-                found += [(row, a, b, *_digest("\n".join(lines[a:b]))) for a, b in spans(text)]
+                lines = split_lines(one.as_py())
+                found += [(row, a, b, *_digest(b"\n".join(lines[a:b]))) for a, b in chunk_spans(lines)]
             if found:
                 row, a, b, h1, h2 = zip(*found)
                 picked = pa.array(row, pa.int64())
@@ -104,10 +91,10 @@ def span_table(docs: DataFrame, spans: Spans) -> DataFrame:
     return rows.mapInArrow(run, f"ka bigint, kb bigint, doc_id {kind}, a int, b int, h1 bigint, h2 bigint")
 
 
-def span_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """``(ka, kb, doc_id, a, b, h1, h2, lines)``: the bytes of the spans ``hits`` (ka, kb, a, b) only."""
+def chunk_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(ka, kb, doc_id, a, b, h1, h2, lines)``: the bytes of the chunks ``hits`` (ka, kb, a, b) only."""
     wanted = hits.groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(*row_key(), "doc_id", "text").join(small(materialise(wanted, "wanted")), ["ka", "kb"])
+    rows = docs.select(*row_key(), "doc_id", "text").join(light(materialise(wanted, "wanted")), ["ka", "kb"])
     rows = rows.select("ka", "kb", "doc_id", "text", "spans")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -115,50 +102,52 @@ def span_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
         for batch in batches:
             found: list[tuple] = []
             for row, (one, spans) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                lines = one.split("\n")
+                lines = split_lines(one)
                 for s in spans:
-                    text = "\n".join(lines[s["a"] : s["b"]])
-                    found.append((row, s["a"], s["b"], *_digest(text), text))
+                    chunk = b"\n".join(lines[s["a"] : s["b"]])
+                    found.append((row, s["a"], s["b"], *_digest(chunk), chunk))
             if found:
                 row, a, b, h1, h2, texts = zip(*found)
                 picked = pa.array(row, pa.int64())
                 columns = [c.take(picked) for c in batch.columns[:3]] + [pa.array(a, pa.int32()), pa.array(b, pa.int32())]
-                columns += [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.string())]
+                columns += [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["ka", "kb", "doc_id", "a", "b", "h1", "h2", "lines"])
 
-    return rows.mapInArrow(run, f"ka bigint, kb bigint, doc_id {kind}, a int, b int, h1 bigint, h2 bigint, lines string")
+    return rows.mapInArrow(run, f"ka bigint, kb bigint, doc_id {kind}, a int, b int, h1 bigint, h2 bigint, lines binary")
 
 
-def repeated_spans(docs: DataFrame, spans: Spans) -> DataFrame:
-    """``(ka, kb, a, b)`` of the occurrences to remove: all but the first, by id and place, of each repeated span.
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """``(ka, kb, a, b)`` of the occurrences to remove: all but the first, by id and place, of each repeated chunk.
 
     Digests are counted first (map-side combine, so a passage in a third of all documents is one row per task), then
     the texts of repeated digests only are read again and grouped by their bytes.  A digest that different texts
     share is left alone, and so is an occurrence that overlaps the first one.
     """
-    narrow = materialise(span_table(docs, spans), "spans")
+    narrow = materialise(chunk_table(docs), "chunks")
     counted = narrow.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    again = small(materialise(counted, "repeated"))
+    again = light(materialise(counted, "repeated"))
     hits = materialise(narrow.join(again, ["h1", "h2"], "left_semi"), "hits")
     place = F.struct("doc_id", "ka", "kb", "a", "b")
-    versions = span_texts(docs, hits).groupBy("h1", "h2", "lines").agg(F.min(place).alias("first"))
+    versions = chunk_texts(docs, hits).groupBy("h1", "h2", "lines").agg(F.min(place).alias("first"))
     checked = versions.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.min("first").alias("first")).filter("texts = 1")
-    checked = small(materialise(checked.select("h1", "h2", "first"), "checked"))
-    apart = (F.col("first.ka") != F.col("ka")) | (F.col("first.kb") != F.col("kb")) | (F.col("a") >= F.col("first.b"))
+    checked = light(materialise(checked.select("h1", "h2", *[F.col(f"first.{c}").alias(f"f{c}") for c in ("ka", "kb", "b")]), "checked"))
+    apart = (F.col("fka") != F.col("ka")) | (F.col("fkb") != F.col("kb")) | (F.col("a") >= F.col("fb"))
     return hits.join(checked, ["h1", "h2"]).filter(apart).select("ka", "kb", "a", "b").distinct()
 
 
-def dedup_lines(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed_lines, n_removed_chunks)``, one row per row of ``docs`` (doc_id, text).
 
-    Multi-line chunks that occur before (in a document of smaller id, or earlier in the same one) are removed; the
-    first occurrence stays, and so does everything between.  With :func:`passage_spans` every run of at least two
-    lines with a word that occurs before goes, not only its whole chunks; a chunk counts as removed if no line of it is
-    left.  A null text stays null with no lines; null ids come first in the order; rows of equal id and text are one
-    document and lose the same lines; other columns are not read; no rows give no rows.
+    Lines of a chunk that occurs before (in a document of smaller id, or earlier in the same one) are removed, those
+    of its first occurrence stay unless another chunk with them occurs earlier still: every removed line stands, byte
+    for byte, at an earlier place, but a first occurrence can lose a part that has an earlier one of its own.  A text
+    has ``CHUNKINGS`` chunkings, so that a repeated passage holds whole chunks of some of them, though their ends need
+    not fall on its ends; ``n_removed_chunks`` counts different runs of lines.  A null text stays null with no lines;
+    null ids come first in the order; rows of equal id and text are one document and lose the same lines; other
+    columns are not read; no rows give no rows.
     """
-    removed = repeated_spans(docs, spans).groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    removed = small(materialise(removed, "removed"))
+    removed = repeated_chunks(docs).groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    removed = light(materialise(removed, "removed"))
     rows = docs.select("doc_id", "text", *row_key()).join(removed, ["ka", "kb"], "left").select("doc_id", "text", "gone")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -166,20 +155,13 @@ def dedup_lines(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
         for batch in batches:
             texts, lines, lost, pieces = [], [], [], []
             for one, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                out, whole = set(), 0
-                if gone:
-                    for s in gone:
-                        out.update(range(s["a"], s["b"]))
-                    at = 0
-                    for chunk in chunks(one):
-                        end = at + chunk.count("\n") + 1
-                        whole += all(n in out for n in range(at, end))
-                        at = end
+                out = {n for s in gone or () for n in range(s["a"], s["b"])}
+                if out:
                     one_less = "\n".join(line for n, line in enumerate(one.split("\n")) if n not in out)
-                texts.append(one_less if gone else one)
+                texts.append(one_less if out else one)
                 lost.append(len(out))
                 lines.append(0 if one is None else one.count("\n") + 1)
-                pieces.append(whole)
+                pieces.append(len(gone or ()))
             columns = [batch.column(0), pa.array(texts, pa.string()), *(pa.array(v, pa.int64()) for v in (lines, lost, pieces))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
@@ -188,4 +170,4 @@ def dedup_lines(docs: DataFrame, spans: Spans = chunk_spans) -> DataFrame:
 
 @query("op9_line_chunks")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"), passage_spans)
+    return dedup_lines(table(spark, sf_dir, "documents"))

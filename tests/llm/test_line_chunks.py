@@ -1,39 +1,59 @@
 import random
 
+import pyarrow.parquet as pq
+import pytest
+
 from tallycast.llm import line_chunks as L
 
 
 def brute(docs):
-    seen, out = set(), []
-    order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is not None, docs[i][0] or 0))
-    texts = {}
-    for i in order:
-        parts = L.chunks(docs[i][1])
-        kept, lost = [], 0
-        for c in parts:
-            if L.is_multi_line(c) and c in seen:
-                lost += 1
-            else:
-                kept.append(c)
-            if L.is_multi_line(c):
-                seen.add(c)
-        texts[i] = (str(docs[i][0]), docs[i][1] if not lost else "\n".join(kept), lost)
-    return sorted((a, str(b), c) for a, b, c in texts.values())
+    """Every chunk of every document against all earlier ones, by bytes."""
+    order = sorted({d for d in docs if d[1] is not None}, key=lambda d: (d[0] is not None, d[0] or 0))
+    first, out = {}, {}
+    for doc in order:
+        lines = L.split_lines(doc[1])
+        for a, b in L.chunk_spans(lines):
+            first.setdefault(tuple(lines[a:b]), (doc, b))
+    for doc in order:
+        lines, gone, runs = L.split_lines(doc[1]), set(), 0
+        for a, b in L.chunk_spans(lines):
+            where, end = first[tuple(lines[a:b])]
+            if where != doc or a >= end:
+                gone.update(range(a, b))
+                runs += 1
+        out[doc] = ("\n".join(line.decode() for n, line in enumerate(lines) if n not in gone), len(lines), len(gone), runs)
+    return sorted((str(d[0]), *map(str, out.get(d, (None, 0, 0, 0)))) for d in docs)
+
+
+def got(frame):
+    return sorted((str(r.doc_id), str(r.text), str(r.n_lines), str(r.n_removed_lines), str(r.n_removed_chunks)) for r in frame.collect())
 
 
 def passage(rng, n):
     return "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(n))
 
 
-def test_chunks_join_to_the_text_and_are_found_after_a_shift():
+def test_chunks_cover_the_text_and_are_found_after_a_shift():
     rng = random.Random(1)
     for text in ["", "\n", "a", "a\nb\n", passage(rng, 50), "\n" * 1000, "x\n" * 3000]:
-        assert "\n".join(L.chunks(text)) == text
-    assert max(c.count("\n") + 1 for c in L.chunks("x\n" * 3000)) <= L.MOST_LINES
+        lines = L.split_lines(text)
+        bits, spans = L.boundary_bits(lines), set()
+        for number in range(L.CHUNKINGS):
+            ends = [n + 1 for n, b in enumerate(bits) if b >> number & 1 or n + 1 == len(lines)]
+            spans.update(zip([0, *ends], ends))
+        assert L.chunk_spans(lines) == sorted((a, b) for a, b in spans if sum(bool(x.strip()) for x in lines[a:b]) >= 2)
     shared = passage(rng, 40)
-    a, b = L.chunks(passage(rng, 7) + "\n" + shared + "\n" + passage(rng, 3)), L.chunks(passage(rng, 4) + "\n" + shared)
-    assert sum(c.count("\n") + 1 for c in set(a) & set(b)) >= 30
-    assert L.chunks(None) == []
+    a, b = (L.split_lines(t) for t in (passage(rng, 7) + "\n" + shared + "\n" + passage(rng, 3), passage(rng, 4) + "\n" + shared))
+    both = {tuple(a[x:y]) for x, y in L.chunk_spans(a)} & {tuple(b[x:y]) for x, y in L.chunk_spans(b)}
+    assert len({line for chunk in both for line in chunk}) >= 39
+    assert L.chunk_spans(L.split_lines(None)) == [] and L.chunk_spans(L.split_lines("one line")) == []
+
+
+def test_rolling_hash_depends_on_its_window_only():
+    rng = random.Random(4)
+    lines = L.split_lines(passage(rng, 30))
+    assert L.rolling_hashes(lines)[12:] == L.rolling_hashes(lines[11:])[1:]
+    assert L.rolling_hashes(lines)[11] != L.rolling_hashes(lines[11:])[0]
 
 
 def test_equal_to_brute_force(spark):
@@ -42,40 +62,54 @@ def test_equal_to_brute_force(spark):
     docs = [(0, None), (1, ""), (2, "one line"), (None, "\n".join((shared[2], passage(rng, 2))))]
     for i in range(80):
         docs.append((10 + i, "\n".join(rng.choice([passage(rng, 3), rng.choice(shared), rng.choice(shared)]) for _ in range(rng.randrange(1, 6)))))
+    docs += docs[20:23]
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, at int, h1 string").repartition(7)
-    got = sorted((str(r.doc_id), str(r.text), r.n_removed_chunks) for r in L.dedup_lines(df).collect())
-    assert got == brute(docs)
-    assert sum(g[2] for g in got) > 50
+    want = brute(docs)
+    assert got(L.dedup_lines(df)) == want
+    assert sum(int(w[4]) for w in want) > 200
+    assert L.dedup_lines(df.filter("false")).count() == 0
+
+
+def test_query_equals_brute_force_on_given_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()]
+    assert got(L.op9(spark, folder)) == brute(docs)
+
+
+def test_sides_beyond_the_byte_limit_are_joined_without_broadcast(spark, monkeypatch):
+    from tallycast.llm import rows
+
+    folder = "/root/testdata/sf0.001"
+    want = got(L.op9(spark, folder))
+    monkeypatch.setattr(rows, "LIGHT_BYTES", 0)
+    assert got(L.op9(spark, folder)) == want
+
+
+def test_every_removed_line_stands_earlier(spark):
+    """Chunks that share lines: a first occurrence may lose a part, but no line is lost altogether."""
+    rng = random.Random(6)
+    a, b, c = (passage(rng, 2) for _ in range(3))
+    docs = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{c}"), (3, f"{b}\n{c}"), (4, f"{c}\n{a}\n{a}")]
+    out = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    kept = [line for i in sorted(out) for line in out[i].split("\n")]
+    assert {line for _, t in docs for line in t.split("\n")} <= set(kept) and out[1] == docs[0][1]
 
 
 def test_digests_that_collide_are_left_alone(spark, monkeypatch):
-    docs = [(1, "a b\nc d"), (2, "e f\ng h"), (3, "a b\nc d")]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted((r.doc_id, r.n_removed_lines) for r in L.dedup_lines(df).collect())[:2] == [(1, 0), (2, 0)]
-    assert L.dedup_lines(df.filter("false")).count() == 0
+    rows = [(i, 0, i, 0, 2, 1, 1, f"text {i % 2}".encode()) for i in range(4)] + [(i, 0, i, 0, 2, 2, 2, b"same") for i in range(4, 6)]
+    texts = spark.createDataFrame(rows, "ka long, kb long, doc_id long, a int, b int, h1 long, h2 long, lines binary")
+    monkeypatch.setattr(L, "chunk_table", lambda docs: texts.drop("lines"))
+    monkeypatch.setattr(L, "chunk_texts", lambda docs, hits: texts)
+    assert [tuple(r) for r in L.repeated_chunks(texts).collect()] == [(5, 0, 0, 2)]
 
 
-def test_repeated_rows_are_one_document(spark):
-    row = (5, "one two\nthree four\nfive six\nseven eight")
-    got = L.dedup_lines(spark.createDataFrame([row, row, (6, row[1])], "doc_id long, text string")).collect()
-    assert [r.text for r in got if r.doc_id == 5] == [row[1]] * 2
-    assert all(r.n_removed_lines == 4 and r.text == "" for r in got if r.doc_id == 6) or L.chunks(row[1])[-1].count("\n") == 0
-
-
-def test_every_repeated_run_of_lines_goes_and_other_lines_stay(spark):
-    rng = random.Random(3)
-    docs, alone, lone, at = [], [], passage(rng, 1), 0
-    for n in (2, 3, 4, 7):
-        for _ in range(12):
-            run = passage(rng, n).replace("\n", "\n\n", 1)
-            for _ in range(2):
-                before, after = passage(rng, rng.randrange(1, 4)), passage(rng, rng.randrange(1, 4))
-                docs.append((at, "\n".join((before, run, after, lone))))
-                alone.append("\n".join((before, run, after, lone) if at % 2 == 0 else (before, after, lone)))
-                at += 1
-    docs += [(at, "x y\nx y\nx y"), (at + 1, "p q\nr s\np q\nr s")]
-    alone += ["x y\nx y\nx y", "p q\nr s"]
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r for r in L.dedup_lines(df, L.passage_spans).collect()}
-    assert [got[i].text for i in range(len(docs))] == alone
-    assert all(got[i].n_lines - got[i].n_removed_lines == alone[i].count("\n") + 1 for i in got)
+@pytest.mark.parametrize("lines, least", [(2, 0.95), (3, 0.985), (4, 0.99), (8, 0.99)])
+def test_share_of_repeated_lines_found(lines, least):
+    rng, found, total = random.Random(lines), 0, 0
+    for _ in range(300):
+        run = passage(rng, lines)
+        sides = [L.split_lines("\n".join((passage(rng, rng.randrange(1, 5)), run, passage(rng, rng.randrange(1, 5))))) for _ in range(2)]
+        chunks = [{tuple(s[a:b]) for a, b in L.chunk_spans(s)} for s in sides]
+        found += len({line for chunk in chunks[0] & chunks[1] for line in chunk})
+        total += lines
+    assert found / total >= least
