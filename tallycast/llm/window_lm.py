@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,48 +14,155 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycast.llm.queries import query, table
+from tallycast.llm.rows import row_key
 from tallycast.session import materialise
 
-FREQUENT = 200  # words with an id of their own, by their count in the whole corpus
-HASHED = 55  # classes of the other words by hash; a word has a share of its class
-PAD = FREQUENT + HASHED  # stands beyond either end of a document
-SIZE = PAD + 1
+SPACES = r"[\x20\x09-\x0D]+"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LEAST_COUNT = 5  # of a word in the corpus to get an id of its own
+MOST_WORDS = 15_360  # words with an id of their own, the most frequent: memory of the network
+WORDS_A_CLASS = 16  # words with an id for each hash class that other words share; 16 classes at least
 SIDE = 3  # tokens of context on each side
-WIDTH, HIDDEN = 12, 32
-ROUNDS = 3
-STRIDE = ROUNDS  # a round trains on every such token of every document, each round on others, so all rounds on each token once
-BATCH = 512
-RATE = 0.01
-FIXED = 1 << 24  # weights are averaged as whole numbers, so that their sum does not depend on its order
-SLICE = 512  # tokens of one numpy call, so that its arrays stay in the cache
-SHAPES = {"embed": (SIZE, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "outer": (HIDDEN, SIZE), "outer_bias": (SIZE,)}
-
-
-def start_weights(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Small fixed random weights; the output bias is the log of the smoothed token frequencies."""
-    noise = np.random.default_rng(0)
-    weights = {k: (noise.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
-    weights["inner_bias"][:] = 0
-    weights["outer_bias"] = np.log((counts + 1.0) / (counts.sum() + len(counts))).astype(np.float32)
-    return weights
-
-
-def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([weights[k].ravel() for k in SHAPES])
-
-
-def shaped(vector: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        size = int(np.prod(s))
-        out[k] = vector[at : at + size].reshape(s).astype(np.float32)
-        at += size
-    return out
+WIDTH, HIDDEN = 8, 24
+SHARD = 1 << 20  # tokens that are trained on one after another
+BLOCK = 1 << 16  # tokens that are shuffled among each other
+BATCH, STEPS = 4096, 256  # tokens of a step at most; fewer where the corpus has no tokens for so many steps
+RATE = 0.2
+SLICE = 4096  # tokens of one numpy call
+PARTS = 32  # in which weights are averaged
+
+
+class Sizes:
+    """Ids: words by falling count, hash classes, the mark beyond either end of a document; laid out in ``rows`` lists."""
+
+    def __init__(self, words: int):
+        self.words = words
+        self.hashed = max(16, words // WORDS_A_CLASS)
+        self.pad = words + self.hashed
+        self.ids = self.pad + 1
+        self.members = int(np.ceil(np.sqrt(self.ids)))
+        self.lists = -(-self.ids // self.members)
+        self.shapes = {
+            "embed": (self.ids, WIDTH), "inner": (2 * SIDE * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "outer": (HIDDEN, self.lists),
+            "outer_bias": (self.lists,), "member": (self.lists, HIDDEN, self.members), "member_bias": (self.lists, self.members),
+        }
+
+    def class_of(self, word: str) -> int:
+        return self.words + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.hashed
+
+
+class Network:
+    """The two levels of a token's probability, the list of its id and its place there, from the tokens around it."""
+
+    def __init__(self, sizes: Sizes, weights: dict[str, np.ndarray], squares: dict[str, np.ndarray] | None = None):
+        self.sizes, self.weights = sizes, weights
+        self.squares = squares or {k: np.full_like(v, 1e-6) for k, v in weights.items()}
+
+    @classmethod
+    def start(cls, sizes: Sizes, counts: np.ndarray) -> Network:
+        """Small fixed random weights; the biases are logs of smoothed frequencies."""
+        noise = np.random.default_rng(0)
+        scale = {"embed": 0.1, "inner": 0.1, "outer": 0.1, "member": 0.02}
+        weights = {k: (noise.standard_normal(s) * scale.get(k, 0.0)).astype(np.float32) for k, s in sizes.shapes.items()}
+        full = np.zeros(sizes.lists * sizes.members)
+        full[: sizes.ids] = counts
+        full = full.reshape(sizes.lists, sizes.members)
+        total = full.sum(1, keepdims=True)
+        weights["outer_bias"] = np.log((total[:, 0] + 1) / (total.sum() + sizes.lists)).astype(np.float32)
+        weights["member_bias"] = np.log((full + 0.1) / (total + 0.1 * sizes.members)).astype(np.float32)
+        return cls(sizes, weights)
+
+    def copy(self) -> Network:
+        return Network(self.sizes, *({k: v.copy() for k, v in part.items()} for part in (self.weights, self.squares)))
+
+    def _by_list(self, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each list that occurs: its number, the tokens in it, their places in the list."""
+        lists, places = np.divmod(tokens, self.sizes.members)
+        order = np.argsort(lists, kind="stable")
+        bounds = np.searchsorted(lists[order], np.arange(self.sizes.lists + 1))
+        for k in np.flatnonzero(np.diff(bounds)):
+            chosen = order[bounds[k] : bounds[k + 1]]
+            yield k, chosen, places[chosen]
+
+    def _outer(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = self.weights
+        inputs = w["embed"][around].reshape(len(around), -1)
+        hidden = np.tanh(inputs @ w["inner"] + w["inner_bias"])
+        logits = hidden @ w["outer"] + w["outer_bias"]
+        logits -= logits.max(axis=1, keepdims=True)
+        return inputs, hidden, logits
+
+    def log_probabilities(self, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
+        """Log-probability of each id given its context."""
+        out, w = np.empty(len(tokens)), self.weights
+        for at in range(0, len(tokens), SLICE):
+            t = tokens[at : at + SLICE]
+            _, hidden, logits = self._outer(around[at : at + SLICE])
+            found = logits[np.arange(len(t)), t // self.sizes.members].astype(np.float64)
+            found -= np.log(np.exp(logits, out=logits).sum(axis=1))
+            for k, chosen, places in self._by_list(t):
+                inside = hidden[chosen] @ w["member"][k] + w["member_bias"][k]
+                inside -= inside.max(axis=1, keepdims=True)
+                found[chosen] += inside[np.arange(len(chosen)), places]
+                found[chosen] -= np.log(np.exp(inside, out=inside).sum(axis=1))
+            out[at : at + SLICE] = found
+        return out
 
+    def slopes(self, tokens: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log-loss, by weight."""
+        w, n, every = self.weights, len(tokens), np.arange(len(tokens))
+        inputs, hidden, logits = self._outer(around)
+        slope = np.exp(logits, out=logits)
+        slope /= slope.sum(axis=1, keepdims=True)
+        slope[every, tokens // self.sizes.members] -= 1
+        slope /= n
+        back = slope @ w["outer"].T
+        out = {"outer": hidden.T @ slope, "outer_bias": slope.sum(0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
+        for k, chosen, places in self._by_list(tokens):
+            h = hidden[chosen]
+            inside = h @ w["member"][k] + w["member_bias"][k]
+            inside -= inside.max(axis=1, keepdims=True)
+            np.exp(inside, out=inside)
+            inside /= inside.sum(axis=1, keepdims=True)
+            inside[np.arange(len(chosen)), places] -= 1
+            inside /= n
+            out["member"][k], out["member_bias"][k] = h.T @ inside, inside.sum(0)
+            back[chosen] += inside @ w["member"][k].T
+        back *= 1 - hidden * hidden
+        out["inner"], out["inner_bias"] = inputs.T @ back, back.sum(0)
+        cells, spread = around.ravel(), (back @ w["inner"].T).reshape(-1, WIDTH)
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        out["embed"] = np.zeros_like(w["embed"])
+        out["embed"][cells[first]] = np.add.reduceat(spread[order], first, axis=0)
+        return out
 
-def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def step(self, tokens: np.ndarray, around: np.ndarray) -> None:
+        """One step of Adagrad."""
+        for k, slope in self.slopes(tokens, around).items():
+            square = self.squares[k]
+            square += slope * slope
+            self.weights[k] -= RATE * slope / np.sqrt(square)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([part[k].ravel() for part in (self.weights, self.squares) for k in self.sizes.shapes]).astype(np.float32)
+
+    @classmethod
+    def from_flat(cls, sizes: Sizes, vector: np.ndarray) -> Network:
+        parts, at = [], 0
+        for _ in range(2):
+            parts.append({})
+            for k, s in sizes.shapes.items():
+                size = int(np.prod(s))
+                parts[-1][k] = vector[at : at + size].reshape(s).astype(np.float32)
+                at += size
+        return cls(sizes, *parts)
+
+
+def contexts(ids: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all tokens of some documents: the token, its context (both sides, padded), the document's number."""
-    gap = np.full(SIDE, PAD, np.int64)
+    gap = np.full(SIDE, pad, np.int64)
     line = np.concatenate([gap, *(part for one in ids for part in (one, gap))]) if ids else gap
     sizes = np.array([len(one) for one in ids], np.int64)
     starts = SIDE + np.concatenate(([0], np.cumsum(sizes + SIDE)[:-1])) if ids else np.empty(0, np.int64)
@@ -64,225 +172,218 @@ def contexts(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return line[at], line[at[:, None] + np.array(offsets)], owner
 
 
-def log_probabilities(weights: dict[str, np.ndarray], tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """Log-probability of each token given its context."""
-    out = np.empty(len(tokens))
-    for a in range(0, len(tokens), SLICE):
-        t, c = tokens[a : a + SLICE], around[a : a + SLICE]
-        hidden = np.tanh(weights["embed"][c].reshape(len(c), -1) @ weights["inner"] + weights["inner_bias"])
-        logits = hidden @ weights["outer"] + weights["outer_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        picked = logits[np.arange(len(t)), t]
-        out[a : a + SLICE] = picked - np.log(np.exp(logits, out=logits).sum(axis=1))
-    return out
-
-
 class Trainer:
-    """Adam on the mean log-loss of masked tokens."""
-
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.weights = {k: v.copy() for k, v in weights.items()}
-        self.moment = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.square = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.steps = 0
-
-    def step(self, tokens: np.ndarray, around: np.ndarray) -> None:
-        w, n = self.weights, len(tokens)
-        inputs = w["embed"][around].reshape(n, -1)
-        hidden = np.tanh(inputs @ w["inner"] + w["inner_bias"])
-        logits = hidden @ w["outer"] + w["outer_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        slope = np.exp(logits, out=logits)
-        slope /= slope.sum(axis=1, keepdims=True)
-        slope[np.arange(n), tokens] -= 1.0
-        slope /= n
-        back = (slope @ w["outer"].T) * (1.0 - hidden * hidden)
-        cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-        embed = np.bincount(cells, weights=(back @ w["inner"].T).ravel(), minlength=SIZE * WIDTH).reshape(SIZE, WIDTH).astype(w["embed"].dtype)
-        slopes = {"embed": embed, "inner": inputs.T @ back, "inner_bias": back.sum(0), "outer": hidden.T @ slope, "outer_bias": slope.sum(0)}
-        self.steps += 1
-        for k, g in slopes.items():
-            self.moment[k] = 0.9 * self.moment[k] + 0.1 * g
-            self.square[k] = 0.999 * self.square[k] + 0.001 * g * g
-            m, s = self.moment[k] / (1 - 0.9**self.steps), self.square[k] / (1 - 0.999**self.steps)
-            w[k] -= (RATE * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
-
-
-def vocabulary(docs: DataFrame, frequent: int = FREQUENT) -> list[str]:
-    """The most frequent lower-cased words of the whole corpus, ties in code-point order; counts combine map-side."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).filter("word <> ''")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(frequent)
+    """Trains on the tokens of a shard, each once, in an order that its number and the order of documents decide."""
+
+    def __init__(self, network: Network, shard: int, batch: int):
+        self.network, self.batch, self.used = network.copy(), batch, 0
+        self.shuffle = np.random.default_rng(shard)
+        self.tokens: list[np.ndarray] = []
+        self.around: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, ids: np.ndarray) -> None:
+        token, around, _ = contexts([ids], self.network.sizes.pad)
+        while len(token):
+            room = BLOCK - self.held
+            self.tokens.append(token[:room])
+            self.around.append(around[:room].astype(np.uint16))
+            self.held += len(token[:room])
+            token, around = token[room:], around[room:]
+            if self.held == BLOCK:
+                self.learn()
+
+    def learn(self) -> None:
+        if not self.held:
+            return
+        token, around = np.concatenate(self.tokens), np.concatenate(self.around)
+        order = self.shuffle.permutation(self.held)
+        for part in np.array_split(order, -(-self.held // self.batch)):
+            self.network.step(token[part], around[part].astype(np.int64))
+        self.used += self.held
+        self.tokens, self.around, self.held = [], [], 0
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(word, n)``: every lower-cased word of the whole corpus, counted with map-side combine and written once."""
+    trimmed = F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r"))
+    words = docs.select(F.explode(F.split(trimmed, SPACES)).alias("word")).filter("word <> ''")
+    return materialise(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+
+
+def vocabulary(counted: DataFrame) -> list[str]:
+    """Words with an id of their own by falling count, ties in code-point order."""
+    top = counted.filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(MOST_WORDS)
     return [r.word for r in top.collect()]
 
 
 def token_table(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``(doc_id, ids, words)``: a byte per token, and 64 bits of the word per token that shares its id; written once."""
-    places = {w: i for i, w in enumerate(words)}
-    rows = docs.select("doc_id", F.lower("text").alias("text"))
+    """``(row, ka, kb, doc_id, ids, rest)``: two bytes a token, and xxhash64 of every word without an id of its own."""
+    sizes = Sizes(len(words))
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    rows = docs.select(*row_key(), "doc_id", F.lower("text").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, crc, digest = places.get, zlib.crc32, xxhash.xxh3_64_intdigest
+        get, digest, row = shared.value.get, xxhash.xxh64_intdigest, TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, rest = [], []
-            for one in batch.column(1):
-                found = (one.as_py() or "").split()
-                known = [get(w) for w in found]
-                others = [w.encode("utf-8", "surrogatepass") for w, i in zip(found, known) if i is None]
-                classes = iter([FREQUENT + crc(w) % HASHED for w in others])
-                ids.append(bytes([next(classes) if i is None else i for i in known]))
-                rest.append(np.array([digest(w) for w in others], np.uint64).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(rest, pa.binary())], ["doc_id", "ids", "words"])
-
-    return materialise(rows.mapInArrow(run, f"doc_id {kind}, ids binary, words binary"), "ids")
-
-
-def word_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 64 bits and counts of the words of the whole corpus that share an id and occur at least twice.
-
-    Every other word that shares an id occurs once, so the counts are whole; 16 bytes a word, growing with the corpus.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, counts = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], ["word", "n"])
-
-    rows = tokens.select("words").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    table = rows.filter("n > 1").toArrow()
-    found, counts = (table[name].to_numpy() for name in ("word", "n"))
-    order = np.argsort(found)
-    return found[order], counts[order]
-
-
-def log_shares(ids: np.ndarray, words: np.ndarray, counts: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Of each token the log of its word's share of its id: 0 for a word with an id of its own."""
-    out, shared = np.zeros(len(ids)), np.flatnonzero((ids >= FREQUENT) & (ids < PAD))
-    if not len(shared):
-        return out
-    times, (found, often) = np.ones(len(words)), known
-    if len(found):
-        at = np.minimum(np.searchsorted(found, words), len(found) - 1)
-        times = np.where(found[at] == words, often[at], 1.0)
-    out[shared] = np.log(times / counts[ids[shared]])
-    return out
+            for one in batch.column(3):
+                found = WORD.findall(one.as_py() or "")
+                known = list(map(get, found))
+                others = [w for w, i in zip(found, known) if i is None]
+                if others:
+                    classes = iter(map(sizes.class_of, others))
+                    known = [next(classes) if i is None else i for i in known]
+                ids.append(np.array(known, np.uint16).tobytes())
+                rest.append(np.array([digest(w.encode("utf-8", "surrogatepass"), 42) for w in others], np.uint64).view(np.int64))
+            numbers = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rest) if rest else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([numbers, *batch.columns[:3], pa.array(ids, pa.binary()), lists], ["row", "ka", "kb", "doc_id", "ids", "rest"])
+
+    return materialise(rows.mapInArrow(run, f"row bigint, ka bigint, kb bigint, doc_id {kind}, ids binary, rest array<bigint>"), "ids")
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(v, np.uint8).astype(np.int64) for v in column.to_pylist()]
+    return [np.frombuffer(v, np.uint16).astype(np.int64) for v in column.to_pylist()]
+
 
+def token_counts(tokens: DataFrame, sizes: Sizes) -> np.ndarray:
+    """How often each id occurs in the whole corpus."""
 
-def token_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SIZE, np.int64)
+        counts = np.zeros(sizes.ids, np.int64)
         for batch in batches:
             for ids in _arrays(batch.column(0)):
-                counts += np.bincount(ids, minlength=SIZE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE)), pa.array(counts)], ["id", "n"])
+                counts += np.bincount(ids, minlength=sizes.ids)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(SIZE)
-    for r in rows:
-        counts[r.id] = r.n
+    counts = np.zeros(sizes.ids)
+    for id_, n in tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[id_] = n
     return counts
 
 
-def train(tokens: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> dict[str, np.ndarray]:
-    """Weights from rounds of local training and averaging.
+def _trained(rows: DataFrame, network: Network, batch: int) -> Network | None:
+    """Mean of the networks trained on each shard of ``rows`` (shard, ka, kb, ids) from ``network``; None without rows.
 
-    In a round every task trains on its own documents, on every ``stride``-th token of each, from the common weights;
-    the results are averaged by the number of tokens as a grouped sum.  With a stride of the number of rounds each token
-    of the corpus is a target once (a longer one leaves tokens out), while the driver holds one set of weights.
+    Weights travel in ``PARTS`` slices; a slice is added up over shards in their order, so the sum is always the same.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, shard = None, None
+
+        def result() -> pa.RecordBatch:
+            trainer.learn()
+            slices = [s.tobytes() for s in np.array_split(trainer.network.flat(), PARTS)]
+            columns = [pa.array(np.arange(PARTS), pa.int32()), pa.array([shard] * PARTS, pa.int64()), pa.array([trainer.used] * PARTS, pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(slices, pa.binary())], ["part", "shard", "n", "weights"])
+
+        for b in batches:
+            for number, ids in zip(b.column(0).to_pylist(), _arrays(b.column(1))):
+                if number != shard:
+                    if trainer is not None:
+                        yield result()
+                    trainer, shard = Trainer(shared.value, number, batch), number
+                trainer.add(ids)
+        if trainer is not None:
+            yield result()
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for part, n, raw in zip(*[c.to_pylist() for c in b.columns]):
+                one = np.frombuffer(raw, np.float32).astype(np.float64)
+                held = sums.setdefault(part, [0, np.zeros(len(one))])
+                held[0] += n
+                held[1] += n * one
+        found = [(part, (total / n).tobytes()) for part, (n, total) in sums.items() if n]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.binary()))], ["part", "weights"])
+
+    local = rows.sortWithinPartitions("shard", "ka", "kb").select("shard", "ids").mapInArrow(run, "part int, shard bigint, n bigint, weights binary")
+    ordered = local.repartition(PARTS, "part").sortWithinPartitions("part", "shard").select("part", "n", "weights")
+    slices = sorted(ordered.mapInArrow(mean, "part int, weights binary").collect())
+    return Network.from_flat(network.sizes, np.concatenate([np.frombuffer(s.weights) for s in slices])) if slices else None
+
+
+def train(tokens: DataFrame, sizes: Sizes, counts: np.ndarray, shard: int = SHARD) -> Network:
+    """The network trained on every token of the corpus, each a target once.
+
+    A document's shard, its order there and the shuffling come from hashes of the document and the shard's number, so
+    the result does not depend on the layout of the table.  The first shard is trained by itself; all others start
+    from its weights, in parallel, and are averaged.  The driver holds two sets of weights.
     """
-    weights = start_weights(token_counts(tokens))
-    width = len(flat(weights))
-    context = tokens.sparkSession.sparkContext
-    for number in range(rounds):
-        shared = context.broadcast(weights)
-
-        def run(batches: Iterator[pa.RecordBatch], number: int = number, shared=shared) -> Iterator[pa.RecordBatch]:
-            trainer, used = Trainer(shared.value), 0
-            shuffle = np.random.default_rng([number, TaskContext.get().partitionId()])
-            held, size = [], 0
-
-            def learn() -> int:
-                token, around, owner = contexts(held)
-                first = np.searchsorted(owner, np.arange(len(held)))
-                chosen = np.flatnonzero((np.arange(len(token)) - first[owner] + number * (stride // max(1, rounds))) % stride == 0)
-                for part in np.array_split(shuffle.permutation(chosen), max(1, len(chosen) // BATCH)):
-                    if len(part):
-                        trainer.step(token[part], around[part])
-                return len(chosen)
-
-            for batch in batches:
-                for ids in _arrays(batch.column(0)):
-                    held.append(ids)
-                    size += len(ids)
-                    if size >= 200_000:
-                        used += learn()
-                        held, size = [], 0
-            used += learn()
-            vector = np.rint(flat(trainer.weights).astype(np.float64) * FIXED).astype(np.int64)
-            columns = [pa.array(np.arange(width)), pa.array(vector), pa.array(np.full(width, used))]
-            yield pa.RecordBatch.from_arrays(columns, ["at", "value", "n"])
-
-        rows = tokens.select("ids").mapInArrow(run, "at bigint, value bigint, n bigint")
-        weighted = (F.col("value").cast("decimal(38,0)") * F.col("n")).alias("v")
-        sums = rows.select("at", "n", weighted).groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
-        if sums.num_rows == 0 or not sums["n"][0].as_py():
-            break
-        at = sums["at"].to_numpy()
-        vector = np.empty(width)
-        vector[at] = [float(v) / n / FIXED for v, n in zip(sums["v"].to_pylist(), sums["n"].to_pylist())]
-        weights = shaped(vector)
-        shared.unpersist()
-    return weights
-
-
-def score(tokens: DataFrame, weights: dict[str, np.ndarray], words: tuple[np.ndarray, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of each row of a token table, in one pass.
-
-    With ``words``, the counts of ids and of words, a token's probability is that of its id in its context times the
-    word's share of the id; else ids alone are scored.
+    total = int(counts.sum())
+    shards = max(1, total // shard)
+    batch = min(BATCH, max(64, total // STEPS))
+    rows = tokens.select(F.pmod("ka", F.lit(shards)).cast("bigint").alias("shard"), "ka", "kb", "ids").filter(F.length("ids") > 0)
+    network = Network.start(sizes, counts)
+    network = _trained(rows.filter("shard = 0").repartition(1), network, batch) or network
+    if shards > 1:
+        network = _trained(rows.filter("shard > 0").repartition(shards, "shard"), network, batch) or network
+    return network
+
+
+def score(tokens: DataFrame, network: Network, counts: np.ndarray | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of each row of a token table.
+
+    With the ``counts`` of ids and the ``counted`` words, a word of a hash class has the probability of its class in its
+    context times its share of the class in the corpus; else ids alone are scored.  Counts above 1 of such words come
+    by a join on 64 bits of the word, so no task holds them all.
     """
-    shared = tokens.sparkSession.sparkContext.broadcast(weights)
-    levels = None if words is None else tokens.sparkSession.sparkContext.broadcast(words)
-    tokens = tokens.select("doc_id", "ids", *([] if words is None else ["words"]))
+    shared = tokens.sparkSession.sparkContext.broadcast((network, None if counts is None else np.log(np.maximum(counts, 1.0))))
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, logs = shared.value
+        low, high = network.sizes.words, network.sizes.pad
         for batch in batches:
-            every = _arrays(batch.column(1))
-            rest = None if levels is None else batch.column(2).to_pylist()
+            every = _arrays(batch.column(2))
             sums, a = np.zeros(len(every)), 0
             while a < len(every):  # whole documents, some 100,000 tokens at a time
                 b, size = a, 0
                 while b < len(every) and (b == a or size + len(every[b]) <= 100_000):
                     size += len(every[b])
                     b += 1
-                token, around, owner = contexts(every[a:b])
-                each = log_probabilities(shared.value, token, around)
-                if rest is not None:
-                    each += log_shares(token, np.frombuffer(b"".join(rest[a:b]), np.int64), *levels.value)
+                token, around, owner = contexts(every[a:b], high)
+                each = network.log_probabilities(token, around)
+                if logs is not None:
+                    each -= np.where((token >= low) & (token < high), logs[token], 0.0)
                 sums[a:b] = np.bincount(owner, weights=each, minlength=b - a)
                 a = b
-            sizes = np.array([len(e) for e in every], np.int64)
-            means = np.divide(sums, sizes, out=np.zeros(len(sums)), where=sizes > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(sums), pa.array(means)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            sizes = pa.array([len(e) for e in every], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(sums)], ["row", "doc_id", "n_tokens", "log_prob"])
 
-    return tokens.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_prob double, mean_log_prob double")
+    scored = tokens.select("row", "doc_id", "ids").mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, log_prob double")
+    if counted is not None:
+        often = counted.filter("n > 1").select(F.xxhash64("word").alias("word"), F.log("n").alias("more"))
+        words = tokens.select("row", F.explode("rest").alias("word")).join(often, "word")
+        more = words.groupBy(F.col("row").alias("_row")).agg(F.sum("more").alias("more"))
+        scored = scored.join(more, scored["row"] == more["_row"], "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).otherwise(0.0)
+    return scored.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, log_prob, mean_log_prob)``, one row per row of ``docs`` (doc_id, text).
 
-    The network is trained on ``docs`` itself; ``log_prob`` sums every token's log-probability given both sides, on two
-    levels: the network's for the id, and the word's share of the id by counts of all words of ``docs``.  Null and
-    empty texts have no tokens, sum 0 and mean 0; null ids are passed on; equal texts score equally; repeated rows
-    stay repeated; other columns are not read; no rows give no rows.
+    Words are runs of characters other than space and 0x09-0x0D, lower-cased.  The network is trained on ``docs``
+    itself, on every token; words that occur ``LEAST_COUNT`` times get an id of their own, up to ``MOST_WORDS``, others
+    share hash classes by their counts in the whole corpus.  ``log_prob`` sums every token's log-probability given
+    both sides.  Null and empty texts have no tokens, sum 0 and mean 0; null ids are passed on; equal texts score
+    equally; repeated rows stay repeated; other columns are not read; no rows give no rows; the layout of ``docs`` and
+    the order of its rows change no score (beyond the rounding of sums).
     """
-    tokens = token_table(docs, vocabulary(docs))
-    return score(tokens, train(tokens), (token_counts(tokens), word_counts(tokens)))
+    counted = word_counts(docs)
+    words = vocabulary(counted)
+    tokens, sizes = token_table(docs, words), Sizes(len(words))
+    counts = token_counts(tokens, sizes)
+    return score(tokens, train(tokens, sizes, counts), counts, counted)
 
 
 @query("op7_masked_pseudo_likelihood")

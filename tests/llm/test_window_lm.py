@@ -3,94 +3,131 @@ import numpy as np
 from tallycast.llm import window_lm as L
 
 SF = "/root/testdata/sf0.001"
+SIZES = L.Sizes(30)
+
+
+def random_network(seed, dtype=np.float64):
+    rng = np.random.default_rng(seed)
+    return L.Network(SIZES, {k: (rng.standard_normal(s) * 0.3).astype(dtype) for k, s in SIZES.shapes.items()})
 
 
 def test_contexts_stay_inside_documents():
-    tokens, around, owner = L.contexts([np.array([1, 2]), np.array([], int), np.array([3])])
+    tokens, around, owner = L.contexts([np.array([1, 2]), np.array([], int), np.array([3])], 9)
     assert tokens.tolist() == [1, 2, 3] and owner.tolist() == [0, 0, 2]
-    pad = L.PAD
-    assert around.tolist() == [[pad, pad, pad, 2, pad, pad], [pad, pad, 1, pad, pad, pad], [pad] * 6]
+    assert around.tolist() == [[9, 9, 9, 2, 9, 9], [9, 9, 1, 9, 9, 9], [9] * 6]
 
 
 def test_slopes_equal_differences():
-    rng = np.random.default_rng(1)
-    weights = {k: rng.standard_normal(s) * 0.3 for k, s in L.SHAPES.items()}
-    tokens, around = rng.integers(0, L.SIZE, 20), rng.integers(0, L.SIZE, (20, 2 * L.SIDE))
-    loss = lambda w: -L.log_probabilities(w, tokens, around).mean()
-    trainer = L.Trainer(weights)
-    trainer.step(tokens, around)
-    for k, at in (("embed", (around[0, 0], 2)), ("inner", (3, 4)), ("inner_bias", (5,)), ("outer", (6, tokens[0])), ("outer_bias", (tokens[0],))):
-        up, down = ({n: v.copy() for n, v in weights.items()} for _ in range(2))
-        up[k][at] += 1e-4
-        down[k][at] -= 1e-4
-        assert np.isclose((loss(up) - loss(down)) / 2e-4, trainer.moment[k][at] / 0.1, rtol=1e-3, atol=1e-6)
+    rng, network = np.random.default_rng(1), random_network(1)
+    tokens, around = rng.integers(0, SIZES.ids, 40), rng.integers(0, SIZES.ids, (40, 2 * L.SIDE))
+    slopes = network.slopes(tokens, around)
+    loss = lambda n: -n.log_probabilities(tokens, around).mean()
+    first, place = divmod(int(tokens[0]), SIZES.members)
+    for k, at in (("embed", (around[0, 0], 2)), ("inner", (3, 4)), ("inner_bias", (5,)), ("outer", (6, first)), ("outer_bias", (first,)),
+                  ("member", (first, 2, place)), ("member_bias", (first, place))):
+        up, down = network.copy(), network.copy()
+        up.weights[k][at] += 1e-5
+        down.weights[k][at] -= 1e-5
+        assert np.isclose((loss(up) - loss(down)) / 2e-5, slopes[k][at], rtol=1e-4, atol=1e-8), k
 
 
 def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    weights = {k: rng.standard_normal(s) for k, s in L.SHAPES.items()}
-    around = np.repeat(rng.integers(0, L.SIZE, (1, 2 * L.SIDE)), L.SIZE, axis=0)
-    assert np.isclose(np.exp(L.log_probabilities(weights, np.arange(L.SIZE), around)).sum(), 1.0)
+    network = random_network(2)
+    every = np.arange(SIZES.lists * SIZES.members)
+    around = np.repeat(np.random.default_rng(2).integers(0, SIZES.ids, (1, 2 * L.SIDE)), len(every), axis=0)
+    assert np.isclose(np.exp(network.log_probabilities(every, around)).sum(), 1.0)
+
+
+def test_flat_weights_come_back():
+    network = random_network(3, np.float32)
+    again = L.Network.from_flat(SIZES, network.flat())
+    assert all((again.weights[k] == v).all() and (again.squares[k] == network.squares[k]).all() for k, v in network.weights.items())
+
 
+def model(docs):
+    words = L.vocabulary(L.word_counts(docs))
+    tokens, sizes = L.token_table(docs, words), L.Sizes(len(words))
+    return tokens, sizes, L.token_counts(tokens, sizes)
 
-def test_training_beats_frequencies_and_scores_follow_the_definition(spark):
+
+def mean(tokens, network):
+    found = L.score(tokens, network).toPandas()
+    return found.log_prob.sum() / found.n_tokens.sum()
+
+
+def test_training_as_it_is_run_beats_frequencies_and_scores_follow_the_definition(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    tokens = L.token_table(docs, L.vocabulary(docs))
-    before, weights = L.start_weights(L.token_counts(tokens)), L.train(tokens, stride=3)
-    mean = lambda w: (lambda f: f.log_prob.sum() / f.n_tokens.sum())(L.score(tokens, w).toPandas())
-    assert mean(weights) > mean(before) + 0.05
-    got = {r.doc_id: r.log_prob for r in L.score(tokens, weights).collect()}
+    tokens, sizes, counts = model(docs)
+    network = L.train(tokens, sizes, counts)
+    assert mean(tokens, network) > mean(tokens, L.Network.start(sizes, counts)) + 0.2
+    got = {r.doc_id: r.log_prob for r in L.score(tokens, network).collect()}
     for r in tokens.limit(5).collect():
-        ids = np.frombuffer(r.ids, np.uint8).astype(int)
-        padded = [L.PAD] * L.SIDE + ids.tolist() + [L.PAD] * L.SIDE
+        ids = np.frombuffer(r.ids, np.uint16).astype(int)
+        padded = [sizes.pad] * L.SIDE + ids.tolist() + [sizes.pad] * L.SIDE
         around = np.array([padded[i : i + L.SIDE] + padded[i + L.SIDE + 1 : i + 2 * L.SIDE + 1] for i in range(len(ids))]).reshape(-1, 2 * L.SIDE)
-        assert np.isclose(got[r.doc_id], L.log_probabilities(weights, ids, around).sum(), rtol=1e-5)
+        assert np.isclose(got[r.doc_id], network.log_probabilities(ids, around).sum(), rtol=1e-5)
+
+
+def test_held_out_documents_gain(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tokens, sizes, counts = model(docs)
+    held = "pmod(doc_id, 10) = 0"
+    rest = tokens.filter(f"NOT {held}")
+    counts = L.token_counts(rest, sizes)
+    network = L.train(rest, sizes, counts)
+    assert mean(tokens.filter(held), network) > mean(tokens.filter(held), L.Network.start(sizes, counts)) + 0.2
+
+
+def test_layout_and_shards_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    score = lambda d: {r.doc_id: r.mean_log_prob for r in L.score_documents(d).collect()}
+    two, seven = score(docs.repartition(2)), score(docs.orderBy("n_chars").repartition(7))
+    assert max(abs(two[i] - seven[i]) for i in two) < 1e-6
+    networks = []
+    for parts in (2, 7):
+        tokens, sizes, counts = model(docs.repartition(parts))
+        networks.append(L.train(tokens, sizes, counts, shard=4000))
+    assert all(np.allclose(networks[0].weights[k], v, atol=1e-7) for k, v in networks[1].weights.items())
+    assert counts.sum() // 4000 > 3 and mean(tokens, networks[0]) > mean(tokens, L.Network.start(sizes, counts)) + 0.1
+
+
+def test_training_takes_every_token_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "BLOCK", 100)
+    monkeypatch.setattr(L.Network, "step", lambda self, token, around: seen.extend(zip(token.tolist(), around[:, 2].tolist())))
+    trainer, docs = L.Trainer(random_network(4), 3, 16), [np.arange(n) % SIZES.words for n in (1, 0, 2, 50, 1201)]
+    for ids in docs:
+        trainer.add(ids)
+    trainer.learn()
+    want = [(int(b), int(a)) for ids in docs for a, b in zip([SIZES.pad, *ids], ids)]
+    assert sorted(seen) == sorted(want) and trainer.used == sum(map(len, docs))
 
 
 def test_odd_rows(spark):
-    rows = [(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (3, " \n", "x"), (None, "w " * 300_000, "x")]
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (3, " \n", "x"), (None, "w " * 300_000, "x"), (4, "a\x1cb c ü", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = L.score_documents(docs).toPandas()
-    assert sorted(got.n_tokens) == [0, 0, 2, 2, 300_000] and got[got.n_tokens == 2].log_prob.nunique() == 1
+    assert sorted(got.n_tokens) == [0, 0, 2, 2, 2, 300_000] and got[got.doc_id == 1].log_prob.nunique() == 1
     assert (got[got.n_tokens == 0].log_prob == 0).all() and got.log_prob.notna().all()
     assert L.score_documents(docs.filter("false")).count() == 0
 
 
-def test_training_as_it_is_run_takes_every_token_once(spark, tmp_path, monkeypatch):
-    sizes = (1, 2, 3, 50, 1201)
-    rows = [(i, bytes(j % 200 for j in range(n))) for i, n in enumerate(sizes)]
-    tokens = spark.createDataFrame(rows, "doc_id long, ids binary").coalesce(1)
-
-    class Counted(L.Trainer):
-        def step(self, token, around):
-            with open(f"{tmp_path}/{len(token)}-{id(self)}-{np.random.default_rng().integers(1 << 60)}", "w"):
-                pass
-
-    monkeypatch.setattr(L, "Trainer", Counted)
-    L.train(tokens)
-    assert sum(int(f.name.split("-")[0]) for f in tmp_path.iterdir()) == sum(sizes)
-
-
-def test_training_as_it_is_run_beats_frequencies(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    tokens = L.token_table(docs, L.vocabulary(docs))
-    mean = lambda w: (lambda f: f.log_prob.sum() / f.n_tokens.sum())(L.score(tokens, w).toPandas())
-    assert mean(L.train(tokens)) > mean(L.start_weights(L.token_counts(tokens))) + 0.05
+def test_words_of_a_class_share_it_by_their_counts(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(40))) for i in range(9)]
+    rows += [(20, "house house house qzxqz"), (21, "w1 w2 w3 house w4 w5 w6")]
+    sizes = L.Sizes(40)
+    nonsense = next(w for w in (f"x{i}" for i in range(10**4)) if sizes.class_of(w) == sizes.class_of("house"))
+    docs = spark.createDataFrame(rows + [(22, f"w1 w2 w3 {nonsense} w4 w5 w6")], "doc_id long, text string")
+    assert len(L.vocabulary(L.word_counts(docs))) == 40
+    got = {r.doc_id: r.log_prob for r in L.score_documents(docs).collect()}
+    assert np.isclose(got[21] - got[22], np.log(4))
+    tokens, sizes, counts = model(docs)
+    alone = {r.doc_id: r.log_prob for r in L.score(tokens, L.train(tokens, sizes, counts)).collect()}
+    assert np.isclose(got[21] - alone[21], np.log(4 / counts[sizes.class_of("house")]))
 
 
-def test_words_that_share_an_id_score_by_their_counts(spark):
-    common = [f"w{i}" for i in range(L.FREQUENT)]
-    rows = [(i, " ".join(common * 9)) for i in range(2)] + [(2, "house " * 9 + "qzxqz")]
-    nonsense = next(w for w in (f"x{i}" for i in range(10**4)) if L.zlib.crc32(w.encode()) % L.HASHED == L.zlib.crc32(b"house") % L.HASHED)
-    rows += [(3, "w1 w2 w3 house w4 w5 w6"), (4, f"w1 w2 w3 {nonsense} w4 w5 w6")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.log_prob for r in L.score_documents(docs).collect()}
-    assert np.isclose(got[3] - got[4], np.log(10))
-    tokens = L.token_table(docs, L.vocabulary(docs))
-    found, often = L.word_counts(tokens)
-    assert often.tolist() == [10]
-    counts = L.token_counts(tokens)
-    every = np.array([L.xxhash.xxh3_64_intdigest(w) for w in (b"house", b"qzxqz", nonsense.encode())], np.uint64).view(np.int64)
-    ids = np.array([L.FREQUENT + L.zlib.crc32(w) % L.HASHED for w in (b"house", b"qzxqz", nonsense.encode())])
-    shares = np.exp(L.log_shares(ids, every, counts, (found, often)))
-    assert np.allclose(np.bincount(ids, shares)[np.unique(ids)], 1.0)
+def test_vocabulary_grows_with_the_corpus(spark):
+    few, many = (L.Sizes(n) for n in (100, 10_000))
+    assert many.ids > 80 * few.ids and abs(many.lists * many.members - many.ids) < 2 * many.members
+    docs = spark.createDataFrame([(1, "a a a a a b b b b c"), (2, "b C c c c")], "doc_id long, text string")
+    assert L.vocabulary(L.word_counts(docs)) == ["a", "b", "c"]
