@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,12 +26,13 @@ from tallycast.session import materialise
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 1 << 15  # characters of a longer document that one fragment covers
 FAN_IN = 8  # fragments that one step of the tree reduction composes
-CACHED_UNITS = 150_000  # of one Python worker, some 80 MB
-SLICE = 1 << 21  # characters of the texts whose new units are encoded in one call
+SLICE = 1 << 21  # characters of the texts that are encoded and aligned in one call
+WIDE = 256  # token pairs of a group from which equal ids are counted before they are paired
 SMALL_PAIRS = 500_000  # rows (id pair, count), some 50 MB in memory, up to which they are broadcast
 MARK = "▁"
 HEX_BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 NEVER = re.compile(r"(?!)")
+BYTE_OF = {chr(SPELLING.get(b, b)): b for b in range(256)}
 
 DONE = (
     "row bigint, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, a array<int>, b array<int>, times array<bigint>"
@@ -42,60 +44,68 @@ FRAGMENT = (
 )
 
 
-def common_ends(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
-    """Numbers of A and B tokens up to and with each offset where a token of both ends."""
-    i = j = 0
-    while i < len(ends_a) and j < len(ends_b):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            yield i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
-
-
-def spelt(a: Iterable[int], b: Iterable[int]) -> str:
-    return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
-
-
 class Tokens:
-    """Ids and end offsets (in bytes) of a stretch of text under both tokenizers."""
+    """Ids and end offsets (in bytes) of a stretch of text under both tokenizers, as arrays."""
 
     __slots__ = ("a", "ends_a", "b", "ends_b")
 
-    def __init__(self, a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]):
+    def __init__(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray):
         self.a, self.ends_a, self.b, self.ends_b = a, ends_a, b, ends_b
 
+    def groups(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers of the groups in which A and B tokens end, and how many groups are closed by a common end."""
+        last = int(max(self.ends_a[-1] if len(self.ends_a) else 0, self.ends_b[-1] if len(self.ends_b) else 0))
+        cuts_a, cuts_b = np.zeros(last + 1, bool), np.zeros(last + 1, bool)
+        cuts_a[self.ends_a] = cuts_b[self.ends_b] = True
+        common_a, common_b = cuts_b[self.ends_a], cuts_a[self.ends_b]
+        return np.cumsum(common_a) - common_a, np.cumsum(common_b) - common_b, int(common_a.sum())
 
-class Unit:
-    """A stretch that both tokenizers encode by itself: all of its groups are closed."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "links")
+def spelt(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The ids of closed groups as strings in their order, each with the mark behind it: ``,`` or ``|`` or ``;``.
 
-    def __init__(self, tokens: Tokens):
-        groups, links, self.n_links, i, j = [], Counter(), 0, 0, 0
-        for up_a, up_b in common_ends(tokens.ends_a, tokens.ends_b):
-            a, b = tokens.a[i:up_a], tokens.b[j:up_b]
-            groups.append(spelt(a, b))
-            count_links(links, a, b)
-            self.n_links += len(a) * len(b)
-            i, j = up_a, up_b
-        self.n_a, self.n_b, self.n_groups = i, j, len(groups)
-        self.groups, self.links = ";".join(groups), tuple(links.items())
+    ``names`` are the decimal ids with each of the three marks.
+    """
+    out = np.empty(len(a) + len(b), object)
+    for ids, groups, place, mark in (
+        (a, group_a, np.arange(len(a)) + np.searchsorted(group_b, group_a), 1), (b, group_b, np.arange(len(b)) + np.searchsorted(group_a, group_b, "right"), 2),
+    ):
+        last = np.concatenate((groups[1:] != groups[:-1], [True])) if len(groups) else np.empty(0, bool)
+        out[place] = names[np.where(last, mark, 0), ids]
+    return out
 
 
-def count_links(links: dict[int, int], a: list[int], b: list[int]) -> None:
-    """Add the id pairs of a group; equal ids are counted before they are paired."""
-    if len(a) == 1 and len(b) == 1:
-        pair = a[0] << 32 | b[0]
-        links[pair] = links.get(pair, 0) + 1
-        return
-    times_b = Counter(b).items()
-    for one, times in Counter(a).items():
-        for other, more in times_b:
-            pair = one << 32 | other
-            links[pair] = links.get(pair, 0) + times * more
+def linked(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(owner, pair, times)`` of the id pairs of closed groups, where ``owner`` is that of each group.
+
+    A wide group's ids are counted before they are paired, so that a group without common ends inside takes the
+    memory of its different pairs.
+    """
+    every = np.arange(len(owner) + 1)
+    bounds_a, bounds_b = np.searchsorted(group_a, every), np.searchsorted(group_b, every)
+    n_a, n_b = np.diff(bounds_a), np.diff(bounds_b)
+    wide = n_a * n_b >= WIDE
+    keys, times = [], []
+    for g in np.flatnonzero(wide):
+        ids_a, often_a = np.unique(a[bounds_a[g] : bounds_a[g + 1]], return_counts=True)
+        ids_b, often_b = np.unique(b[bounds_b[g] : bounds_b[g + 1]], return_counts=True)
+        pairs = (ids_a.astype(np.int64)[:, None] << 32 | ids_b).ravel()
+        keys.append(np.stack((np.full(len(pairs), owner[g]), pairs)))
+        times.append((often_a[:, None] * often_b).ravel())
+    plain = ~wide[group_a]
+    of = group_a[plain]
+    repeats = n_b[of]
+    at = np.repeat(bounds_b[of], repeats) + np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+    pairs = np.repeat(a[plain].astype(np.int64), repeats) << 32 | b[at]
+    keys.append(np.stack((np.repeat(owner[of], repeats), pairs)))
+    times.append(np.ones(len(pairs), np.int64))
+    key, count = np.concatenate(keys, axis=1), np.concatenate(times)
+    order = np.lexsort((key[1], key[0]))
+    key = key[:, order]
+    if not len(order):
+        return key[0], key[1], count
+    first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+    return key[0][first], key[1][first], np.add.reduceat(count[order], first)
 
 
 class Fragment:
@@ -115,169 +125,167 @@ class Fragment:
         self.groups: list[str] = []
         self.links: dict[int, int] = {}
 
-    def _close(self) -> None:
+    def _group(self, names: np.ndarray) -> None:
+        """The tail becomes a closed group, or the head if nothing is closed yet."""
+        a, b = (np.array(side, np.int64) for side in self.tail)
         if self.closed:
-            self.n_groups += 1
-            self.n_links += len(self.tail[0]) * len(self.tail[1])
-            self.groups.append(spelt(*self.tail))
-            count_links(self.links, *self.tail)
+            self._closed(a, np.zeros(len(a), np.int64), b, np.zeros(len(b), np.int64), 1, names)
         else:
             self.head, self.closed = self.tail, True
         self.tail = ([], [])
 
+    def _closed(self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, groups: int, names: np.ndarray) -> None:
+        self.n_groups += groups
+        self.n_links += int((np.bincount(group_a, minlength=groups) * np.bincount(group_b, minlength=groups)).sum())
+        self.groups.append("".join(spelt(a, group_a, b, group_b, names))[:-1])
+        _, pairs, times = linked(a, group_a, b, group_b, np.zeros(groups, np.int64))
+        for pair, more in zip(pairs.tolist(), times.tolist()):
+            self.links[pair] = self.links.get(pair, 0) + more
+
     def _push(self, a: list[int], b: list[int]) -> None:
         self.tail[0].extend(a)
         self.tail[1].extend(b)
 
-    def tokens(self, t: Tokens, low: int, high: int) -> None:
+    def tokens(self, t: Tokens, low: int, high: int, names: np.ndarray) -> None:
         """The tokens of ``t`` that end after ``low`` and not after ``high``."""
-        kept_a = [k for k, end in enumerate(t.ends_a) if low < end <= high]
-        kept_b = [k for k, end in enumerate(t.ends_b) if low < end <= high]
-        a, b = [t.a[k] for k in kept_a], [t.b[k] for k in kept_b]
-        i = j = 0
-        for up_a, up_b in common_ends([t.ends_a[k] for k in kept_a], [t.ends_b[k] for k in kept_b]):
-            self._push(a[i:up_a], b[j:up_b])
-            self._close()
-            i, j = up_a, up_b
-        self._push(a[i:], b[j:])
-        self.n_a, self.n_b = self.n_a + len(a), self.n_b + len(b)
-
-    def units(self, units: list[Unit]) -> None:
-        """Whole units after a closed group: nothing is open between them."""
-        for u, times in Counter(units).items():
-            self.n_a += u.n_a * times
-            self.n_b += u.n_b * times
-            self.n_groups += u.n_groups * times
-            self.n_links += u.n_links * times
-            for pair, more in u.links:
-                self.links[pair] = self.links.get(pair, 0) + times * more
-        self.groups.extend([u.groups for u in units])
-
-    def append(self, other: Fragment) -> None:
+        in_a, in_b = (low < t.ends_a) & (t.ends_a <= high), (low < t.ends_b) & (t.ends_b <= high)
+        t = Tokens(t.a[in_a], t.ends_a[in_a], t.b[in_b], t.ends_b[in_b])
+        group_a, group_b, groups = t.groups()
+        self.n_a, self.n_b = self.n_a + len(t.a), self.n_b + len(t.b)
+        first = 0
+        if groups and (not self.closed or self.tail[0] or self.tail[1]):  # the first group joins what is open
+            self._push(t.a[group_a == 0].tolist(), t.b[group_b == 0].tolist())
+            self._group(names)
+            first = 1
+        inner_a, inner_b = (group_a >= first) & (group_a < groups), (group_b >= first) & (group_b < groups)
+        if groups > first:
+            self._closed(t.a[inner_a], group_a[inner_a] - first, t.b[inner_b], group_b[inner_b] - first, groups - first, names)
+        self._push(t.a[group_a >= groups].tolist(), t.b[group_b >= groups].tolist())
+
+    def append(self, other: Fragment, names: np.ndarray) -> None:
         self.valid &= other.valid
         self.n_a, self.n_b = self.n_a + other.n_a, self.n_b + other.n_b
         if other.closed:
             if other.head[0] or other.head[1]:
                 self._push(*other.head)
-                self._close()
+                self._group(names)
             self.n_groups, self.n_links = self.n_groups + other.n_groups, self.n_links + other.n_links
             self.groups.extend(other.groups)
             for pair, more in other.links.items():
                 self.links[pair] = self.links.get(pair, 0) + more
         self._push(*other.tail)
 
-    def finish(self) -> Fragment:
+    def finish(self, names: np.ndarray) -> Fragment:
         """The whole document's: its beginning and its end are cuts, so its head is a group."""
         whole = Fragment(closed=True)
         if self.valid:
-            whole.append(self)
+            whole.append(self, names)
         whole.valid = self.valid
         return whole
 
 
+def bytes_of_entry(entry: str) -> bytes:
+    """What an entry of a byte-level vocabulary stands for."""
+    try:
+        return bytes(BYTE_OF[c] for c in entry)
+    except KeyError:  # an added token
+        return entry.encode()
+
+
+def bytes_of_piece(piece: str) -> bytes:
+    found = HEX_BYTE.fullmatch(piece)
+    return bytes([int(found[1], 16)]) if found else piece.replace(MARK, " ").encode()
+
+
+def names_of(ids: int) -> np.ndarray:
+    """Decimal ids with a comma, a bar and a semicolon behind them."""
+    return np.array([[f"{k}{mark}" for k in range(ids)] for mark in ",|;"], object)
+
+
 class Aligner:
-    """Both tokenizers, cut where neither has a token across: at a space or newline between two other characters.
+    """Both tokenizers, and the cuts that none of their tokens crosses: before a space or newline between two others.
 
     A byte-level tokenizer starts a pre-token there; a piece tokenizer has no piece with a mark or newline behind
-    another character, which is looked up in its vocabulary (else texts are encoded whole).  Such units are
-    encoded once and kept in a bounded cache.  A unit whose tokens do not give its bytes back makes its text void.
+    another character, which is looked up in its vocabulary (else long texts are encoded by one task).
     """
 
     def __init__(self, byte_level: str, pieces: str):
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        byte_of = {chr(c): b for b, c in SPELLING.items()} | {chr(b): b for b in range(256) if b not in SPELLING}
-        self.bytes_a = {k: bytes(map(byte_of.get, t)) if all(c in byte_of for c in t) else t.encode() for t, k in self.a.get_vocab().items()}
-        names = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(m[1], 16)]) if (m := HEX_BYTE.fullmatch(n)) else n.replace(MARK, " ").encode() for n in names]
+        vocabulary = self.a.get_vocab()
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for entry, k in vocabulary.items():
+            self.bytes_a[k] = bytes_of_entry(entry)
+        found = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes_of_piece(p) for p in found]
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, side)), np.int64) for side in (self.bytes_a, self.bytes_b))
+        self.names = names_of(max(len(self.bytes_a), len(self.bytes_b)))
         with open(byte_level, encoding="utf-8") as f:
             config = json.load(f)
         kind = config["pre_tokenizer"] or {}
         level = config["normalizer"] is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
-        spaced = not any(MARK in n.lstrip(MARK) for n in names)
+        spaced = not any(MARK in p.lstrip(MARK) for p in found)
         self.lead = self.b.piece_to_id(MARK)
-        lines = not any("\n" in n for n in names) and self.b.encode("\na")[:1] == [self.lead]
+        lines = not any("\n" in p for p in found) and self.b.encode("\na")[:1] == [self.lead]
         self.leads = (" \n" if lines else " ") if level and spaced else ""
         self.boundary = re.compile(rf"(?<=\S)(?=[{self.leads}]\S)") if self.leads else NEVER
-        self.cache: dict[str, Unit | None] = {}
 
-    def encode(self, stretches: list[str]) -> list[Tokens | None]:
-        """Tokens of stretches that begin with a space, which piece tokenizers add themselves, or with a newline."""
+    def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """A and B ids of stretches that begin with a space, which the piece tokenizer adds itself, or with a newline.
+
+        None if the tokens of either side do not give the bytes of the stretch.
+        """
         rest = [s if s[0] == "\n" else s[1:] for s in stretches]
-        out: list[Tokens | None] = []
-        for s, a, b in zip(stretches, self.a.encode_batch_fast(stretches, add_special_tokens=False), self.b.encode(rest, num_threads=1)):
-            ids = a.ids
+        out: list[tuple[list[int], list[int]] | None] = []
+        for s, one, b in zip(stretches, self.a.encode_batch_fast(stretches, add_special_tokens=False), self.b.encode(rest, num_threads=1)):
+            a, raw = one.ids, s.encode()
             if s[0] == "\n":  # the space before it is not in the text
-                b = b[1:] if b[:1] == [self.lead] else [0]
-            raw_a, raw_b, raw = [self.bytes_a[k] for k in ids], [self.bytes_b[k] for k in b], s.encode()
-            if b"".join(raw_a) != raw or b"".join(raw_b) != raw:
-                out.append(None)
-                continue
-            out.append(Tokens(ids, np.cumsum([len(x) for x in raw_a]).tolist(), b, np.cumsum([len(x) for x in raw_b]).tolist()))
+                b = b[1:]
+            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+            out.append((a, b) if same else None)
         return out
 
-    def split(self, text: str) -> list[str]:
-        """Keys of the units of a text with a space before it: a unit without its space, or with its newline."""
-        if self.leads:
-            keys = (text.replace("\n", " \n") if "\n" in self.leads else text).split(" ")
-            if all(map(self.plain, set(keys))) and keys[0][0] != "\n":
-                return keys
-        return [self.key(s) for s in self.boundary.split(" " + text)]
-
-    def plain(self, key: str) -> bool:
-        """Whether a key has no white space at its ends but the newline it starts with."""
-        first = key[1:2] if key[:1] == "\n" and "\n" in self.leads else key[:1]
-        return first != "" and not first.isspace() and not key[-1].isspace()
-
-    @staticmethod
-    def key(stretch: str) -> str:
-        return stretch[1:] if stretch[0] == " " and stretch[1:] and not stretch[1].isspace() else stretch
-
-    def learn(self, keys: Iterable[str]) -> None:
-        """Encode new units; a full cache starts anew."""
-        new = [k for k in keys if k not in self.cache]
-        if len(self.cache) + len(new) > CACHED_UNITS:
-            self.cache.clear()
-            new = list(keys)
-        stretches = [k if k[0] in " \n" else " " + k for k in new]
-        for k, t in zip(new, self.encode(stretches)):
-            self.cache[k] = None if t is None else Unit(t)
-
-    def documents(self, texts: list[str | None]) -> Iterator[Fragment]:
-        """Finished fragments of whole texts."""
-        split = [self.split(t) if t else [] for t in texts]
-        keys = {k for s in split for k in s}
-        self.learn(keys)
-        cache = self.cache
-        for s in split:
-            out = Fragment(closed=True)
-            units = [cache[k] for k in s]
-            if None in units or not units:
-                out.valid = False
-            else:
-                out.units(units)
-            yield out
-
-    def fragment(self, text: str, low: int, high: int) -> Fragment:
+    def tokens(self, encoded: list[tuple[list[int], list[int]]]) -> Tokens:
+        """Of stretches that follow each other."""
+        a, b = (np.fromiter(chain.from_iterable(one[side] for one in encoded), np.int64) for side in (0, 1))
+        return Tokens(a, np.cumsum(self.sizes_a[a]), b, np.cumsum(self.sizes_b[b]))
+
+    def documents(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of whole texts: numbers by name, digests of the groups, and ``(place, pair, times)`` of the linked id pairs.
+
+        Texts are laid end to end, which is a common end, and aligned in one go.
+        """
+        some = [k for k, t in enumerate(texts) if t]
+        encoded = self.encode([" " + texts[k] for k in some]) if some else []
+        kept = [(k, e) for k, e in zip(some, encoded) if e is not None]
+        places = np.array([k for k, _ in kept], np.int64)
+        t = self.tokens([e for _, e in kept])
+        numbers = {c: np.zeros(len(texts), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        numbers["n_a"][places] = size_a = np.array([len(e[0]) for _, e in kept], np.int64)
+        numbers["n_b"][places] = size_b = np.array([len(e[1]) for _, e in kept], np.int64)
+        digests = [""] * len(texts)
+        if not kept:
+            return numbers, digests, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        group_a, group_b, groups = t.groups()
+        owner = np.empty(groups, np.int64)
+        owner[group_a] = np.repeat(places, size_a)
+        numbers["n_groups"] = np.bincount(owner, minlength=len(texts))
+        links = np.bincount(group_a, minlength=groups) * np.bincount(group_b, minlength=groups)
+        np.add.at(numbers["n_links"], owner, links)
+        strings, at = spelt(t.a, group_a, t.b, group_b, self.names), 0
+        for k, size in zip(places.tolist(), (size_a + size_b).tolist()):
+            digests[k] = sha256("".join(strings[at : at + size])[:-1].encode()).hexdigest()
+            at += size
+        return numbers, digests, linked(t.a, group_a, t.b, group_b, owner)
+
+    def fragment(self, stretch: str, low: int, high: int) -> Fragment:
         """The fragment of the bytes ``low`` to ``high`` of a stretch that starts and ends at cuts."""
-        out, at = Fragment(), 0
-        stretches = self.boundary.split(text)
-        keys = [self.key(s) for s in stretches]
-        self.learn(set(keys))
-        inner: list[Unit] = []
-        for s, k in zip(stretches, keys):
-            start, at = at, at + len(s.encode())
-            unit = self.cache[k]
-            if unit is None:
-                out.valid = False
-            elif out.closed and not any(out.tail) and low <= start and at <= high:
-                inner.append(unit)
-            else:
-                out.units(inner)
-                inner = []
-                out.tokens(self.encode([s])[0], low - start, high - start)
-        out.units(inner)
+        out, (encoded,) = Fragment(), self.encode([stretch])
+        if encoded is None:
+            out.valid = False
+        else:
+            out.tokens(self.tokens([encoded]), low, high, self.names)
         return out
 
     def chunks(self, text: str) -> list[tuple[str, int, int]] | None:
@@ -309,6 +317,7 @@ class Aligner:
 @lru_cache(maxsize=1)
 def aligner(byte_level: str, pieces: str) -> Aligner:
     """One pair of tokenizers of a Python worker, kept between tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
     return Aligner(byte_level, pieces)
 
 
@@ -322,10 +331,13 @@ def _links(fragments: list[Fragment]) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
 
 
-def _done_columns(rows: list[int], ids: pa.Array, fragments: list[Fragment]) -> list[pa.Array]:
-    numbers = [pa.array([getattr(f, c) if f.valid else 0 for f in fragments], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")]
-    digests = [sha256(";".join(f.groups).encode()).hexdigest() if f.valid else "" for f in fragments]
-    return [pa.array(rows, pa.int64()), ids, *numbers, pa.array(digests, pa.string()), *_links([f if f.valid else Fragment() for f in fragments])]
+def _done_columns(align: Aligner, rows: list[int], ids: pa.Array, texts: list[str | None]) -> list[pa.Array]:
+    """Finished columns of whole texts."""
+    numbers, digests, (places, pairs, times) = align.documents(texts)
+    offsets = pa.array(np.searchsorted(places, np.arange(len(texts) + 1)).astype(np.int32))
+    sides = ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in sides]
+    return [pa.array(rows, pa.int64()), ids, *map(pa.array, numbers.values()), pa.array(digests, pa.string()), *lists]
 
 
 def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -362,7 +374,7 @@ def _read(docs: DataFrame, files: tuple[str, str]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([row + k]), ids.slice(k, 1), *nothing, *values], names)
             for start, end in _slices([len(texts[k] or "") for k in whole]):
                 chosen = whole[start:end]
-                done = _done_columns([row + k for k in chosen], ids.take(pa.array(chosen)), list(align.documents([texts[k] for k in chosen])))
+                done = _done_columns(align, [row + k for k in chosen], ids.take(pa.array(chosen)), [texts[k] for k in chosen])
                 nothing = [pa.nulls(len(chosen), t) for t in (pa.int32(), pa.string(), pa.int64(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*done, *nothing], names)
             row += len(texts)
@@ -405,7 +417,7 @@ def _long_documents(chunks: DataFrame, files: tuple[str, str], kind: str) -> Dat
                 yield _fragment_batch([(row, doc_id, seq)], batch.schema.field(1).type, [align.fragment(chunk, low, high)])
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, kind = None, None, None
+        names, key, held, kind = aligner(*files).names, None, None, None
         for batch in batches:
             kind = batch.schema.field(1).type
             for row, doc_id, seq, f in _fragments_of(batch):
@@ -413,14 +425,21 @@ def _long_documents(chunks: DataFrame, files: tuple[str, str], kind: str) -> Dat
                     if key is not None:
                         yield _fragment_batch([key], kind, [held])
                     key, held = (row, doc_id, seq // FAN_IN), Fragment()
-                held.append(f)
+                held.append(f, names)
         if key is not None:
             yield _fragment_batch([key], kind, [held])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = aligner(*files).names
         for batch in batches:
             for row, doc_id, _, f in _fragments_of(batch):
-                yield pa.RecordBatch.from_arrays(_done_columns([row], pa.array([doc_id], batch.schema.field(1).type), [f.finish()]), DONE_NAMES)
+                whole = f.finish(names)
+                if not whole.valid:
+                    whole = Fragment()
+                numbers = [pa.array([getattr(whole, c)], pa.int64()) for c in DONE_NAMES[2:6]]
+                digest = sha256(";".join(whole.groups).encode()).hexdigest() if f.valid else ""
+                columns = [pa.array([row]), pa.array([doc_id], batch.schema.field(1).type), *numbers, pa.array([digest]), *_links([whole])]
+                yield pa.RecordBatch.from_arrays(columns, DONE_NAMES)
 
     parts = chunks.select("row", "doc_id", "seq", "chunk", "low", "high").repartition(width, "row", "seq")
     level = materialise(parts.mapInArrow(encode, schema), "fragments")

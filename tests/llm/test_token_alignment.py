@@ -77,30 +77,41 @@ ODD = ["", " ", "  two  spaces", "\n\nlines\n x\n\ty \n", "a\nb\nc", "\nstart",
        "emoji 👩‍👩‍👧 and ́combining", "tab\tnew\x1cpart\x85next", "don't we'll I'm", "x" * 500, "a  b   c    d", "null\x00 byte \x01", "١٢٣ 456 7", "ﬁ ligature Å Å", " nbsp  ​", "\r\n\r\nx\r y"]
 
 
-def test_odd_texts_equal_whole_encoding():
-    for text, f in zip(ODD, ALIGN.documents(ODD)):
+def check(texts):
+    numbers, digests, (places, pairs, times) = ALIGN.documents(texts)
+    for k, text in enumerate(texts):
         want = groups_of(text)
-        assert f.valid == (want is not None), text
-        if want is not None:
-            assert ";".join(f.groups) == spelt(want), text
-            assert f.links == Counter((x << 32 | y) for a, b in want for x in a for y in b)
-            assert (f.n_groups, f.n_links) == (len(want), sum(len(a) * len(b) for a, b in want))
+        assert digests[k] == ("" if want is None else hashlib.sha256(spelt(want).encode()).hexdigest()), text
+        links = Counter((x << 32 | y) for a, b in want or () for x in a for y in b)
+        assert dict(zip(pairs[places == k].tolist(), times[places == k].tolist())) == links
+        assert [numbers[c][k] for c in ("n_groups", "n_links")] == [len(want or ()), links.total()]
+        assert [numbers[c][k] for c in ("n_a", "n_b")] == [sum(len(g[side]) for g in want or ()) for side in (0, 1)]
+
+
+def test_odd_texts_equal_whole_encoding(monkeypatch):
+    check(ODD + [None])
+    monkeypatch.setattr(T, "WIDE", 2)
+    check(ODD + [None])
+    check([])
+    check(["", None])
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab é\n\t '.1漢▁ \x1c<>|s"), max_size=60))
-def test_any_text_equals_whole_encoding(text):
-    (f,) = ALIGN.documents([text])
-    want = groups_of(text)
-    assert f.valid == (want is not None)
-    assert want is None or ";".join(f.groups) == spelt(want)
+def test_no_token_crosses_a_cut(text):
+    """Stretches between cuts, encoded by themselves, have the tokens that they have in the whole text."""
+    whole = ALIGN.encode([" " + text])[0] if text else None
+    parts = ALIGN.encode(ALIGN.boundary.split(" " + text)) if text else [None]
+    assert (whole is None) == (None in parts)
+    assert whole is None or whole == tuple([k for p in parts for k in p[side]] for side in (0, 1))
 
 
-def test_units_are_safe_cuts_on_given_documents():
-    for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist():
-        (f,) = ALIGN.documents([r["text"]])
-        want = groups_of(r["text"])
-        assert f.valid == (want is not None) and (want is None or ";".join(f.groups) == spelt(want))
+def test_cuts_are_safe_in_given_documents():
+    texts = [r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    check(texts)
+    for text, whole in zip(texts, ALIGN.encode([" " + t for t in texts])):
+        parts = ALIGN.encode(ALIGN.boundary.split(" " + text))
+        assert whole == tuple([k for p in parts for k in p[side]] for side in (0, 1))
 
 
 def same(x, y):
@@ -122,12 +133,12 @@ def test_fragments_are_an_associative_monoid(seed):
             return parts[0]
         cut = draw.randint(1, len(parts) - 1)
         left, right = tree(parts[:cut]), tree(parts[cut:])
-        left.append(right)
-        left.append(T.Fragment())
+        left.append(right, ALIGN.names)
+        left.append(T.Fragment(), ALIGN.names)
         return left
 
     whole = spelt(groups_of(text[1:]))
-    first, second = tree(make()).finish(), tree(make()).finish()
+    first, second = tree(make()).finish(ALIGN.names), tree(make()).finish(ALIGN.names)
     assert ";".join(first.groups) == whole and same(first, second)
 
 
@@ -140,8 +151,8 @@ def test_chunks_cut_words_and_cover_the_text(monkeypatch):
             continue
         out = T.Fragment()
         for stretch, low, high in chunks:
-            out.append(ALIGN.fragment(stretch, low, high))
-        assert ";".join(out.finish().groups) == spelt(groups_of(text))
+            out.append(ALIGN.fragment(stretch, low, high), ALIGN.names)
+        assert ";".join(out.finish(ALIGN.names).groups) == spelt(groups_of(text))
     chunks = ALIGN.chunks("internationalization über " * 60)
     assert any(low > 0 for _, low, _ in chunks)
     assert max(len(c) for c, *_ in ALIGN.chunks("word " + "x" * 4000 + " end of it " * 20)) < 4100
