@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tallycast.catalog.registry import PER_DAY, SQL_K, events, grid, props_key, query, rd, rounded, sql_panel, sql_values
@@ -72,14 +74,15 @@ def event_weight(spark, d):
     return joined.select("ts", *out)
 
 
-@query("onehot_levels", f"""WITH {P30}, {SQL_KEYED}, {SQL_ARENA}, {SQL_TIMES}
-SELECT t.ts, {", ".join(f"CAST(least(coalesce(a.{c}, 0), 3) = {v} AS INTEGER) AS {c}_{v}" for c in COUNTERS for v in (1, 2, 3))}
-FROM times t LEFT JOIN arena a ON t.date = a.date AND t.hr = a.hr""")
+@query("onehot_levels", f"""WITH {P30}, {SQL_KEYED}, {SQL_ARENA}, {SQL_TIMES},
+long AS ({" UNION ALL ".join(f"SELECT t.ts, '{c}' AS c, coalesce(a.{c}, 0) AS v FROM times t LEFT JOIN arena a ON t.date = a.date AND t.hr = a.hr" for c in COUNTERS)}),
+levels AS (SELECT DISTINCT c, v FROM long), later AS (SELECT c, v FROM levels l WHERE v > (SELECT min(v) FROM levels m WHERE m.c = l.c))
+SELECT ts, later.c || '_' || CAST(later.v AS VARCHAR) AS indicator, CAST(long.v = later.v AS INTEGER) AS flag FROM long JOIN later ON later.c = long.c""")
 def onehot_levels(spark, d):
-    """Counters (3 and more in one level) as 0/1 columns, smallest level dropped."""
+    """Counters as 0/1 columns of all levels that occur, the smallest dropped; laid out long, as their number depends on the data."""
     joined = V.attach(time_keys(grid(spark, d, HALF_HOUR)), _arena(spark, d), ["date", "hr"], COUNTERS, fill=0)
-    capped = joined.select("ts", *[F.least(F.col(c), F.lit(3)).alias(c) for c in COUNTERS])
-    return V.onehot(capped, COUNTERS, {c: [0, 1, 2, 3] for c in COUNTERS})
+    wide = V.onehot(joined.select("ts", *COUNTERS), COUNTERS)
+    return wide.unpivot("ts", [c for c in wide.columns if c != "ts"], "indicator", "flag")
 
 
 @query("onehot_discovered", """SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'N' AS INTEGER) AS l_returnflag_N,
@@ -271,9 +274,9 @@ def _station(spark, d) -> T.StationInputs:
     return T.StationInputs(
         breaks=spark.createDataFrame(BREAK_DAYS, "date_from string, date_to string").select(F.to_date("date_from").alias("date_from"), F.to_date("date_to").alias("date_to")),
         public_days=spark.createDataFrame(HOLY_DAYS, "day string").select(F.to_date("day").alias("day")),
-        arena=arena.select("date", "hr", *[F.least(F.col(c), F.lit(3)).alias(c) for c in COUNTERS]),
+        arena=arena,
         works=_works(spark, d), zone_branch=spark.createDataFrame(ZONE_BRANCH, "zone string, branch string"), service=_service(spark, d),
-        weather=half_hourly, counters={c: [0, 1, 2, 3] for c in COUNTERS}, zones=ZONES, branches=BRANCHES, off_days=OFF_DAYS, off_ranges=OFF_RANGES,
+        weather=half_hourly, counters=COUNTERS, zones=ZONES, branches=BRANCHES, off_days=OFF_DAYS, off_ranges=OFF_RANGES,
         concerts=COUNTERS[:2],
     )
 
@@ -296,11 +299,13 @@ def _sql_station() -> str:
    CAST(CAST(t.ts AS DATE) IN (DATE '2024-01-01', DATE '2024-01-18') AS INTEGER) AS fer
   FROM times t LEFT JOIN arena a ON t.date = a.date AND t.hr = a.hr LEFT JOIN zw z ON t.date = z.date AND t.hr = z.hr
   LEFT JOIN bw b ON t.date = b.date AND t.hr = b.hr LEFT JOIN met w ON t.date = w.date AND t.hr = w.hr),
- m AS (SELECT max(temperature) AS m_t, max(precipitations3h) AS m_p, {", ".join(f"avg(CASE WHEN {z} <> 0 THEN 1.0 ELSE 0.0 END) AS m_{z}" for z in ZONES)} FROM j)"""
+ m AS (SELECT max(temperature) AS m_t, max(precipitations3h) AS m_p, {", ".join(f"avg(CASE WHEN {z} <> 0 THEN 1.0 ELSE 0.0 END) AS m_{z}" for z in ZONES)},
+   {", ".join(f"min({c}) AS lo_{c}, count(DISTINCT {c}) AS n_{c}" for c in COUNTERS)} FROM j)"""
     columns = [
         f"ts, idx, {_sql_calendar(365, 48)}, hol, fer",
         ", ".join(f"CASE WHEN {c} <> 0 THEN {w}::DOUBLE ELSE 0.0::DOUBLE END AS w_{c}" for c, w in zip(COUNTERS, (20000, 20000, 10000, 10000))),
-        ", ".join(f"CAST(least({c}, 3) = {v} AS INTEGER) AS {c}_{v}" for c in COUNTERS for v in (1, 2, 3)),
+        "concat_ws(',', " + ", ".join(f"CASE WHEN {c} > lo_{c} THEN '{c}_' || CAST({c} AS VARCHAR) END" for c in COUNTERS) + ") AS levels",
+        "CAST(" + " + ".join(f"n_{c} - 1" for c in COUNTERS) + " AS INTEGER) AS n_levels",
         ", ".join(f"CAST({z} AS DOUBLE) AS {z}, {rd(f'CASE WHEN {z} <> 0 THEN 1.0 / nullif(m_{z}, 0) ELSE 0.0 END')} AS w_{z}" for z in ZONES),
         f"{rd('temperature / nullif(m_t, 0)')} AS temperature, {rd('precipitations3h / nullif(m_p, 0)')} AS precipitations3h",
         f"{rd('abs(temperature)')} AS w_temperature, {rd('abs(precipitations3h)')} AS w_precipitations3h",
@@ -309,9 +314,31 @@ def _sql_station() -> str:
     return f"WITH {sources} SELECT {', '.join(columns)} FROM j, m"
 
 
+def _with_levels(features, columns):
+    """The indicator columns of ``columns`` as one text of those that are 1, and their number: how many there are depends on the data."""
+    names = [n for c in columns for n in features.columns if n.startswith(f"{c}_")]
+    hot = F.concat_ws(",", *[F.when(F.col(n) == 1, F.lit(n)) for n in names])
+    return features.withColumns({"levels": hot, "n_levels": F.lit(len(names))}).drop(*names)
+
+
 @query("station_features", _sql_station())
 def station_features(spark, d):
     """The half-hourly covariate and weight table: calendar, holidays, venue, works, weather, service."""
-    out = T.station_features(grid(spark, d, HALF_HOUR), _station(spark, d))
-    exact = ("ts", "idx", "hol", "fer")
-    return rounded(out, *[c for c in out.columns if c not in exact and not c.startswith("wd") and c[-2:] not in ("_1", "_2", "_3")])
+    out = _with_levels(T.station_features(grid(spark, d, HALF_HOUR), _station(spark, d)), COUNTERS)
+    exact = ("ts", "idx", "hol", "fer", "levels", "n_levels")
+    return rounded(out, *[c for c in out.columns if c not in exact and not c.startswith("wd")])
+
+
+@query("station_service_levels", f"""WITH {P30}, {SQL_SERVICE.replace("value / 10.0::DOUBLE AS value", "max(round(value / 10.0::DOUBLE)) AS value").replace("event_type = 'purchase')", "event_type = 'purchase' GROUP BY ALL)")},
+{SQL_TIMES}, bw AS (SELECT date, hr, {", ".join(f"max(value) FILTER (branch = '{b}') AS {b}" for b in BRANCHES)} FROM level GROUP BY 1, 2),
+j AS (SELECT t.ts, {", ".join(f"coalesce({b}, 1.0) AS {b}" for b in BRANCHES)} FROM times t LEFT JOIN bw ON t.date = bw.date AND t.hr = bw.hr),
+m AS (SELECT {", ".join(f"min({b}) AS lo_{b}, count(DISTINCT {b}) AS n_{b}" for b in BRANCHES)} FROM j)
+SELECT ts, concat_ws(',', {", ".join(f"CASE WHEN {b} > lo_{b} THEN '{b}_' || CAST(CAST({b} AS INTEGER) AS VARCHAR) || '_0' END" for b in BRANCHES)}) AS levels,
+CAST({" + ".join(f"n_{b} - 1" for b in BRANCHES)} AS INTEGER) AS n_levels, {", ".join(f"({b} - 1.0) * 100 AS w_{b}" for b in BRANCHES)} FROM j, m""")
+def station_service_levels(spark, d):
+    """Service levels in whole numbers as indicator columns per branch, of the levels that occur, within the whole table."""
+    inputs = _station(spark, d)
+    whole = inputs.service.groupBy("date", "hr", "branch").agg(F.max(F.round("value")).alias("value"))
+    chosen = replace(inputs, service=whole, service_levels=None, off_days=(), off_ranges=())
+    out = _with_levels(T.station_features(grid(spark, d, HALF_HOUR), chosen), BRANCHES)
+    return out.select("ts", "levels", "n_levels", *[f"w_{b}" for b in BRANCHES])

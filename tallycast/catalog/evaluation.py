@@ -27,8 +27,11 @@ def sql_forecast(spec: B.Rolling = SPEC, samples: int = SAMPLES) -> str:
     WHERE b - {spec.horizon - 1} - {spec.step} * w >= {spec.test_start}),
   fr AS (SELECT p.sid, r.roll, r.origin, CAST(p.idx - r.origin + 1 AS INTEGER) AS h, p.ts, p.idx, p.y FROM panel p
     JOIN rolls r ON p.idx BETWEEN r.origin AND r.origin + {spec.horizon - 1}),
-  fc AS (SELECT f.sid, f.roll, f.origin, f.h, f.ts, f.idx, f.y, list(q.y ORDER BY q.idx DESC) AS samples FROM fr f
-    CROSS JOIN range({samples}) k(i) JOIN panel q ON q.sid = f.sid AND q.idx = f.idx - {PER_DAY} * ((f.h - 1) // {PER_DAY} + 1 + k.i) GROUP BY ALL)"""
+  ph AS (SELECT f.*, list(q.y ORDER BY q.idx DESC) FILTER (q.idx IS NOT NULL) AS phased FROM fr f
+    CROSS JOIN range({samples}) k(i) LEFT JOIN panel q ON q.sid = f.sid AND q.idx = f.idx - {PER_DAY} * ((f.h - 1) // {PER_DAY} + 1 + k.i) GROUP BY ALL),
+  lt AS (SELECT o.sid, o.origin, list(q.y ORDER BY q.idx DESC) AS newest FROM (SELECT DISTINCT sid, origin FROM ph WHERE phased IS NULL) o
+    JOIN panel q ON q.sid = o.sid AND q.idx BETWEEN o.origin - {samples} AND o.origin - 1 GROUP BY ALL),
+  fc AS (SELECT ph.* EXCLUDE (phased), coalesce(phased, newest, [0.0]) AS samples FROM ph LEFT JOIN lt ON lt.sid = ph.sid AND lt.origin = ph.origin)"""
 
 
 def sql_q(level: float, ordered: str = "o") -> str:
@@ -106,6 +109,15 @@ def seasonal_samples(spark, d):
     return M.explode_samples(forecast(spark, d))
 
 
+SHORT = B.Rolling(horizon=2 * PER_DAY, step=60, windows=50, test_start=1)
+
+
+@query("seasonal_samples_short", f"""WITH {sql_forecast(SHORT, 2)} SELECT sid, origin, h, ts, CAST(generate_subscripts(samples, 1) - 1 AS INTEGER) AS sample_id, unnest(samples) AS y_hat FROM fc""")
+def seasonal_samples_short(spark, d):
+    """Origins from the first day on: steps without an earlier value of their phase are forecast from the values right before the origin."""
+    return M.explode_samples(forecast(spark, d, SHORT, 2))
+
+
 @query("seasonal_samples_far", f"""WITH {sql_forecast(FAR, 5)} SELECT sid, origin, h, ts, CAST(generate_subscripts(samples, 1) - 1 AS INTEGER) AS sample_id, unnest(samples) AS y_hat FROM fc""")
 def seasonal_samples_far(spark, d):
     """Two-day horizon in steps of one day: overlapping windows, and the second day skips a season."""

@@ -53,10 +53,10 @@ class StationInputs:
     zone_branch: DataFrame  # zone, branch
     service: DataFrame  # branch, value
     weather: DataFrame  # temperature, precipitations3h
-    counters: dict[str, Sequence[int]]  # levels of each counter column
+    counters: Sequence[str] | dict[str, Sequence[int]]  # counter columns; levels are taken from the data where none are declared
     zones: Sequence[str] = ()
     branches: Sequence[str] = ()
-    service_levels: Sequence[float] = ()
+    service_levels: Sequence[float] | None = ()  # None: taken from the data; empty: service stays a number
     off_days: Sequence[str] = ()
     off_ranges: Sequence[tuple[str, str]] = ()
     concerts: Sequence[str] = field(default_factory=tuple)  # the counters that weigh as concerts
@@ -65,8 +65,8 @@ class StationInputs:
 def station_features(times: DataFrame, inputs: StationInputs, profile: str = "forts") -> DataFrame:
     """All covariates of the station data with their weights ``w_*``.
 
-    Service levels become indicator columns per branch when their few levels are declared, and stay a number per
-    branch otherwise; their weights come from the numbers either way.
+    Counters become indicator columns of all their levels but the smallest, and so do service levels per branch when
+    they are declared or to be taken from the data; their weights come from the numbers either way.
     """
     weights = WEIGHT_PROFILES[profile]
     i = inputs
@@ -77,7 +77,7 @@ def station_features(times: DataFrame, inputs: StationInputs, profile: str = "fo
     out = attach(out, i.arena, ["date", "hr"], counters, fill=0)
     for c in counters:
         out = out.withColumn(f"w_{c}", constant_weight(F.col(c), weights.concert if c in i.concerts else weights.event))
-    out = onehot(out, counters, i.counters)
+    out = onehot(out, counters, i.counters if isinstance(i.counters, dict) else None)
     by_zone = pivot_mean(i.works.withColumn("value", F.lit(1)), ["date", "hr"], "zone", "value", i.zones)
     out = inverse_frequency(attach(out, by_zone, ["date", "hr"], list(i.zones), fill=0.0), list(i.zones))
     weather = ["temperature", "precipitations3h"]
@@ -90,7 +90,9 @@ def station_features(times: DataFrame, inputs: StationInputs, profile: str = "fo
     by_branch = pivot_mean(level, ["date", "hr"], "branch", "value", i.branches)
     out = attach(out, by_branch, ["date", "hr"], list(i.branches), fill=1.0)
     out = out.withColumns({f"w_{b}": excess_weight(F.col(b), weights.service) for b in i.branches})
-    if i.service_levels:
+    if i.service_levels is None:
+        out = onehot(out, list(i.branches))
+    elif i.service_levels:
         out = onehot(out, list(i.branches), {b: i.service_levels for b in i.branches})
     return out.drop("date", "hr", "hrr", "day")
 

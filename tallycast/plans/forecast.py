@@ -40,11 +40,26 @@ def with_slot(df: DataFrame, kind: str = "hour", minutes: int = 15) -> DataFrame
     return df.withColumn("slot", slot(F.col("ts"), kind, minutes))
 
 
+def _or_all_phases(rows: DataFrame, panel: DataFrame, samples: int) -> DataFrame:
+    """``rows`` with ``samples``; a row without an earlier value of its phase takes the newest values before its origin of
+    its series whatever their phase, and 0 where its series has none: no row to forecast is lost.
+
+    Only the origins of such rows are looked up, by a join on the series' rows right before them.
+    """
+    # one row per series and origin that needs it, met by the last ``samples`` rows before that origin
+    empty = rows.filter(F.size("samples") == 0).select("sid", "origin").distinct()
+    wanted = empty.withColumn("idx", F.explode(F.sequence(F.col("origin") - samples, F.col("origin") - 1)))
+    newest = F.reverse(F.array_sort(F.collect_list(F.struct("idx", "y"))))
+    found = wanted.join(panel.select("sid", "idx", "y"), ["sid", "idx"]).groupBy("sid", "origin").agg(F.transform(newest, lambda r: r["y"]).alias("_any"))
+    filled = F.when(F.size("samples") > 0, F.col("samples")).otherwise(F.coalesce("_any", F.array(F.lit(0.0))))
+    return rows.join(found, ["sid", "origin"], "left").withColumn("samples", filled).drop("_any")
+
+
 def seasonal_sampler(panel: DataFrame, rows: DataFrame, period: int, samples: int, horizon: int) -> DataFrame:
     """Samples = the last ``samples`` values of the same phase before the origin, newest first.
 
     One window over (series, phase) collects a bounded array per row; a forecast row then takes the part
-    that lies before its origin.  A series spreads over ``period`` partitions.
+    that lies before its origin.  A series spreads over ``period`` partitions.  Rows with none: :func:`_or_all_phases`.
     """
     reach = -(-horizon // period)
     phase = Window.partitionBy("sid", F.pmod("idx", F.lit(period))).orderBy("idx")
@@ -52,7 +67,7 @@ def seasonal_sampler(panel: DataFrame, rows: DataFrame, period: int, samples: in
     history = panel.select("sid", "idx", F.reverse(recent).alias("_recent"))
     skip = F.floor((F.col("h") - 1) / period).cast("int") + 1
     joined = rows.join(history, ["sid", "idx"])
-    return joined.withColumn("samples", F.slice("_recent", skip, samples)).drop("_recent").filter(F.size("samples") > 0)
+    return _or_all_phases(joined.withColumn("samples", F.slice("_recent", skip, samples)).drop("_recent"), panel, samples)
 
 
 def seasonal_forecast(panel: DataFrame, spec: Rolling, period: int, samples: int, last: Column | int | None = None) -> DataFrame:
@@ -68,7 +83,7 @@ def seasonal_forecast(panel: DataFrame, spec: Rolling, period: int, samples: int
     recent = F.reverse(F.collect_list("y").over(phase.rowsBetween(-(samples + reach - 1), -1)))
     rows = forecast_rows(panel.withColumn("_recent", recent), spec, end)
     skip = F.floor((F.col("h") - 1) / period).cast("int") + 1
-    return rows.withColumn("samples", F.slice("_recent", skip, samples)).drop("_recent").filter(F.size("samples") > 0)
+    return _or_all_phases(rows.withColumn("samples", F.slice("_recent", skip, samples)).drop("_recent"), panel, samples)
 
 
 def explode_samples(forecast: DataFrame) -> DataFrame:

@@ -249,3 +249,15 @@ def test_covariates_follow_the_target(spark):
     cov = spark.range(1, 9).selectExpr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 15 * CAST(id AS INT)) AS ts", "id AS x")
     got = replicate_over_series(p, cov, ["x"]).orderBy("ts").collect()
     assert [r.x for r in got] == [None, 1, 2, 3]
+
+
+def test_seasonal_rows_without_history_are_kept(spark):
+    panel = spark.createDataFrame([("a", i, float(i)) for i in range(120)] + [("b", i, 5.0) for i in range(110, 120)], "sid string, idx long, y double").withColumn(
+        "ts", F.timestamp_seconds(F.col("idx") * 900))
+    spec = B.Rolling(horizon=96, step=96, windows=1, test_start=0)
+    for out in (M.seasonal_forecast(panel, spec, 96, 3), M.seasonal_sampler(panel, B.forecast_rows(panel, spec), 96, 3, 96)):
+        got = {(r.sid, r.idx): r.samples for r in out.collect()}
+        assert len(got) == 96 + 10
+        assert got["a", 96] == [0.0] and got["a", 119] == [23.0]
+        assert got["a", 30] == [23.0, 22.0, 21.0]
+        assert got["b", 115] == [0.0]
