@@ -20,14 +20,14 @@ from tallycast.session import materialise
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LEAST_COUNT = 5  # of a word in the corpus to get an id of its own
-MOST_WORDS = 15_360  # words with an id of their own, the most frequent: memory of the network
+MOST_WORDS = 7_680  # words with an id of their own, the most frequent: memory of the network
 WORDS_A_CLASS = 16  # words with an id for each hash class that other words share; 16 classes at least
 SIDE = 3  # tokens of context on each side
-WIDTH, HIDDEN = 8, 24
-SHARD = 1 << 20  # tokens that are trained on one after another
+WIDTH, HIDDEN = 8, 16
+SHARD = 1 << 21  # tokens that are trained on one after another
 BLOCK = 1 << 16  # tokens that are shuffled among each other
-BATCH, STEPS = 4096, 256  # tokens of a step at most; fewer where the corpus has no tokens for so many steps
-RATE = 0.2
+BATCH, STEPS = 8192, 256  # tokens of a step at most; fewer where the corpus has no tokens for so many steps
+RATE = 0.3
 SLICE = 4096  # tokens of one numpy call
 PARTS = 32  # in which weights are averaged
 
@@ -130,12 +130,9 @@ class Network:
             back[chosen] += inside @ w["member"][k].T
         back *= 1 - hidden * hidden
         out["inner"], out["inner_bias"] = inputs.T @ back, back.sum(0)
-        cells, spread = around.ravel(), (back @ w["inner"].T).reshape(-1, WIDTH)
-        order = np.argsort(cells, kind="stable")
-        cells = cells[order]
-        first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-        out["embed"] = np.zeros_like(w["embed"])
-        out["embed"][cells[first]] = np.add.reduceat(spread[order], first, axis=0)
+        cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        spread = np.bincount(cells, (back @ w["inner"].T).ravel(), self.sizes.ids * WIDTH)
+        out["embed"] = spread.reshape(w["embed"].shape).astype(w["embed"].dtype)
         return out
 
     def step(self, tokens: np.ndarray, around: np.ndarray) -> None:
@@ -145,13 +142,15 @@ class Network:
             square += slope * slope
             self.weights[k] -= RATE * slope / np.sqrt(square)
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([part[k].ravel() for part in (self.weights, self.squares) for k in self.sizes.shapes]).astype(np.float32)
+    def flat(self, squares: bool) -> np.ndarray:
+        """All weights, and with ``squares`` Adagrad's sums too, end to end."""
+        held = (self.weights, self.squares) if squares else (self.weights,)
+        return np.concatenate([part[k].ravel() for part in held for k in self.sizes.shapes]).astype(np.float32)
 
     @classmethod
     def from_flat(cls, sizes: Sizes, vector: np.ndarray) -> Network:
         parts, at = [], 0
-        for _ in range(2):
+        while at < len(vector):
             parts.append({})
             for k, s in sizes.shapes.items():
                 size = int(np.prod(s))
@@ -267,8 +266,9 @@ def token_counts(tokens: DataFrame, sizes: Sizes) -> np.ndarray:
     return counts
 
 
-def _trained(rows: DataFrame, network: Network, batch: int) -> Network | None:
+def _trained(rows: DataFrame, network: Network, batch: int, squares: bool) -> Network | None:
     """Mean of the networks trained on each shard of ``rows`` (shard, ka, kb, ids) from ``network``; None without rows.
+    Adagrad's sums come back with ``squares`` only, for a network that is trained on.
 
     Weights travel in ``PARTS`` slices; a slice is added up over shards in their order, so the sum is always the same.
     """
@@ -279,7 +279,7 @@ def _trained(rows: DataFrame, network: Network, batch: int) -> Network | None:
 
         def result() -> pa.RecordBatch:
             trainer.learn()
-            slices = [s.tobytes() for s in np.array_split(trainer.network.flat(), PARTS)]
+            slices = [s.tobytes() for s in np.array_split(trainer.network.flat(squares), PARTS)]
             columns = [pa.array(np.arange(PARTS), pa.int32()), pa.array([shard] * PARTS, pa.int64()), pa.array([trainer.used] * PARTS, pa.int64())]
             return pa.RecordBatch.from_arrays([*columns, pa.array(slices, pa.binary())], ["part", "shard", "n", "weights"])
 
@@ -323,9 +323,9 @@ def train(tokens: DataFrame, sizes: Sizes, counts: np.ndarray, shard: int = SHAR
     batch = min(BATCH, max(64, total // STEPS))
     rows = tokens.select(F.pmod("ka", F.lit(shards)).cast("bigint").alias("shard"), "ka", "kb", "ids").filter(F.length("ids") > 0)
     network = Network.start(sizes, counts)
-    network = _trained(rows.filter("shard = 0").repartition(1), network, batch) or network
+    network = _trained(rows.filter("shard = 0").repartition(1), network, batch, shards > 1) or network
     if shards > 1:
-        network = _trained(rows.filter("shard > 0").repartition(shards, "shard"), network, batch) or network
+        network = _trained(rows.filter("shard > 0").repartition(shards, "shard"), network, batch, False) or network
     return network
 
 
