@@ -63,9 +63,8 @@ def split_lines(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def _digest(chunk: bytes) -> tuple[int, int]:
+def _signed(whole: bytes) -> tuple[int, int]:
     """128 bits as two signed longs."""
-    whole = xxhash.xxh3_128_digest(chunk)
     return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
 
 
@@ -80,7 +79,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             found: list[tuple] = []
             for row, one in enumerate(batch.column(3)):
                 lines = split_lines(one.as_py())
-                found += [(row, a, b, *_digest(b"\n".join(lines[a:b]))) for a, b in chunk_spans(lines)]
+                found += [(row, a, b, *_signed(xxhash.xxh3_128_digest(b"\n".join(lines[a:b])))) for a, b in chunk_spans(lines)]
             if found:
                 row, a, b, h1, h2 = zip(*found)
                 picked = pa.array(row, pa.int64())
@@ -91,48 +90,69 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"ka bigint, kb bigint, doc_id {kind}, a int, b int, h1 bigint, h2 bigint")
 
 
-def chunk_texts(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """``(ka, kb, doc_id, a, b, h1, h2, lines)``: the bytes of the chunks ``hits`` (ka, kb, a, b) only."""
-    wanted = hits.groupBy("ka", "kb").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(*row_key(), "doc_id", "text").join(light(materialise(wanted, "wanted")), ["ka", "kb"])
-    rows = rows.select("ka", "kb", "doc_id", "text", "spans")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """``(ka, kb, a, b, h1, h2, again)`` of every occurrence of each digest that occurs more than once; ``again`` is false
+    for the first one, by id and place, and for occurrences that overlap it.
+
+    Digests are counted with map-side combine, so a passage in a third of all documents is one row per task.
+    """
+    narrow = materialise(chunk_table(docs), "chunks")
+    counted = narrow.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    hits = materialise(narrow.join(light(materialise(counted, "repeated")), ["h1", "h2"], "left_semi"), "hits")
+    place = F.struct("doc_id", "ka", "kb", "a", "b")
+    first = hits.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    first = light(materialise(first.select("h1", "h2", *[F.col(f"first.{c}").alias(f"f{c}") for c in ("ka", "kb", "b")]), "first"))
+    apart = (F.col("fka") != F.col("ka")) | (F.col("fkb") != F.col("kb")) | (F.col("a") >= F.col("fb"))
+    return materialise(hits.join(first, ["h1", "h2"]).select("ka", "kb", "a", "b", "h1", "h2", apart.alias("again")), "occurrences")
+
+
+def with_chunks(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """``(doc_id, text, chunks)``, the documents with their repeated chunks (null: none), written: texts are shuffled once."""
+    chunks = occurrences.distinct().groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b", "h1", "h2", "again")).alias("chunks"))
+    chunks = light(materialise(chunks, "wanted"))
+    return materialise(docs.select("doc_id", "text", *row_key()).join(chunks, ["ka", "kb"], "left").select("doc_id", "text", "chunks"), "documents")
+
+
+def _compared(rows: DataFrame, members: bool = False) -> DataFrame:
+    """``(kind, h1, h2, bytes)``: of kind 0 the lines of repeated chunks by their digests, of kind 1 the chunks as the
+    digests of their lines; with ``members`` the chunks once per line digest instead (kind 2)."""
+    names = ["kind", "h1", "h2", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple] = []
-            for row, (one, spans) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                lines = split_lines(one)
+            found: set[tuple] = set()
+            for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = split_lines(text)
+                digests = [xxhash.xxh3_128_digest(line) for line in lines]
                 for s in spans:
-                    chunk = b"\n".join(lines[s["a"] : s["b"]])
-                    found.append((row, s["a"], s["b"], *_digest(chunk), chunk))
+                    inside = digests[s["a"] : s["b"]]
+                    if members:
+                        found.update((2, s["h1"], s["h2"], d) for d in inside)
+                    else:
+                        found.add((1, s["h1"], s["h2"], b"".join(inside)))
+                        found.update((0, *_signed(d), line) for d, line in zip(inside, lines[s["a"] : s["b"]]))
             if found:
-                row, a, b, h1, h2, texts = zip(*found)
-                picked = pa.array(row, pa.int64())
-                columns = [c.take(picked) for c in batch.columns[:3]] + [pa.array(a, pa.int32()), pa.array(b, pa.int32())]
-                columns += [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["ka", "kb", "doc_id", "a", "b", "h1", "h2", "lines"])
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
 
-    return rows.mapInArrow(run, f"ka bigint, kb bigint, doc_id {kind}, a int, b int, h1 bigint, h2 bigint, lines binary")
+    return rows.filter("chunks IS NOT NULL").select("text", "chunks").mapInArrow(run, "kind int, h1 bigint, h2 bigint, bytes binary")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``(ka, kb, a, b)`` of the occurrences to remove: all but the first, by id and place, of each repeated chunk.
+def differing_chunks(rows: DataFrame) -> DataFrame:
+    """``(h1, h2)`` of chunk digests that stand for different bytes.
 
-    Digests are counted first (map-side combine, so a passage in a third of all documents is one row per task), then
-    the texts of repeated digests only are read again and grouped by their bytes.  A digest that different texts
-    share is left alone, and so is an occurrence that overlaps the first one.
+    Chunks are equal if their lines' digests are, in order, and lines if their bytes are; so every line of a repeated
+    chunk is sent once, however many chunks hold it, and chunks as 16 bytes a line.
     """
-    narrow = materialise(chunk_table(docs), "chunks")
-    counted = narrow.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    again = light(materialise(counted, "repeated"))
-    hits = materialise(narrow.join(again, ["h1", "h2"], "left_semi"), "hits")
-    place = F.struct("doc_id", "ka", "kb", "a", "b")
-    versions = chunk_texts(docs, hits).groupBy("h1", "h2", "lines").agg(F.min(place).alias("first"))
-    checked = versions.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.min("first").alias("first")).filter("texts = 1")
-    checked = light(materialise(checked.select("h1", "h2", *[F.col(f"first.{c}").alias(f"f{c}") for c in ("ka", "kb", "b")]), "checked"))
-    apart = (F.col("fka") != F.col("ka")) | (F.col("fkb") != F.col("kb")) | (F.col("a") >= F.col("fb"))
-    return hits.join(checked, ["h1", "h2"]).filter(apart).select("ka", "kb", "a", "b").distinct()
+    versions = _compared(rows).groupBy("kind", "h1", "h2").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+    differ = materialise(versions.filter("low <> high").select("kind", "h1", "h2"), "differ")
+    chunks = differ.filter("kind = 1").select("h1", "h2")
+    lines = differ.filter("kind = 0")
+    if lines.isEmpty():
+        return chunks
+    signed = [F.conv(F.hex(F.substring("bytes", at, 8)), 16, -10).cast("bigint").alias(n) for at, n in ((1, "l1"), (9, "l2"))]
+    members = _compared(rows, members=True).select("h1", "h2", *signed)
+    return chunks.union(members.join(lines.select(F.col("h1").alias("l1"), F.col("h2").alias("l2")), ["l1", "l2"]).select("h1", "h2")).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -142,26 +162,29 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     of its first occurrence stay unless another chunk with them occurs earlier still: every removed line stands, byte
     for byte, at an earlier place, but a first occurrence can lose a part that has an earlier one of its own.  A text
     has ``CHUNKINGS`` chunkings, so that a repeated passage holds whole chunks of some of them, though their ends need
-    not fall on its ends; ``n_removed_chunks`` counts different runs of lines.  A null text stays null with no lines;
-    null ids come first in the order; rows of equal id and text are one document and lose the same lines; other
-    columns are not read; no rows give no rows.
+    not fall on its ends; ``n_removed_chunks`` counts different runs of lines.  A digest that different bytes share
+    removes nothing.  A null text stays null with no lines; null ids come first in the order; rows of equal id and
+    text are one document and lose the same lines; other columns are not read; no rows give no rows.
     """
-    removed = repeated_chunks(docs).groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    removed = light(materialise(removed, "removed"))
-    rows = docs.select("doc_id", "text", *row_key()).join(removed, ["ka", "kb"], "left").select("doc_id", "text", "gone")
+    occurrences = repeated_chunks(docs)
+    rows = with_chunks(docs, occurrences)
+    differ = differing_chunks(rows)
+    while not differ.isEmpty():
+        occurrences = materialise(occurrences.join(differ, ["h1", "h2"], "left_anti"), "occurrences")
+        rows = with_chunks(docs, occurrences)
+        differ = differing_chunks(rows)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines, lost, pieces = [], [], [], []
-            for one, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                out = {n for s in gone or () for n in range(s["a"], s["b"])}
-                if out:
-                    one_less = "\n".join(line for n, line in enumerate(one.split("\n")) if n not in out)
-                texts.append(one_less if out else one)
+            for one, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                gone = {(s["a"], s["b"]) for s in spans or () if s["again"]}
+                out = {n for a, b in gone for n in range(a, b)}
+                texts.append("\n".join(line for n, line in enumerate(one.split("\n")) if n not in out) if out else one)
                 lost.append(len(out))
                 lines.append(0 if one is None else one.count("\n") + 1)
-                pieces.append(len(gone or ()))
+                pieces.append(len(gone))
             columns = [batch.column(0), pa.array(texts, pa.string()), *(pa.array(v, pa.int64()) for v in (lines, lost, pieces))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 

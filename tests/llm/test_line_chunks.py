@@ -96,11 +96,35 @@ def test_every_removed_line_stands_earlier(spark):
 
 
 def test_digests_that_collide_are_left_alone(spark, monkeypatch):
-    rows = [(i, 0, i, 0, 2, 1, 1, f"text {i % 2}".encode()) for i in range(4)] + [(i, 0, i, 0, 2, 2, 2, b"same") for i in range(4, 6)]
-    texts = spark.createDataFrame(rows, "ka long, kb long, doc_id long, a int, b int, h1 long, h2 long, lines binary")
-    monkeypatch.setattr(L, "chunk_table", lambda docs: texts.drop("lines"))
-    monkeypatch.setattr(L, "chunk_texts", lambda docs, hits: texts)
-    assert [tuple(r) for r in L.repeated_chunks(texts).collect()] == [(5, 0, 0, 2)]
+    docs = spark.createDataFrame([(1, "a b\nc d"), (2, "e f\ng h"), (3, "a b\nc d"), (4, "same x\nsame y"), (5, "same x\nsame y")], "doc_id long, text string")
+    own = L.chunk_table
+
+    def colliding(df):
+        """One digest for the chunks of documents 1 to 3."""
+        return own(df).withColumns({c: L.F.when(L.F.col("doc_id") < 4, 7).otherwise(L.F.col(c)) for c in ("h1", "h2")})
+
+    monkeypatch.setattr(L, "chunk_table", colliding)
+    found = L.with_chunks(docs, L.repeated_chunks(docs))
+    assert [tuple(r) for r in L.differing_chunks(found).collect()] == [(7, 7)]
+    assert {r.doc_id: r.n_removed_lines for r in L.dedup_lines(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 2}
+
+
+def test_lines_that_collide_spoil_their_chunks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one {k}\ntwo {k}") for i, k in enumerate((1, 1, 2, 2))], "doc_id long, text string")
+    rows = L.with_chunks(docs, L.repeated_chunks(docs))
+    assert L.differing_chunks(rows).count() == 0
+    own = L._compared
+
+    def colliding(df, members=False):
+        """The first lines get the digest 0."""
+        out, first = own(df, members), [L.xxhash.xxh3_128_digest(f"one {k}".encode()) for k in (1, 2)]
+        if members:
+            return out.withColumn("bytes", L.F.when(L.F.col("bytes").isin(first), L.F.unhex(L.F.lit("00" * 16))).otherwise(L.F.col("bytes")))
+        hit = (L.F.col("kind") == 0) & L.F.col("bytes").cast("string").startswith("one")
+        return out.withColumns({c: L.F.when(hit, 0).otherwise(L.F.col(c)) for c in ("h1", "h2")})
+
+    monkeypatch.setattr(L, "_compared", colliding)
+    assert L.differing_chunks(rows).count() == 2
 
 
 @pytest.mark.parametrize("lines, least", [(2, 0.95), (3, 0.985), (4, 0.99), (8, 0.99)])
