@@ -30,17 +30,26 @@ SQL_TOTAL_NB = f"""{CELLS}, tot AS (SELECT ts, idx, slot, sum(y) AS total FROM c
   tnb AS (SELECT *, {SHAPE} AS shape FROM tnb0)"""
 SQL_ALPHA = """sh AS (SELECT c.sid, c.slot, c.y / t.total AS p FROM cells c JOIN tot t ON c.idx = t.idx WHERE t.total <> 0),
   ms AS (SELECT slot, sid, avg(p) AS m, var_samp(p) AS v FROM sh GROUP BY 1, 2),
-  a0 AS (SELECT slot, least(greatest(coalesce(sum(m * (1.0 - m)) / nullif(sum(v), 0.0) - 1.0, 1e6::DOUBLE), 1e-3::DOUBLE), 1e6::DOUBLE) AS a FROM ms GROUP BY 1),
+  a0 AS (SELECT slot, least(greatest(coalesce(sum(m * (1.0 - m)) / nullif(sum(v), 0.0) - 1.0, 1e12::DOUBLE), 1e-3::DOUBLE), 1e12::DOUBLE) AS a FROM ms GROUP BY 1),
   alpha AS (SELECT ms.slot, ms.sid, greatest(a * m, 1e-3::DOUBLE) AS alpha FROM ms JOIN a0 ON ms.slot = a0.slot)"""
 
 
-def sql_nb_logpmf(y: str, mu: str = "mu", r: str = "shape") -> str:
-    def log1p(x: str) -> str:
-        return f"(CASE WHEN 1.0::DOUBLE + {x} = 1.0 THEN {x} ELSE {x} * ln(1.0::DOUBLE + {x}) / ((1.0::DOUBLE + {x}) - 1.0) END)"
+def sql_log1p(x: str) -> str:
+    return f"(CASE WHEN 1.0::DOUBLE + {x} = 1.0 THEN {x} ELSE {x} * ln(1.0::DOUBLE + {x}) / ((1.0::DOUBLE + {x}) - 1.0) END)"
+
+
+def sql_rest(z: str) -> str:
+    return f"({sql_horner(N.STIRLING[::-1], f'(1.0::DOUBLE / ({z} * {z}))')} / {z})"
+
 
-    def rest(z: str) -> str:
-        return f"({sql_horner(N.STIRLING[::-1], f'(1.0::DOUBLE / ({z} * {z}))')} / {z})"
+def sql_rising(y: str, a: str) -> str:
+    """ln Gamma(a + y) - ln Gamma(a)."""
+    wide = f"({a} - 0.5) * {sql_log1p(f'({y} / {a})')} + {y} * ln({a} + {y}) - {y} + {sql_rest(f'({a} + {y})')} - {sql_rest(a)}"
+    return f"(CASE WHEN {a} >= {D.WIDE_SHAPE} THEN {wide} ELSE lgamma({y} + {a}) - lgamma({a}) END)"
 
+
+def sql_nb_logpmf(y: str, mu: str = "mu", r: str = "shape") -> str:
+    log1p, rest = sql_log1p, sql_rest
     poisson = f"CASE WHEN {mu} > 0 THEN {y} * ln({mu}) - {mu} - lgamma({y} + 1.0::DOUBLE) WHEN {y} = 0 THEN 0.0::DOUBLE END"
     wide = (
         f"({r} - 0.5) * {log1p(f'({y} / {r})')} - {r} * {log1p(f'({mu} / {r})')} - {y} + {rest(f'({y} + {r})')} - {rest(r)} "
@@ -124,9 +133,9 @@ def nb_loglik(spark, d):
 
 
 SQL_DM = f"""{SQL_TOTAL_NB}, {SQL_ALPHA},
-  dm AS (SELECT c.ts, t.slot, t.total, lgamma(sum(alpha)) + lgamma(t.total + 1.0::DOUBLE) - lgamma(t.total + sum(alpha))
-    + sum(lgamma(y + alpha) - lgamma(alpha) - lgamma(y + 1.0::DOUBLE)) AS loglik
-    FROM cells c JOIN tot t ON c.idx = t.idx JOIN alpha a ON a.sid = c.sid AND a.slot = c.slot GROUP BY 1, 2, 3)"""
+  dm0 AS (SELECT c.ts, t.slot, t.total, sum(alpha) AS a, sum({sql_rising('y', 'alpha')} - lgamma(y + 1.0::DOUBLE)) AS items
+    FROM cells c JOIN tot t ON c.idx = t.idx JOIN alpha a ON a.sid = c.sid AND a.slot = c.slot GROUP BY 1, 2, 3),
+  dm AS (SELECT ts, slot, total, items + lgamma(total + 1.0::DOUBLE) - {sql_rising('total', 'a')} AS loglik FROM dm0)"""
 
 
 def _dm_steps(spark, d):
@@ -181,8 +190,8 @@ SELECT slot, {", ".join(f"min(k) FILTER (cdf >= {q}::DOUBLE) AS p{round(q * 100)
 def nb_total_quantiles(spark, d):
     """Quantiles of the cross-series total per slot from its distribution function."""
     params = M.nb_moments(M.with_slot(P.totals(panel(spark, d))), ["slot"], "total")
-    cdf = R.nb_table(params, ["slot"])
-    return cdf.groupBy("slot").agg(*[F.min(F.when(F.col("cdf") >= q, F.col("k"))).alias(f"p{round(q * 100):02d}") for q in (0.05, 0.5, 0.95)])
+    found = params.withColumn("_q", R.nb_quantiles(F.col("mu"), F.col("shape"), F.array(*map(F.lit, (0.05, 0.5, 0.95)))))
+    return found.select("slot", *[F.col("_q")[i].cast("bigint").alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
 
 
 TAIL = 0.005
@@ -196,12 +205,10 @@ def anomaly_scores(spark, d):
     """Density and distribution function of every value under its cell's negative binomial; values of which as low or
     as high ones have a probability below 0.005 are flagged."""
     cells = _cells(spark, d)
-    params = materialise(M.nb_moments(cells).select("sid", "slot", "mu", "shape"))
-    known = R.nb_table(params, ["sid", "slot"])
-    scored = cells.withColumn("k", F.col("y").cast("bigint")).join(params, ["sid", "slot"]).join(known, ["sid", "slot", "k"], "left")
-    beyond = F.col("y") > F.col("mu")
-    below = F.coalesce("cdf", F.when(beyond, 1.0).otherwise(0.0))
-    above = F.coalesce(1.0 - F.col("cdf") + F.col("pmf"), F.when(beyond, 0.0).otherwise(1.0))
+    scored = cells.join(M.nb_moments(cells).select("sid", "slot", "mu", "shape"), ["sid", "slot"])
+    scored = scored.withColumn("_below", R.nb_cdf(F.col("y"), F.col("mu"), F.col("shape"))).withColumn(
+        "_less", R.nb_cdf(F.col("y") - 1.0, F.col("mu"), F.col("shape")))
+    below, above = F.col("_below"), 1.0 - F.col("_less")
     rare = (F.least(F.round(below, 9), F.round(above, 9)) < TAIL).cast("int")
     out = scored.select("sid", "ts", "y", D.nb_logpmf(F.col("y"), F.col("mu"), F.col("shape")).alias("loglik"), below.alias("cdf"), rare.alias("anomalous"))
     return rounded(out, "loglik", "cdf")
@@ -351,7 +358,7 @@ def scenario_paths(spark, d):
 
 
 # random by numpy generators or by MLlib factors: row checks here, invariants in the tests
-for _name in ("nb_share", "gauss_full", "gauss_full_scaled", "gauss_lowrank", "gauss_lowrank_scaled", "copula"):
+for _name in ("gauss_full", "gauss_full_scaled", "gauss_lowrank", "gauss_lowrank_scaled", "copula"):
     query(f"{_name}_paths")(_paths(_name))
 
 
@@ -363,16 +370,67 @@ def nb_draw(spark, d):
     return R.nb_samples(params, 100, "draw", ["sid", "slot"]).select("sid", "slot", F.posexplode("samples").alias("sample_id", "y_hat"))
 
 
-@query("dm_split", f"""WITH {P15}, {SQL_TOTAL_NB} SELECT idx, slot, total, total AS split_total, (SELECT count(DISTINCT sid) FROM panel) AS parts, TRUE AS whole FROM tot WHERE total > 0""")
+def sql_split(source: str, keys: str, seed: str, alpha: str = "alpha") -> str:
+    """CTEs down to ``parts`` (keys, i, sid, y_hat): ``source`` (keys, slot, i, total) halved over up to eight series of ``alpha``."""
+    names = [k.strip() for k in keys.split(",")]
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in [*names, "i"])
+    out = [f"""codes AS (SELECT sid, row_number() OVER (ORDER BY sid) - 1 AS code FROM (SELECT DISTINCT sid FROM panel)),
+  ca AS (SELECT slot, code, alpha FROM {alpha} JOIN codes USING (sid)), size_ AS (SELECT count(*) AS size FROM codes),
+  g8 AS (SELECT {keys}, slot, i, 0 AS low, CAST(total AS BIGINT) AS n FROM {source})"""]
+    for half in (4, 2, 1):
+        g = f"g{2 * half}"
+        mass = (f"exp(lgamma(n + 1.0::DOUBLE) - lgamma(k + 1.0::DOUBLE) - lgamma(n - k + 1.0::DOUBLE) + {sql_rising('CAST(k AS DOUBLE)', 'a')}"
+                f" + {sql_rising('CAST(n - k AS DOUBLE)', 'b')} - {sql_rising('CAST(n AS DOUBLE)', '(a + b)')})")
+        out.append(f"""ab{half} AS (SELECT slot, low, sum(alpha) FILTER (code >= low AND code < low + {half}) AS a, sum(alpha) FILTER (code >= low + {half} AND code < low + {2 * half}) AS b
+    FROM ca, (SELECT DISTINCT low FROM {g}) GROUP BY 1, 2),
+  m{half} AS (SELECT {keys}, slot, i, low, n, k, {mass} AS pmf FROM (SELECT {g}.*, a, b, unnest(generate_series(0, n)) AS k FROM {g} JOIN ab{half} USING (slot, low), size_ WHERE low + {half} < size)),
+  c{half} AS (SELECT *, sum(pmf) OVER (PARTITION BY {keys}, i, low ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM m{half}),
+  l{half} AS (SELECT {keys}, slot, i, low, n, coalesce(min(k) FILTER (cdf >= {sql_uniform(seed, *names, 'low', str(half), 'i')}), n) AS part FROM c{half} GROUP BY {keys}, slot, i, low, n),
+  g{half} AS (SELECT {keys}, slot, i, low, part AS n FROM l{half} UNION ALL SELECT {keys}, slot, i, low + {half}, n - part FROM l{half}
+    UNION ALL SELECT {keys}, slot, i, low, n FROM {g}, size_ WHERE low + {half} >= size)""")
+    return ",\n  ".join([*out, f"parts AS (SELECT {keys}, i, sid, CAST(n AS DOUBLE) AS y_hat FROM g1 JOIN codes ON low = code)"])
+
+
+@query("dm_split", f"""WITH {P15}, {SQL_TOTAL_NB}, {SQL_ALPHA}, src AS (SELECT idx, slot, 0 AS i, total FROM tot WHERE total > 0), {sql_split('src', 'idx', 'split')}
+SELECT idx, sid, y_hat FROM parts""")
 def dm_split(spark, d):
-    """Every observed total split over the series: one part for each, whole numbers not below 0, which add up to it."""
+    """Every observed total split over the series."""
     p = materialise(panel(spark, d))
     cells = M.with_slot(p)
-    observed = M.with_slot(P.totals(p)).filter("total > 0").select("idx", "slot", "total")
-    parts = R.dm_split(observed, M.dirichlet_moments(cells), ["idx", "slot", "total"], "slot", "split", fan_out=2)
-    return parts.groupBy("idx", "slot", "total").agg(
-        F.sum("y_hat").alias("split_total"), F.count_distinct("sid").alias("parts"),
-        F.bool_and((F.col("y_hat") >= 0) & (F.col("y_hat") == F.rint("y_hat"))).alias("whole"))
+    observed = M.with_slot(P.totals(p)).filter("total > 0").select("idx", "slot", F.array("total").alias("counts"))
+    parts = R.dm_split(observed, M.dirichlet_moments(cells), ["idx"], "slot", "split", fan_out=2)
+    return parts.select("idx", "sid", F.col("counts")[0].alias("y_hat"))
+
+
+def sql_share(samples: int) -> str:
+    """CTEs down to ``shared`` (sid, roll, origin, h, ts, y, i, y_hat): totals drawn per step and split over the series."""
+    limit = f"{M.ALPHA_TOTAL_LIMIT!r}::DOUBLE"
+
+    def alphas(moments: str, by: str) -> str:
+        a0 = f"least(greatest(coalesce(sum(m * (1.0 - m)) / nullif(sum(v), 0.0) - 1.0, {limit}), {M.ALPHA_FLOOR!r}::DOUBLE), {limit})"
+        return f"SELECT {by} {a0} AS a FROM {moments}" + (" GROUP BY slot" if by else "")
+
+    return f"""{P15}, {CELLS}, {SQL_TRAIN.replace("AS origin FROM", "AS origin, i AS roll FROM")},
+  tt AS (SELECT idx, slot, sum(y) AS total FROM tr GROUP BY 1, 2),
+  q0 AS (SELECT slot, avg(total) AS mu, var_samp(total) AS var FROM tt GROUP BY 1), q1 AS (SELECT avg(total) AS mu, var_samp(total) AS var FROM tt),
+  rows_ AS (SELECT c.sid, c.slot, w.roll, w.origin, CAST(c.idx - w.origin + 1 AS INTEGER) AS h, c.ts, c.y FROM cells c JOIN w ON c.idx BETWEEN w.origin AND w.origin + 95),
+  spar AS (SELECT *, {SHAPE} AS shape FROM (SELECT DISTINCT r.slot, coalesce(q0.mu, q1.mu, 0.0) AS mu, CASE WHEN q0.mu IS NOT NULL THEN q0.var ELSE q1.var END AS var
+    FROM rows_ r LEFT JOIN q0 ON q0.slot = r.slot CROSS JOIN q1)), {sql_nb_table('spar', 'slot').replace('mass AS', 'smass AS').replace('FROM mass)', 'FROM smass)').replace('table_ AS', 'stable AS')},
+  us AS (SELECT DISTINCT origin, h, slot, i, {sql_uniform('s', 'origin', 'h', 'i')} AS u FROM rows_, range({samples}) s(i)),
+  src AS (SELECT us.origin, us.h, us.slot, us.i, greatest(coalesce(min(k) FILTER (cdf >= u), max(k)), 1) AS total FROM us JOIN stable t ON t.slot = us.slot GROUP BY 1, 2, 3, 4),
+  sh AS (SELECT tr.sid, tr.slot, tr.y / tt.total AS p FROM tr JOIN tt ON tr.idx = tt.idx WHERE tt.total <> 0),
+  ms AS (SELECT slot, sid, avg(p) AS m, var_samp(p) AS v FROM sh GROUP BY 1, 2), a0 AS ({alphas('ms', 'slot,')}),
+  mw AS (SELECT sid, avg(p) AS m, var_samp(p) AS v FROM sh GROUP BY 1), aw AS ({alphas('mw', '')}),
+  alpha AS (SELECT c.slot, c.sid, coalesce(greatest(a0.a * ms.m, {M.ALPHA_FLOOR!r}::DOUBLE), greatest(aw.a * mw.m, {M.ALPHA_FLOOR!r}::DOUBLE), 1.0) AS alpha
+    FROM (SELECT DISTINCT slot, sid FROM rows_) c LEFT JOIN ms ON ms.slot = c.slot AND ms.sid = c.sid LEFT JOIN a0 ON a0.slot = ms.slot
+    LEFT JOIN mw ON mw.sid = c.sid CROSS JOIN aw), {sql_split('src', 'origin, h', 's')},
+  shared AS (SELECT r.sid, r.roll, r.origin, r.h, r.ts, r.y, p.i, p.y_hat FROM rows_ r JOIN parts p ON p.sid = r.sid AND p.origin = r.origin AND p.h = r.h)"""
+
+
+@query("nb_share_paths", f"WITH {sql_share(20)} SELECT sid, origin, h, ts, CAST(i AS INTEGER) AS sample_id, y_hat FROM shared")
+def nb_share_paths(spark, d):
+    """Totals and shares, both by inversion of keyed uniforms, so SQL draws the same counts."""
+    return _paths("nb_share")(spark, d)
 
 
 @query("lag_regression", f"""WITH {P15}, l AS (SELECT y, lag(y, 96) OVER (PARTITION BY sid ORDER BY idx) AS x FROM panel)
@@ -400,7 +458,8 @@ def poisson_regression(spark, d):
     return model.transform(assembled).select("sid", "ts", "y", F.col("prediction").alias("mu"))
 
 
-@query("flagship_bands")
+@query("flagship_bands", f"""WITH {sql_share(50)}, o AS (SELECT sid, roll, h, ts, y, list_sort(list(y_hat)) AS o FROM shared GROUP BY 1, 2, 3, 4, 5)
+SELECT sid, roll, h, ts, y, {", ".join(f"o[CAST(round_even((len(o) - 1) * {q!r}::DOUBLE, 0) AS INTEGER) + 1] AS p{round(q * 100):02d}" for q in (0.05, 0.5, 0.95))} FROM o""")
 def flagship_bands(spark, d):
     """Quantile bands of the total-and-shares forecaster over the rolling origins."""
     return bands(M.forecast("nb_share", panel(spark, d), settings(spark, d, samples=50)))

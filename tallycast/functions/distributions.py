@@ -54,14 +54,20 @@ def nb_support(mean: Column, shape: Column) -> tuple[Column, Column]:
     return low, F.ceil(mean + SUPPORT_SD * sd + SUPPORT_DECAY * (1.0 + ratio) + SUPPORT_EXTRA)
 
 
+def log_rising(y: Column, a: Column) -> Column:
+    """ln Gamma(a + y) - ln Gamma(a), joined analytically where both are large, so that no ``a`` makes it cancel."""
+    wide = (a - 0.5) * F.log1p(y / a) + y * F.log(a + y) - y + stirling_rest(a + y) - stirling_rest(a)
+    return F.when(a >= WIDE_SHAPE, wide).otherwise(lgamma(y + a) - lgamma(a))
+
+
 def dm_item_term(y: Column, alpha: Column) -> Column:
     """Per-series term of the Dirichlet-multinomial log-likelihood; sum it over the series."""
-    return lgamma(y + alpha) - lgamma(alpha) - lgamma(y + 1.0)
+    return log_rising(y, alpha) - lgamma(y + 1.0)
 
 
 def dm_total_term(total: Column, alpha_total: Column) -> Column:
     """Once-per-step term of the Dirichlet-multinomial log-likelihood."""
-    return lgamma(alpha_total) + lgamma(total + 1.0) - lgamma(total + alpha_total)
+    return lgamma(total + 1.0) - log_rising(total, alpha_total)
 
 
 def gaussian_logpdf(y: Column, mean: Column, sd: Column) -> Column:

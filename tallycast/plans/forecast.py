@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallycast.functions.distributions import nb_shape
 from tallycast.functions.numeric import hash_normal, safe_div
 from tallycast.operators.covariance import factor_model
-from tallycast.operators.draws import dm_split, factor_noise, nb_samples, with_masses, with_step_normals
+from tallycast.operators.draws import dm_split, factor_noise, nb_samples, with_step_normals
 from tallycast.operators.instances import MINIMUM_SCALE, lag_features
 from tallycast.operators.marginal import empirical_quantile, sorted_recent, to_gaussian
 from tallycast.operators.panel import last_index, totals
@@ -23,7 +23,7 @@ from tallycast.plans.backtest import Rolling, context_rows, forecast_rows, train
 from tallycast.session import materialise
 
 ALPHA_FLOOR = 1e-3
-ALPHA_TOTAL_CAP = 1e6
+ALPHA_TOTAL_LIMIT = 1e12  # stands for a total concentration without bound, where shares do not vary: the multinomial
 
 
 def slot(ts: Column, kind: str = "hour", minutes: int = 15) -> Column:
@@ -101,21 +101,20 @@ def nb_moments(panel: DataFrame, keys=("sid", "slot"), value: str = "y") -> Data
 
 
 def with_cells(rows: DataFrame, cells: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with the masses of their (keys, slot) cell's negative binomial, for :func:`nb_samples`.
+    """``rows`` with ``mu`` and ``shape`` of their (keys, slot) cell, for :func:`nb_samples`.
 
     ``cells`` and ``whole`` are the moments per (keys, slot) and per keys.  A cell without training rows takes the
     moments of all slots together, and mean 0 where there are none at all, so no row to forecast is lost.
     """
-    names = ["_low", "_pmf"]
-    cell = with_masses(cells.select(*keys, "slot", "mu", "shape")).select(*keys, "slot", *names)
-    pooled = with_masses(whole.select(*keys, "mu", "shape")).select(*keys, *[F.col(c).alias(f"_whole{c}") for c in names])
+    both = F.struct("mu", "shape")
+    cell = cells.select(*keys, "slot", both.alias("_cell"))
+    pooled = whole.select(*keys, both.alias("_whole"))
     joined = rows.join(cell, [*keys, "slot"], "left")
-    if keys:
-        joined = joined.join(pooled, keys, "left")
-    else:  # one row
-        joined = joined.withColumn("_one", pooled.select(F.struct("*")).scalar()).select("*", "_one.*").drop("_one")
-    zero = {"_low": F.lit(0).cast("bigint"), "_pmf": F.array(F.lit(1.0))}
-    return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_whole{c}"), zero[c]) for c in names}).drop(*[f"_whole{c}" for c in names])
+    joined = joined.join(pooled, keys, "left") if keys else joined.withColumn("_whole", pooled.scalar())
+    chosen = F.when(F.col("_cell.mu").isNotNull(), F.col("_cell")).otherwise(F.col("_whole"))
+    return joined.withColumn("_c", chosen).withColumns(
+        {"mu": F.coalesce("_c.mu", F.lit(0.0)), "shape": F.col("_c.shape")}
+    ).drop("_cell", "_whole", "_c")
 
 
 def gaussian_moments(panel: DataFrame, keys=("sid", "slot"), value: str = "y") -> DataFrame:
@@ -150,7 +149,7 @@ def dirichlet_moments(panel: DataFrame, cells: DataFrame | None = None) -> DataF
         pooled = moments.groupBy(*by).agg(
             (safe_div(F.sum(F.col("m") * (1.0 - F.col("m"))), F.sum("v")) - 1.0).alias("_a")
         )
-        alpha0 = F.least(F.greatest(F.coalesce(F.col("_a"), F.lit(ALPHA_TOTAL_CAP)), F.lit(ALPHA_FLOOR)), F.lit(ALPHA_TOTAL_CAP))
+        alpha0 = F.least(F.greatest(F.coalesce(F.col("_a"), F.lit(ALPHA_TOTAL_LIMIT)), F.lit(ALPHA_FLOOR)), F.lit(ALPHA_TOTAL_LIMIT))
         both = moments.join(pooled, list(by)) if by else moments.withColumn("_a", pooled.scalar())
         return both.select(*by, "sid", F.greatest(alpha0 * F.col("m"), F.lit(ALPHA_FLOOR)).alias("alpha"))
 
@@ -264,12 +263,9 @@ def nb_share(panel: DataFrame, s: Settings) -> DataFrame:
     total_train = with_slot(totals(train), s.slot_kind, s.minutes)
     steps = rows.select("roll", "origin", "h", "idx", "slot").distinct()
     drawn = nb_samples(with_cells(steps, nb_moments(total_train, ["slot"], "total"), nb_moments(total_train, [], "total"), []), s.samples, s.seed, ["origin", "h"], at_least_one=True)
-    draws = drawn.select("origin", "h", "slot", F.posexplode("samples").alias("sample_id", "total"))
-    split = dm_split(draws, dirichlet_moments(train, rows.select("slot", "sid").distinct()), ["origin", "h", "slot", "sample_id"], "slot", s.seed)
-    arrays = split.groupBy("sid", "origin", "h").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "y_hat"))), lambda z: z["y_hat"]).alias("samples")
-    )
-    return _finish(rows.join(arrays, ["sid", "origin", "h"]), s)
+    totals_drawn = drawn.select("origin", "h", "slot", F.col("samples").alias("counts"))
+    split = dm_split(totals_drawn, dirichlet_moments(train, rows.select("slot", "sid").distinct()), ["origin", "h"], "slot", s.seed)
+    return _finish(rows.join(split.select("sid", "origin", "h", F.col("counts").alias("samples")), ["sid", "origin", "h"]), s)
 
 
 def _normal_array(mean: Column, sd: Column, s: Settings) -> Column:

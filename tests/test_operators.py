@@ -348,14 +348,21 @@ def test_nb_draws_have_the_moments(spark):
     assert all(min(r.samples) >= 1 for r in forced)
 
 
+def split_frames(spark, n, total, alpha):
+    alphas = spark.createDataFrame([(0, s, v) for s, v in alpha.items()], "slot int, sid string, alpha double")
+    rows = spark.range(n).select(F.lit(0).alias("slot"), F.col("id").alias("step"), F.array(F.lit(float(total)), F.lit(0.0)).alias("counts"))
+    return rows, alphas
+
+
 @pytest.mark.parametrize("fan_out", [2, 3, 256])
 def test_split_adds_up_and_has_dirichlet_multinomial_moments(spark, fan_out):
     alpha = {"a": 1.0, "b": 2.0, "c": 0.5, "d": 4.0, "e": 2.5}
-    alphas = spark.createDataFrame([(0, s, v) for s, v in alpha.items()], "slot int, sid string, alpha double")
     n, total = 3000, 20
-    draws = spark.range(n).select(F.lit(0).alias("slot"), F.col("id").alias("sample_id"), F.lit(float(total)).alias("total"))
-    out = R.dm_split(draws, alphas, ["slot", "sample_id"], "slot", "k", fan_out=fan_out).toPandas()
-    wide = out.pivot(index="sample_id", columns="sid", values="y_hat")
+    draws, alphas = split_frames(spark, n, total, alpha)
+    out = R.dm_split(draws, alphas, ["step"], "slot", "k", fan_out=fan_out).toPandas()
+    assert all(c[1] == 0 for c in out.counts)
+    out["y_hat"] = [c[0] for c in out.counts]
+    wide = out.pivot(index="step", columns="sid", values="y_hat")
     assert len(wide) == n and (wide.sum(axis=1) == total).all() and wide.min().min() >= 0
     a0 = sum(alpha.values())
     for s, v in alpha.items():
@@ -363,6 +370,35 @@ def test_split_adds_up_and_has_dirichlet_multinomial_moments(spark, fan_out):
         var = total * p * (1 - p) * (total + a0) / (1 + a0)
         assert abs(wide[s].mean() - total * p) < 4.5 * math.sqrt(var / n)
         assert wide[s].var() == pytest.approx(var, rel=0.2)
+    pair = np.cov(wide["a"], wide["d"])[0, 1]
+    assert pair == pytest.approx(-total * 0.1 * 0.4 * (total + a0) / (1 + a0), rel=0.25)
+
+
+def test_split_does_not_depend_on_the_fan_out(spark):
+    rng = np.random.default_rng(1)
+    alpha = {f"s{i:03d}": float(a) for i, a in enumerate(rng.gamma(1.0, 2.0, 37) + 0.01)}
+    draws, alphas = split_frames(spark, 20, 500, alpha)
+    found = []
+    for fan_out in (2, 4, 64):
+        out = R.dm_split(draws, alphas, ["step"], "slot", "k", fan_out=fan_out)
+        found.append(sorted((r.step, r.sid, tuple(r.counts)) for r in out.collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 20 * 37
+
+
+def test_split_without_bound_on_the_concentration_is_multinomial(spark):
+    draws, alphas = split_frames(spark, 2000, 1000, {"a": 3e12, "b": 1e12})
+    out = R.dm_split(draws, alphas, ["step"], "slot", "k").toPandas()
+    first = np.array([c[0] for c, s in zip(out.counts, out.sid) if s == "a"])
+    assert first.var() == pytest.approx(1000 * 0.75 * 0.25, rel=0.12) and abs(first.mean() - 750) < 2
+
+
+def test_draws_hold_no_table(spark):
+    df = spark.createDataFrame([("a", 1e6, 1.0), ("b", 1e6, None)], "sid string, mu double, shape double")
+    out = R.nb_samples(df, 400, "n", ["sid"])
+    assert not any(w in out._jdf.queryExecution().optimizedPlan().toString() for w in ("_pmf", "explode"))
+    got = {r.sid: np.array(r.samples) for r in out.collect()}
+    assert abs(got["a"].mean() / 1e6 - 1) < 0.2 and got["a"].std() / 1e6 == pytest.approx(1, rel=0.2)
+    assert abs(got["b"].mean() - 1e6) < 250 and got["b"].std() == pytest.approx(1000, rel=0.15)
 
 
 def test_pmf_table_matches_closed_form(spark):
