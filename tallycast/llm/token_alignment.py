@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +26,9 @@ from tallycast.session import materialise
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 1 << 15  # characters of a longer document that one fragment covers
 FAN_IN = 8  # fragments that one step of the tree reduction composes
-SLICE = 1 << 21  # characters of the texts that are encoded and aligned in one call
+SLICE = 1 << 18  # characters of the texts that are encoded and aligned in one call
+CACHED_UNITS, CACHED_LENGTH = 300_000, 40  # units of text, and their characters, that one Python worker keeps: some 90 MB
+ID_BITS = 20  # of an id in a pair: vocabularies are below a million
 WIDE = 256  # token pairs of a group from which equal ids are counted before they are paired
 SMALL_PAIRS = 500_000  # rows (id pair, count), some 50 MB in memory, up to which they are broadcast
 MARK = "▁"
@@ -89,23 +91,26 @@ def linked(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarra
     for g in np.flatnonzero(wide):
         ids_a, often_a = np.unique(a[bounds_a[g] : bounds_a[g + 1]], return_counts=True)
         ids_b, often_b = np.unique(b[bounds_b[g] : bounds_b[g + 1]], return_counts=True)
-        pairs = (ids_a.astype(np.int64)[:, None] << 32 | ids_b).ravel()
-        keys.append(np.stack((np.full(len(pairs), owner[g]), pairs)))
+        pairs = (ids_a[:, None] << ID_BITS | ids_b).ravel()
+        keys.append(owner[g] << 2 * ID_BITS | pairs)
         times.append((often_a[:, None] * often_b).ravel())
     plain = ~wide[group_a]
     of = group_a[plain]
     repeats = n_b[of]
     at = np.repeat(bounds_b[of], repeats) + np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
-    pairs = np.repeat(a[plain].astype(np.int64), repeats) << 32 | b[at]
-    keys.append(np.stack((np.repeat(owner[of], repeats), pairs)))
-    times.append(np.ones(len(pairs), np.int64))
-    key, count = np.concatenate(keys, axis=1), np.concatenate(times)
-    order = np.lexsort((key[1], key[0]))
-    key = key[:, order]
-    if not len(order):
-        return key[0], key[1], count
-    first = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
-    return key[0][first], key[1][first], np.add.reduceat(count[order], first)
+    keys.append(np.repeat(owner[of] << 2 * ID_BITS | a[plain] << ID_BITS, repeats) | b[at])
+    if len(keys) == 1:
+        key = np.sort(keys[0])
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+    else:
+        key, often = np.concatenate(keys), np.concatenate([*times, np.ones(len(keys[-1]), np.int64)])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.add.reduceat(often[order], first)
+    found = key[first]
+    return found >> 2 * ID_BITS, found & ((1 << 2 * ID_BITS) - 1), count
 
 
 class Fragment:
@@ -206,7 +211,8 @@ class Aligner:
     """Both tokenizers, and the cuts that none of their tokens crosses: before a space or newline between two others.
 
     A byte-level tokenizer starts a pre-token there; a piece tokenizer has no piece with a mark or newline behind
-    another character, which is looked up in its vocabulary (else long texts are encoded by one task).
+    another character, which is looked up in its vocabulary (else texts are one unit each and long ones encoded by
+    one task).  What stands between two cuts is encoded once and kept in a bounded cache.
     """
 
     def __init__(self, byte_level: str, pieces: str):
@@ -219,6 +225,8 @@ class Aligner:
             self.bytes_a[k] = bytes_of_entry(entry)
         found = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes_of_piece(p) for p in found]
+        if max(len(self.bytes_a), len(self.bytes_b)) > 1 << ID_BITS:
+            raise ValueError("a vocabulary has ids beyond ID_BITS")
         self.sizes_a, self.sizes_b = (np.array(list(map(len, side)), np.int64) for side in (self.bytes_a, self.bytes_b))
         self.names = names_of(max(len(self.bytes_a), len(self.bytes_b)))
         with open(byte_level, encoding="utf-8") as f:
@@ -230,6 +238,7 @@ class Aligner:
         lines = not any("\n" in p for p in found) and self.b.encode("\na")[:1] == [self.lead]
         self.leads = (" \n" if lines else " ") if level and spaced else ""
         self.boundary = re.compile(rf"(?<=\S)(?=[{self.leads}]\S)") if self.leads else NEVER
+        self.cache: dict[str, tuple[bytes, ...]] = {}
 
     def encode(self, stretches: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """A and B ids of stretches that begin with a space, which the piece tokenizer adds itself, or with a newline.
@@ -246,24 +255,56 @@ class Aligner:
             out.append((a, b) if same else None)
         return out
 
-    def tokens(self, encoded: list[tuple[list[int], list[int]]]) -> Tokens:
+    def tokens(self, a: np.ndarray, b: np.ndarray) -> Tokens:
         """Of stretches that follow each other."""
-        a, b = (np.fromiter(chain.from_iterable(one[side] for one in encoded), np.int64) for side in (0, 1))
         return Tokens(a, np.cumsum(self.sizes_a[a]), b, np.cumsum(self.sizes_b[b]))
 
+    def plain(self, key: str) -> bool:
+        """Whether a key has no white space at its ends but the newline it may start with."""
+        first = key[1:2] if key[:1] == "\n" and "\n" in self.leads else key[:1]
+        return first != "" and not first.isspace() and not key[-1].isspace()
+
+    def split(self, text: str) -> list[str]:
+        """Keys of the units between cuts of a text with a space before it: a unit without that space, or from its newline on."""
+        if self.leads:
+            keys = (text.replace("\n", " \n") if "\n" in self.leads else text).split(" ")
+            if keys[0][:1] != "\n" and all(k in self.cache or self.plain(k) for k in keys):  # cached keys are plain
+                return keys
+        whole = self.boundary.split(" " + text)
+        return [u[1:] if u[0] == " " and u[1:] and not u[1].isspace() else u for u in whole]
+
+    def units(self, split: list[list[str]]) -> dict[str, tuple[bytes, ...]]:
+        """A and B ids, as 32-bit integers, of the units of some texts that the cache does not hold, after filling it.
+
+        No ids stand for a unit whose tokens do not give its bytes.  Frequent units come early and are kept.
+        """
+        new, beyond = [k for k in set().union(*split) if k not in self.cache], {}
+        for k, ids in zip(new, self.encode([k if k[0] in " \n" else " " + k for k in new]) if new else ()):
+            raw = () if ids is None else (array("i", ids[0]).tobytes(), array("i", ids[1]).tobytes())
+            if len(self.cache) < CACHED_UNITS and len(k) <= CACHED_LENGTH and self.plain(k):
+                self.cache[k] = raw
+            else:
+                beyond[k] = raw
+        return beyond
+
     def documents(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of whole texts: numbers by name, digests of the groups, and ``(place, pair, times)`` of the linked id pairs.
+        """Of whole texts: numbers by name (zeros if a unit's tokens do not give its bytes), digests of the groups, and ``(place, pair, times)`` of the linked id pairs.
 
         Texts are laid end to end, which is a common end, and aligned in one go.
         """
-        some = [k for k, t in enumerate(texts) if t]
-        encoded = self.encode([" " + texts[k] for k in some]) if some else []
-        kept = [(k, e) for k, e in zip(some, encoded) if e is not None]
-        places = np.array([k for k, _ in kept], np.int64)
-        t = self.tokens([e for _, e in kept])
+        split = [self.split(t) if t else [] for t in texts]
+        beyond, kept, get = self.units(split), [], self.cache.get
+        for k, keys in enumerate(split):
+            found = list(map(get, keys))
+            if None in found:
+                found = [beyond[u] if f is None else f for u, f in zip(keys, found)]
+            if found and () not in found:
+                kept.append((k, b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+        places = np.array([k for k, _, _ in kept], np.int64)
+        t = self.tokens(*(np.frombuffer(b"".join([e[side] for e in kept]), "<i4").astype(np.int64) for side in (1, 2)))
         numbers = {c: np.zeros(len(texts), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-        numbers["n_a"][places] = size_a = np.array([len(e[0]) for _, e in kept], np.int64)
-        numbers["n_b"][places] = size_b = np.array([len(e[1]) for _, e in kept], np.int64)
+        numbers["n_a"][places] = size_a = np.array([len(e[1]) // 4 for e in kept], np.int64)
+        numbers["n_b"][places] = size_b = np.array([len(e[2]) // 4 for e in kept], np.int64)
         digests = [""] * len(texts)
         if not kept:
             return numbers, digests, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
@@ -272,7 +313,7 @@ class Aligner:
         owner[group_a] = np.repeat(places, size_a)
         numbers["n_groups"] = np.bincount(owner, minlength=len(texts))
         links = np.bincount(group_a, minlength=groups) * np.bincount(group_b, minlength=groups)
-        np.add.at(numbers["n_links"], owner, links)
+        numbers["n_links"] = np.bincount(owner, links, len(texts)).astype(np.int64)
         strings, at = spelt(t.a, group_a, t.b, group_b, self.names), 0
         for k, size in zip(places.tolist(), (size_a + size_b).tolist()):
             digests[k] = sha256("".join(strings[at : at + size])[:-1].encode()).hexdigest()
@@ -285,7 +326,7 @@ class Aligner:
         if encoded is None:
             out.valid = False
         else:
-            out.tokens(self.tokens([encoded]), low, high, self.names)
+            out.tokens(self.tokens(*(np.array(side, np.int64) for side in encoded)), low, high, self.names)
         return out
 
     def chunks(self, text: str) -> list[tuple[str, int, int]] | None:
@@ -327,7 +368,7 @@ def _links(fragments: list[Fragment]) -> list[pa.Array]:
     offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
     pairs = np.fromiter((p for f in fragments for p in f.links), np.int64, sum(sizes))
     times = np.fromiter((t for f in fragments for t in f.links.values()), np.int64, sum(sizes))
-    columns = ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times)
+    columns = ((pairs >> ID_BITS).astype(np.int32), (pairs & ((1 << ID_BITS) - 1)).astype(np.int32), times)
     return [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
 
 
@@ -335,7 +376,7 @@ def _done_columns(align: Aligner, rows: list[int], ids: pa.Array, texts: list[st
     """Finished columns of whole texts."""
     numbers, digests, (places, pairs, times) = align.documents(texts)
     offsets = pa.array(np.searchsorted(places, np.arange(len(texts) + 1)).astype(np.int32))
-    sides = ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times)
+    sides = ((pairs >> ID_BITS).astype(np.int32), (pairs & ((1 << ID_BITS) - 1)).astype(np.int32), times)
     lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in sides]
     return [pa.array(rows, pa.int64()), ids, *map(pa.array, numbers.values()), pa.array(digests, pa.string()), *lists]
 
@@ -401,7 +442,7 @@ def _fragments_of(batch: pa.RecordBatch) -> Iterator[tuple[int, object, int, Fra
             setattr(f, c, v[c])
         f.head, f.tail = (v["head_a"], v["head_b"]), (v["tail_a"], v["tail_b"])
         f.groups = [v["groups"]] if v["groups"] else []
-        f.links = {a << 32 | b: t for a, b, t in zip(v["a"], v["b"], v["times"])}
+        f.links = {a << ID_BITS | b: t for a, b, t in zip(v["a"], v["b"], v["times"])}
         yield v["row"], v["doc_id"], v["seq"], f
 
 

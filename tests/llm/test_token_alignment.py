@@ -82,7 +82,7 @@ def check(texts):
     for k, text in enumerate(texts):
         want = groups_of(text)
         assert digests[k] == ("" if want is None else hashlib.sha256(spelt(want).encode()).hexdigest()), text
-        links = Counter((x << 32 | y) for a, b in want or () for x in a for y in b)
+        links = Counter((x << T.ID_BITS | y) for a, b in want or () for x in a for y in b)
         assert dict(zip(pairs[places == k].tolist(), times[places == k].tolist())) == links
         assert [numbers[c][k] for c in ("n_groups", "n_links")] == [len(want or ()), links.total()]
         assert [numbers[c][k] for c in ("n_a", "n_b")] == [sum(len(g[side]) for g in want or ()) for side in (0, 1)]
