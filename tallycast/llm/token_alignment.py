@@ -273,18 +273,43 @@ class Aligner:
         whole = self.boundary.split(" " + text)
         return [u[1:] if u[0] == " " and u[1:] and not u[1].isspace() else u for u in whole]
 
+    def laid_out(self, stretches: list[str]) -> list[tuple[bytes, bytes]] | None:
+        """A and B ids, as 32-bit integers, of stretches between cuts, encoded as one text; None if it does not give its bytes back."""
+        stretches = [" x", *stretches]
+        text = "".join(stretches)
+        raw, upto = text.encode(), np.cumsum([len(s.encode()) for s in stretches])
+        out = []
+        for ids, table, sizes in (
+            (self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.bytes_a, self.sizes_a), (self.b.encode(text[1:]), self.bytes_b, self.sizes_b),
+        ):
+            if b"".join(map(table.__getitem__, ids)) != raw:
+                return None
+            numbers = np.array(ids, "<i4")
+            ends = np.cumsum(sizes[numbers])
+            at = np.searchsorted(ends, upto)
+            if (ends[at] != upto).any():  # a token across a cut
+                return None
+            whole, bounds = numbers.tobytes(), (4 * (at + 1)).tolist()
+            out.append([whole[i:j] for i, j in zip(bounds, bounds[1:])])
+        return list(zip(*out))
+
     def units(self, split: list[list[str]]) -> dict[str, tuple[bytes, ...]]:
         """A and B ids, as 32-bit integers, of the units of some texts that the cache does not hold, after filling it.
 
         No ids stand for a unit whose tokens do not give its bytes.  Frequent units come early and are kept.
         """
         new, beyond = [k for k in set().union(*split) if k not in self.cache], {}
-        for k, ids in zip(new, self.encode([k if k[0] in " \n" else " " + k for k in new]) if new else ()):
+        found, odd = {}, new
+        if self.leads:
+            plain = [k for k in new if self.plain(k)]
+            ids = self.laid_out([k if k[0] == "\n" else " " + k for k in plain]) if plain else []
+            if ids is not None:
+                found, odd = dict(zip(plain, ids)), [k for k in new if not self.plain(k)]
+        for k, ids in zip(odd, self.encode([k if k[0] in " \n" else " " + k for k in odd]) if odd else ()):
             raw = () if ids is None else (array("i", ids[0]).tobytes(), array("i", ids[1]).tobytes())
-            if len(self.cache) < CACHED_UNITS and len(k) <= CACHED_LENGTH and self.plain(k):
-                self.cache[k] = raw
-            else:
-                beyond[k] = raw
+            (found if self.leads and self.plain(k) else beyond)[k] = raw
+        for k, raw in found.items():
+            (self.cache if len(self.cache) < CACHED_UNITS and len(k) <= CACHED_LENGTH else beyond)[k] = raw
         return beyond
 
     def documents(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
