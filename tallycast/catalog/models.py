@@ -256,6 +256,18 @@ def factor_variance(spark, d):
     return rounded(loadings.join(diag, "sid").select("sid", explained.alias("explained"), "diag"), "explained", "diag")
 
 
+@query("factor_covariance", f"WITH {P15}, {SQL_COV} SELECT sid_a, sid_b, {rd('cov')} AS cov FROM cov")
+def factor_covariance(spark, d):
+    """The covariance that whole-rank factors and diagonals imply, from products of loadings of the same factor."""
+    loadings, diag = K.factor_model(materialise(panel(spark, d)), 10**6)
+    long = materialise(loadings.select("sid", F.posexplode("loadings").alias("k", "l")), "long")
+    a, b = (long.select(F.col("sid").alias(f"sid_{x}"), "k", F.col("l").alias(x)) for x in "ab")
+    shared = a.join(b, "k").filter("sid_a <= sid_b").groupBy("sid_a", "sid_b").agg(F.sum(F.col("a") * F.col("b")).alias("shared"))
+    own = diag.select(F.col("sid").alias("sid_a"), F.col("sid").alias("sid_b"), "diag")
+    both = shared.join(own, ["sid_a", "sid_b"], "left")
+    return rounded(both.select("sid_a", "sid_b", (F.col("shared") + F.coalesce("diag", F.lit(0.0))).alias("cov")), "cov")
+
+
 # --- draws and forecasters ----------------------------------------------------------------------
 
 SPEC = Rolling(horizon=PER_DAY, step=PER_DAY, windows=2, test_start=25 * PER_DAY)
@@ -340,6 +352,100 @@ def lag_linear_paths(spark, d):
     return rounded(_paths("lag_linear")(spark, d), "y_hat")
 
 
+SQL_ROLLS = "e AS (SELECT max(idx) AS b FROM panel), w AS (SELECT b - 95 - 96 * i AS origin FROM e, range(2) r(i))"
+
+
+@query("lag_recursive_paths", f"""WITH RECURSIVE {P15}, {CELLS}, {SQL_ROLLS},
+ l AS (SELECT *, lag(y, 1) OVER (PARTITION BY sid ORDER BY idx) AS x1, lag(y, 96) OVER (PARTITION BY sid ORDER BY idx) AS x2 FROM cells),
+ tr AS (SELECT * FROM l WHERE idx < (SELECT min(origin) FROM w) AND x1 IS NOT NULL AND x2 IS NOT NULL),
+ c AS (SELECT covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS t1, covar_pop(x2, y) AS t2, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM tr),
+ k AS (SELECT (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) AS b1, (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) AS b2, my, m1, m2 FROM c),
+ sp AS (SELECT sid, stddev_samp(y - (my - b1 * m1 - b2 * m2) - b1 * x1 - b2 * x2) AS sd FROM tr, k GROUP BY 1),
+ rec AS (SELECT p.sid, w.origin, i, CAST(0 AS BIGINT) AS h, p.y FROM panel p JOIN w ON p.idx = w.origin - 1, range(5) r(i)
+  UNION ALL
+  SELECT r.sid, r.origin, r.i, r.h + 1, my - b1 * m1 - b2 * m2 + b1 * r.y + b2 * p.y + sd * {sql_ppf(sql_uniform('s', 'r.sid', 'r.origin', '(r.h + 1)', 'r.i'))}
+  FROM rec r JOIN panel p ON p.sid = r.sid AND p.idx = r.origin + r.h - 96 JOIN sp ON sp.sid = r.sid, k WHERE r.h < 96)
+SELECT r.sid, r.origin, CAST(r.h AS INTEGER) AS h, p.ts, CAST(r.i AS INTEGER) AS sample_id, {rd('r.y')} AS y_hat FROM rec r JOIN panel p ON p.sid = r.sid AND p.idx = r.origin + r.h - 1 WHERE r.h > 0""")
+def lag_recursive_paths(spark, d):
+    """Paths rolled forward from the last value and that of a day earlier: every forecast value enters the next one."""
+    fc = M.forecast("lag_recursive", panel(spark, d), settings(spark, d, samples=5, lags=(1, PER_DAY)))
+    return rounded(M.explode_samples(fc), "y_hat")
+
+
+@query("gauss_refit_paths", f"""WITH {P15}, {CELLS}, {SQL_ROLLS},
+ g AS (SELECT origin, sid, slot, avg(y) AS mu, stddev_samp(y) AS sd FROM cells JOIN w ON idx < origin GROUP BY 1, 2, 3),
+ f AS (SELECT c.sid, w.origin, CAST(c.idx - w.origin + 1 AS INTEGER) AS h, c.ts, CAST(i AS INTEGER) AS sample_id, mu, sd,
+   {sql_uniform('s', 'c.sid', 'w.origin', '(c.idx - w.origin + 1)', 'i')} AS u
+   FROM cells c JOIN w ON c.idx BETWEEN w.origin AND w.origin + 95 JOIN g ON g.origin = w.origin AND g.sid = c.sid AND g.slot = c.slot CROSS JOIN range(5) r(i))
+SELECT sid, origin, h, ts, sample_id, {rd(f'mu + sd * {sql_ppf("u")}')} AS y_hat FROM f""")
+def gauss_refit_paths(spark, d):
+    """Normal paths with the moments of each origin's own history, from one pass over the panel."""
+    return rounded(M.explode_samples(M.forecast("gauss_refit", panel(spark, d), settings(spark, d, samples=5))), "y_hat")
+
+
+@query("nb_refit_paths", f"""WITH {P15}, {CELLS}, {SQL_ROLLS}, p0 AS (SELECT origin, sid, slot, avg(y) AS mu, var_samp(y) AS var FROM cells JOIN w ON idx < origin GROUP BY 1, 2, 3),
+ params AS (SELECT *, {SHAPE} AS shape FROM p0), {sql_nb_table('params', 'origin, sid, slot')},
+ f AS (SELECT c.sid, c.slot, w.origin, CAST(c.idx - w.origin + 1 AS INTEGER) AS h, c.ts, CAST(i AS INTEGER) AS sample_id,
+   {sql_uniform('s', 'c.sid', 'w.origin', '(c.idx - w.origin + 1)', 'i')} AS u
+   FROM cells c JOIN w ON c.idx BETWEEN w.origin AND w.origin + 95 CROSS JOIN range(20) r(i))
+SELECT f.sid, f.origin, f.h, f.ts, f.sample_id, CAST(coalesce(min(k) FILTER (cdf >= u), max(k)) AS DOUBLE) AS y_hat
+FROM f JOIN table_ t ON t.origin = f.origin AND t.sid = f.sid AND t.slot = f.slot GROUP BY 1, 2, 3, 4, 5""")
+def nb_refit_paths(spark, d):
+    """Count paths with the moments of each origin's own history."""
+    return _paths("nb_refit")(spark, d)
+
+
+def sql_gamma_slope(x: str, order: int) -> str:
+    """First (0) or second (1) derivative of ln Gamma, by the same series."""
+    z = f"({x} + {N.STIRLING_SHIFT}.0)"
+    if order == 0:
+        parts = [f"ln({z}) - 0.5 / {z} - {sql_horner(N.DIGAMMA[::-1], f'(1.0::DOUBLE / ({z} * {z}))')} / ({z} * {z})"]
+        return "(" + " - ".join(parts + [f"1.0 / ({x} + {i}.0)" for i in range(N.STIRLING_SHIFT)]) + ")"
+    parts = [f"1.0 / {z} + 0.5 / ({z} * {z}) + {sql_horner(N.TRIGAMMA[::-1], f'(1.0::DOUBLE / ({z} * {z}))')} / ({z} * {z} * {z})"]
+    return "(" + " + ".join(parts + [f"1.0 / (({x} + {i}.0) * ({x} + {i}.0))" for i in range(N.STIRLING_SHIFT)]) + ")"
+
+
+def sql_count_fit(source: str) -> str:
+    """CTE ``fit`` (b0, b1, theta): Fisher scoring of the counts y of ``source`` on x, in recursive rounds."""
+    low, high = M.LOG_SHAPE_BOUNDS
+    slope = f"{sql_gamma_slope('(y + r)', 0)} - {sql_gamma_slope('r', 0)} + ln(r / (r + m)) + 1.0 - (y + r) / (r + m)"
+    bend = f"{sql_gamma_slope('(y + r)', 1)} - {sql_gamma_slope('r', 1)} + 1.0 / r - 2.0 / (r + m) + (y + r) / ((r + m) * (r + m))"
+    return f"""st AS (SELECT avg(y) AS m, var_samp(y) AS v FROM {source}),
+ fs AS (SELECT 0 AS n, ln(greatest(m, 1e-6)) AS b0, 0.0::DOUBLE AS b1, CASE WHEN v > m THEN least(greatest(ln(m * m / (v - m)), {low}), {high}) ELSE {high} END::DOUBLE AS theta FROM st
+  UNION ALL
+  SELECT n + 1, (t0 * s11 - t1 * s01) / (s00 * s11 - s01 * s01), (t1 * s00 - t0 * s01) / (s00 * s11 - s01 * s01),
+    least(greatest(theta + least(greatest(sl / (abs(be) * r), -1.0), 1.0), {low}), {high})::DOUBLE
+  FROM (SELECT n, theta, r, sum(wt) AS s00, sum(wt * x) AS s01, sum(wt * x * x) AS s11, sum(wt * z) AS t0, sum(wt * x * z) AS t1, sum({slope}) AS sl, sum({bend}) AS be
+    FROM (SELECT n, theta, r, x, y, m, m * r / (r + m) AS wt, eta + (y - m) / m AS z FROM
+      (SELECT n, theta, exp(theta) AS r, x, y, b0 + b1 * x AS eta, exp(least(b0 + b1 * x, {M.MOST_LOG_MEAN})) AS m FROM fs, {source} WHERE n < {M.COUNT_ROUNDS})) GROUP BY n, theta, r)),
+ fit AS (SELECT b0, b1, theta FROM fs WHERE n = (SELECT max(n) FROM fs))"""
+
+
+SQL_LOGLAG = "ll AS (SELECT *, ln(1.0 + lag(y, 96) OVER (PARTITION BY sid ORDER BY idx)) AS x FROM cells)"
+
+
+@query("nb_regression", f"""WITH RECURSIVE {P15}, {CELLS}, {SQL_LOGLAG}, src AS (SELECT x, y FROM ll WHERE x IS NOT NULL), {sql_count_fit('src')}
+SELECT 'intercept' AS term, {rd('b0', 5)} AS coefficient FROM fit UNION ALL SELECT 'log_lag_96', {rd('b1', 5)} FROM fit UNION ALL SELECT 'log_shape', {rd('theta', 4)} FROM fit""")
+def nb_regression(spark, d):
+    """Counts on the logarithm of the count a day earlier, with their shape, by maximum likelihood over all series."""
+    lagged = I.lag_features(panel(spark, d), [PER_DAY])
+    beta, theta = M.nb_regression(lagged, [F.lit(1.0), F.log1p(f"lag_{PER_DAY}")], F.col("y"))
+    rows = [("intercept", round(float(beta[0]), 5) + 0.0), ("log_lag_96", round(float(beta[1]), 5) + 0.0), ("log_shape", round(theta, 4) + 0.0)]
+    return spark.createDataFrame(rows, "term string, coefficient double")
+
+
+@query("nb_lagged_paths", f"""WITH RECURSIVE {P15}, {CELLS}, {SQL_ROLLS}, {SQL_LOGLAG},
+ src AS (SELECT x, y FROM ll WHERE x IS NOT NULL AND idx < (SELECT min(origin) FROM w)), {sql_count_fit('src')},
+ params AS (SELECT DISTINCT x, exp(b0 + b1 * x) AS mu, exp(theta) AS shape FROM ll, fit WHERE x IS NOT NULL), {sql_nb_table('params', 'x')},
+ f AS (SELECT c.sid, c.x, w.origin, CAST(c.idx - w.origin + 1 AS INTEGER) AS h, c.ts, CAST(i AS INTEGER) AS sample_id,
+   {sql_uniform('s', 'c.sid', 'w.origin', '(c.idx - w.origin + 1)', 'i')} AS u
+   FROM ll c JOIN w ON c.idx BETWEEN w.origin AND w.origin + 95 CROSS JOIN range(20) r(i))
+SELECT f.sid, f.origin, f.h, f.ts, f.sample_id, CAST(coalesce(min(k) FILTER (cdf >= u), max(k)) AS DOUBLE) AS y_hat FROM f JOIN table_ t ON t.x = f.x GROUP BY 1, 2, 3, 4, 5""")
+def nb_lagged_paths(spark, d):
+    """Count paths whose mean follows the count a day earlier."""
+    return _paths("nb_lagged")(spark, d)
+
+
 ENDS = [("normal", "2024-01-19 23:45:00"), ("event", "2024-01-24 06:00:00"), ("late", "2024-01-30 20:00:00")]
 
 

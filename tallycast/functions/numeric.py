@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 STIRLING_SHIFT = 7
 
+# Asymptotic series of the first and second derivative of ln Gamma behind their leading terms: coefficients of z^-2, z^-4, ... and of z^-3, z^-5, ...
+DIGAMMA = (1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132)
+TRIGAMMA = (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66)
+
 # Inverse normal distribution function, algorithm AS 241 (Wichura 1988): numerator and denominator
 # for the centre, the near tail and the far tail, lowest power first.
 PPF_CENTRE_NUM = (
@@ -106,6 +110,26 @@ def stirling_rest(z: Column) -> Column:
     return _poly(tuple(reversed(STIRLING)), 1.0 / (z * z)) * (1.0 / z)
 
 
+def digamma(x: Column) -> Column:
+    """Derivative of ln Gamma(x) for x > 0; absolute error below 1e-9."""
+    z = x + float(STIRLING_SHIFT)
+    inverse = 1.0 / (z * z)
+    value = F.log(z) - 0.5 / z - _poly(tuple(reversed(DIGAMMA)), inverse) * inverse
+    for i in range(STIRLING_SHIFT):
+        value = value - 1.0 / (x + float(i))
+    return value
+
+
+def trigamma(x: Column) -> Column:
+    """Second derivative of ln Gamma(x) for x > 0; absolute error below 1e-9."""
+    z = x + float(STIRLING_SHIFT)
+    inverse = 1.0 / (z * z)
+    value = 1.0 / z + 0.5 * inverse + _poly(tuple(reversed(TRIGAMMA)), inverse) * inverse / z
+    for i in range(STIRLING_SHIFT):
+        value = value + 1.0 / ((x + float(i)) * (x + float(i)))
+    return value
+
+
 def norm_cdf(x: Column) -> Column:
     """Standard normal distribution function, about 1e-15 accurate."""
     a = F.abs(x)

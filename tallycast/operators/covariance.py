@@ -6,17 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import hash_normal
 from tallycast.operators.panel import series_codes
+from tallycast.operators.tiles import blocks_of, inner_products, panel_tiles, rows_of, times, turned
 from tallycast.session import materialise
 
 DIM_BLOCK = 256
 EXTRA = 10  # start vectors beyond the rank
 TOLERANCE = 1e-3  # relative change of the leading values in a round, below which iteration ends
 MOST_ROUNDS = 200
+WHOLE_LIMIT = 2048  # series up to which a whole covariance is factored: 32 MB on the driver
 
 
 def step_vectors(coded: DataFrame, value: str, width: int) -> DataFrame:
@@ -88,21 +90,14 @@ def pair_covariance(panel: DataFrame, pairs: DataFrame, value: str = "y") -> Dat
     return both.groupBy("sid_a", "sid_b").agg(F.covar_samp("a", "b").alias("cov"), F.corr("a", "b").alias("corr"), F.count("*").alias("n"))
 
 
-def _combined(column: str, matrix: np.ndarray) -> Column:
-    """The array column times a small matrix, as an array of sums of products."""
-    return F.array(*[
-        sum((F.col(column)[i] * float(matrix[i, j]) for i in range(matrix.shape[0])), F.lit(0.0)) for j in range(matrix.shape[1])
-    ])
+def _whole_rows(centred: DataFrame, steps: int) -> DataFrame:
+    """``(code, q)``: each series' centred values over the root of the steps less one, in step order.
 
-
-def _products(table: DataFrame, column: str, rank: int) -> np.ndarray:
-    """Sum of the outer products of an array column: ``rank`` squared numbers, whatever the number of rows."""
-    pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
-    row = table.agg(*[F.sum(F.col(column)[i] * F.col(column)[j]) for i, j in pairs]).first()
-    out = np.zeros((rank, rank))
-    for (i, j), value in zip(pairs, row):
-        out[i, j] = out[j, i] = value or 0.0
-    return out
+    As loadings of one factor per step they give the sample covariance itself, without any product of series.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("step", "v")))
+    root = float(np.sqrt(max(1, steps - 1)))
+    return centred.groupBy("code").agg(F.transform(ordered, lambda z: z["v"] / root).alias("q"))
 
 
 def factor_model(
@@ -111,12 +106,14 @@ def factor_model(
     """Low-rank plus diagonal covariance: ``(sid, loadings array)`` and ``(sid, diag)``.
 
     Leading eigenvectors of the sample covariance by subspace iteration: a keyed random start with some vectors more than
-    the rank, rounds of series to steps (sums over the series of a step) and back, an orthonormal basis in between, and
-    a last rotation.  It ends when no leading value changes by more than ``tolerance`` of itself in a round, or after
-    ``iterations`` rounds; a start as wide as the series or steps allow needs one round only.
-    Both directions are equi-joins and grouped sums of short arrays with map-side combine; only rank x rank products
-    come to the driver, so neither series nor steps are bounded.  A rank of at least the number of series gives
-    the whole covariance, of which the size is D x D by nature.
+    the rank, rounds of series to steps and back, an orthonormal basis in between, and a last rotation.  It ends when
+    no leading value changes by more than ``tolerance`` of itself in a round, or after ``iterations`` rounds; a start
+    as wide as the steps allow needs one round only, and one as wide as the series none.
+
+    The centred panel is written once as dense tiles; both directions are products of tiles with blocks of the basis in
+    numpy and sums of blocks by key, so a plan does not grow with the rank.  Only products as wide as the rank come to the
+    driver.  A rank of at least the number of series gives the whole covariance; beyond ``WHOLE_LIMIT`` series, or more
+    series than steps, it has one factor per step, the centred values themselves, and nothing is multiplied.
     """
     moments = materialise(panel.groupBy("sid").agg(F.avg(value).alias("_mean"), F.var_samp(value).alias("var"), F.count("*").alias("_t")), "moments")
     count, steps = moments.agg(F.count("*"), F.max("_t")).first()
@@ -126,28 +123,40 @@ def factor_model(
         return none, moments.select("sid", F.coalesce("var", F.lit(0.0)).alias("diag"))
     most = min(count, max(1, (steps or 2) - 1))
     width = min(rank + EXTRA, most)
-    centred = materialise(panel.join(moments, "sid").select("ts", "sid", (F.col(value) - F.col("_mean")).alias("c")), "centred")
-
-    def summed(table: DataFrame, on: str, by: str, column: str, out: str) -> DataFrame:
-        parts = [F.sum(F.col("c") * F.col(column)[j]) for j in range(width)]
-        return centred.join(table, on).groupBy(by).agg(F.array(*parts).alias(out))
-
-    basis = moments.select("sid", F.array(*[hash_normal(seed, F.col("sid"), F.lit(j)) for j in range(width)]).alias("q"))
+    codes = materialise(series_codes(moments), "codes")
+    times_ = materialise(series_codes(panel.select(F.col("ts").cast("string").alias("sid")).distinct()), "steps")
+    numbered = panel.select("sid", F.col("ts").cast("string").alias("_at"), F.col(value).alias("_y")).join(moments.select("sid", "_mean"), "sid")
+    coded = numbered.join(codes, "sid").join(times_.select(F.col("sid").alias("_at"), F.col("code").alias("step")), "_at")
+    centred = coded.select("step", "code", F.coalesce(F.col("_y") - F.col("_mean"), F.lit(0.0)).alias("v"))
+    if rank == most and (count > most or count > WHOLE_LIMIT):
+        table = materialise(_whole_rows(centred, steps), "loadings")
+    else:
+        table = _leading(centred, codes, count, steps, rank, width, most, iterations, seed, tolerance)
+    loadings = table.join(codes, "code").select("sid", F.col("q").alias("loadings"))
+    explained = F.aggregate("loadings", F.lit(0.0), lambda acc, v: acc + v * v)
+    diag = moments.join(loadings, "sid").select("sid", F.greatest(F.coalesce("var", F.lit(0.0)) - explained, F.lit(0.0)).alias("diag"))
+    return loadings, diag
+
+
+def _leading(centred: DataFrame, codes: DataFrame, count: int, steps: int, rank: int, width: int, most: int, iterations: int, seed: str, tolerance: float) -> DataFrame:
+    """``(code, q)``: loadings on the leading factors."""
+    tiles = materialise(panel_tiles(centred, count), "tiles")
+    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: hash_normal(seed, F.col("sid"), j))
+    if width == count:  # the series themselves span everything
+        start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.when(j == F.col("code"), 1.0).otherwise(0.0))
+        iterations = 0
+    basis = materialise(blocks_of(codes.select("code", start.alias("q"))), "basis")
     before = None
-    for number in range(iterations if width < most else 1):
-        wide = materialise(summed(summed(basis, "sid", "ts", "q", "z"), "ts", "sid", "z", "w"), "factors")
-        values, vectors = np.linalg.eigh(_products(wide, "w", width))
+    for number in range(iterations if width < most else min(iterations, 1)):
+        wide = materialise(times(tiles, times(tiles, basis, width, "columns"), width, "rows"), "factors")
+        values, vectors = np.linalg.eigh(inner_products(wide, width))
         kept = values > max(values.max(), 0.0) * 1e-12
         root = np.where(kept, 1.0 / np.sqrt(np.where(kept, values, 1.0)), 0.0)
-        basis = wide.select("sid", _combined("w", vectors * root).alias("q"))
+        basis = materialise(turned(wide, width, vectors * root), "basis")
         leading = np.sqrt(np.maximum(values[::-1][:rank], 0.0))
         if number > 1 and (np.abs(leading - before) <= tolerance * leading).all():  # the first round's start is not orthonormal
             break
         before = leading
-    basis = materialise(basis, "basis")
-    values, vectors = np.linalg.eigh(_products(summed(basis, "sid", "ts", "q", "z"), "z", width) / max(1, steps - 1))
-    turned = (vectors[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0)))[:, :rank]
-    table = materialise(basis.select("sid", _combined("q", turned).alias("loadings")), "loadings")
-    explained = F.aggregate("loadings", F.lit(0.0), lambda acc, v: acc + v * v)
-    diag = moments.join(table, "sid").select("sid", F.greatest(F.coalesce("var", F.lit(0.0)) - explained, F.lit(0.0)).alias("diag"))
-    return table, diag
+    values, vectors = np.linalg.eigh(inner_products(times(tiles, basis, width, "columns"), width) / max(1, steps - 1))
+    rotation = (vectors[:, ::-1] * np.sqrt(np.maximum(values[::-1], 0.0)))[:, :rank]
+    return materialise(rows_of(turned(basis, width, rotation), rank), "loadings")

@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.functions.distributions import nb_shape
-from tallycast.functions.numeric import hash_normal, safe_div
+from tallycast.functions.numeric import digamma, hash_normal, safe_div, trigamma
 from tallycast.operators.covariance import factor_model
 from tallycast.operators.draws import dm_split, factor_noise, nb_samples, with_step_normals
-from tallycast.operators.instances import MINIMUM_SCALE, lag_features
+from tallycast.operators.instances import MINIMUM_SCALE, check_lags, lag_features
 from tallycast.operators.marginal import empirical_quantile, sorted_recent, to_gaussian
 from tallycast.operators.panel import last_index, totals
 from tallycast.plans.backtest import Rolling, context_rows, forecast_rows, train_rows
@@ -175,6 +176,8 @@ class Settings:
     rank: int = 10
     conditioning: int = 100
     last: int | None = None
+    lags: tuple[int, ...] = (1, 2, 96)  # of the recursive model
+    covariates: tuple[str, ...] = ()  # panel columns known for the horizon, of the conditional count model
     hook: Callable[[DataFrame], DataFrame] | None = None
 
 
@@ -257,6 +260,179 @@ def lag_linear(panel: DataFrame, s: Settings) -> DataFrame:
     return lag_linear_predict(panel, lag_linear_fit(panel, s), s)
 
 
+def normal_equations(rows: DataFrame, inputs: list[Column], target: Column, weight: Column | None = None, more: dict[str, Column] | None = None):
+    """Weighted sums of products of inputs, and of inputs with the target, in one aggregation; with the sums ``more``.
+
+    Only numbers as many as the square of the inputs come to the driver.  Rows with a NULL input or target do not count.
+    """
+    width = len(inputs)
+    names = [f"_x{i}" for i in range(width)]
+    ready = rows.select(*[c.cast("double").alias(n) for c, n in zip(inputs, names)], target.cast("double").alias("_t"),
+                        (F.lit(1.0) if weight is None else weight).alias("_w"), *[c.alias(k) for k, c in (more or {}).items()]).dropna(subset=[*names, "_t"])
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
+    sums = [F.sum(F.col("_w") * F.col(names[i]) * F.col(names[j])) for i, j in pairs] + [F.sum(F.col("_w") * F.col(n) * F.col("_t")) for n in names]
+    row = ready.agg(*sums, *[F.sum(k) for k in (more or {})], F.count("*")).first()
+    gram = np.zeros((width, width))
+    for (i, j), value in zip(pairs, row):
+        gram[i, j] = gram[j, i] = value or 0.0
+    rest = [v or 0.0 for v in row[len(pairs) :]]
+    return gram, np.array(rest[:width]), dict(zip(more or {}, rest[width:-1])), rest[-1]
+
+
+def _fitted(coefficients: Column, inputs: list[Column]) -> Column:
+    return sum((coefficients[i] * c for i, c in enumerate(inputs)), F.lit(0.0))
+
+
+def lag_recursive_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Least squares of a value on its own lags over all series, and each series' spread around it."""
+    lags = check_lags(s.lags)
+    names = [F.col(f"lag_{k}") for k in lags]
+    train = train_rows(lag_features(panel, lags), s.rolling, s.last).dropna(subset=[f"lag_{k}" for k in lags])
+    gram, moment, _, _ = normal_equations(train, [F.lit(1.0), *names], F.col("y"))
+    found = np.linalg.lstsq(gram, moment, rcond=None)[0]
+    line = panel.sparkSession.createDataFrame([([float(v) for v in found],)], "coefficients array<double>")
+    left = train.withColumn("_e", F.col("y") - _fitted(F.array(*map(F.lit, map(float, found))), [F.lit(1.0), *names]))
+    return {"line": line, "spread": left.groupBy("sid").agg(F.stddev_samp("_e").alias("sd"))}
+
+
+def lag_recursive_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings) -> DataFrame:
+    """Paths rolled forward: a forecast value enters the lags of the steps after it, with keyed noise at every step.
+
+    One row per (series, origin, sample) folds over the horizon with the path as its state; it starts from the last
+    values before the origin, as many as the longest lag.  Steps before a series begins count as 0; a series the fit
+    has not seen has spread 0.
+    """
+    lags, horizon = check_lags(s.lags), s.rolling.horizon
+    longest = max(lags)
+    rows = forecast_rows(panel, s.rolling, s.last)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "y"))), lambda z: F.coalesce(z["y"], F.lit(0.0)))
+    history = context_rows(panel, s.rolling, longest, s.last).groupBy("sid", "roll").agg(ordered.alias("_y"))
+    starts = rows.select("sid", "roll", "origin").distinct().join(history, ["sid", "roll"], "left").join(tables["spread"], "sid", "left")
+    known = F.coalesce("_y", F.array().cast("array<double>"))
+    ready = starts.select(
+        "sid", "roll", "origin", F.coalesce("sd", F.lit(0.0)).alias("sd"), F.concat(F.array_repeat(F.lit(0.0), F.lit(longest) - F.size(known)), known).alias("_start"),
+    ).withColumn("_c", tables["line"].select("coefficients").scalar()).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(s.samples - 1))))
+
+    def forward(path: Column, h: Column) -> Column:
+        mean = _fitted(F.col("_c"), [F.lit(1.0), *[F.element_at(path, -k) for k in lags]])
+        return F.concat(path, F.array(mean + F.col("sd") * hash_normal(s.seed, F.col("sid"), F.col("origin"), h, F.col("_i"))))
+
+    walked = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_start"), forward), longest + 1, horizon)
+    paths = ready.select("sid", "roll", "_i", walked.alias("_path"))
+    gathered = paths.groupBy("sid", "roll").agg(F.array_sort(F.collect_list(F.struct("_i", "_path"))).alias("_p"))
+    turned = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)), lambda h: F.transform("_p", lambda p: p["_path"][h]))
+    by_step = gathered.select("sid", "roll", F.posexplode(turned).alias("_h", "samples"))
+    return _finish(rows.join(by_step.withColumn("h", F.col("_h") + 1).drop("_h"), ["sid", "roll", "h"]), s)
+
+
+def lag_recursive(panel: DataFrame, s: Settings) -> DataFrame:
+    """Recursive multi-step forecast from the series' own lags."""
+    return lag_recursive_predict(panel, lag_recursive_fit(panel, s), s)
+
+
+def origin_moments(panel: DataFrame, s: Settings, keys: tuple[str, ...] = ("sid", "slot"), value: str = "y") -> DataFrame:
+    """``(keys, roll, n, mu, var)``: moments of all rows before each origin, in one pass over the panel.
+
+    A row belongs to the history of all windows up to some number; sums are taken per that number and then repeated for
+    the few windows up to it, so rows of the panel are never repeated.
+    """
+    end = last_index(panel) if s.last is None else F.lit(s.last)
+    newest = end - F.lit(s.rolling.horizon - 1)
+    room = F.floor((newest - F.lit(s.rolling.test_start)) / F.lit(s.rolling.step))
+    upto = F.least(F.ceil((newest - F.col("idx")) / F.lit(s.rolling.step)) - 1, F.lit(s.rolling.windows - 1).cast("long"), room)
+    part = panel.withColumn("_r", upto).filter(F.col("_r") >= 0).groupBy(*keys, "_r").agg(
+        F.count(value).alias("n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q"))
+    each = part.withColumn("roll", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_r"))))
+    whole = each.groupBy(*keys, "roll").agg(*[F.sum(c).alias(c) for c in ("n", "_s", "_q")])
+    mean = safe_div(F.col("_s"), F.col("n").cast("double"))
+    spread = safe_div(F.col("_q") - F.col("_s") * mean, (F.col("n") - 1).cast("double"))
+    return whole.select(*keys, "roll", "n", mean.alias("mu"), F.greatest(spread, F.lit(0.0)).alias("var"))
+
+
+def _origin_cells(panel: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cells = with_slot(panel, s.slot_kind, s.minutes)
+    shaped = [origin_moments(cells, s, k).withColumn("shape", nb_shape(F.col("mu"), F.col("var"))) for k in (("sid", "slot"), ("sid",))]
+    return forecast_rows(cells, s.rolling, s.last), *shaped
+
+
+def nb_refit(panel: DataFrame, s: Settings) -> DataFrame:
+    """:func:`nb_series` whose moments are those of each origin's own history."""
+    rows, cells, whole = _origin_cells(panel, s)
+    ready = with_cells(rows, cells, whole, ["sid", "roll"])
+    return _finish(nb_samples(ready, s.samples, s.seed, ["sid", "origin", "h"]), s)
+
+
+def gauss_refit(panel: DataFrame, s: Settings) -> DataFrame:
+    """:func:`gauss_independent` whose moments are those of each origin's own history."""
+    rows, cells, whole = _origin_cells(panel, s)
+    pooled = whole.select("sid", "roll", F.col("mu").alias("_mu"), F.sqrt("var").alias("_sd"))
+    ready = rows.join(cells.select("sid", "slot", "roll", "mu", F.sqrt("var").alias("sd")), ["sid", "slot", "roll"], "left").join(pooled, ["sid", "roll"], "left")
+    mean, sd = (F.coalesce(c, f"_{c}", F.lit(0.0)) for c in ("mu", "sd"))
+    return _finish(ready.withColumn("samples", _normal_array(mean, sd, s)), s)
+
+
+COUNT_ROUNDS = 60
+LOG_SHAPE_BOUNDS = (-7.0, 14.0)  # beyond the upper one counts are as good as Poisson
+MOST_LOG_MEAN = 30.0
+
+
+def nb_regression(train: DataFrame, inputs: list[Column], target: Column, rounds: int = COUNT_ROUNDS, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
+    """Coefficients of the log-mean and the log of the shape of counts given their inputs, by maximum likelihood.
+
+    Fisher scoring: every round is one aggregation, of the weighted normal equations at the last coefficients and of
+    the first two derivatives by the shape, and a small solve on the driver.  It ends when nothing moves by more
+    than ``tolerance``.  Counts without over-dispersion drive the shape to its upper bound, the Poisson limit.
+    """
+    ready = materialise(train.select(*[c.cast("double").alias(f"i{n}") for n, c in enumerate(inputs)], target.cast("double").alias("y")).dropna(), "regression")
+    mean, variance = ready.agg(F.avg("y"), F.var_samp("y")).first()
+    beta = np.zeros(len(inputs))
+    beta[0] = np.log(max(mean or 0.0, 1e-6))
+    theta = float(np.clip(np.log(mean * mean / (variance - mean)), *LOG_SHAPE_BOUNDS)) if mean and variance and variance > mean else LOG_SHAPE_BOUNDS[1]
+    columns = [F.col(f"i{n}") for n in range(len(inputs))]
+    for _ in range(rounds):
+        r = float(np.exp(theta))
+        eta = F.least(sum((float(b) * c for b, c in zip(beta, columns)), F.lit(0.0)), F.lit(MOST_LOG_MEAN))
+        at = ready.withColumn("_eta", eta).withColumn("_m", F.exp("_eta"))
+        y, m, shape = F.col("y"), F.col("_m"), F.lit(r)
+        slope = digamma(y + r) - digamma(shape) + F.log(shape / (shape + m)) + 1.0 - (y + r) / (shape + m)
+        bend = trigamma(y + r) - trigamma(shape) + 1.0 / r - 2.0 / (shape + m) + (y + r) / ((shape + m) * (shape + m))
+        gram, moment, sums, n = normal_equations(
+            at, columns, F.col("_eta") + (y - m) / m, m * r / (r + m), {"slope": slope, "bend": bend})
+        if not n:
+            break
+        new = np.linalg.lstsq(gram, moment, rcond=None)[0]
+        step = sums["slope"] / (abs(sums["bend"]) * r) if sums["bend"] else 0.0
+        moved = max(np.abs(new - beta).max(), abs(step))
+        beta, theta = new, float(np.clip(theta + np.clip(step, -1.0, 1.0), *LOG_SHAPE_BOUNDS))
+        if moved < tolerance:
+            break
+    return beta, theta
+
+
+def _count_inputs(s: Settings) -> list[Column]:
+    return [F.lit(1.0), F.log1p("_x"), *[F.col(c) for c in s.covariates]]
+
+
+def nb_lagged_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Log-mean of a count given the one a horizon earlier and covariates, and its shape, over all series."""
+    train = train_rows(_lagged(panel, s), s.rolling, s.last)
+    beta, theta = nb_regression(train, _count_inputs(s), F.col("y"))
+    return {"line": panel.sparkSession.createDataFrame([([float(b) for b in beta], float(theta))], "coefficients array<double>, log_shape double")}
+
+
+def nb_lagged_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings) -> DataFrame:
+    """Negative binomials conditional on lag and covariates; a row without one of them takes it as 0."""
+    rows = forecast_rows(_lagged(panel, s), s.rolling, s.last).withColumn("_l", tables["line"].select(F.struct("*")).scalar())
+    eta = _fitted(F.col("_l.coefficients"), [F.coalesce(c, F.lit(0.0)) for c in _count_inputs(s)])
+    ready = rows.withColumn("mu", F.exp(F.least(eta, F.lit(MOST_LOG_MEAN)))).withColumn("shape", F.exp("_l.log_shape"))
+    return _finish(nb_samples(ready, s.samples, s.seed, ["sid", "origin", "h"]), s)
+
+
+def nb_lagged(panel: DataFrame, s: Settings) -> DataFrame:
+    """Conditional count model: direct forecasts whose mean follows lag and covariates."""
+    return nb_lagged_predict(panel, nb_lagged_fit(panel, s), s)
+
+
 def nb_share(panel: DataFrame, s: Settings) -> DataFrame:
     """Negative binomial for the total, Dirichlet-multinomial split over the series (the headline model)."""
     train, rows = _parts(panel, s)
@@ -331,6 +507,10 @@ MODELS: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {
     "nb_share": nb_share,
     "nb_series": nb_series,
     "lag_linear": lag_linear,
+    "lag_recursive": lag_recursive,
+    "nb_lagged": nb_lagged,
+    "nb_refit": nb_refit,
+    "gauss_refit": gauss_refit,
     "gauss": gauss_independent,
     "gauss_scaled": lambda p, s: gauss_independent(p, s, scaled=True),
     "gauss_full": lambda p, s: gauss_factors(p, s, full=True),
@@ -345,6 +525,8 @@ MODELS: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {
 FITTED: dict[str, tuple[Callable[[DataFrame, Settings], dict[str, DataFrame]], Callable[..., DataFrame]]] = {
     "nb_series": (nb_series_fit, nb_series_predict),
     "lag_linear": (lag_linear_fit, lag_linear_predict),
+    "lag_recursive": (lag_recursive_fit, lag_recursive_predict),
+    "nb_lagged": (nb_lagged_fit, nb_lagged_predict),
 }
 
 
