@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycast.llm.queries import query, table
-from tallycast.llm.rows import light, row_key
+from tallycast.llm.rows import row_key
 from tallycast.session import materialise
 
 WINDOW = 2  # lines whose hashes the rolling hash covers
@@ -94,14 +94,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """``(ka, kb, a, b, h1, h2, again)`` of every occurrence of each digest that occurs more than once; ``again`` is false
     for the first one, by id and place, and for occurrences that overlap it.
 
-    Digests are counted with map-side combine, so a passage in a third of all documents is one row per task.
+    Digests are counted with map-side combine, so a passage in a third of all documents is one row per task.  What is
+    joined grows with the corpus, so nothing is broadcast: the job has one shape at every size.
     """
     narrow = materialise(chunk_table(docs), "chunks")
     counted = narrow.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    hits = materialise(narrow.join(light(materialise(counted, "repeated")), ["h1", "h2"], "left_semi"), "hits")
+    hits = materialise(narrow.join(counted.hint("merge"), ["h1", "h2"], "left_semi"), "hits")
     place = F.struct("doc_id", "ka", "kb", "a", "b")
     first = hits.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    first = light(materialise(first.select("h1", "h2", *[F.col(f"first.{c}").alias(f"f{c}") for c in ("ka", "kb", "b")]), "first"))
+    first = first.select("h1", "h2", *[F.col(f"first.{c}").alias(f"f{c}") for c in ("ka", "kb", "b")]).hint("merge")
     apart = (F.col("fka") != F.col("ka")) | (F.col("fkb") != F.col("kb")) | (F.col("a") >= F.col("fb"))
     return materialise(hits.join(first, ["h1", "h2"]).select("ka", "kb", "a", "b", "h1", "h2", apart.alias("again")), "occurrences")
 
@@ -109,8 +110,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def with_chunks(docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """``(doc_id, text, chunks)``, the documents with their repeated chunks (null: none), written: texts are shuffled once."""
     chunks = occurrences.distinct().groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b", "h1", "h2", "again")).alias("chunks"))
-    chunks = light(materialise(chunks, "wanted"))
-    return materialise(docs.select("doc_id", "text", *row_key()).join(chunks, ["ka", "kb"], "left").select("doc_id", "text", "chunks"), "documents")
+    return materialise(docs.select("doc_id", "text", *row_key()).join(chunks.hint("merge"), ["ka", "kb"], "left").select("doc_id", "text", "chunks"), "documents")
 
 
 def _compared(rows: DataFrame, members: bool = False) -> DataFrame:

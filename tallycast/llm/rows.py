@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
 
-LIGHT_BYTES = 32 << 20  # of a written table in memory, counted, up to which it is broadcast
 SMALL_ROWS = 250_000  # rows of a narrow side (some 100 bytes each in memory) up to which it is broadcast
 
 
@@ -19,15 +17,3 @@ def small(df: DataFrame) -> DataFrame:
     """Broadcast a narrow table if it is counted to be small; else the join decides."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
-
-def light(df: DataFrame) -> DataFrame:
-    """Broadcast a written table of numbers and arrays of them if its counted bytes are few; else the join decides."""
-
-    def fixed(kind: DataType) -> int:
-        return sum(fixed(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else 16
-
-    held = F.lit(48 + sum(fixed(f.dataType) for f in df.schema))
-    for f in df.schema:
-        if isinstance(f.dataType, ArrayType):
-            held = held + F.coalesce(F.size(f.name), F.lit(0)) * fixed(f.dataType.elementType)
-    return F.broadcast(df) if (df.agg(F.sum(held.cast("bigint"))).first()[0] or 0) <= LIGHT_BYTES else df

@@ -76,13 +76,21 @@ def test_query_equals_brute_force_on_given_documents(spark):
     assert got(L.op9(spark, folder)) == brute(docs)
 
 
-def test_sides_beyond_the_byte_limit_are_joined_without_broadcast(spark, monkeypatch):
-    from tallycast.llm import rows
-
-    folder = "/root/testdata/sf0.001"
-    want = got(L.op9(spark, folder))
-    monkeypatch.setattr(rows, "LIGHT_BYTES", 0)
-    assert got(L.op9(spark, folder)) == want
+def test_nothing_is_broadcast(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plans = []
+    own = L.materialise
+
+    def kept(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, name)
+
+    L.materialise = kept
+    try:
+        L.dedup_lines(docs).count()
+    finally:
+        L.materialise = own
+    assert len(plans) >= 5 and not any("Broadcast" in p for p in plans)
 
 
 def test_every_removed_line_stands_earlier(spark):
