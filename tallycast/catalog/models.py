@@ -162,6 +162,23 @@ def joint_loss(spark, d):
     return rounded(scored.agg((-F.avg(joint)).alias("loss"), F.count("*").alias("n")), "loss")
 
 
+def _dm_loss(spark, d, alphas):
+    cells = materialise(_cells(spark, d))
+    rows = cells.join(alphas(cells), ["sid", "slot"])
+    step = rows.groupBy("ts", "slot").agg(
+        F.sum("y").alias("total"), F.sum("alpha").alias("_a"), F.sum(D.dm_item_term(F.col("y"), F.col("alpha"))).alias("_items"))
+    scored = step.filter("total > 0").withColumn("ll", D.dm_total_term(F.col("total"), F.col("_a")) + F.col("_items"))
+    return scored.groupBy("slot").agg(F.sum("ll").alias("ll"))
+
+
+@query("dirichlet_likelihood", f"WITH {P15}, {SQL_DM} SELECT slot, TRUE AS as_likely, {rd('sum(loglik)', 4)} AS by_moments FROM dm WHERE total > 0 GROUP BY slot")
+def dirichlet_likelihood(spark, d):
+    """Per slot, the log-likelihood of the splits by moments, and whether maximum likelihood reaches at least that."""
+    moments = _dm_loss(spark, d, M.dirichlet_moments).withColumnRenamed("ll", "by_moments")
+    best = _dm_loss(spark, d, M.dirichlet_likelihood)
+    return rounded(moments.join(best, "slot").select("slot", (F.col("ll") >= F.col("by_moments") - 1e-6).alias("as_likely"), "by_moments"), "by_moments", digits=4)
+
+
 @query("gaussian_loglik", f"""WITH {P15}, c AS (SELECT *, hour(ts) AS slot, min(CASE WHEN v IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY ts) AS seen FROM panel),
 g AS (SELECT sid, slot, avg(v) AS mu, stddev_samp(v) AS sd FROM c GROUP BY 1, 2)
 SELECT c.sid, {rd('sum(CASE WHEN seen = 1 THEN -0.5 * ((v - mu) / sd) * ((v - mu) / sd) - ln(sd) - 0.5 * ln(2 * pi()) ELSE 0.0 END) / nullif(sum(seen), 0)')} AS loglik,

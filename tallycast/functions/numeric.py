@@ -130,6 +130,21 @@ def trigamma(x: Column) -> Column:
     return value
 
 
+def digamma_rise(y: Column, a: Column) -> Column:
+    """digamma(a + y) - digamma(a), from differences of the series' terms where ``a`` is large, so that nothing cancels."""
+    b = a + y
+    wide = F.log1p(y / a) + y / (a * b) * (0.5 + (a + b) / (a * b) * (1 / 12 - (1.0 / (a * a) + 1.0 / (b * b)) / 120))
+    return F.when(a >= 20.0, wide).otherwise(digamma(b) - digamma(a))
+
+
+def trigamma_rise(y: Column, a: Column) -> Column:
+    """trigamma(a + y) - trigamma(a), written like :func:`digamma_rise`; at most 0."""
+    b = a + y
+    cubes = 1.0 / (a * a) + 1.0 / (a * b) + 1.0 / (b * b)
+    wide = -(y / (a * b)) * (1.0 + 0.5 * (1.0 / a + 1.0 / b) + cubes / 6)
+    return F.when(a >= 1000.0, wide).otherwise(trigamma(b) - trigamma(a))
+
+
 def norm_cdf(x: Column) -> Column:
     """Standard normal distribution function, about 1e-15 accurate."""
     a = F.abs(x)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.functions.distributions import nb_shape
-from tallycast.functions.numeric import digamma, hash_normal, safe_div, trigamma
+from tallycast.functions.numeric import digamma, digamma_rise, hash_normal, safe_div, trigamma, trigamma_rise
 from tallycast.operators.covariance import factor_model
 from tallycast.operators.draws import dm_split, factor_noise, nb_samples, with_step_normals
 from tallycast.operators.instances import MINIMUM_SCALE, check_lags, lag_features
@@ -160,6 +160,48 @@ def dirichlet_moments(panel: DataFrame, cells: DataFrame | None = None) -> DataF
     return filled.select("slot", "sid", F.coalesce("alpha", "_whole", F.lit(1.0)).alias("alpha"))
 
 
+DIRICHLET_ROUNDS = 40
+DIRICHLET_TOLERANCE = 1e-7
+DIRICHLET_FLAT = 1e9  # total concentration from which the derivatives are rounding: the multinomial limit, left as it is
+
+
+def dirichlet_likelihood(panel: DataFrame, rounds: int = DIRICHLET_ROUNDS, tolerance: float = DIRICHLET_TOLERANCE) -> DataFrame:
+    """Concentrations ``(slot, sid, alpha)`` that make the splits of the panel's totals likeliest, slot by slot.
+
+    Newton's method from the moment estimate: the second derivatives of the Dirichlet-multinomial log-likelihood are a
+    diagonal and a constant, so a round needs grouped sums by series and by slot only, of how often each count and
+    each total occurs.  A step stays within a factor of 4; an ``alpha`` between ``ALPHA_FLOOR`` and
+    ``ALPHA_TOTAL_LIMIT``.  Slots without a total have no rows; a series without a count in a slot falls to the floor;
+    shares that do not vary drive the whole slot beyond ``DIRICHLET_FLAT``, where it stays.
+    It ends when no ``alpha`` moves by more than ``tolerance`` of itself.
+    """
+    seen = with_total(panel).filter("total > 0")
+    items = materialise(seen.groupBy("slot", "sid", "y").agg(F.count("*").alias("c")), "counts")
+    totals_ = materialise(seen.select("slot", "idx", "total").distinct().groupBy("slot", "total").agg(F.count("*").alias("c")), "totals")
+    slots = totals_.select("slot").distinct()
+    alpha = materialise(dirichlet_moments(panel).join(slots, "slot", "left_semi"), "alpha")
+    for _ in range(rounds):
+        whole = alpha.groupBy("slot").agg(F.sum("alpha").alias("_a"))
+        by_slot = totals_.join(whole, "slot").groupBy("slot", "_a").agg(
+            F.sum(F.col("c") * digamma_rise(F.col("total"), F.col("_a"))).alias("_g0"), F.sum(-F.col("c") * trigamma_rise(F.col("total"), F.col("_a"))).alias("_z"))
+        by_item = items.join(alpha, ["slot", "sid"]).groupBy("slot", "sid", "alpha").agg(
+            F.sum(F.col("c") * digamma_rise(F.col("y"), F.col("alpha"))).alias("_g1"), F.sum(F.col("c") * trigamma_rise(F.col("y"), F.col("alpha"))).alias("_q"))
+        both = materialise(by_item.join(by_slot, "slot").withColumn("_g", F.col("_g1") - F.col("_g0")), "slopes")
+        # a series without counts bends by 0: it only ever falls, to the floor
+        bent = both.filter("_q < 0").groupBy("slot").agg(
+            (F.sum(F.col("_g") / F.col("_q")) / (1.0 / F.first("_z") + F.sum(1.0 / F.col("_q")))).alias("_b"))
+        moved = F.when(F.col("_q") < 0, F.col("alpha") - (F.col("_g") - F.coalesce("_b", F.lit(0.0))) / F.col("_q")).otherwise(0.0)
+        near = F.when(F.col("_a") >= DIRICHLET_FLAT, F.col("alpha")).otherwise(F.least(F.greatest(moved, F.col("alpha") / 4), F.col("alpha") * 4))
+        step = both.join(bent, "slot", "left").select(
+            "slot", "sid", F.col("alpha").alias("_old"), F.least(F.greatest(near, F.lit(ALPHA_FLOOR)), F.lit(ALPHA_TOTAL_LIMIT)).alias("alpha"))
+        step = materialise(step, "alpha")
+        change = step.agg(F.max(F.abs(F.col("alpha") / F.col("_old") - 1.0))).first()[0]
+        alpha = step.drop("_old")
+        if change is None or change < tolerance:
+            break
+    return alpha
+
+
 # --- forecasters --------------------------------------------------------------------------------
 
 

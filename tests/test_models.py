@@ -122,3 +122,38 @@ def test_tiles_multiply_as_matrices(spark):
     back = {r.code: r.q for r in tiles.rows_of(tiles.times(t, ahead, 3, "rows"), 3).collect()}
     assert np.allclose([back[i] for i in range(290)], x.T @ x @ q) and np.allclose(tiles.inner_products(basis, 3), q.T @ q)
     assert not tiles.inner_products(basis.filter("false"), 3).any()
+
+
+@pytest.mark.parametrize("a, y", [(0.3, 2.0), (19.0, 5.0), (25.0, 40.0), (999.0, 3.0), (2000.0, 7.0), (1e9, 12.0), (5.0, 0.0)])
+def test_rises_of_the_derivatives_equal_their_sums(spark, a, y):
+    first, second = spark.range(1).select(N.digamma_rise(F.lit(y), F.lit(a)), N.trigamma_rise(F.lit(y), F.lit(a))).first()
+    j = a + np.arange(int(y))
+    assert first == pytest.approx((1 / j).sum(), rel=1e-7, abs=1e-18) and second == pytest.approx(-(1 / j**2).sum(), rel=1e-5, abs=1e-24)
+
+
+def test_concentrations_by_likelihood(spark):
+    rng = np.random.default_rng(7)
+    truth = {0: np.array([2.0, 3.0, 0.5]), 1: np.array([40.0, 10.0, 25.0])}
+    frames = []
+    for slot, alpha in truth.items():
+        counts = np.array([rng.multinomial(rng.integers(0, 60), p) for p in rng.dirichlet(alpha, 3000)])
+        frames.append(pd.DataFrame({"slot": slot, "idx": np.repeat(np.arange(3000) + 3000 * slot, 3), "sid": ["a", "b", "c"] * 3000, "y": counts.ravel().astype(float)}))
+    panel = spark.createDataFrame(pd.concat(frames)).withColumn("ts", F.timestamp_seconds(F.col("idx") * 900))
+    got = {(r.slot, r.sid): r.alpha for r in M.dirichlet_likelihood(panel).collect()}
+    for slot, alpha in truth.items():
+        assert [got[slot, s] for s in "abc"] == pytest.approx(alpha, rel=0.1)
+    # the likelihood is flat there: the fixed point of the derivatives
+    frame = pd.concat(frames)
+    wide = frame[frame.slot == 0].pivot(index="idx", columns="sid", values="y").to_numpy()
+    wide = wide[wide.sum(1) > 0]
+    a = np.array([got[0, s] for s in "abc"])
+    rise = lambda n, x: sum((1 / (x + np.arange(int(v)))).sum() for v in n)
+    assert all(abs(rise(wide[:, k], a[k]) - rise(wide.sum(1), a.sum())) < 1e-3 for k in range(3))
+
+
+def test_concentrations_of_odd_panels(spark):
+    flat = make_panel(spark, {"a": [6.0] * 50, "b": [3.0] * 50, "c": [0.0] * 50}).withColumn("slot", F.lit(0))
+    got = {r.sid: r.alpha for r in M.dirichlet_likelihood(flat).collect()}
+    assert got["c"] == M.ALPHA_FLOOR and got["a"] / got["b"] == pytest.approx(2.0, rel=1e-3) and got["a"] > 1e4
+    empty = make_panel(spark, {"a": [0.0] * 5}).withColumn("slot", F.lit(0))
+    assert M.dirichlet_likelihood(empty).count() == 0
