@@ -28,7 +28,7 @@ SHARD = 1 << 21  # tokens that are trained on one after another
 BLOCK = 1 << 16  # tokens that are shuffled among each other
 BATCH, STEPS = 8192, 256  # tokens of a step at most; fewer where the corpus has no tokens for so many steps
 RATE = 0.3
-SLICE = 4096  # tokens of one numpy call
+SLICE = 16_384  # tokens of one numpy call
 PARTS = 32  # in which weights are averaged
 
 
