@@ -264,14 +264,21 @@ class Aligner:
         first = key[1:2] if key[:1] == "\n" and "\n" in self.leads else key[:1]
         return first != "" and not first.isspace() and not key[-1].isspace()
 
-    def split(self, text: str) -> list[str]:
-        """Keys of the units between cuts of a text with a space before it: a unit without that space, or from its newline on."""
+    def split(self, text: str, new: set[str]) -> list[str]:
+        """Keys of the units between cuts of a text with a space before it: a unit without that space, or from its newline on.
+
+        Those that the cache does not hold are added to ``new``.
+        """
         if self.leads:
             keys = (text.replace("\n", " \n") if "\n" in self.leads else text).split(" ")
-            if keys[0][:1] != "\n" and all(k in self.cache or self.plain(k) for k in keys):  # cached keys are plain
+            unknown = [k for k in set(keys) if k not in self.cache]
+            if keys[0][:1] != "\n" and all(map(self.plain, unknown)):  # cached keys are plain
+                new.update(unknown)
                 return keys
         whole = self.boundary.split(" " + text)
-        return [u[1:] if u[0] == " " and u[1:] and not u[1].isspace() else u for u in whole]
+        keys = [u[1:] if u[0] == " " and u[1:] and not u[1].isspace() else u for u in whole]
+        new.update(k for k in keys if k not in self.cache)
+        return keys
 
     def laid_out(self, stretches: list[str]) -> list[tuple[bytes, bytes]] | None:
         """A and B ids, as 32-bit integers, of stretches between cuts, encoded as one text; None if it does not give its bytes back."""
@@ -293,13 +300,13 @@ class Aligner:
             out.append([whole[i:j] for i, j in zip(bounds, bounds[1:])])
         return list(zip(*out))
 
-    def units(self, split: list[list[str]]) -> dict[str, tuple[bytes, ...]]:
-        """A and B ids, as 32-bit integers, of the units of some texts that the cache does not hold, after filling it.
+    def units(self, new: set[str]) -> dict[str, tuple[bytes, ...]]:
+        """Encode new units into the cache; returns A and B ids, as 32-bit integers, of those that it does not take.
 
-        No ids stand for a unit whose tokens do not give its bytes.  Frequent units come early and are kept.
+        No ids stand for a unit whose tokens do not give its bytes, which is never cached.  Frequent units come early
+        and are kept.
         """
-        new, beyond = [k for k in set().union(*split) if k not in self.cache], {}
-        found, odd = {}, new
+        found, odd, beyond = {}, list(new), {}
         if self.leads:
             plain = [k for k in new if self.plain(k)]
             ids = self.laid_out([k if k[0] == "\n" else " " + k for k in plain]) if plain else []
@@ -307,24 +314,33 @@ class Aligner:
                 found, odd = dict(zip(plain, ids)), [k for k in new if not self.plain(k)]
         for k, ids in zip(odd, self.encode([k if k[0] in " \n" else " " + k for k in odd]) if odd else ()):
             raw = () if ids is None else (array("i", ids[0]).tobytes(), array("i", ids[1]).tobytes())
-            (found if self.leads and self.plain(k) else beyond)[k] = raw
+            (found if raw and self.leads and self.plain(k) else beyond)[k] = raw
         for k, raw in found.items():
             (self.cache if len(self.cache) < CACHED_UNITS and len(k) <= CACHED_LENGTH else beyond)[k] = raw
         return beyond
 
+    def ids(self, keys: list[str], beyond: dict[str, tuple[bytes, ...]]) -> tuple[bytes, bytes] | None:
+        """All A and all B ids of a text's units; None with a unit that has none."""
+        found = list(map(self.cache.get, keys))
+        if None in found:
+            found = [beyond[u] if f is None else f for u, f in zip(keys, found)]
+            if () in found:
+                return None
+        a, b = zip(*found)
+        return b"".join(a), b"".join(b)
+
     def documents(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of whole texts: numbers by name (zeros if a unit's tokens do not give its bytes), digests of the groups, and ``(place, pair, times)`` of the linked id pairs.
 
         Texts are laid end to end, which is a common end, and aligned in one go.
         """
-        split = [self.split(t) if t else [] for t in texts]
-        beyond, kept, get = self.units(split), [], self.cache.get
+        new: set[str] = set()
+        split = [self.split(t, new) if t else [] for t in texts]
+        beyond, kept = self.units(new), []
         for k, keys in enumerate(split):
-            found = list(map(get, keys))
-            if None in found:
-                found = [beyond[u] if f is None else f for u, f in zip(keys, found)]
-            if found and () not in found:
-                kept.append((k, b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+            found = self.ids(keys, beyond) if keys else None
+            if found is not None:
+                kept.append((k, *found))
         places = np.array([k for k, _, _ in kept], np.int64)
         t = self.tokens(*(np.frombuffer(b"".join([e[side] for e in kept]), "<i4").astype(np.int64) for side in (1, 2)))
         numbers = {c: np.zeros(len(texts), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
@@ -347,11 +363,16 @@ class Aligner:
 
     def fragment(self, stretch: str, low: int, high: int) -> Fragment:
         """The fragment of the bytes ``low`` to ``high`` of a stretch that starts and ends at cuts."""
-        out, (encoded,) = Fragment(), self.encode([stretch])
-        if encoded is None:
+        out, new = Fragment(), set()
+        keys = self.split(stretch[1:], new) if stretch[0] == " " else None
+        found = self.ids(keys, self.units(new)) if keys else None
+        if found is None and keys is None:  # it starts with a newline
+            (lists,) = self.encode([stretch])
+            found = lists and tuple(np.array(side, "<i4").tobytes() for side in lists)
+        if found is None:
             out.valid = False
         else:
-            out.tokens(self.tokens(*(np.array(side, np.int64) for side in encoded)), low, high, self.names)
+            out.tokens(self.tokens(*(np.frombuffer(side, "<i4").astype(np.int64) for side in found)), low, high, self.names)
         return out
 
     def chunks(self, text: str) -> list[tuple[str, int, int]] | None:
