@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallycast.catalog.registry import PER_DAY, STEP, events, last, panel, props_key, query, rd, rounded, sql_panel, SQL_K
+from tallycast.catalog.registry import PER_DAY, STEP, events, last, panel, props_key, query, rd, rounded, sql_cdf, sql_panel, SQL_K
 from tallycast.operators.panel import series_codes
 from tallycast.plans import backtest as B
 from tallycast.plans import forecast as M
 from tallycast.plans import metrics as E
 from tallycast.plans import sweep as S
-from tallycast.session import materialise
+from tallycast.session import materialise, scratch_path
+from tallycast.sources.writers import write_forecast, write_metrics
 
 P15 = sql_panel()
 START = 24 * PER_DAY
@@ -235,6 +236,27 @@ def metrics_settings(spark, d):
     return rounded(long.withColumn("settings", label), "values")
 
 
+@query("metrics_store", f"""WITH {sql_forecast()}, {sql_items()}, {SQL_AGG}, m AS (SELECT 'MSE' AS metrics, {rd('mse')} AS "values" FROM am UNION ALL
+SELECT 'ND', {rd('abs_error / abs_target_sum')} FROM am UNION ALL SELECT 'CRPS', {rd('crps')} FROM aw)
+SELECT metrics, "values" * f AS "values", model, run_id FROM m, (VALUES ('seasonal', 'a', 1.0), ('seasonal', 'b', 2.0), ('other', 'a', 3.0)) r(model, run_id, f)""")
+def metrics_store(spark, d):
+    """Metrics of several runs in one partitioned table; a run that is stored again replaces its own rows only."""
+    path = scratch_path(spark, "metrics")
+    found = materialise(rounded(E.metrics_long(overall(spark, d), names=["MSE", "ND", "CRPS"]), "values"))
+    for model, run_id, times in (("seasonal", "a", 7.0), ("seasonal", "b", 2.0), ("other", "a", 3.0), ("seasonal", "a", 1.0)):
+        write_metrics(found.withColumn("values", F.col("values") * times), path, model, run_id)
+    return spark.read.parquet(path)
+
+
+@query("forecast_dump", f"WITH {sql_forecast()} SELECT sid, origin, h, ts, y, CAST(generate_subscripts(samples, 1) - 1 AS INTEGER) AS sample_id, unnest(samples) AS y_hat, CAST(roll AS INTEGER) AS roll FROM fc WHERE roll < 2")
+def forecast_dump(spark, d):
+    """Forecasts with their targets written by window; two windows are read back from their folders."""
+    path = scratch_path(spark, "forecast")
+    write_forecast(forecast(spark, d), path)
+    rows = spark.read.parquet(path).filter("roll < 2")
+    return rows.select("sid", "origin", "h", "ts", "y", F.posexplode("samples").alias("sample_id", "y_hat"), F.col("roll").cast("int").alias("roll"))
+
+
 def _sql_bands(levels, source="fc") -> str:
     return f"so AS (SELECT *, list_sort(samples) AS o FROM {source}) SELECT sid, roll, h, ts, y, " + ", ".join(
         f"{sql_q(q)} AS p{round(q * 100):02d}" for q in levels) + " FROM so"
@@ -292,26 +314,59 @@ def param_grid(spark, d):
     return rounded(out, "mse", "nd", "crps")
 
 
-MODEL_NAMES = ["nb_share", "gauss_scaled"]
+CONTEXTS, RANKS = (PER_DAY, 2 * PER_DAY, 4 * PER_DAY), (0, 5)  # independent series, and the whole covariance of the five
+
+
+def sql_crps(y: str, mean: str, sd: str) -> str:
+    z = f"(({y} - {mean}) / {sd})"
+    return (f"CASE WHEN {sd} > 0 THEN {sd} * ({z} * (2.0 * {sql_cdf(f'greatest(least({z}, 6.9), -6.9)')} - 1.0) + 2.0 * exp(-0.5 * {z} * {z}) / sqrt(2 * pi()) - 1.0 / sqrt(pi()))"
+            f" ELSE abs({y} - {mean}) END")
+
+
+@query("model_sweep", f"""WITH {sql_forecast()}, cells AS (SELECT *, CAST(hour(ts) AS INTEGER) AS slot FROM panel),
+  tr AS (SELECT * FROM cells WHERE idx < (SELECT min(origin) FROM rolls)), g AS (SELECT sid, slot, avg(y) AS mu FROM tr GROUP BY 1, 2),
+  lv AS (SELECT sid, greatest(avg(abs(y)), 1e-10) AS level FROM tr GROUP BY 1), res AS (SELECT tr.sid, tr.idx, tr.y - g.mu AS e FROM tr JOIN g ON g.sid = tr.sid AND g.slot = tr.slot),
+  cv AS (SELECT a.sid AS sa, b.sid AS sb, covar_samp(a.e, b.e) AS c FROM res a JOIN res b ON a.idx = b.idx GROUP BY 1, 2),
+  sc AS (SELECT p.sid, r.roll, k.context, greatest(avg(abs(p.y)), 1e-10) AS scale FROM panel p, rolls r, (SELECT unnest([{", ".join(map(str, CONTEXTS))}]) AS context) k
+    WHERE p.idx >= r.origin - k.context AND p.idx < r.origin GROUP BY 1, 2, 3),
+  fr2 AS (SELECT fr.sid, fr.roll, fr.origin, fr.h, fr.y, sc.context, g.mu * sc.scale / lv.level AS m, sc.scale / lv.level AS f
+    FROM fr JOIN g ON g.sid = fr.sid AND g.slot = hour(fr.ts) JOIN lv ON lv.sid = fr.sid JOIN sc ON sc.sid = fr.sid AND sc.roll = fr.roll),
+  mar AS (SELECT x.context, avg({sql_crps('x.y', 'x.m', '(sqrt(c.c) * x.f)')}) AS crps, count(*) AS n FROM fr2 x JOIN cv c ON c.sa = x.sid AND c.sb = x.sid GROUP BY 1),
+  pairs AS (SELECT a.context, a.roll, a.origin, a.h, CASE WHEN a.sid = b.sid THEN 1 ELSE 0 END AS own, a.f * b.f * c.c AS v FROM fr2 a JOIN fr2 b ON b.context = a.context AND b.roll = a.roll AND b.h = a.h
+    JOIN cv c ON c.sa = a.sid AND c.sb = b.sid),
+  vs AS (SELECT context, roll, origin, h, sum(v) AS all_, sum(v * own) AS own FROM pairs GROUP BY 1, 2, 3, 4),
+  tot AS (SELECT context, roll, origin, h, sum(y) AS y, sum(m) AS m FROM fr2 GROUP BY 1, 2, 3, 4),
+  sm AS (SELECT t.context, r.rank, t.y, t.m, sqrt(greatest(CASE WHEN r.rank = 0 THEN vs.own ELSE vs.all_ END, 0.0)) AS sd FROM tot t
+    JOIN vs ON vs.context = t.context AND vs.roll = t.roll AND vs.h = t.h, (SELECT unnest([{", ".join(map(str, RANKS))}]) AS rank) r)
+SELECT CAST(sm.context AS INTEGER) AS context, CAST(sm.rank AS INTEGER) AS rank, {rd('any_value(mar.crps)')} AS crps, {rd(f'avg({sql_crps("sm.y", "sm.m", "sm.sd")})')} AS sum_crps,
+ CAST(any_value(mar.n) AS BIGINT) AS n, count(*) AS n_sum FROM sm JOIN mar ON mar.context = sm.context GROUP BY sm.context, sm.rank""")
+def model_sweep(spark, d):
+    """Context length and rank as axes of one plan: the scores change with both."""
+    s = M.Settings(rolling=SPEC, last=int(spark.range(1).select(last(spark, d)).first()[0]))
+    return rounded(S.gaussian_sweep(materialise(panel(spark, d)), s, CONTEXTS, RANKS), "crps", "sum_crps")
+
+
+MODEL_NAMES = ["gauss_scaled", "gauss_lowrank_scaled"]
+
+
+RUN_RANKS = (2, 5)
 
 
 def _runs(spark, d):
-    """Every series under every model, cell pair, dropout and repetition."""
+    """Every series under every model, context length, rank and repetition: settings that change the forecasts."""
     series = events(spark, d).select(F.col("event_type").alias("sid")).distinct()
-    return S.repeated(S.with_grid(S.with_cell_pairs(series), dropout=list(S.DROPOUTS), model=MODEL_NAMES))
+    return S.repeated(S.with_grid(series, context=list(CONTEXTS), rank=list(RUN_RANKS), model=MODEL_NAMES))
 
 
-SQL_RUNS = f"""runs AS (SELECT sid, CAST(c1 AS INTEGER) AS cells1, CAST(c2 AS INTEGER) AS cells2, dropout, model, CAST(rep AS INTEGER) AS rep FROM (SELECT DISTINCT event_type AS sid FROM events),
- (VALUES {", ".join(f"({a}, {b})" for a, b in S.CELL_PAIRS)}) p(c1, c2), (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE]) AS dropout), (SELECT unnest(['nb_share', 'gauss_scaled']) AS model), range(6) r(rep))"""
-SQL_LABEL = """CASE WHEN model = 'nb_share' THEN 'cells1=' || CAST(cells1 AS VARCHAR) || ';cells2=' || CAST(cells2 AS VARCHAR) || ';' ELSE '' END ||
- 'dropout=' || CAST(dropout AS VARCHAR) || ';model=' || model || ';rep=' || CAST(rep AS VARCHAR)"""
+SQL_RUNS = f"""runs AS (SELECT sid, CAST(context AS INTEGER) AS context, CAST(rank AS INTEGER) AS rank, model, CAST(rep AS INTEGER) AS rep FROM (SELECT DISTINCT event_type AS sid FROM events),
+ (SELECT unnest([{", ".join(map(str, CONTEXTS))}]) AS context), (SELECT unnest([{", ".join(map(str, RUN_RANKS))}]) AS rank), (SELECT unnest({MODEL_NAMES}) AS model), range(6) r(rep))"""
+SQL_LABEL = """'context=' || CAST(context AS VARCHAR) || ';model=' || model || CASE WHEN model = 'gauss_lowrank_scaled' THEN ';rank=' || CAST(rank AS VARCHAR) ELSE '' END ||
+ ';rep=' || CAST(rep AS VARCHAR)"""
 
 
 def _label():
-    pair = F.col("model") == "nb_share"  # only this model has two cell counts
-    return S.run_label(
-        model=F.col("model"), rep=F.col("rep"), dropout=F.col("dropout"), cells1=F.when(pair, F.col("cells1")), cells2=F.when(pair, F.col("cells2"))
-    )
+    factors = F.col("model") == "gauss_lowrank_scaled"  # only this model has a rank
+    return S.run_label(model=F.col("model"), rep=F.col("rep"), context=F.col("context"), rank=F.when(factors, F.col("rank")))
 
 
 @query("run_labels", f"WITH {SQL_RUNS} SELECT sid, model, rep, {SQL_LABEL} AS label, count(*) AS n FROM runs GROUP BY 1, 2, 3, 4")
@@ -319,15 +374,15 @@ def run_labels(spark, d):
     return _runs(spark, d).withColumn("label", _label()).groupBy("sid", "model", "rep", "label").agg(F.count("*").alias("n"))
 
 
-@query("pending_runs", f"""WITH {SQL_RUNS}, done AS (SELECT DISTINCT event_type AS sid, CAST(user_id % 6 AS INTEGER) AS rep, CASE WHEN {SQL_K} % 2 = 0 THEN 0.05::DOUBLE ELSE 0.1::DOUBLE END AS dropout
+@query("pending_runs", f"""WITH {SQL_RUNS}, done AS (SELECT DISTINCT event_type AS sid, CAST(user_id % 6 AS INTEGER) AS rep, CASE WHEN {SQL_K} % 2 = 0 THEN {RUN_RANKS[0]} ELSE {RUN_RANKS[1]} END AS rank
   FROM events WHERE {SQL_K} >= 99)
-SELECT sid, cells1, cells2, dropout, model, rep FROM runs WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.sid = runs.sid AND d.rep = runs.rep AND d.dropout = runs.dropout)""")
+SELECT sid, context, rank, model, rep FROM runs WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.sid = runs.sid AND d.rep = runs.rep AND d.rank = runs.rank)""")
 def pending_runs(spark, d):
     """Runs without a stored result; the stored ones are read off the events."""
     k = props_key()
     done = events(spark, d).filter(k >= 99).select(
-        F.col("event_type").alias("sid"), (F.col("user_id") % 6).cast("int").alias("rep"), F.when(k % 2 == 0, 0.05).otherwise(0.1).alias("dropout"))
-    return S.pending(_runs(spark, d), done, ["sid", "rep", "dropout"])
+        F.col("event_type").alias("sid"), (F.col("user_id") % 6).cast("int").alias("rep"), F.when(k % 2 == 0, RUN_RANKS[0]).otherwise(RUN_RANKS[1]).alias("rank"))
+    return S.pending(_runs(spark, d), done, ["sid", "rep", "rank"])
 
 
 @query("stacked_results", f"""WITH {sql_forecast()}, {sql_items()} SELECT sid AS run, roll, 'item' AS source, {rd('mse')} AS mse FROM im UNION ALL

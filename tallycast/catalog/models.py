@@ -556,6 +556,16 @@ def nb_share_paths(spark, d):
     return _paths("nb_share")(spark, d)
 
 
+@query("saved_share_paths", ORACLES["nb_share_paths"])
+def saved_share_paths(spark, d):
+    """The headline model's forecast from tables that were fitted, saved and loaded."""
+    p, s, path = materialise(panel(spark, d)), settings(spark, d), scratch_path(spark, "model")
+    fit, predict = M.FITTED["nb_share"]
+    tables = fit(p, s)
+    save_parameters(tables, path)
+    return M.explode_samples(predict(p, load_parameters(spark, path, list(tables)), s))
+
+
 @query("lag_regression", f"""WITH {P15}, l AS (SELECT y, lag(y, 96) OVER (PARTITION BY sid ORDER BY idx) AS x FROM panel)
 SELECT 'intercept' AS term, {rd('regr_intercept(y, x)')} AS coefficient FROM l UNION ALL SELECT 'lag_96', {rd('regr_slope(y, x)')} FROM l""")
 def lag_regression(spark, d):

@@ -13,8 +13,10 @@ from tallycast.operators import panel as P
 from tallycast.operators.covariates import replicate_over_series, stack
 from tallycast.operators.instances import mean_scale, violations
 from tallycast.session import scratch_path
-from tallycast.sources.readers import delimited, table
+from tallycast.sources import schemas
+from tallycast.sources.readers import delimited, school_calendar, table, weather, wide_counts
 from tallycast.sources.writers import write_csv, write_panel
+from tallycast.streaming.scores import score_buckets
 
 P15 = sql_panel()
 
@@ -90,6 +92,48 @@ def csv_file_scan(spark, d):
     return rounded(delimited(spark, path, schema, ";", ["event_id", "event_type", "value", "time"]), "value", digits=4)
 
 
+@query("weather_file_scan", f"""SELECT strftime(time_bucket(INTERVAL '60 minutes', ts), '%Y-%m-%d') AS date, CAST(hour(time_bucket(INTERVAL '60 minutes', ts)) AS INTEGER) AS hrr,
+{rd('avg(value)')} AS temp, {rd('max(value)')} AS precip FROM events GROUP BY time_bucket(INTERVAL '60 minutes', ts)""")
+def weather_file_scan(spark, d):
+    """Hourly readings written with month-first dates and an index column, read back with ISO dates."""
+    path = scratch_path(spark, "weather")
+    hourly = events(spark, d).groupBy(P.bucket_start(F.col("ts"), 60).alias("b")).agg(F.avg("value").alias("temp"), F.max("value").alias("precip"))
+    rows = hourly.select(F.lit(0).alias("row"), F.date_format("b", "M/d/yyyy").alias("date"), F.hour("b").alias("hrr"), "temp", "precip")
+    write_csv(rows, path)
+    return rounded(weather(spark, path, schemas.WEATHER_HOURLY), "temp", "precip")
+
+
+@query("wide_counts_scan", f"WITH {P15} SELECT ts, sid, y FROM panel")
+def wide_counts_scan(spark, d):
+    """A wide count file with text times as its index, read as a long panel."""
+    path, names = scratch_path(spark, "wide"), ["click", "error", "purchase", "signup", "view"]
+    wide = P.to_wide(panel(spark, d), names).select(F.date_format("ts", "MM/dd/yyyy HH:mm").alias("row"), *[F.when(F.col(n) > 0, F.col(n)).alias(n) for n in names])
+    write_csv(wide, path)
+    return wide_counts(spark, path, schemas.wide_counts(names), names, "MM/dd/yyyy HH:mm")
+
+
+@query("calendar_file_scan", """SELECT event_type AS zone, strftime(min(ts), '%Y') || '-' || strftime(max(ts), '%Y') AS school_year, strftime(min(ts), '%Y-%m-%d') AS date_from, strftime(max(ts), '%Y-%m-%d') AS date_to
+FROM events GROUP BY event_type, user_id""")
+def calendar_file_scan(spark, d):
+    """Periods in a semicolon file with times behind the dates; the dates count."""
+    path = scratch_path(spark, "calendar")
+    spans = events(spark, d).groupBy("event_type", "user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    years = F.concat_ws("-", F.year("a").cast("string"), F.year("b").cast("string"))
+    rows = spans.select(F.col("event_type").alias("zone"), F.lit("-").alias("population"), years.alias("school_year"), text("a").alias("date_from"), text("b").alias("date_to"))
+    write_csv(rows, path, ";")
+    found = school_calendar(spark, path, schemas.SCHOOL_CALENDAR)
+    return found.select("zone", "school_year", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("date_from", "date_to")])
+
+
+@query("bucket_scores", f"""WITH b AS (SELECT CAST(event_type AS VARCHAR) AS sid, time_bucket(INTERVAL '15 minutes', ts) AS ts, CAST(count(*) AS DOUBLE) AS y FROM events GROUP BY 1, 2)
+SELECT sid, ts, y, count(*) OVER w AS seen, {rd('avg(y) OVER w')} AS mean, {rd('(y - avg(y) OVER w) / CASE WHEN stddev_samp(y) OVER w > 1e-12 THEN stddev_samp(y) OVER w END')} AS z
+FROM b WINDOW w AS (PARTITION BY sid, hour(ts) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def bucket_scores(spark, d):
+    """Each bucket against the earlier ones of its series and hour: the batch form of the stream's scores."""
+    return rounded(score_buckets(P.bucket_counts(events(spark, d), "event_type", minutes=STEP), "n"), "mean", "z")
+
+
 @query("panel_file_scan", f"WITH {P15} SELECT sid, ts, idx, y FROM panel WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
 def panel_file_scan(spark, d):
     """A panel written by day; the scan of two days reads their folders only."""

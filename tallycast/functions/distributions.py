@@ -77,3 +77,10 @@ def gaussian_logpdf(y: Column, mean: Column, sd: Column) -> Column:
 
 def gaussian_cdf(y: Column, mean: Column, sd: Column) -> Column:
     return norm_cdf((y - mean) / sd)
+
+
+def gaussian_crps(y: Column, mean: Column, sd: Column) -> Column:
+    """Continuous ranked probability score of a normal forecast; the absolute error for spread 0."""
+    z = (y - mean) / sd
+    score = sd * (z * (2.0 * norm_cdf(z) - 1.0) + 2.0 * F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) - 1.0 / math.sqrt(math.pi))
+    return F.when(sd > 0, score).otherwise(F.abs(y - mean))

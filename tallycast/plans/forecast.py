@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -128,12 +129,11 @@ def with_total(panel: DataFrame) -> DataFrame:
     return panel.join(totals(panel).select("idx", "total"), "idx")
 
 
-def dirichlet_moments(panel: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Concentrations ``(slot, sid, alpha)`` of the panel's cells, or of the distinct ``cells`` (slot, sid), from mean and variance of the series' shares of the total.
+def dirichlet_tables(panel: DataFrame) -> dict[str, DataFrame]:
+    """Concentrations from mean and variance of the series' shares of the total: per slot, and over all slots.
 
     alpha0 = sum m(1-m) / sum v - 1 over the series of a slot, alpha = alpha0 * m, floored so that a series
-    unseen in a slot keeps a positive weight.  Steps with total 0 have no shares and are left out; a cell of a slot
-    with such steps only takes the concentration of all slots together, and 1 where no step has a total.
+    unseen in a slot keeps a positive weight.  Steps with total 0 have no shares and are left out.
     """
     share = with_total(panel).filter("total != 0").withColumn("share", F.col("y") / F.col("total"))
 
@@ -154,12 +154,24 @@ def dirichlet_moments(panel: DataFrame, cells: DataFrame | None = None) -> DataF
         both = moments.join(pooled, list(by)) if by else moments.withColumn("_a", pooled.scalar())
         return both.select(*by, "sid", F.greatest(alpha0 * F.col("m"), F.lit(ALPHA_FLOOR)).alias("alpha"))
 
-    cells = panel.select("slot", "sid").distinct() if cells is None else cells
-    whole = alphas(over_slots).withColumnRenamed("alpha", "_whole")
-    filled = cells.join(alphas(cell, "slot"), ["slot", "sid"], "left").join(whole, "sid", "left")
+    return {"alphas": alphas(cell, "slot"), "series_alphas": alphas(over_slots)}
+
+
+def fill_alphas(cells: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``(slot, sid, alpha)`` of the distinct ``cells`` (slot, sid): the cell's own, the series' over all slots, or 1."""
+    whole = tables["series_alphas"].select("sid", F.col("alpha").alias("_whole"))
+    filled = cells.join(tables["alphas"], ["slot", "sid"], "left").join(whole, "sid", "left")
     return filled.select("slot", "sid", F.coalesce("alpha", "_whole", F.lit(1.0)).alias("alpha"))
 
 
+def dirichlet_moments(panel: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Concentrations ``(slot, sid, alpha)`` of the panel's cells, or of the distinct ``cells`` (slot, sid), by :func:`dirichlet_tables`.
+
+    A cell of a slot without a total takes the concentration of all slots together, and 1 where no step has a total.
+    """
+    return fill_alphas(panel.select("slot", "sid").distinct() if cells is None else cells, dirichlet_tables(panel))
+
+
 DIRICHLET_ROUNDS = 40
 DIRICHLET_TOLERANCE = 1e-7
 DIRICHLET_FLAT = 1e9  # total concentration from which the derivatives are rounding: the multinomial limit, left as it is
@@ -239,20 +251,27 @@ def origin_scale(panel: DataFrame, s: Settings) -> DataFrame:
     return rows.groupBy("sid", "roll").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("scale"))
 
 
-def _level_factor(train: DataFrame, rows: DataFrame, panel: DataFrame, s: Settings) -> DataFrame:
-    """``_f``: how much higher the context before the origin lies than the training rows of the series; 1 without either."""
-    level = train.groupBy("sid").agg(F.greatest(F.avg(F.abs("y")), F.lit(MINIMUM_SCALE)).alias("_level"))
-    scaled = rows.join(level, "sid", "left").join(origin_scale(panel, s), ["sid", "roll"], "left")
-    return scaled.withColumn("_f", F.coalesce(F.col("scale") / F.col("_level"), F.lit(1.0))).drop("scale", "_level")
+def _moment_tables(train: DataFrame, columns: dict[str, Column], value: str = "y") -> dict[str, DataFrame]:
+    """Aggregates per (sid, slot), and per sid with the series' ``level``."""
+    named = [c.alias(k) for k, c in columns.items()]
+    level = F.greatest(F.avg(F.abs(value)), F.lit(MINIMUM_SCALE)).alias("level")
+    return {"cells": train.groupBy("sid", "slot").agg(*named), "series": train.groupBy("sid").agg(*named, level)}
 
 
-def _with_moments(rows: DataFrame, train: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``rows`` with aggregates of their (sid, slot) cell; a missing one is taken over the series, then 0."""
-    cell = train.groupBy("sid", "slot").agg(*[c.alias(k) for k, c in columns.items()])
-    whole = train.groupBy("sid").agg(*[c.alias(f"_whole_{k}") for k, c in columns.items()])
-    joined = rows.join(cell, ["sid", "slot"], "left").join(whole, "sid", "left")
-    filled = joined.withColumns({k: F.coalesce(k, f"_whole_{k}", F.lit(0.0)) for k in columns})
-    return filled.drop(*[f"_whole_{k}" for k in columns])
+def _with_tables(rows: DataFrame, tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """``rows`` with the aggregates of their (sid, slot) cell; a missing one is the series', then 0; and with ``_level``."""
+    whole = tables["series"].select("sid", *[F.col(n).alias(f"_whole_{n}") for n in names], F.col("level").alias("_level"))
+    joined = rows.join(tables["cells"].select("sid", "slot", *names), ["sid", "slot"], "left").join(whole, "sid", "left")
+    filled = joined.withColumns({n: F.coalesce(n, f"_whole_{n}", F.lit(0.0)) for n in names})
+    return filled.drop(*[f"_whole_{n}" for n in names])
+
+
+def _level_factor(rows: DataFrame, panel: DataFrame, s: Settings, scaled: bool) -> DataFrame:
+    """``_f``: how much higher the context before the origin lies than the series' ``_level``; 1 without either or unless ``scaled``."""
+    if not scaled:
+        return rows.withColumn("_f", F.lit(1.0)).drop("_level")
+    joined = rows.join(origin_scale(panel, s), ["sid", "roll"], "left")
+    return joined.withColumn("_f", F.coalesce(F.col("scale") / F.col("_level"), F.lit(1.0))).drop("scale", "_level")
 
 
 def nb_series_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
@@ -391,28 +410,37 @@ def origin_moments(panel: DataFrame, s: Settings, keys: tuple[str, ...] = ("sid"
     return whole.select(*keys, "roll", "n", mean.alias("mu"), F.greatest(spread, F.lit(0.0)).alias("var"))
 
 
-def _origin_cells(panel: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+def nb_refit_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Moments of every origin's history, per (sid, slot) and per sid."""
     cells = with_slot(panel, s.slot_kind, s.minutes)
-    shaped = [origin_moments(cells, s, k).withColumn("shape", nb_shape(F.col("mu"), F.col("var"))) for k in (("sid", "slot"), ("sid",))]
-    return forecast_rows(cells, s.rolling, s.last), *shaped
+    keyed = {"cells": ("sid", "slot"), "series": ("sid",)}
+    return {name: origin_moments(cells, s, k).withColumn("shape", nb_shape(F.col("mu"), F.col("var"))) for name, k in keyed.items()}
+
+
+def nb_refit_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings) -> DataFrame:
+    _, rows = _parts(panel, s)
+    ready = with_cells(rows, tables["cells"], tables["series"], ["sid", "roll"])
+    return _finish(nb_samples(ready, s.samples, s.seed, ["sid", "origin", "h"]), s)
 
 
 def nb_refit(panel: DataFrame, s: Settings) -> DataFrame:
     """:func:`nb_series` whose moments are those of each origin's own history."""
-    rows, cells, whole = _origin_cells(panel, s)
-    ready = with_cells(rows, cells, whole, ["sid", "roll"])
-    return _finish(nb_samples(ready, s.samples, s.seed, ["sid", "origin", "h"]), s)
+    return nb_refit_predict(panel, nb_refit_fit(panel, s), s)
 
 
-def gauss_refit(panel: DataFrame, s: Settings) -> DataFrame:
-    """:func:`gauss_independent` whose moments are those of each origin's own history."""
-    rows, cells, whole = _origin_cells(panel, s)
-    pooled = whole.select("sid", "roll", F.col("mu").alias("_mu"), F.sqrt("var").alias("_sd"))
-    ready = rows.join(cells.select("sid", "slot", "roll", "mu", F.sqrt("var").alias("sd")), ["sid", "slot", "roll"], "left").join(pooled, ["sid", "roll"], "left")
+def gauss_refit_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings) -> DataFrame:
+    _, rows = _parts(panel, s)
+    pooled = tables["series"].select("sid", "roll", F.col("mu").alias("_mu"), F.sqrt("var").alias("_sd"))
+    ready = rows.join(tables["cells"].select("sid", "slot", "roll", "mu", F.sqrt("var").alias("sd")), ["sid", "slot", "roll"], "left").join(pooled, ["sid", "roll"], "left")
     mean, sd = (F.coalesce(c, f"_{c}", F.lit(0.0)) for c in ("mu", "sd"))
     return _finish(ready.withColumn("samples", _normal_array(mean, sd, s)), s)
 
 
+def gauss_refit(panel: DataFrame, s: Settings) -> DataFrame:
+    """:func:`gauss_independent` whose moments are those of each origin's own history."""
+    return gauss_refit_predict(panel, nb_refit_fit(panel, s), s)
+
+
 COUNT_ROUNDS = 60
 LOG_SHAPE_BOUNDS = (-7.0, 14.0)  # beyond the upper one counts are as good as Poisson
 MOST_LOG_MEAN = 30.0
@@ -475,28 +503,47 @@ def nb_lagged(panel: DataFrame, s: Settings) -> DataFrame:
     return nb_lagged_predict(panel, nb_lagged_fit(panel, s), s)
 
 
-def nb_share(panel: DataFrame, s: Settings) -> DataFrame:
-    """Negative binomial for the total, Dirichlet-multinomial split over the series (the headline model)."""
-    train, rows = _parts(panel, s)
-    total_train = with_slot(totals(train), s.slot_kind, s.minutes)
+def nb_share_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Moments of the total per slot and over all, and concentrations of the shares per slot and over all."""
+    train, _ = _parts(panel, s)
+    total = with_slot(totals(train), s.slot_kind, s.minutes)
+    names = ["mu", "shape"]
+    return {"slots": nb_moments(total, ["slot"], "total").select("slot", *names), "whole": nb_moments(total, [], "total").select(*names), **dirichlet_tables(train)}
+
+
+def nb_share_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings) -> DataFrame:
+    _, rows = _parts(panel, s)
     steps = rows.select("roll", "origin", "h", "idx", "slot").distinct()
-    drawn = nb_samples(with_cells(steps, nb_moments(total_train, ["slot"], "total"), nb_moments(total_train, [], "total"), []), s.samples, s.seed, ["origin", "h"], at_least_one=True)
+    drawn = nb_samples(with_cells(steps, tables["slots"], tables["whole"], []), s.samples, s.seed, ["origin", "h"], at_least_one=True)
     totals_drawn = drawn.select("origin", "h", "slot", F.col("samples").alias("counts"))
-    split = dm_split(totals_drawn, dirichlet_moments(train, rows.select("slot", "sid").distinct()), ["origin", "h"], "slot", s.seed)
+    split = dm_split(totals_drawn, fill_alphas(rows.select("slot", "sid").distinct(), tables), ["origin", "h"], "slot", s.seed)
     return _finish(rows.join(split.select("sid", "origin", "h", F.col("counts").alias("samples")), ["sid", "origin", "h"]), s)
 
 
+def nb_share(panel: DataFrame, s: Settings) -> DataFrame:
+    """Negative binomial for the total, Dirichlet-multinomial split over the series (the headline model)."""
+    return nb_share_predict(panel, nb_share_fit(panel, s), s)
+
+
 def _normal_array(mean: Column, sd: Column, s: Settings) -> Column:
     ids = F.sequence(F.lit(0), F.lit(s.samples - 1))
     return F.transform(ids, lambda i: mean + sd * hash_normal(s.seed, F.col("sid"), F.col("origin"), F.col("h"), i))
 
 
+def gauss_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    train, _ = _parts(panel, s)
+    return _moment_tables(train, {"mu": F.avg("y"), "sd": F.stddev_samp("y")})
+
+
+def gauss_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings, scaled: bool = False) -> DataFrame:
+    _, rows = _parts(panel, s)
+    ready = _level_factor(_with_tables(rows, tables, ["mu", "sd"]), panel, s, scaled)
+    return _finish(ready.withColumn("samples", _normal_array(F.col("mu") * F.col("_f"), F.col("sd") * F.col("_f"), s)), s)
+
+
 def gauss_independent(panel: DataFrame, s: Settings, scaled: bool = False) -> DataFrame:
     """Independent normal per series and slot; ``scaled`` follows the level of the context before the origin."""
-    train, rows = _parts(panel, s)
-    rows = _level_factor(train, rows, panel, s) if scaled else rows.withColumn("_f", F.lit(1.0))
-    joined = _with_moments(rows, train, {"mu": F.avg("y"), "sd": F.stddev_samp("y")})
-    return _finish(joined.withColumn("samples", _normal_array(F.col("mu") * F.col("_f"), F.col("sd") * F.col("_f"), s)), s)
+    return gauss_predict(panel, gauss_fit(panel, s), s, scaled)
 
 
 def _dependence(train: DataFrame, s: Settings, value: str, full: bool = False) -> DataFrame:
@@ -512,30 +559,49 @@ def _with_dependence(rows: DataFrame, dependence: DataFrame, s: Settings) -> Dat
     return with_step_normals(known, s.samples, s.seed, ["origin", "h"])
 
 
-def gauss_factors(panel: DataFrame, s: Settings, full: bool = False, scaled: bool = False) -> DataFrame:
-    """Slot means plus jointly normal residuals, full rank or ``rank`` factors and a diagonal."""
-    train, rows = _parts(panel, s)
-    means = gaussian_moments(train).select("sid", "slot", "mu")
-    residual = train.join(means, ["sid", "slot"]).withColumn("e", F.col("y") - F.col("mu"))
-    rows = _level_factor(train, rows, panel, s) if scaled else rows.withColumn("_f", F.lit(1.0))
-    ready = _with_dependence(_with_moments(rows, train, {"mu": F.avg("y")}), _dependence(residual, s, "e", full), s)
+def gauss_factors_fit(panel: DataFrame, s: Settings, full: bool = False) -> dict[str, DataFrame]:
+    """Slot means, and loadings and diagonal of the residuals."""
+    train, _ = _parts(panel, s)
+    tables = _moment_tables(train, {"mu": F.avg("y")})
+    residual = train.join(tables["cells"], ["sid", "slot"]).withColumn("e", F.col("y") - F.col("mu"))
+    return {**tables, "loadings": _dependence(residual, s, "e", full)}
+
+
+def gauss_factors_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings, scaled: bool = False) -> DataFrame:
+    _, rows = _parts(panel, s)
+    ready = _with_dependence(_level_factor(_with_tables(rows, tables, ["mu"]), panel, s, scaled), tables["loadings"], s)
     noise = factor_noise(s.samples, s.seed, ["origin", "h"])
     return _finish(ready.withColumn("samples", F.transform(noise, lambda e: (F.col("mu") + e) * F.col("_f"))), s)
 
 
-def copula(panel: DataFrame, s: Settings) -> DataFrame:
-    """Gaussian copula: empirical margins of the recent values, low-rank dependence of their normal scores."""
-    train, rows = _parts(panel, s)
+def gauss_factors(panel: DataFrame, s: Settings, full: bool = False, scaled: bool = False) -> DataFrame:
+    """Slot means plus jointly normal residuals, full rank or ``rank`` factors and a diagonal."""
+    return gauss_factors_predict(panel, gauss_factors_fit(panel, s, full), s, scaled)
+
+
+def copula_fit(panel: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Recent values of every series, slot means of their normal scores, and the scores' dependence."""
+    train, _ = _parts(panel, s)
     recent = sorted_recent(train, s.conditioning)
     scores = to_gaussian(train, recent, s.conditioning)
-    centre = scores.groupBy("sid", "slot").agg(F.avg("z").alias("mu"))
-    residual = scores.join(centre, ["sid", "slot"]).withColumn("e", F.col("z") - F.col("mu"))
-    ready = _with_dependence(_with_moments(rows, scores, {"mu": F.avg("z")}).join(recent, "sid", "left"), _dependence(residual, s, "e"), s)
+    tables = _moment_tables(scores, {"mu": F.avg("z")}, "z")
+    residual = scores.join(tables["cells"], ["sid", "slot"]).withColumn("e", F.col("z") - F.col("mu"))
+    return {**tables, "recent": recent, "loadings": _dependence(residual, s, "e")}
+
+
+def copula_predict(panel: DataFrame, tables: dict[str, DataFrame], s: Settings) -> DataFrame:
+    _, rows = _parts(panel, s)
+    ready = _with_dependence(_with_tables(rows, tables, ["mu"]).drop("_level").join(tables["recent"], "sid", "left"), tables["loadings"], s)
     noise = factor_noise(s.samples, s.seed, ["origin", "h"])
     values = F.transform(noise, lambda e: empirical_quantile(F.col("recent"), F.col("mu") + e))
     return _finish(ready.withColumn("samples", values), s)
 
 
+def copula(panel: DataFrame, s: Settings) -> DataFrame:
+    """Gaussian copula: empirical margins of the recent values, low-rank dependence of their normal scores."""
+    return copula_predict(panel, copula_fit(panel, s), s)
+
+
 def forecast(model: str, panel: DataFrame, s: Settings) -> DataFrame:
     """Forecast with a registered model.
 
@@ -569,6 +635,16 @@ FITTED: dict[str, tuple[Callable[[DataFrame, Settings], dict[str, DataFrame]], C
     "lag_linear": (lag_linear_fit, lag_linear_predict),
     "lag_recursive": (lag_recursive_fit, lag_recursive_predict),
     "nb_lagged": (nb_lagged_fit, nb_lagged_predict),
+    "nb_share": (nb_share_fit, nb_share_predict),
+    "nb_refit": (nb_refit_fit, nb_refit_predict),
+    "gauss_refit": (nb_refit_fit, gauss_refit_predict),
+    "gauss": (gauss_fit, gauss_predict),
+    "gauss_scaled": (gauss_fit, partial(gauss_predict, scaled=True)),
+    "gauss_full": (partial(gauss_factors_fit, full=True), gauss_factors_predict),
+    "gauss_full_scaled": (partial(gauss_factors_fit, full=True), partial(gauss_factors_predict, scaled=True)),
+    "gauss_lowrank": (gauss_factors_fit, gauss_factors_predict),
+    "gauss_lowrank_scaled": (gauss_factors_fit, partial(gauss_factors_predict, scaled=True)),
+    "copula": (copula_fit, copula_predict),
 }
 
 

@@ -157,3 +157,80 @@ def test_concentrations_of_odd_panels(spark):
     assert got["c"] == M.ALPHA_FLOOR and got["a"] / got["b"] == pytest.approx(2.0, rel=1e-3) and got["a"] > 1e4
     empty = make_panel(spark, {"a": [0.0] * 5}).withColumn("slot", F.lit(0))
     assert M.dirichlet_likelihood(empty).count() == 0
+
+
+def test_sweep_ranks_come_from_one_basis(spark):
+    """Every rank's cross-series variance against numpy, by the score of the sums."""
+    from tallycast.plans import sweep as S
+
+    x, p = wide_panel(spark, 6, 300, 2, seed=8)
+    p = p.withColumn("idx", (F.col("ts").cast("long") / 900).cast("long"))
+    s = M.Settings(rolling=B.Rolling(horizon=10, step=10, windows=3, test_start=200), last=299, slot_kind="hour")
+    ranks, contexts = (0, 1, 3, 6), (5, 40)
+    got = {(r.context, r.rank): r for r in S.gaussian_sweep(p, s, contexts, ranks).collect()}
+    hours = (np.arange(300) // 4) % 24
+    train = x[:270]
+    mu = np.array([[train[hours[:270] == k, j].mean() if (hours[:270] == k).any() else train[:, j].mean() for j in range(6)] for k in range(24)])
+    residual = train - mu[hours[:270]]
+    cov = np.cov(residual.T)
+    values, vectors = np.linalg.eigh(cov)
+    score = lambda y, m, sd: (lambda z: sd * (z * math.erf(z / 2**0.5) + 2 * math.exp(-z * z / 2) / (2 * math.pi) ** 0.5 - math.pi**-0.5))((y - m) / sd)
+    for context in contexts:
+        for rank in ranks:
+            shared = vectors[:, 6 - rank :] * np.sqrt(np.maximum(values[6 - rank :], 0))
+            sums, single = [], []
+            for origin in (290, 280, 270):
+                f = np.abs(x[origin - context : origin]).mean(0) / np.abs(train).mean(0)
+                for t in range(origin, origin + 10):
+                    m = mu[hours[t]] * f
+                    own = np.maximum(np.diag(cov) - (shared**2).sum(1), 0)
+                    sums.append(score(x[t].sum(), m.sum(), math.sqrt(((shared * f[:, None]).sum(0) ** 2).sum() + (own * f * f).sum())))
+                    single += [score(x[t, j], m[j], math.sqrt(cov[j, j]) * f[j]) for j in range(6)]
+            r = got[context, rank]
+            assert (r.n, r.n_sum) == (180, 30) and r.crps == pytest.approx(np.mean(single), rel=1e-6)
+            assert r.sum_crps == pytest.approx(np.mean(sums), rel=1e-3)
+    assert len({round(r.sum_crps, 6) for r in got.values()}) == 8
+
+
+def test_stream_scores_equal_the_batch(spark, tmp_path):
+    from tallycast.streaming.buckets import stream_bucket_counts, write_buckets
+    from tallycast.streaming.scores import score_buckets, score_stream
+
+    rng = np.random.default_rng(9)
+    minutes = np.sort(rng.integers(0, 3 * 24 * 60, 3000))
+    late = minutes.copy()
+    swap = rng.integers(0, 2900, 300)
+    late[swap], late[swap + 20] = minutes[swap + 20], minutes[swap]  # out of order within the allowed lateness
+    rows = pd.DataFrame({"k": rng.choice(["a", "b"], 3000), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(late, "m")})
+    schema = "k string, ts timestamp_ntz"
+    files = tmp_path / "events"
+    files.mkdir()
+    events = spark.readStream.schema(schema).parquet(str(files))
+    buckets = f"file://{tmp_path}/buckets"
+    out, counted = f"{tmp_path}/scores", stream_bucket_counts(events, "k", minutes=15, lateness="12 hours")
+    for part in np.array_split(np.arange(3000), 3):
+        spark.createDataFrame(rows.iloc[part]).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(files))
+        write_buckets(counted, buckets, f"{tmp_path}/c1", once=True).awaitTermination()
+        stream = spark.readStream.schema("sid string, ts timestamp, n bigint").parquet(buckets)
+        score_stream(stream, "n").writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out).toPandas().sort_values(["sid", "ts"]).reset_index(drop=True)
+    want = score_buckets(spark.read.parquet(buckets), "n").toPandas().sort_values(["sid", "ts"]).reset_index(drop=True)
+    assert len(got) > 300 and got[["sid", "ts", "y", "seen"]].equals(want[["sid", "ts", "y", "seen"]])
+    assert np.allclose(got["mean"].astype(float), want["mean"].astype(float), equal_nan=True) and np.allclose(got["z"].astype(float), want["z"].astype(float), equal_nan=True)
+
+
+@pytest.mark.parametrize("model", sorted(M.FITTED))
+def test_saved_tables_give_the_same_forecast(spark, tmp_path, model):
+    from tallycast.sources.writers import load_parameters, save_parameters
+
+    rng = np.random.default_rng(10)
+    p = make_panel(spark, {s: rng.poisson(m, 300) for s, m in (("a", 3), ("b", 8))}).cache()
+    s = M.Settings(rolling=B.Rolling(horizon=8, step=8, windows=2, test_start=250), samples=4, last=299, rank=1, context=16, conditioning=40, lags=(1, 8))
+    fit, predict = M.FITTED[model]
+    tables = fit(p, s)
+    save_parameters(tables, str(tmp_path))
+    loaded = predict(p, load_parameters(spark, str(tmp_path), list(tables)), s).collect()
+    direct = M.forecast(model, p, s).collect()
+    key = lambda r: (r.sid, r.origin, r.h)
+    assert {key(r): r.samples for r in loaded} == {key(r): pytest.approx(r.samples, abs=1e-6) for r in direct} and len(loaded) == 2 * 2 * 8
+    assert sorted(M.FITTED) == sorted(M.MODELS)
