@@ -109,6 +109,23 @@ def observed_mask(spark, d):
     return rounded(marked.join(I.step_observed(marked), "ts"), "filled")
 
 
+PULL = 2 / 3
+
+
+@query("impute_forward", f"""WITH RECURSIVE {P15}, m AS (SELECT sid, hour(ts) AS slot, avg(v) AS mu FROM panel GROUP BY 1, 2), w AS (SELECT sid, avg(v) AS mu FROM panel GROUP BY 1),
+q AS (SELECT p.sid, p.idx, p.ts, p.v, coalesce(m.mu, w.mu) AS mu FROM panel p LEFT JOIN m ON m.sid = p.sid AND m.slot = hour(p.ts) LEFT JOIN w ON w.sid = p.sid),
+r AS (SELECT sid, idx, ts, CASE WHEN v IS NULL THEN mu * (1.0 - {PULL!r}::DOUBLE) ELSE v END AS f FROM q WHERE idx = 0
+  UNION ALL SELECT q.sid, q.idx, q.ts, CASE WHEN q.v IS NULL THEN q.mu * (1.0 - {PULL!r}::DOUBLE) + {PULL!r}::DOUBLE * r.f ELSE q.v END FROM r JOIN q ON q.sid = r.sid AND q.idx = r.idx + 1)
+SELECT sid, ts, {rd('f')} AS filled FROM r""")
+def impute_forward(spark, d):
+    """Mean values per step, gaps filled from the step before, which may be filled itself, and the mean of the hour."""
+    p = P.value_panel(events(spark, d), "event_type", "value", minutes=STEP).withColumn("slot", F.hour("ts"))
+    means = p.groupBy("sid", "slot").agg(F.avg("y").alias("mu")).join(p.groupBy("sid").agg(F.avg("y").alias("_whole")), "sid")
+    ready = p.join(means, ["sid", "slot"])
+    filled = I.impute_forward(ready, F.coalesce("mu", "_whole"), PULL, block=64)
+    return rounded(filled.select("sid", "ts", "filled"), "filled")
+
+
 @query("impute_unobserved", f"""WITH {P15}, m AS (SELECT sid, hour(ts) AS slot, avg(v) AS mu FROM panel GROUP BY 1, 2)
 SELECT p.sid, p.ts, {rd('CASE WHEN v IS NOT NULL THEN v WHEN idx < 24 THEN 0.0 ELSE mu END')} AS y FROM panel p JOIN m ON p.sid = m.sid AND hour(p.ts) = m.slot""")
 def impute_unobserved(spark, d):

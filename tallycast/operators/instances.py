@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.functions.numeric import safe_div
-from tallycast.operators.blocks import framed
+from tallycast.operators.blocks import affine_scan, framed
 
 MINIMUM_SCALE = 1e-10
 
@@ -91,6 +91,18 @@ def impute(value: Column, is_observed: Column, is_pad: Column, substitute: Colum
     return F.when(is_observed == 1, value).when(is_pad == 1, 0.0).otherwise(substitute)
 
 
+def impute_forward(panel: DataFrame, mean: Column, pull: float, value: str = "y", idx: str = "idx", block: int | None = None) -> DataFrame:
+    """``panel`` with ``filled``: gaps take the value before them, imputed or not, drawn towards ``mean`` by ``pull``.
+
+    filled = mean + pull * (filled before - mean) in a gap, from the row's own ``mean``; a series that begins with one
+    starts at 0.  An imputed value feeds the next gap through the affine scan, so no task walks a whole series.
+    """
+    gap = F.col(value).isNull()
+    maps = panel.select("sid", idx, F.when(gap, mean * (1.0 - pull)).otherwise(F.col(value)).alias("shift"), F.when(gap, pull).otherwise(0.0).alias("factor"))
+    found = affine_scan(maps, F.lit(0.0), idx, block).withColumnRenamed("value", "filled")
+    return panel.join(found, ["sid", idx])
+
+
 def windows_at(
     cuts: DataFrame, panel: DataFrame, past: int, future: int, lead: int = 0, dummy: float = 0.0,
     values: Sequence[str] = ("y",), idx: str = "idx",

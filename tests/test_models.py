@@ -234,3 +234,32 @@ def test_saved_tables_give_the_same_forecast(spark, tmp_path, model):
     key = lambda r: (r.sid, r.origin, r.h)
     assert {key(r): r.samples for r in loaded} == {key(r): pytest.approx(r.samples, abs=1e-6) for r in direct} and len(loaded) == 2 * 2 * 8
     assert sorted(M.FITTED) == sorted(M.MODELS)
+
+
+@pytest.mark.parametrize("block", [4, 7, 4096])
+def test_affine_scan_equals_a_loop_across_block_edges(spark, block):
+    from tallycast.operators.blocks import affine_scan
+
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for sid, x in (("a", 2.0), ("b", -1.0)):
+        value = x
+        for i in range(300):
+            if sid == "b" and 40 <= i < 90:  # rows that are not there: whole blocks are missing
+                continue
+            shift, factor = float(rng.standard_normal()), float(rng.choice([0.0, 0.5, 1.0, -0.9]))
+            value = shift + factor * value
+            want[sid, i] = value
+            rows.append((sid, i, shift, factor, x))
+    df = spark.createDataFrame(rows, "sid string, idx long, shift double, factor double, x double").repartition(5)
+    got = {(r.sid, r.idx): r.value for r in affine_scan(df, F.col("x"), block=block).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()} and len(got) == 550
+    assert affine_scan(df.filter("false"), F.col("x")).count() == 0
+
+
+def test_imputed_values_feed_the_next_gap(spark):
+    from tallycast.operators.instances import impute_forward
+
+    p = spark.createDataFrame([("a", i, v) for i, v in enumerate([None, 4.0, None, None, 8.0])], "sid string, idx long, y double")
+    got = [r.filled for r in impute_forward(p, F.lit(2.0), 0.5, block=2).orderBy("idx").collect()]
+    assert got == [1.0, 4.0, 3.0, 2.5, 8.0]
