@@ -16,4 +16,3 @@ def row_key() -> list[Column]:
 def small(df: DataFrame) -> DataFrame:
     """Broadcast a narrow table if it is counted to be small; else the join decides."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
