@@ -59,6 +59,9 @@ def densify(
 
     The grid grows from tiny rows, which adaptive execution would coalesce into one task.  So it is exploded
     in two steps: index blocks first, spread over a fixed number of partitions, then the steps of a block.
+
+    For the same reason its estimated size is that of the series list.  A filter that drops gaps makes the join an
+    inner one, in which Spark would then broadcast the whole grid through the driver: so the join is a merge join.
     """
     limits = bounds.select(F.struct(F.col("a"), step_index(F.col("a"), F.col("b"), minutes).alias("n"))).scalar()
     width = max(8, 2 * series.sparkSession.sparkContext.defaultParallelism)
@@ -75,7 +78,7 @@ def densify(
     y = F.col(value).cast("double")
     if fill is not None:
         y = F.coalesce(y, F.lit(float(fill)))
-    return grid.join(counts, ["sid", "ts"], "left").select("sid", "ts", "idx", y.alias("y"))
+    return grid.hint("merge").join(counts, ["sid", "ts"], "left").select("sid", "ts", "idx", y.alias("y"))
 
 
 def event_panel(events: DataFrame, sid: str, ts: str = "ts", minutes: int = 15) -> DataFrame:

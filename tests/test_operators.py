@@ -34,6 +34,16 @@ def steps(spark, columns: dict[str, list]):
 # --- panel --------------------------------------------------------------------------------------
 
 
+def test_grid_is_never_broadcast(spark, tmp_path):
+    """Without gaps the join is an inner one, and the grid is estimated as small as its series list; it must not go through the driver."""
+    rows = [(T0 + dt.timedelta(hours=h, minutes=5), u, float(h)) for u in range(3) for h in range(u, 20, 5)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long, value double").write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    for p in (P.value_panel(events, "user_id", "value", minutes=60).filter("y IS NOT NULL"), P.event_panel(events, "user_id", minutes=60).filter("y > 0")):
+        assert "BroadcastHashJoin" not in p._jdf.queryExecution().executedPlan().toString()
+        assert sorted((int(r.sid), r.ts.hour) for r in p.collect()) == sorted((u, t.hour) for t, u, _ in rows)
+
+
 def test_densify_fills_gaps_over_several_grid_blocks(spark):
     events = spark.createDataFrame(
         [("a", T0), ("a", T0 + dt.timedelta(minutes=1)), ("b", T0 + dt.timedelta(days=30, minutes=14))], "k string, ts timestamp_ntz")
