@@ -308,6 +308,27 @@ def test_covariance_by_blocks(spark, width):
         assert r.cov == pytest.approx(cov[i, j]) and r.corr == pytest.approx(corr[i, j])
 
 
+@pytest.mark.parametrize("width", [1, 256])
+def test_pairs_of_series_are_not_shuffled(spark, width):
+    """Several blocks to a strip, or several tasks to a pair; the result's pairs come from the tasks that multiply."""
+    rng = np.random.default_rng(3)
+    data = rng.poisson(4, (600, 40)) + rng.poisson(2, (600, 1))
+    data[:, 7] = 3
+    rows = [(f"s{k:02}", i, float(data[i, k])) for k in range(40) for i in range(600)]
+    found = K.covariance(spark.createDataFrame(rows, "sid string, idx long, y double"), width=width)
+    above = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert len(above) > 1 and "Exchange" not in above[0]
+    got = found.toPandas()
+    i, j = got.sid_a.str[1:].astype(int).to_numpy(), got.sid_b.str[1:].astype(int).to_numpy()
+    assert sorted(zip(i, j)) == [(a, b) for a in range(40) for b in range(a, 40)]
+    cov = np.cov(data.T)
+    assert got["cov"].to_numpy() == pytest.approx(cov[i, j], abs=1e-9)
+    flat = (i == 7) | (j == 7)
+    assert got["corr"].isna().to_numpy().tolist() == flat.tolist()
+    scale = np.sqrt(np.diag(cov))
+    assert got["corr"][~flat].to_numpy() == pytest.approx((cov[i, j] / np.maximum(scale[i] * scale[j], 1e-300))[~flat])
+
+
 def test_factors_reproduce_the_covariance(spark):
     rng = np.random.default_rng(2)
     data = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 5)) + rng.normal(size=(200, 5)) * 0.1
