@@ -21,9 +21,9 @@ from tallycast.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-CACHED_PIECES = 500_000  # of one Python worker, some 120 MB; see PieceEncoder._keep
+CACHED_PIECES = 500_000  # of one Python worker, in all, some 120 MB; see PieceEncoder._keep
 STALE_AFTER = 8  # times as many new pieces as it holds, after which a full cache starts anew
-BATCH_IDS = 4_000_000  # token ids in one output batch, except where one document has more
+BATCH_IDS = 1_000_000  # token ids in one output batch, except where one document has more
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -76,12 +76,13 @@ class PieceEncoder:
 
     def _keep(self, cache: dict[str, bytes], piece: str, ids: bytes) -> None:
         """Frequent pieces come early and stay; a full cache starts anew once it has missed many times its size."""
-        if len(cache) < CACHED_PIECES:
+        if sum(map(len, self.caches.values())) < CACHED_PIECES:
             cache[piece] = ids
         else:
             self.beyond += 1
             if self.beyond > STALE_AFTER * CACHED_PIECES:
-                cache.clear()
+                for every in self.caches.values():
+                    every.clear()
                 self.beyond = 0
 
     def _piece(self, piece: str, lead: str) -> bytes:
@@ -181,6 +182,8 @@ def write_tokens(
                     ids, starts, encoded, held = [], [], [], 0
             if ids:
                 yield _batch(part, ids, starts, encoded, kind)
+        ids, starts, encoded, batch = [], [], [], None
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds its cache only
 
     ordered.mapInArrow(run, COLUMNS.format(kind=kind)).write.options(**ORC_OPTIONS).orc(path)
 

@@ -34,6 +34,14 @@ def test_cache_that_overflows(monkeypatch):
     assert [np.frombuffer(encode(t), "<i4").tolist() for t in texts] == expected(texts)
 
 
+def test_cache_limit_holds_for_all_pieces_of_a_worker(monkeypatch):
+    monkeypatch.setattr(T, "CACHED_PIECES", 6)
+    encode = T.PieceEncoder(PATH)
+    texts = ["a\nb\nc\nd\ne\nf\ng h i j k l m", "n\no p q", "a\nb h i"]
+    assert [np.frombuffer(encode(t), "<i4").tolist() for t in texts * 2] == expected(texts * 2)
+    assert 0 < sum(map(len, encode.caches.values())) <= 6
+
+
 def test_other_tokenizer_is_used_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode = T.PieceEncoder(path)
