@@ -314,8 +314,8 @@ def test_pairs_of_series_are_not_shuffled(spark, width):
     rng = np.random.default_rng(3)
     data = rng.poisson(4, (600, 40)) + rng.poisson(2, (600, 1))
     data[:, 7] = 3
-    rows = [(f"s{k:02}", i, float(data[i, k])) for k in range(40) for i in range(600)]
-    found = K.covariance(spark.createDataFrame(rows, "sid string, idx long, y double"), width=width)
+    rows = [(f"s{k:02}", i, i, float(data[i, k])) for k in range(40) for i in range(600)]
+    found = K.covariance(spark.createDataFrame(rows, "sid string, ts long, idx long, y double"), width=width)
     above = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
     assert len(above) > 1 and "Exchange" not in above[0]
     got = found.toPandas()
