@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,7 @@ from tallycast.llm.queries import query, table
 from tallycast.llm.rows import row_key
 from tallycast.session import materialise
 
-SPACES = r"[\x20\x09-\x0D]+"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+OTHER_SPACES = r"[\x09-\x0D]"
 LEAST_COUNT = 5  # of a word in the corpus to get an id of its own
 MOST_WORDS = 7_680  # words with an id of their own, the most frequent: memory of the network
 WORDS_A_CLASS = 16  # words with an id for each hash class that other words share; 16 classes at least
@@ -28,7 +27,9 @@ SHARD = 1 << 21  # tokens that are trained on one after another
 BLOCK = 1 << 16  # tokens that are shuffled among each other
 BATCH, STEPS = 8192, 256  # tokens of a step at most; fewer where the corpus has no tokens for so many steps
 RATE = 0.3
-SLICE = 16_384  # tokens of one numpy call
+SLICE = 65_536  # tokens scored together
+ROWS = 2048  # of them whose logits are held at a time
+DEPTH = 80.0  # below 0, of a row's largest logit: its exponential and its reciprocal are still floats
 PARTS = 32  # in which weights are averaged
 
 
@@ -47,8 +48,16 @@ class Sizes:
             "outer_bias": (self.lists,), "member": (self.lists, HIDDEN, self.members), "member_bias": (self.lists, self.members),
         }
 
+    def classes_of(self, words: list[bytes]) -> np.ndarray:
+        return self.words + np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % self.hashed
+
     def class_of(self, word: str) -> int:
-        return self.words + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.hashed
+        return int(self.classes_of([word.encode()])[0])
+
+
+def _order(tokens: np.ndarray) -> np.ndarray:
+    """Places of ``tokens`` in rising order, equal ones as they stand."""
+    return np.argsort(tokens.astype(np.uint16), kind="stable")  # two bytes are sorted by counting
 
 
 class Network:
@@ -75,64 +84,96 @@ class Network:
     def copy(self) -> Network:
         return Network(self.sizes, *({k: v.copy() for k, v in part.items()} for part in (self.weights, self.squares)))
 
-    def _by_list(self, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each list that occurs: its number, the tokens in it, their places in the list."""
-        lists, places = np.divmod(tokens, self.sizes.members)
-        order = np.argsort(lists, kind="stable")
-        bounds = np.searchsorted(lists[order], np.arange(self.sizes.lists + 1))
-        for k in np.flatnonzero(np.diff(bounds)):
-            chosen = order[bounds[k] : bounds[k + 1]]
-            yield k, chosen, places[chosen]
-
-    def _outer(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What goes into the hidden layer, and what comes out with a column of ones, for the biases of the next."""
         w = self.weights
-        inputs = w["embed"][around].reshape(len(around), -1)
-        hidden = np.tanh(inputs @ w["inner"] + w["inner_bias"])
-        logits = hidden @ w["outer"] + w["outer_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        return inputs, hidden, logits
+        inputs = w["embed"].take(around.ravel(), axis=0).reshape(len(around), -1)
+        hidden = np.ones((len(around), HIDDEN + 1), inputs.dtype)
+        np.tanh(inputs @ w["inner"] + w["inner_bias"], out=hidden[:, :HIDDEN])
+        return inputs, hidden
+
+    def _heads(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The weights of both levels with the biases as last row, and whether a row's largest logit has to be taken off.
+
+        A constant on all biases of a softmax changes none of its probabilities.  The one taken here puts the largest
+        logit that hidden values within 1 can give at 0; where every row then has one above ``-DEPTH``, exp needs no more.
+        """
+        w, heads, wide = self.weights, [], False
+        for k in ("outer", "member"):
+            reach, bias = np.abs(w[k]).sum(axis=-2), w[f"{k}_bias"]
+            high, low = (bias + reach).max(axis=-1, keepdims=True), (bias - reach).max(axis=-1, keepdims=True)
+            wide |= not float((high - low).max()) < DEPTH
+            heads.append(np.concatenate([w[k], (bias - high)[..., None, :]], axis=-2))
+        return *heads, wide
+
+    def _softmaxes(self, tokens: np.ndarray, hidden: np.ndarray, heads: tuple[np.ndarray, np.ndarray, bool]) -> Iterator[tuple]:
+        """For either level and ``ROWS`` of the sorted ``tokens`` at a time: the level, the rows, their parts by softmax
+        (its number, first row, end), their places in it, the logits there, the exponentials of all logits.
+
+        The exponentials stand in one array that is used again, so that they stay in a core's cache.
+        """
+        outer, member, wide = heads
+        lists, places = np.divmod(tokens, self.sizes.members)
+        bounds = np.searchsorted(lists, np.arange(self.sizes.lists + 1))
+        held = np.empty(ROWS * max(self.sizes.lists, self.sizes.members), hidden.dtype)
+        for a in range(0, len(tokens), ROWS):
+            b = min(a + ROWS, len(tokens))
+            inside = [(k, max(bounds[k], a), min(bounds[k + 1], b)) for k in range(lists[a], lists[b - 1] + 1) if bounds[k] < bounds[k + 1]]
+            for level, weights, parts, at in ((0, outer[None], [(0, a, b)], lists[a:b]), (1, member, inside, places[a:b])):
+                every = held[: (b - a) * weights.shape[2]].reshape(b - a, -1)
+                for k, c, d in parts:
+                    np.matmul(hidden[c:d], weights[k], out=every[c - a : d - a])
+                if wide:
+                    every -= every.max(axis=1, keepdims=True)
+                found = every[np.arange(b - a), at]
+                yield level, slice(a, b), parts, at, found, np.exp(every, out=every)
 
     def log_probabilities(self, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Log-probability of each id given its context."""
-        out, w = np.empty(len(tokens)), self.weights
+        out, heads = np.empty(len(tokens)), self._heads()
         for at in range(0, len(tokens), SLICE):
-            t = tokens[at : at + SLICE]
-            _, hidden, logits = self._outer(around[at : at + SLICE])
-            found = logits[np.arange(len(t)), t // self.sizes.members].astype(np.float64)
-            found -= np.log(np.exp(logits, out=logits).sum(axis=1))
-            for k, chosen, places in self._by_list(t):
-                inside = hidden[chosen] @ w["member"][k] + w["member_bias"][k]
-                inside -= inside.max(axis=1, keepdims=True)
-                found[chosen] += inside[np.arange(len(chosen)), places]
-                found[chosen] -= np.log(np.exp(inside, out=inside).sum(axis=1))
-            out[at : at + SLICE] = found
+            order = at + _order(tokens[at : at + SLICE])
+            t = tokens[order]
+            _, hidden = self._hidden(around[order])
+            found = np.zeros(len(t))
+            for _, rows, _, _, logits, every in self._softmaxes(t, hidden, heads):
+                found[rows] += logits - np.log(every @ np.ones(every.shape[1], every.dtype))
+            out[order] = found
         return out
 
     def slopes(self, tokens: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log-loss, by weight."""
-        w, n, every = self.weights, len(tokens), np.arange(len(tokens))
-        inputs, hidden, logits = self._outer(around)
-        slope = np.exp(logits, out=logits)
-        slope /= slope.sum(axis=1, keepdims=True)
-        slope[every, tokens // self.sizes.members] -= 1
-        slope /= n
-        back = slope @ w["outer"].T
-        out = {"outer": hidden.T @ slope, "outer_bias": slope.sum(0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
-        for k, chosen, places in self._by_list(tokens):
-            h = hidden[chosen]
-            inside = h @ w["member"][k] + w["member_bias"][k]
-            inside -= inside.max(axis=1, keepdims=True)
-            np.exp(inside, out=inside)
-            inside /= inside.sum(axis=1, keepdims=True)
-            inside[np.arange(len(chosen)), places] -= 1
-            inside /= n
-            out["member"][k], out["member_bias"][k] = h.T @ inside, inside.sum(0)
-            back[chosen] += inside @ w["member"][k].T
-        back *= 1 - hidden * hidden
+        w, n, order = self.weights, len(tokens), _order(tokens)
+        tokens, around = tokens[order], around[order]
+        inputs, hidden = self._hidden(around)
+        heads = self._heads()
+        weights, below = (heads[0][None], heads[1]), []
+        for one in weights:  # the biases' row is not needed on the way back; ones there add up the exponentials
+            below.append(one.transpose(0, 2, 1).copy())
+            below[-1][:, :, -1] = 1
+        sums, back = [np.zeros_like(one) for one in weights], np.zeros_like(hidden)
+        for level, rows, parts, at, _, every in self._softmaxes(tokens, hidden, heads):
+            turned = np.empty((len(every), HIDDEN + 1), every.dtype)
+            for k, c, d in parts:
+                np.matmul(every[c - rows.start : d - rows.start], below[level][k], out=turned[c - rows.start : d - rows.start])
+            total = turned[:, -1].copy()
+            every[np.arange(len(total)), at] -= total
+            scale = (1 / (n * total))[:, None]
+            scaled = hidden[rows] * scale
+            for k, c, d in parts:
+                part = slice(c - rows.start, d - rows.start)
+                sums[level][k] += scaled[part].T @ every[part]
+            turned *= scale
+            back[rows] += turned
+        hit = below[0][0].take(tokens // self.sizes.members, axis=0) + below[1].reshape(-1, HIDDEN + 1).take(tokens, axis=0)
+        back -= hit / n
+        out = {"outer": sums[0][0, :-1], "outer_bias": sums[0][0, -1], "member": sums[1][:, :-1], "member_bias": sums[1][:, -1]}
+        hidden, back = hidden[:, :HIDDEN], back[:, :HIDDEN]
+        back = back * (1 - hidden * hidden)
         out["inner"], out["inner_bias"] = inputs.T @ back, back.sum(0)
-        cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-        spread = np.bincount(cells, (back @ w["inner"].T).ravel(), self.sizes.ids * WIDTH)
-        out["embed"] = spread.reshape(w["embed"].shape).astype(w["embed"].dtype)
+        cells, spread = around.T.ravel(), (w["inner"] @ back.T).reshape(2 * SIDE, WIDTH, n)
+        columns = [np.bincount(cells, spread[:, k].ravel(), self.sizes.ids) for k in range(WIDTH)]
+        out["embed"] = np.stack(columns, axis=1).astype(w["embed"].dtype)
         return out
 
     def step(self, tokens: np.ndarray, around: np.ndarray) -> None:
@@ -140,7 +181,9 @@ class Network:
         for k, slope in self.slopes(tokens, around).items():
             square = self.squares[k]
             square += slope * slope
-            self.weights[k] -= RATE * slope / np.sqrt(square)
+            slope = slope / np.sqrt(square)
+            slope *= RATE
+            self.weights[k] -= slope
 
     def flat(self, squares: bool) -> np.ndarray:
         """All weights, and with ``squares`` Adagrad's sums too, end to end."""
@@ -177,12 +220,20 @@ class Trainer:
     def __init__(self, network: Network, shard: int, batch: int):
         self.network, self.batch, self.used = network.copy(), batch, 0
         self.shuffle = np.random.default_rng(shard)
+        self.texts: list[np.ndarray] = []  # documents without contexts yet
         self.tokens: list[np.ndarray] = []
         self.around: list[np.ndarray] = []
-        self.held = 0
+        self.waiting = self.held = 0
 
     def add(self, ids: np.ndarray) -> None:
-        token, around, _ = contexts([ids], self.network.sizes.pad)
+        self.texts.append(ids)
+        self.waiting += len(ids)
+        if self.held + self.waiting >= BLOCK:
+            self._fill()
+
+    def _fill(self) -> None:
+        token, around, _ = contexts(self.texts, self.network.sizes.pad)
+        self.texts, self.waiting = [], 0
         while len(token):
             room = BLOCK - self.held
             self.tokens.append(token[:room])
@@ -190,11 +241,15 @@ class Trainer:
             self.held += len(token[:room])
             token, around = token[room:], around[room:]
             if self.held == BLOCK:
-                self.learn()
+                self._learn_block()
 
     def learn(self) -> None:
-        if not self.held:
-            return
+        """What is left at the end."""
+        self._fill()
+        if self.held:
+            self._learn_block()
+
+    def _learn_block(self) -> None:
         token, around = np.concatenate(self.tokens), np.concatenate(self.around)
         order = self.shuffle.permutation(self.held)
         for part in np.array_split(order, -(-self.held // self.batch)):
@@ -205,8 +260,8 @@ class Trainer:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``(word, n)``: every lower-cased word of the whole corpus, counted with map-side combine and written once."""
-    trimmed = F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r"))
-    words = docs.select(F.explode(F.split(trimmed, SPACES)).alias("word")).filter("word <> ''")
+    spaced = F.regexp_replace(F.lower("text"), OTHER_SPACES, " ")  # a split at one character needs no pattern
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("word")).filter("word <> ''")
     return materialise(words.groupBy("word").agg(F.count("*").alias("n")), "words")
 
 
@@ -219,8 +274,8 @@ def vocabulary(counted: DataFrame) -> list[str]:
 def token_table(docs: DataFrame, words: list[str]) -> DataFrame:
     """``(row, ka, kb, doc_id, ids, rest)``: two bytes a token, and xxhash64 of every word without an id of its own."""
     sizes = Sizes(len(words))
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    rows = docs.select(*row_key(), "doc_id", F.lower("text").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(words)})
+    rows = docs.select(*row_key(), "doc_id", F.lower("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +283,13 @@ def token_table(docs: DataFrame, words: list[str]) -> DataFrame:
         for batch in batches:
             ids, rest = [], []
             for one in batch.column(3):
-                found = WORD.findall(one.as_py() or "")
-                known = list(map(get, found))
-                others = [w for w, i in zip(found, known) if i is None]
-                if others:
-                    classes = iter(map(sizes.class_of, others))
-                    known = [next(classes) if i is None else i for i in known]
-                ids.append(np.array(known, np.uint16).tobytes())
-                rest.append(np.array([digest(w.encode("utf-8", "surrogatepass"), 42) for w in others], np.uint64).view(np.int64))
+                found = (one.as_py() or b"").split()  # of bytes: at space and 0x09-0x0D only
+                known = np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
+                new = np.flatnonzero(known < 0)
+                others = [found[i] for i in new.tolist()]
+                known[new] = sizes.classes_of(others)
+                ids.append(known.astype(np.uint16).tobytes())
+                rest.append(np.fromiter(map(digest, others, repeat(42)), np.uint64, len(others)).view(np.int64))
             numbers = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32))

@@ -31,6 +31,45 @@ def test_slopes_equal_differences():
         assert np.isclose((loss(up) - loss(down)) / 2e-5, slopes[k][at], rtol=1e-4, atol=1e-8), k
 
 
+def test_softmaxes_go_to_exp_together(monkeypatch):
+    sizes, rng, calls, exp = L.Sizes(2000), np.random.default_rng(5), [], np.exp
+    network = L.Network.start(sizes, np.ones(sizes.ids))
+    tokens, around = rng.integers(0, sizes.ids, 3000), rng.integers(0, sizes.ids, (3000, 2 * L.SIDE))
+    monkeypatch.setattr(np, "exp", lambda *a, **b: calls.append(1) or exp(*a, **b))
+    network.slopes(tokens, around)
+    network.log_probabilities(tokens, around)
+    assert sizes.lists > 40 and len(calls) <= 4 * -(-3000 // L.ROWS)
+
+
+def test_scores_equal_plain_softmaxes_at_any_size_of_weights(monkeypatch):
+    monkeypatch.setattr(L, "ROWS", 16)
+    rng = np.random.default_rng(6)
+    tokens, around = rng.integers(0, SIZES.ids, 100), rng.integers(0, SIZES.ids, (100, 2 * L.SIDE))
+    for scale, dtype in ((1, np.float32), (400, np.float32), (3000, np.float64)):
+        network = random_network(6, dtype)
+        for k in ("outer", "outer_bias", "member", "member_bias"):
+            network.weights[k] *= scale
+        w = {k: v.astype(np.float64) for k, v in network.weights.items()}
+        hidden = np.tanh(w["embed"][around].reshape(100, -1) @ w["inner"] + w["inner_bias"])
+        want = np.zeros(100)
+        lists, places = np.divmod(tokens, SIZES.members)
+        inside = np.einsum("nh,nhm->nm", hidden, w["member"][lists]) + w["member_bias"][lists]
+        for logits, at in ((hidden @ w["outer"] + w["outer_bias"], lists), (inside, places)):
+            most = logits.max(1)
+            want += logits[np.arange(100), at] - most - np.log(np.exp(logits - most[:, None]).sum(1))
+        assert network._heads()[2] == (scale > 1)
+        assert np.allclose(network.log_probabilities(tokens, around), want, rtol=1e-4, atol=1e-4)
+        assert all(np.isfinite(v).all() for v in network.slopes(tokens, around).values())
+
+
+def test_words_of_the_token_table(spark):
+    texts = ["Ab  a\x1cb\tÜ\nab", "\x0bx\x85y\x0c z\u00a0z ", None, "", "ab new \u2003 ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (np.frombuffer(r.ids, np.uint16).tolist(), len(r.rest)) for r in L.token_table(docs, ["ab", "ü"]).collect()}
+    of = L.Sizes(2).class_of
+    assert got == {0: ([0, of("a\x1cb"), 1, 0], 1), 1: ([of("x\x85y"), of("z\u00a0z")], 2), 2: ([], 0), 3: ([], 0), 4: ([0, of("new"), of("\u2003"), 0], 2)}
+
+
 def test_probabilities_sum_to_one():
     network = random_network(2)
     every = np.arange(SIZES.lists * SIZES.members)
