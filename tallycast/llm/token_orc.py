@@ -68,7 +68,7 @@ class PieceEncoder:
         self.piecewise = plain and kind.get("type") == "ByteLevel" and config["model"]["type"] == "BPE" and not config["model"].get("dropout")
         self.added = [t["content"] for t in config["added_tokens"]]
         self.caches: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before the piece
-        self.beyond = 0
+        self.kept = self.beyond = 0
         self.newline = self.encode("\n")
 
     def encode(self, text: str) -> bytes:
@@ -76,39 +76,48 @@ class PieceEncoder:
 
     def _keep(self, cache: dict[str, bytes], piece: str, ids: bytes) -> None:
         """Frequent pieces come early and stay; a full cache starts anew once it has missed many times its size."""
-        if sum(map(len, self.caches.values())) < CACHED_PIECES:
+        if self.kept < CACHED_PIECES:
             cache[piece] = ids
+            self.kept += 1
         else:
             self.beyond += 1
             if self.beyond > STALE_AFTER * CACHED_PIECES:
                 for every in self.caches.values():
                     every.clear()
-                self.beyond = 0
+                self.beyond = self.kept = 0
 
     def _piece(self, piece: str, lead: str) -> bytes:
-        """Ids of ``lead + piece``, where the piece neither begins nor ends with white space."""
+        """Ids of ``lead + piece``, where the piece neither begins nor ends with white space.
+
+        A word with punctuation is kept when its word has been before; most others do not come again.
+        """
         cache = self.caches[lead]
         ids = cache.get(piece)
         if ids is not None:
             return ids
+        if "\n" in piece:
+            parts = piece.split("\n")
+            if [p for p in parts if p.split() != [p]]:
+                raise _OddSpace
+            return self._piece(parts[0], lead) + b"".join([self.newline + self._piece(p, "") for p in parts[1:]])
         stem = piece.rstrip(PUNCTUATION)
         if stem.isalpha() and (stem.isascii() or max(stem) < LETTERS_BELOW):
-            ids = cache.get(stem) if len(stem) < len(piece) else None
-            if ids is None:
+            whole = len(stem) == len(piece)
+            ids = None if whole else cache.get(stem)
+            new = ids is None
+            if new:
                 spelt = stem if stem.isascii() else stem.encode().decode("latin-1").translate(SPELLING)
                 found = [t.id for t in self.model.tokenize(SPELT_LEAD[lead] + spelt)]
                 ids = struct.pack(f"<{len(found)}i", *found)
                 self._keep(cache, stem, ids)
-            if len(stem) == len(piece):
+            if not whole:
+                ids += self._piece(piece[len(stem) :], "")
+            if new:
                 return ids
-            ids += self._piece(piece[len(stem) :], "")
         elif piece.split() == [piece]:
             ids = self.encode(lead + piece)
         else:
-            parts = piece.split("\n")
-            if any(p.split() != [p] for p in parts):
-                raise _OddSpace
-            return self._piece(parts[0], lead) + b"".join([self.newline + self._piece(p, "") for p in parts[1:]])
+            raise _OddSpace
         self._keep(cache, piece, ids)
         return ids
 

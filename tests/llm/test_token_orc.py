@@ -42,6 +42,16 @@ def test_cache_limit_holds_for_all_pieces_of_a_worker(monkeypatch):
     assert 0 < sum(map(len, encode.caches.values())) <= 6
 
 
+def test_words_with_punctuation_are_kept_once_their_word_is_known():
+    encode = T.PieceEncoder(PATH)
+    texts = ["q new, other. naïve;", "q new, old!\nnew,\nx other\nother.", "q new, naïve; ,;!"]
+    ids = [np.frombuffer(encode(t), "<i4").tolist() for t in texts[:1]]
+    assert set(encode.caches[" "]) == {"new", "other", "naïve"}
+    ids += [np.frombuffer(encode(t), "<i4").tolist() for t in texts[1:]]
+    assert {"new,", "naïve;"} < set(encode.caches[" "]) and "old!" not in encode.caches[" "]
+    assert ids == expected(texts) and encode.kept == sum(map(len, encode.caches.values()))
+
+
 def test_other_tokenizer_is_used_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     encode = T.PieceEncoder(path)
