@@ -180,10 +180,11 @@ class Network:
         """One step of Adagrad."""
         for k, slope in self.slopes(tokens, around).items():
             square = self.squares[k]
-            square += slope * slope
-            slope = slope / np.sqrt(square)
-            slope *= RATE
-            self.weights[k] -= slope
+            move = slope * slope
+            square += move
+            np.divide(slope, np.sqrt(square, out=move), out=move)
+            move *= RATE
+            self.weights[k] -= move
 
     def flat(self, squares: bool) -> np.ndarray:
         """All weights, and with ``squares`` Adagrad's sums too, end to end."""
