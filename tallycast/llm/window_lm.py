@@ -31,6 +31,15 @@ SLICE = 65_536  # tokens scored together
 ROWS = 2048  # of them whose logits are held at a time
 DEPTH = 80.0  # below 0, of a row's largest logit: its exponential and its reciprocal are still floats
 PARTS = 32  # in which weights are averaged
+KEPT = 31 << 20  # bytes: below the 32 MB up to which malloc learns
+
+
+def keep_freed_memory() -> None:
+    """Let the C library keep what a step or slice frees for the next, which else is given back and faulted in again.
+
+    glibc takes blocks up to the largest mapped one that was freed from its heap, and trims the heap at twice that.
+    """
+    np.empty(KEPT, np.uint8)
 
 
 class Sizes:
@@ -87,7 +96,7 @@ class Network:
     def _hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What goes into the hidden layer, and what comes out with a column of ones, for the biases of the next."""
         w = self.weights
-        inputs = w["embed"].take(around.ravel(), axis=0).reshape(len(around), -1)
+        inputs = w["embed"].take(around, axis=0).reshape(len(around), -1)
         hidden = np.ones((len(around), HIDDEN + 1), inputs.dtype)
         np.tanh(inputs @ w["inner"] + w["inner_bias"], out=hidden[:, :HIDDEN])
         return inputs, hidden
@@ -134,7 +143,7 @@ class Network:
         for at in range(0, len(tokens), SLICE):
             order = at + _order(tokens[at : at + SLICE])
             t = tokens[order]
-            _, hidden = self._hidden(around[order])
+            _, hidden = self._hidden(around.take(order, axis=0))
             found = np.zeros(len(t))
             for _, rows, _, _, logits, every in self._softmaxes(t, hidden, heads):
                 found[rows] += logits - np.log(every @ np.ones(every.shape[1], every.dtype))
@@ -144,7 +153,7 @@ class Network:
     def slopes(self, tokens: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log-loss, by weight."""
         w, n, order = self.weights, len(tokens), _order(tokens)
-        tokens, around = tokens[order], around[order]
+        tokens, around = tokens[order], around.take(order, axis=0)
         inputs, hidden = self._hidden(around)
         heads = self._heads()
         weights, below = (heads[0][None], heads[1]), []
@@ -171,8 +180,8 @@ class Network:
         hidden, back = hidden[:, :HIDDEN], back[:, :HIDDEN]
         back = back * (1 - hidden * hidden)
         out["inner"], out["inner_bias"] = inputs.T @ back, back.sum(0)
-        cells, spread = around.T.ravel(), (w["inner"] @ back.T).reshape(2 * SIDE, WIDTH, n)
-        columns = [np.bincount(cells, spread[:, k].ravel(), self.sizes.ids) for k in range(WIDTH)]
+        cells, by_column = around.T.ravel().astype(np.intp), w["inner"].reshape(2 * SIDE, WIDTH, HIDDEN).swapaxes(0, 1).reshape(-1, HIDDEN)
+        columns = [np.bincount(cells, one, self.sizes.ids) for one in (by_column @ back.T).reshape(WIDTH, -1)]
         out["embed"] = np.stack(columns, axis=1).astype(w["embed"].dtype)
         return out
 
@@ -205,14 +214,14 @@ class Network:
 
 def contexts(ids: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all tokens of some documents: the token, its context (both sides, padded), the document's number."""
-    gap = np.full(SIDE, pad, np.int64)
+    gap = np.full(SIDE, pad, ids[0].dtype if ids else np.int64)
     line = np.concatenate([gap, *(part for one in ids for part in (one, gap))]) if ids else gap
     sizes = np.array([len(one) for one in ids], np.int64)
-    starts = SIDE + np.concatenate(([0], np.cumsum(sizes + SIDE)[:-1])) if ids else np.empty(0, np.int64)
     owner = np.repeat(np.arange(len(ids)), sizes)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-    offsets = [k for k in range(-SIDE, SIDE + 1) if k]
-    return line[at], line[at[:, None] + np.array(offsets)], owner
+    at = np.arange(len(owner)) + SIDE * owner  # places less the gap at the start
+    end = len(line) - 2 * SIDE
+    sides = np.stack([line[k : k + end] for k in range(2 * SIDE + 1) if k != SIDE], axis=1) if len(owner) else np.empty((0, 2 * SIDE), line.dtype)
+    return line[SIDE:].take(at), sides.take(at, axis=0), owner
 
 
 class Trainer:
@@ -225,6 +234,7 @@ class Trainer:
         self.tokens: list[np.ndarray] = []
         self.around: list[np.ndarray] = []
         self.waiting = self.held = 0
+        keep_freed_memory()
 
     def add(self, ids: np.ndarray) -> None:
         self.texts.append(ids)
@@ -238,7 +248,7 @@ class Trainer:
         while len(token):
             room = BLOCK - self.held
             self.tokens.append(token[:room])
-            self.around.append(around[:room].astype(np.uint16))
+            self.around.append(around[:room])
             self.held += len(token[:room])
             token, around = token[room:], around[room:]
             if self.held == BLOCK:
@@ -254,7 +264,7 @@ class Trainer:
         token, around = np.concatenate(self.tokens), np.concatenate(self.around)
         order = self.shuffle.permutation(self.held)
         for part in np.array_split(order, -(-self.held // self.batch)):
-            self.network.step(token[part], around[part].astype(np.int64))
+            self.network.step(token[part], around.take(part, axis=0))
         self.used += self.held
         self.tokens, self.around, self.held = [], [], 0
 
@@ -301,7 +311,7 @@ def token_table(docs: DataFrame, words: list[str]) -> DataFrame:
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(v, np.uint16).astype(np.int64) for v in column.to_pylist()]
+    return [np.frombuffer(v, np.uint16) for v in column.to_pylist()]
 
 
 def token_counts(tokens: DataFrame, sizes: Sizes) -> np.ndarray:
@@ -397,6 +407,7 @@ def score(tokens: DataFrame, network: Network, counts: np.ndarray | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, logs = shared.value
         low, high = network.sizes.words, network.sizes.pad
+        keep_freed_memory()
         for batch in batches:
             every = _arrays(batch.column(2))
             sums, a = np.zeros(len(every)), 0

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 
 from tallycast.llm import window_lm as L
@@ -171,3 +176,30 @@ def test_vocabulary_grows_with_the_corpus(spark):
     assert many.ids > 80 * few.ids and abs(many.lists * many.members - many.ids) < 2 * many.members
     docs = spark.createDataFrame([(1, "a a a a a b b b b c"), (2, "b C c c c")], "doc_id long, text string")
     assert L.vocabulary(L.word_counts(docs)) == ["a", "b", "c"]
+
+
+FAULTS = """
+import resource
+import numpy as np
+from tallycast.llm import window_lm as L
+
+rng, sizes, faults = np.random.default_rng(7), L.Sizes(L.MOST_WORDS), []
+trainer = L.Trainer(L.Network.start(sizes, np.ones(sizes.ids)), 0, L.BATCH)
+for _ in range(4):
+    trainer.add(rng.integers(0, sizes.ids, L.BLOCK).astype(np.uint16))
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print((faults[-1] - faults[1]) / 2 / (L.BLOCK // L.BATCH))
+"""
+
+
+def test_steps_reuse_the_memory_of_steps_before():
+    root, kept = str(Path(L.__file__).parents[2]), {k: v for k, v in os.environ.items() if not k.startswith("MALLOC_")}
+    said = subprocess.run([sys.executable, "-c", FAULTS], cwd=root, env=kept | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True)
+    assert float(said.stdout) < 100
+
+
+def test_contexts_are_as_narrow_as_ids():
+    tokens, around, owner = L.contexts([np.array(one, np.uint16) for one in ([5, 6, 7, 8], [], [1])], 60_000)
+    assert tokens.dtype == around.dtype == np.uint16 and owner.tolist() == [0, 0, 0, 0, 2]
+    assert around[1].tolist() == [60_000, 60_000, 5, 7, 8, 60_000] and around[4].tolist() == [60_000] * 6
+    assert [len(part) for part in L.contexts([], 9)] == [0, 0, 0]
