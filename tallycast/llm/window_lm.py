@@ -20,6 +20,8 @@ from tallycast.session import materialise
 OTHER_SPACES = r"[\x09-\x0D]"
 LEAST_COUNT = 5  # of a word in the corpus to get an id of its own
 MOST_WORDS = 7_680  # words with an id of their own, the most frequent: memory of the network
+MOST_COUNTS = 1 << 17  # words whose counts go to the tasks, the most frequent; those of others come by a join
+LONG_WORD, LARGE_COUNT = 64, 100_000  # longer words are left to the join; larger counts are not told apart to choose
 WORDS_A_CLASS = 16  # words with an id for each hash class that other words share; 16 classes at least
 SIDE = 3  # tokens of context on each side
 WIDTH, HIDDEN = 8, 16
@@ -282,32 +284,51 @@ def vocabulary(counted: DataFrame) -> list[str]:
     return [r.word for r in top.collect()]
 
 
-def token_table(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``(row, ka, kb, doc_id, ids, rest)``: two bytes a token, and xxhash64 of every word without an id of its own."""
-    sizes = Sizes(len(words))
-    shared = docs.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(words)})
+def class_counts(counted: DataFrame, words: list[str]) -> dict[str, int]:
+    """Counts of the most frequent words besides ``words``: of all that occur so often that no more than ``MOST_COUNTS`` do."""
+    short, least, held = counted.filter(F.length("word") <= LONG_WORD), None, 0
+    for n, size in sorted(short.groupBy(F.least("n", F.lit(LARGE_COUNT)).alias("n")).count().collect(), reverse=True):
+        held += size
+        if held > MOST_COUNTS:
+            break
+        least = n
+    own = set(words)
+    return {} if least is None else {r.word: r.n for r in short.filter(F.col("n") >= least).collect() if r.word not in own}
+
+
+def token_table(docs: DataFrame, words: list[str], others: dict[str, int] | None = None) -> DataFrame:
+    """``(row, ka, kb, doc_id, ids, known, rest)``: two bytes a token; of words without an id of their own the sum of the
+    logs of counts in ``others``, and xxhash64 of every one that is not there."""
+    sizes, more = Sizes(len(words)), others or {}
+    index = {w.encode(): i for i, w in enumerate((*words, *more))}
+    id_of = np.append(np.arange(len(words)), sizes.classes_of([w.encode() for w in more])).astype(np.uint16)
+    log_of = np.append(np.zeros(len(words)), np.log(np.array(list(more.values()), float)))
+    shared = docs.sparkSession.sparkContext.broadcast((index, np.append(id_of, np.uint16(0)), np.append(log_of, 0.0)))  # at -1: unknown
     rows = docs.select(*row_key(), "doc_id", F.lower("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, digest, row = shared.value.get, xxhash.xxh64_intdigest, TaskContext.get().partitionId() << 33
+        (index, id_of, log_of), digest, row = shared.value, xxhash.xxh64_intdigest, TaskContext.get().partitionId() << 33
+        get = index.get
         for batch in batches:
-            ids, rest = [], []
+            ids, logs, rest = [], [], []
             for one in batch.column(3):
                 found = (one.as_py() or b"").split()  # of bytes: at space and 0x09-0x0D only
-                known = np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
-                new = np.flatnonzero(known < 0)
-                others = [found[i] for i in new.tolist()]
-                known[new] = sizes.classes_of(others)
-                ids.append(known.astype(np.uint16).tobytes())
-                rest.append(np.fromiter(map(digest, others, repeat(42)), np.uint64, len(others)).view(np.int64))
+                at = np.fromiter(map(get, found, repeat(-1)), np.int64, len(found))
+                own, new = id_of[at], np.flatnonzero(at < 0)
+                unknown = [found[i] for i in new.tolist()]
+                own[new] = sizes.classes_of(unknown)
+                ids.append(own.tobytes())
+                logs.append(log_of[at].sum())
+                rest.append(np.fromiter(map(digest, unknown, repeat(42)), np.uint64, len(unknown)).view(np.int64))
             numbers = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rest) if rest else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([numbers, *batch.columns[:3], pa.array(ids, pa.binary()), lists], ["row", "ka", "kb", "doc_id", "ids", "rest"])
+            columns = [numbers, *batch.columns[:3], pa.array(ids, pa.binary()), pa.array(logs, pa.float64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "ka", "kb", "doc_id", "ids", "known", "rest"])
 
-    return materialise(rows.mapInArrow(run, f"row bigint, ka bigint, kb bigint, doc_id {kind}, ids binary, rest array<bigint>"), "ids")
+    return materialise(rows.mapInArrow(run, f"row bigint, ka bigint, kb bigint, doc_id {kind}, ids binary, known double, rest array<bigint>"), "ids")
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
@@ -399,7 +420,7 @@ def score(tokens: DataFrame, network: Network, counts: np.ndarray | None = None,
 
     With the ``counts`` of ids and the ``counted`` words, a word of a hash class has the probability of its class in its
     context times its share of the class in the corpus; else ids alone are scored.  Counts above 1 of such words come
-    by a join on 64 bits of the word, so no task holds them all.
+    by a join on 64 bits of the word unless the table knows them, so no task holds them all.
     """
     shared = tokens.sparkSession.sparkContext.broadcast((network, None if counts is None else np.log(np.maximum(counts, 1.0))))
     kind = tokens.schema["doc_id"].dataType.simpleString()
@@ -422,10 +443,12 @@ def score(tokens: DataFrame, network: Network, counts: np.ndarray | None = None,
                     each -= np.where((token >= low) & (token < high), logs[token], 0.0)
                 sums[a:b] = np.bincount(owner, weights=each, minlength=b - a)
                 a = b
+            if logs is not None:
+                sums += batch.column(3).to_numpy(zero_copy_only=False)
             sizes = pa.array([len(e) for e in every], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(sums)], ["row", "doc_id", "n_tokens", "log_prob"])
 
-    scored = tokens.select("row", "doc_id", "ids").mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, log_prob double")
+    scored = tokens.select("row", "doc_id", "ids", "known").mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, log_prob double")
     if counted is not None:
         often = counted.filter("n > 1").select(F.xxhash64("word").alias("word"), F.log("n").alias("more"))
         words = tokens.select("row", F.explode("rest").alias("word")).join(often, "word")
@@ -447,7 +470,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     counted = word_counts(docs)
     words = vocabulary(counted)
-    tokens, sizes = token_table(docs, words), Sizes(len(words))
+    tokens, sizes = token_table(docs, words, class_counts(counted, words)), Sizes(len(words))
     counts = token_counts(tokens, sizes)
     return score(tokens, train(tokens, sizes, counts), counts, counted)
 

@@ -203,3 +203,26 @@ def test_contexts_are_as_narrow_as_ids():
     assert tokens.dtype == around.dtype == np.uint16 and owner.tolist() == [0, 0, 0, 0, 2]
     assert around[1].tolist() == [60_000, 60_000, 5, 7, 8, 60_000] and around[4].tolist() == [60_000] * 6
     assert [len(part) for part in L.contexts([], 9)] == [0, 0, 0]
+
+
+def test_counts_by_broadcast_and_by_join_give_the_same_scores(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).localCheckpoint()
+    docs = docs.unionByName(spark.createDataFrame([(-1, "x" * 100 + " rare rare \x0bRARE " + "x" * 100), (-2, None)], docs.schema))
+    counted = L.word_counts(docs).localCheckpoint()
+    every = {r.word: r.n for r in counted.collect()}
+    monkeypatch.setattr(L, "MOST_WORDS", 50)
+    words, got, waiting = L.vocabulary(counted), [], []
+    for most in (0, 300, 10**6):
+        monkeypatch.setattr(L, "MOST_COUNTS", most)
+        others = L.class_counts(counted, words)
+        assert len(others) <= most and not set(others) & set(words) and all(every[w] == n for w, n in others.items())
+        left = [n for w, n in every.items() if w not in others and w not in words and len(w) <= L.LONG_WORD]
+        assert not others or not left or max(left) < min(others.values())
+        tokens = L.token_table(docs, words, others)
+        waiting.append(tokens.selectExpr("sum(size(rest)) AS n").first().n)
+        assert waiting[-1] == sum(n for w, n in every.items() if w not in others and w not in words)
+        got.append({r.doc_id: (r.n_tokens, r.log_prob) for r in L.score_documents(docs).collect()})
+    assert waiting[0] > waiting[1] > waiting[2] == 2  # the long word
+    for one in got[1:]:
+        assert one.keys() == got[0].keys()
+        assert all(one[i][0] == n and np.isclose(one[i][1], p, rtol=1e-9, atol=1e-9) for i, (n, p) in got[0].items())
