@@ -53,6 +53,26 @@ def test_densify_fills_gaps_over_several_grid_blocks(spark):
     assert (p.ts == pd.Timestamp(T0) + pd.to_timedelta(p.idx * 15, unit="min")).all()
 
 
+@pytest.mark.parametrize("fill", [0.0, None])
+def test_grid_is_made_in_place(spark, monkeypatch, fill):
+    """Only counts and a row for each series and block are shuffled; the result is that of a join of the whole grid with the counts."""
+    monkeypatch.setattr(P, "GRID_BLOCK", 4)
+    at = lambda i, s=0: T0 + dt.timedelta(minutes=15 * i, seconds=s)
+    given = [("a", at(0), 1.0), ("a", at(3), 2.0), ("a", at(4), None), ("a", at(9), 3.0), ("b", at(6), 4.0), ("b", at(10), 5.0), ("b", at(6), 6.0),
+             ("x", at(1), 7.0), (None, at(2), 8.0), ("c", None, 9.0), ("c", at(11), 9.0), ("c", at(-1), 9.0), ("c", at(2, 30), 9.0)]
+    counts = spark.createDataFrame(given, "sid string, ts timestamp_ntz, n double")
+    series = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "sid string")
+    bounds = spark.createDataFrame([(at(0), at(10))], "a timestamp_ntz, b timestamp_ntz")
+    p = P.densify(counts, series, bounds, fill=fill)
+    above = p._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Exchange" not in above and "Join" not in above
+    values = {}
+    for sid, ts, n in given:
+        values.setdefault((sid, ts), []).append(n)
+    want = [(s, at(i), i, fill if n is None else n) for s in "abcd" for i in range(11) for n in values.get((s, at(i)), [None])]
+    assert sorted(((r.sid, r.ts, r.idx, r.y) for r in p.collect()), key=str) == sorted(want, key=str)
+
+
 def test_wide_and_long_are_inverse(spark):
     p = make_panel(spark, {"a": [1, 2, 3], "b": [4, 5, 6]})
     wide = P.to_wide(p)
@@ -329,6 +349,47 @@ def test_pairs_of_series_are_not_shuffled(spark, width):
     assert got["corr"][~flat].to_numpy() == pytest.approx((cov[i, j] / np.maximum(scale[i] * scale[j], 1e-300))[~flat])
 
 
+def test_covariance_writes_and_shuffles_packed_runs_only(spark):
+    """Cells of a dense panel go to runs where they are made: some bytes for 256 cells, and no row for each of them afterwards."""
+    from tallycast.operators.tiles import panel_runs
+
+    grid = spark.range(0, 60, 1, 4).select(F.format_string("s%02d", "id").alias("sid"), "id").select("sid", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("idx"))
+    panel = grid.select("sid", "idx", ((F.col("idx") * 7 + F.col("id") * F.col("idx")) % 11 == 0).cast("double").alias("y"))
+    runs = panel_runs(panel)
+    assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    got = runs.select("sid", "rows", "n", F.length("data").alias("bytes")).collect()
+    assert sorted((r.sid, r.rows, r.n) for r in got) == [(f"s{k:02}", b, n) for k in range(60) for b, n in enumerate((256, 256, 208))]
+    assert sum(r.bytes for r in got) < 60 * 720 / 2
+    found = K.covariance(panel)
+    assert found.count() == 60 * 61 // 2
+
+
+@pytest.mark.parametrize("scale, shift", [(1, 0), (1, -300), (0.1, 1e6), (1, 70_000)])
+def test_covariance_of_cells_in_any_order(spark, monkeypatch, scale, shift):
+    """Runs of few cells that come out of order, values of every packed type, absent cells at their mean, series that do not vary."""
+    from tallycast.operators import tiles
+
+    monkeypatch.setattr(tiles, "RUN_CELLS", 100)
+    rng = np.random.default_rng(4)
+    data = (rng.poisson(3, (300, 9)) + rng.poisson(2, (300, 1))) * scale + shift
+    data[:, 4] = 0.1
+    there = np.ones((300, 9), bool)
+    there[290:, 5] = there[10:200:7, 2] = False
+    rows = [(f"s{k}", i, float(data[i, k])) for k in range(9) for i in range(300) if there[i, k]]
+    random.Random(1).shuffle(rows)
+    got = K.covariance(spark.createDataFrame(rows, "sid string, idx long, y double"), width=4).toPandas()
+    assert len(got) == 45
+    mean = np.array([data[there[:, k], k].mean() for k in range(9)])
+    off = np.where(there, data - mean, 0.0)
+    off[:, 4] = 0.0
+    sd = np.array([data[there[:, k], k].std(ddof=1) for k in range(9)])
+    for r in got.itertuples():
+        i, j = int(r.sid_a[1:]), int(r.sid_b[1:])
+        cov = off[:, i] @ off[:, j] / 299
+        assert r.cov == pytest.approx(cov, rel=1e-8, abs=1e-9)
+        assert np.isnan(r.corr) if 4 in (i, j) else r.corr == pytest.approx(cov / (sd[i] * sd[j]), rel=1e-8, abs=1e-9)
+
+
 def test_factors_reproduce_the_covariance(spark):
     rng = np.random.default_rng(2)
     data = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 5)) + rng.normal(size=(200, 5)) * 0.1
