@@ -390,6 +390,17 @@ def test_covariance_of_cells_in_any_order(spark, monkeypatch, scale, shift):
         assert np.isnan(r.corr) if 4 in (i, j) else r.corr == pytest.approx(cov / (sd[i] * sd[j]), rel=1e-8, abs=1e-9)
 
 
+def test_rounding_of_many_rows_is_that_of_one(spark):
+    from tallycast.catalog.registry import rounded
+
+    drawn = spark.range(200_000).select((F.rand(1) * F.pow(F.lit(10.0), F.rand(2) * 14 - 8) * F.when(F.rand(3) < 0.5, -1).otherwise(1)).alias("x"))
+    ties = spark.range(200_000).select(((F.col("id") - 100_000) * 0.5e-6).alias("x"))
+    odd = spark.sql("SELECT explode(array(double('NaN'), double('Infinity'), -double('Infinity'), NULL, -0.0D, -1e-9D, 1e300D, 1e-320D, 999.9999995D)) AS x")
+    both = drawn.union(ties).union(odd).select("x", F.col("x").alias("y"))
+    found = rounded(rounded(both, "x"), "y", many=True)
+    assert found.filter(~F.col("x").eqNullSafe(F.col("y"))).count() == 0 and found.count() == 400_009
+
+
 def test_factors_reproduce_the_covariance(spark):
     rng = np.random.default_rng(2)
     data = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 5)) + rng.normal(size=(200, 5)) * 0.1
